@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import quality
+from graticula.llm import quality, secrets, sharding
 
-MODULES = (quality,)
+MODULES = (quality, secrets, sharding)
 
 
 def queries() -> dict:
