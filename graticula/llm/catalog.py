@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import quality, secrets, sharding
+from graticula.llm import quality, secrets, sharding, simhash
 
-MODULES = (quality, secrets, sharding)
+MODULES = (quality, secrets, sharding, simhash)
 
 
 def queries() -> dict:
