@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import packing, quality, rans, secrets, sharding, simhash
+from graticula.llm import decontaminate, packing, quality, rans, secrets, sharding, simhash
 
-MODULES = (packing, quality, rans, secrets, sharding, simhash)
+MODULES = (decontaminate, packing, quality, rans, secrets, sharding, simhash)
 
 
 def queries() -> dict:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticula.llm.common import shuffle_partitions, written
+from graticula.llm.ngrams import batch_hashes, mixed, ngram_hashes
 
 BITS = 64
 #: Node pairs that one step of the walk holds at once; more are walked in turn.
@@ -96,11 +97,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
+def trie_links(group: np.ndarray, fp: np.ndarray, budget: int, near=None) -> np.ndarray:
     """For each fingerprint the index of the smallest one of its group that it is linked with, directly or over others.
 
     group, fp: sorted by both. A node of the trie is a range of the sorted fingerprints; pairs of nodes are walked from the groups'
-    roots down, one bit at a time. Distinct fingerprints of a group differ, so a leaf is one fingerprint.
+    roots down, one bit at a time. Distinct fingerprints of a group differ, so a leaf is one fingerprint. near: a further test of pairs.
     """
     n = len(fp)
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -122,6 +123,8 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
             continue
         if bit < 0:
             other = alo != blo
+            if near is not None:
+                other[other] = near(alo[other], blo[other])
             found_a.append(alo[other])
             found_b.append(blo[other])
             held += int(other.sum())
@@ -232,3 +235,138 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_simhash_trie": op8_simhash_trie}
+
+
+# Similar texts: the same trie join over short fingerprints, for pairs that differ in more bits than a single join can allow.
+
+#: Short fingerprints of a text's words, each joined by itself, and the wide fingerprint of its shingles that decides.
+TABLES, TABLE_BITS, WIDE_BITS = 8, 32, 256
+
+
+def _spread(h: np.ndarray, lanes: int) -> np.ndarray:
+    """(n, lanes) independent 64-bit values from 64-bit hashes."""
+    return mixed(h[:, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _wide(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of 64 * lanes bits of a set of hashes."""
+    h = np.unique(h)
+    counts = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(h), 1 << 12):
+        counts += np.unpackbits(_spread(h[at : at + (1 << 12)], lanes).view(np.uint8).reshape(-1, 8 * lanes), axis=1).sum(0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(h))
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.04) -> DataFrame:
+    """a, b: links between ids of docs (id, text; ids distinct, texts distinct) whose shingle sets are alike.
+
+    Candidates agree in all but two bits of one of eight 32-bit SimHashes of their word sets, found by the trie self-join. A
+    candidate is linked if wide SimHashes of the shingle sets differ in no larger a share of bits than sets of that Jaccard similarity
+    do on average (arccos(2s / (1 + s)) / pi), plus a margin for the estimate's spread.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + margin
+    most = int(share * WIDE_BITS)
+
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            short, wide = [], []
+            for t in pdf["text"]:
+                words = batch_hashes([t or ""])[0]
+                short.append(_wide(words, TABLES * TABLE_BITS // 64).view("<u4").astype(np.int64).tolist())
+                grams = ngram_hashes(words, shingle) if len(words) >= shingle else ngram_hashes(words, max(1, len(words)))
+                wide.append(_wide(grams, WIDE_BITS // 64).tobytes())
+            yield pd.DataFrame({"id": pdf["id"], "short": short, "wide": wide})
+
+    signed = written(docs.select("id", "text").mapInPandas(signatures, "id long, short array<long>, wide binary"), "signatures")
+    rows = signed.select("id", "wide", F.posexplode("short").alias("table", "fp"))
+    # texts with the same short fingerprint are compared with one of them; only that one enters the trie
+    heads = written(rows.groupBy("table", "fp").agg(F.min_by("id", "id").alias("head"), F.min_by("wide", "id").alias("head_wide")), "table-heads")
+    members = rows.join(heads, ["table", "fp"]).filter(F.col("id") != F.col("head")).filter(_apart(F.col("wide"), F.col("head_wide")) <= most)
+    members = members.select(F.col("head").alias("a"), F.col("id").alias("b"))
+
+    blocks = _cuts(TABLE_BITS, 3)
+    deep = [(a, b, c, d) for a, b in blocks for c, d in _cuts(TABLE_BITS - (b - a), 3)]
+
+    def bits(a: int, b: int, c: int, d: int) -> list[int]:
+        rest = [i for i in range(TABLE_BITS) if not a <= i < b]
+        return [*range(a, b), *rest[c:d]]
+
+    mask = lambda at: sum(1 << i for i in at)
+    keys = heads.select(
+        "head", "head_wide", "fp", F.col("table").cast("long").alias("table"), F.inline(F.array(*(F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(mask(bits(*x)))).alias("node")) for k, x in enumerate(deep))))
+    )
+    several = keys.groupBy("table", "trie", "node").count().filter("count > 1").select("table", "trie", "node")
+    keys = keys.join(several, ["table", "trie", "node"], "left_semi")
+    parts = shuffle_partitions(docs.sparkSession)
+    keys = keys.repartition(parts, "table", "trie", "node").sortWithinPartitions("table", "trie", "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(rest):
+                continue
+            end = rest.iloc[-1]
+            last = ((rest["table"] == end["table"]) & (rest["trie"] == end["trie"]) & (rest["node"] == end["node"])).to_numpy()
+            yield walk(rest[~last])
+            rest = rest[last]
+        if rest is not None and len(rest):
+            yield walk(rest)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        fp, table, trie, node = (pdf[c].to_numpy(np.int64) for c in ("fp", "table", "trie", "node"))
+        order = np.lexsort((fp, node, trie, table))
+        fp, table, trie, node = (x[order] for x in (fp, table, trie, node))
+        ids = pdf["head"].to_numpy(np.int64)[order]
+        wide = np.frombuffer(b"".join(pdf["head_wide"].iloc[order]), np.uint64).reshape(len(fp), -1)
+        group = np.concatenate(([0], np.cumsum((table[1:] != table[:-1]) | (node[1:] != node[:-1]) | (trie[1:] != trie[:-1]))))
+        near = lambda a, b: np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= most
+        root = trie_links(group, fp.view(np.uint64), 2, near)
+        own = root != np.arange(len(fp))
+        return pd.DataFrame({"a": ids[root[own]], "b": ids[own]})
+
+    return keys.mapInPandas(run, "a long, b long").union(members)
+
+
+def _apart(a, b):
+    """The bits in which two wide fingerprints differ, as a column."""
+    word = lambda x, k: F.conv(F.hex(F.substring(x, 4 * k + 1, 4)), 16, 10).cast("long")
+    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(WIDE_BITS // 32)), F.lit(0))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """text_hash and keeper: for each distinct text (by hash) the hash of the text that stands for its group of similar texts.
+
+    Equal texts are one from the start. A null text is the empty one; texts without words are alike.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text"))
+    # one row for each distinct text; the hot ones meet before the shuffle as partial results
+    links = written(similar_links(_one_each(texts), shingle, similarity), "similar-links")
+    return components(links)
+
+
+def _one_each(texts: DataFrame) -> DataFrame:
+    return texts.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: the one with the smallest id (null ids last), then the smallest text hash."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    hashed = docs.select("doc_id", F.xxhash64(t).alias("hash"))
+    labels = similar_groups(docs.select("text"))
+    heads = hashed.groupBy("hash").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    grouped = heads.join(labels, heads["hash"] == labels["node"], "left").select("hash", "head", F.coalesce("label", "hash").alias("label"))
+    first = F.min_by("hash", F.struct(F.col("head").isNull(), "head", "hash")).alias("hash")
+    keep = written(grouped.groupBy("label").agg(first, F.min_by("head", F.struct(F.col("head").isNull(), "head", "hash")).alias("head")), "kept-texts")
+    keep = keep.select(F.col("hash").alias("__hash"), F.col("head").alias("__head"))
+    keyed = docs.withColumn("__h", F.xxhash64(t))
+    kept = keyed.join(keep, (keyed["__h"] == keep["__hash"]) & keyed["doc_id"].eqNullSafe(keep["__head"]), "left_semi")
+    # rows that repeat both id and text are one document: only those few are compared row by row
+    again = hashed.groupBy("doc_id", "hash").count().filter("count > 1").select(F.col("doc_id").alias("__id2"), F.col("hash").alias("__hash2"))
+    again = written(again, "repeated-rows")
+    same = kept["doc_id"].eqNullSafe(again["__id2"]) & (kept["__h"] == again["__hash2"])
+    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"])
+    return kept.join(again, same, "left_anti").union(one).select(*docs.columns)
