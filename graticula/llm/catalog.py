@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import decontaminate, packing, quality, rans, secrets, sharding, simhash
+from graticula.llm import decontaminate, lm, packing, pieces, quality, rans, secrets, sharding, simhash, toolcalls
 
-MODULES = (decontaminate, packing, quality, rans, secrets, sharding, simhash)
+MODULES = (lm, pieces, packing, toolcalls, decontaminate, sharding, quality, simhash, rans, secrets)
 
 
 def queries() -> dict:
