@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from graticula.operators import exchange, statistics
+
+MODULES = (statistics, exchange)
 
 
 def queries() -> dict:
