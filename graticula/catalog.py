@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graticula.operators import exchange, statistics
+from graticula.functions import geometry
+from graticula.operators import exchange, sparse, statistics
 
-MODULES = (statistics, exchange)
+MODULES = (statistics, exchange, sparse, geometry)
 
 
 def queries() -> dict:
