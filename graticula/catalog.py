@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from graticula.functions import geometry
-from graticula.operators import exchange, sparse, statistics
+from graticula.operators import elementwise, exchange, partition, search, sparse, statistics
 
-MODULES = (statistics, exchange, sparse, geometry)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry)
 
 
 def queries() -> dict:

@@ -134,7 +134,7 @@ QUERIES = {
         table(s, d, "supplier").select((F.col("s_suppkey") % 50).alias("row"), F.col("s_nationkey").cast("long").alias("col"), F.lit(2.0).alias("w")),
     ),
     "so4_sorted_entries": lambda s, d: _w(s, d).orderBy("row", "col"),
-    "in19_execute": lambda s, d: _round(apply(normalised(_w(s, d)), _x(s, d)), 8),
+    "in19_execute": lambda s, d: _round(apply(normalised(_w(s, d)), _x(s, d).withColumn("value", F.sqrt("value"))), 6),
     "in20_execute_adjoint": lambda s, d: _round(adjoint(_w(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("gidx"), F.col("o_totalprice").alias("value")))),
     "in21_missing_if_all": _missing("missing-if-all-missing"),
     "in21_missing_if_any": _missing("missing-if-any-missing"),
@@ -151,7 +151,7 @@ ORACLES = {
     "la5_transpose": "SELECT l_partkey AS row, l_orderkey AS col, l_quantity AS w FROM lineitem",
     "la6_matmul": "SELECT c_nationkey::BIGINT AS row, s_nationkey::BIGINT AS col, count(*)*2.0::DOUBLE AS w FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 GROUP BY 1, 2",
     "so4_sorted_entries": "SELECT l_orderkey AS row, l_partkey AS col, l_quantity AS w FROM lineitem",
-    "in19_execute": f"SELECT l_orderkey AS row, round(sum(l_quantity*p_retailprice)/sum(l_quantity),8) AS value FROM {_J} GROUP BY 1",
+    "in19_execute": f"SELECT l_orderkey AS row, round(sum(l_quantity*sqrt(p_retailprice))/sum(l_quantity),6) AS value FROM {_J} GROUP BY 1",
     "in20_execute_adjoint": "SELECT l_partkey AS row, round(sum(l_quantity*o_totalprice),2) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "in21_missing_if_all": f"{_MISS} SELECT row, round({_SCALED},8) AS value FROM g",
     "in21_missing_if_any": f"{_MISS} SELECT row, round(CASE WHEN any_ THEN -1.0 ELSE s END,8) AS value FROM g",
