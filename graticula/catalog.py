@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graticula.functions import geometry
+from graticula.functions import geometry, projections
 from graticula.operators import elementwise, exchange, partition, search, sparse, statistics
+from graticula.sources import grids
 
-MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids)
 
 
 def queries() -> dict:
