@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from graticula.functions import geometry, projections
-from graticula.operators import elementwise, exchange, interpolation, mesh, partition, search, sparse, statistics
+from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, search, sparse, spectral, statistics
 from graticula.sources import grids
 
-MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, mesh)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, mesh, fvm, spectral)
 
 
 def queries() -> dict:
