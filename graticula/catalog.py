@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from graticula.functions import geometry, projections
 from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, search, sparse, spectral, statistics
-from graticula.sources import grids
+from graticula.sources import grids, records
+from graticula.streaming import windows
 
-MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, mesh, fvm, spectral)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, mesh, fvm, spectral, records, windows)
 
 
 def queries() -> dict:

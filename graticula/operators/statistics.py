@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 from graticula.sources.tables import FIELD_SQL, lineitem_field, order_points, table
 
-OWNED = ~F.col("ghost")
-
-
 def owned(value: Column | str = "value") -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(OWNED, value)
+    return F.when(~F.col("ghost"), value)
 
 
 def total(field: DataFrame, *by: str) -> DataFrame:

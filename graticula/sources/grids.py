@@ -35,7 +35,10 @@ def focus(start: float, end: float, n: int, factor: float) -> list[float]:
     mid, half = (start + end) / 2, (end - start) / 2
     unit = [2.0 * k / (n - 1) - 1.0 for k in range(n)] if n > 1 else [0.0]
     c = math.atan(factor) if factor else 0.0
-    return [mid + half * (math.tan(u * c) / factor if factor else u) for u in unit]
+    out = [mid + half * (math.tan(u * c) / factor if factor else u) for u in unit]
+    if n > 1:
+        out[0], out[-1] = start, end
+    return out
 
 
 def gaussian_latitudes(n: int) -> list[float]:
