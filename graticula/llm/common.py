@@ -13,12 +13,18 @@ SPACE = " \t\n\x0b\f\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Where spark.checkpoint.dir is unset (local tests): a folder of this machine for each application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (local tests), a new one of this machine."""
+    """The folder that spark.checkpoint.dir names; only where that is unset, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="graticula-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="graticula-")
+        folder = _OWN[app]
     return folder.rstrip("/")
 
 

@@ -128,3 +128,30 @@ def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_line_cleaning": op7_line_cleaning}
+ORACLES = {
+    "op7_line_cleaning": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (
+  SELECT r, unnest(range(len(ws) - 4)) AS i, unnest(list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS gram FROM w WHERE len(ws) >= 5
+), c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM c, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE c.n > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+judged AS (
+  SELECT r, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded,
+    (right(rtrim(line), 1) IN ('.', '!', '?', '…') OR regexp_matches(line, '[.!?…]["''”’»)\]]*(?:\s+\S+){0,10}\s*$'))
+    AND NOT regexp_matches(line, '\|[^|]*\|') AND len(regexp_extract_all(line, '[#*$%&|<>]')) <= length(line) * 0.05 AND len(regexp_extract_all(line, '!!')) < 3
+    AND NOT regexp_matches(line, '(?i)all rights reserved|licensed under|released under the|terms of use|terms of service|privacy policy|cookie policy|uses cookies|enable javascript|lorem ipsum|skip to content|back to top') AS passes
+  FROM l
+), lines AS (
+  SELECT r, count(*) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS dup,
+    coalesce(sum(length(line) + 1) FILTER (NOT worded OR passes), 1) - 1 AS clean FROM judged GROUP BY r
+), x AS (
+  SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, length(array_to_string(w.ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(w.t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    lines.dup::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+    CASE WHEN length(w.t) > 0 THEN (length(w.t) - lines.clean) / length(w.t)::DOUBLE ELSE 0.0 END::DOUBLE AS lost
+  FROM w JOIN lines ON lines.r = w.r LEFT JOIN repeated ON repeated.r = w.r
+), b AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.6 AS kept, round(lost, 6) AS lost_share FROM b
+""",
+}
