@@ -14,12 +14,18 @@ from graticula.sources.grids import grid
 from graticula.sources.tables import order_points, table
 
 
+#: Where spark.checkpoint.dir is unset (local use): a folder of this machine for each application.
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the cluster's shared folder."""
+    """A new folder name in the folder that spark.checkpoint.dir names."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="graticula-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="graticula-")
+        folder = _OWN[app]
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
