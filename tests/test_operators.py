@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graticula.functions import geometry, projections
-from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, search, sparse, spectral, statistics
+from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, polygons, search, sparse, spectral, statistics
 from graticula.plans.remap import Remap
 from graticula.sources import grids, records
 from graticula.streaming import windows
@@ -227,3 +227,21 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("windowed").collect()) == sorted(windows.windowed(df).collect())
+
+
+def test_conservative_remap_conserves(spark):
+    a, b = polygons._mesh(spark, 24, 13), polygons._mesh(spark, 16, 9)
+    o = polygons.overlaps(a, b).toPandas()
+    assert math.isclose(o["area"].sum(), 4 * math.pi, rel_tol=1e-9)
+    target = o.groupby("row")["target_area"].first()
+    assert np.allclose(o.groupby("row")["area"].sum(), target, rtol=1e-9)
+    assert not o.duplicated(["row", "col"]).any()
+
+
+def test_polygon_kernels():
+    octant = polygons.tidy(polygons.unit(np.array([0.0, 90.0, 0.0]), np.array([0.0, 0.0, 90.0])))
+    assert math.isclose(polygons.signed_area(octant), math.pi / 2)
+    assert np.allclose(polygons.centroid(octant), np.ones(3) / math.sqrt(3))
+    assert math.isclose(polygons.signed_area(polygons.clip(octant, octant)), math.pi / 2)
+    other = polygons.tidy(polygons.unit(np.array([180.0, 270.0, 180.0]), np.array([0.0, 0.0, 90.0])))
+    assert polygons.signed_area(polygons.clip(octant, other)) < 1e-12
