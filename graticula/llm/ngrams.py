@@ -11,7 +11,7 @@ import numpy as np
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-SEGMENT = 1 << 21  # bytes that are hashed at once
+SEGMENT = 1 << 19  # bytes that are hashed at once
 
 
 def _state() -> dict:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 32
 
 
