@@ -1,21 +1,37 @@
 """Token ids of whole texts by the tokenizers library, cached by chunks.
 
-A text is cut before each run of white space that follows other characters. No token of the two vocabularies used here spans such a
-cut, so the ids of a text are those of its chunks, one after the other. Chunks repeat far more often than texts, so each worker keeps the
-ids of the chunks that it has seen (a bounded number of short ones) and calls the tokenizer for the rest in batches.
+A text is cut before white space that follows other characters, and before full stops and commas that end such a chunk after a letter. No
+token of the two vocabularies used here spans such a cut, so the ids of a text are those of its chunks, one after the other. Chunks
+repeat far more often than texts: each worker keeps the ids of those that it has seen (a bounded number of short ones). Of the rest, runs of
+letters are one word to the vocabulary's pattern and go straight to its model, in the model's alphabet of bytes; all others are encoded.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
 #: White space as Unicode defines it, as in the vocabularies' own patterns.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CACHED_CHUNKS = 400_000
-CACHED_LENGTH = 48
+UNSAFE = re.compile(f"(?:^|[{WHITE}]) ")
+CONTROL = re.compile("[\x1c-\x1f]")
+#: Entries of a generation of each cache: when it is full, it becomes the older one, whose entries come back as they are met.
+CACHED_ITEMS = 150_000
+CACHED_CHUNKS = 200_000
+CACHED_LENGTH = 64
+
+
+def _alphabet() -> dict[int, int]:
+    """The character that stands for each byte: itself if it can be printed, else one of those from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 0x100 + k for k, b in enumerate(hidden)}
+
+
+ALPHABET = _alphabet()
 
 
 class ChunkTokenizer:
@@ -28,23 +44,69 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops_space, self.lowers = one("a") == one("\n a"), one("A") == one("a")
+        self.pack = "H" if self.size <= 1 << 16 else "I"
+        self.model = self.tokenizer.model
+        self.items: dict[str, bytes] = {}  # ids of what stands between blanks, with the blank before it
+        self.chunks: dict[str, bytes] = {}
+        self.older_items: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+        self._long: list[str] = []
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
-        cache, chunks = self.cache, [CHUNK.findall(t) for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join([cache[c] for c in cs]) for cs in chunks]
-        for c in new:
-            if len(c) > CACHED_LENGTH:
-                del cache[c]
+        if len(self.items) > CACHED_ITEMS:
+            self.items, self.older_items = {}, self.items
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks, self.older_chunks = {}, self.chunks
+        get, split = self.items.get, [self._items(t) for t in texts]
+        found = [[get(x) for x in xs] for xs in split]
+        self._learn({x for xs, ys in zip(split, found, strict=True) if None in ys for x, y in zip(xs, ys, strict=True) if y is None})
+        out = [b"".join([self.items[x] if y is None else y for x, y in zip(xs, ys, strict=True)] if None in ys else ys) for xs, ys in zip(split, found, strict=True)]
+        for cache in (self.items, self.chunks):
+            for x in [x for x in self._long if x in cache]:
+                del cache[x]
         return out
 
+    def _items(self, text: str) -> list[str]:
+        if self.drops_space:
+            return text.split() if not CONTROL.search(text) else CHUNK.findall(text)
+        if UNSAFE.search(text):
+            return CHUNK.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]] if first or rest else []
+
+    def _cores(self, chunk: str) -> list[str]:
+        """A chunk as the strings that are looked up for it."""
+        if self.drops_space:
+            chunk = chunk.strip("\t\n\x0b\x0c\r ")
+        if self.lowers and (chunk.isascii() or max(chunk) < "\u0130"):
+            chunk = chunk.lower()
+        body = chunk.rstrip(".,")
+        return [body, chunk[len(body) :]] if len(body) < len(chunk) and body[-1:].isalpha() else [chunk]
+
+    def _learn(self, items: set[str]) -> None:
+        self.items.update({x: self.older_items[x] for x in items if x in self.older_items})
+        items = [x for x in items if x not in self.items]
+        parts = {x: [c for chunk in CHUNK.findall(x) for c in self._cores(chunk)] for x in items}
+        cores = {c for cs in parts.values() for c in cs}
+        self.chunks.update({c: self.older_chunks[c] for c in cores if c in self.older_chunks})
+        new = [c for c in cores if c not in self.chunks]
+        tokenize, pack = self.model.tokenize, struct.pack
+        for c in new:
+            bare = c[1:] if c[:1] == " " else c
+            if bare.isalpha() and max(bare) < "\u0130":
+                ids = [t.id for t in tokenize(c.encode().decode("latin-1").translate(ALPHABET))]
+                self.chunks[c] = pack(f"<{len(ids)}{self.pack}", *ids)
+        other = [c for c in new if c not in self.chunks]
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.chunks[c] = np.array(e.ids, self.dtype).tobytes()
+        for x, cs in parts.items():
+            self.items[x] = b"".join([self.chunks[c] for c in cs])
+        self._long = [x for x in (*items, *new) if len(x) > CACHED_LENGTH]
+
 
 def tokenizer(path: str) -> ChunkTokenizer:
     """One for each Python worker and file.
@@ -59,7 +121,7 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return known[path]
 
 
-def batches_of(texts: list[str], most: int = 4_000_000):
+def batches_of(texts: list[str], most: int = 2_000_000):
     """Slices of texts with about `most` characters each, so that one batch's chunks stay small."""
     start, total = 0, 0
     for i, t in enumerate(texts):
