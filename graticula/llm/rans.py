@@ -27,9 +27,9 @@ from graticula.llm.tokens import batches_of, tokenizer
 MAGIC = b"GRAN0001"
 SCALE = 20  # frequencies add up to 2 ** SCALE
 LOW = np.uint64(1 << 31)
-BLOCK = 1 << 19  # symbols from which a block is closed
-LANES = 512
-STRIDE = 64  # rows of symbols between checkpoints
+BLOCK = 1 << 20  # symbols from which a block is closed
+LANES = 2048
+STRIDE = 128  # rows of symbols between checkpoints
 HEAD = "<8sIIIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
 
@@ -143,10 +143,7 @@ def symbol_counts(rows: DataFrame, size: int, width: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
         for pdf in batches:
-            for b in pdf["ids"]:
-                total += np.bincount(np.frombuffer(b, f"<u{width}"), minlength=size) if len(b) > size else 0
-                if len(b) <= size:
-                    np.add.at(total, np.frombuffer(b, f"<u{width}"), 1)
+            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), f"<u{width}"), minlength=size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"symbol": at, "n": total[at]})
 
