@@ -240,7 +240,7 @@ QUERIES = {"op8_simhash_trie": op8_simhash_trie}
 # Similar texts: the same trie join over short fingerprints, for pairs that differ in more bits than a single join can allow.
 
 #: Short fingerprints of a text's words, each joined by itself, and the wide fingerprint of its shingles that decides.
-TABLES, TABLE_BITS, WIDE_BITS = 8, 32, 256
+TABLES, TABLE_BITS, WIDE_BITS = 8, 32, 384
 
 
 def _spread(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -292,11 +292,11 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ma
         return [*range(a, b), *rest[c:d]]
 
     mask = lambda at: sum(1 << i for i in at)
-    keys = heads.select(
-        "head", "head_wide", "fp", F.col("table").cast("long").alias("table"), F.inline(F.array(*(F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(mask(bits(*x)))).alias("node")) for k, x in enumerate(deep))))
-    )
+    node = F.inline(F.array(*(F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(mask(bits(*x)))).alias("node")) for k, x in enumerate(deep))))
+    keys = heads.select("table", "fp", node)
     several = keys.groupBy("table", "trie", "node").count().filter("count > 1").select("table", "trie", "node")
-    keys = keys.join(several, ["table", "trie", "node"], "left_semi")
+    # ids and wide fingerprints join only those that meet another
+    keys = keys.join(several, ["table", "trie", "node"], "left_semi").join(heads, ["table", "fp"])
     parts = shuffle_partitions(docs.sparkSession)
     keys = keys.repartition(parts, "table", "trie", "node").sortWithinPartitions("table", "trie", "node")
 
