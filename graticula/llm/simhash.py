@@ -237,103 +237,138 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op8_simhash_trie": op8_simhash_trie}
 
 
-# Similar texts: the same trie join over short fingerprints, for pairs that differ in more bits than a single join can allow.
+# Similar texts: pairs whose shingle sets have a Jaccard similarity of at least a limit, found by prefixes and decided exactly.
 
-#: Short fingerprints of a text's words, each joined by itself, and the wide fingerprint of its shingles that decides.
-TABLES, TABLE_BITS, WIDE_BITS = 8, 32, 384
+#: One text of so many is asked for common shingles, and so many of those are told apart. They only steer the order of shingles, so how much
+#: is compared, never what is found.
+SAMPLED, COMMON = 16, 1 << 18
+#: Groups with more texts are first compared with a few of their own, so that near copies are known to be linked before pairs are made.
+LARGE, PIVOTS = 8, 4
 
 
-def _spread(h: np.ndarray, lanes: int) -> np.ndarray:
-    """(n, lanes) independent 64-bit values from 64-bit hashes."""
-    return mixed(h[:, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending: all words if they are fewer than a shingle holds, and 0 alone without words."""
+    words = batch_hashes([text or ""])[0]
+    return np.unique(ngram_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(1, np.uint64)
 
 
-def _wide(h: np.ndarray, lanes: int) -> np.ndarray:
-    """The SimHash of 64 * lanes bits of a set of hashes."""
-    h = np.unique(h)
-    counts = np.zeros(64 * lanes, np.int64)
-    for at in range(0, len(h), 1 << 12):
-        counts += np.unpackbits(_spread(h[at : at + (1 << 12)], lanes).view(np.uint8).reshape(-1, 8 * lanes), axis=1).sum(0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(h))
+def _least(similarity: float, size):
+    """The least number of shingles that a set of that size shares with a similar one."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.04) -> DataFrame:
-    """a, b: links between ids of docs (id, text; ids distinct, texts distinct) whose shingle sets are alike.
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in at least three sampled texts, ascending, and in how many."""
 
-    Candidates agree in all but two bits of one of eight 32-bit SimHashes of their word sets, found by the trie self-join. A
-    candidate is linked if wide SimHashes of the shingle sets differ in no larger a share of bits than sets of that Jaccard similarity
-    do on average (arccos(2s / (1 + s)) / pi), plus a margin for the estimate's spread.
-    """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + margin
-    most = int(share * WIDE_BITS)
-
-    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            short, wide = [], []
-            for t in pdf["text"]:
-                words = batch_hashes([t or ""])[0]
-                short.append(_wide(words, TABLES * TABLE_BITS // 64).view("<u4").astype(np.int64).tolist())
-                grams = ngram_hashes(words, shingle) if len(words) >= shingle else ngram_hashes(words, max(1, len(words)))
-                wide.append(_wide(grams, WIDE_BITS // 64).tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "short": short, "wide": wide})
-
-    signed = written(docs.select("id", "text").mapInPandas(signatures, "id long, short array<long>, wide binary"), "signatures")
-    rows = signed.select("id", "wide", F.posexplode("short").alias("table", "fp"))
-    # texts with the same short fingerprint are compared with one of them; only that one enters the trie
-    heads = written(rows.groupBy("table", "fp").agg(F.min_by("id", "id").alias("head"), F.min_by("wide", "id").alias("head_wide")), "table-heads")
-    members = rows.join(heads, ["table", "fp"]).filter(F.col("id") != F.col("head")).filter(_apart(F.col("wide"), F.col("head_wide")) <= most)
-    members = members.select(F.col("head").alias("a"), F.col("id").alias("b"))
-
-    blocks = _cuts(TABLE_BITS, 3)
-    deep = [(a, b, c, d) for a, b in blocks for c, d in _cuts(TABLE_BITS - (b - a), 3)]
-
-    def bits(a: int, b: int, c: int, d: int) -> list[int]:
-        rest = [i for i in range(TABLE_BITS) if not a <= i < b]
-        return [*range(a, b), *rest[c:d]]
-
-    mask = lambda at: sum(1 << i for i in at)
-    node = F.inline(F.array(*(F.struct(F.lit(k).alias("trie"), F.col("fp").bitwiseAND(F.lit(mask(bits(*x)))).alias("node")) for k, x in enumerate(deep))))
-    keys = heads.select("table", "fp", node)
-    several = keys.groupBy("table", "trie", "node").count().filter("count > 1").select("table", "trie", "node")
-    # ids and wide fingerprints join only those that meet another
-    keys = keys.join(several, ["table", "trie", "node"], "left_semi").join(heads, ["table", "fp"])
-    parts = shuffle_partitions(docs.sparkSession)
-    keys = keys.repartition(parts, "table", "trie", "node").sortWithinPartitions("table", "trie", "node")
+            for at in range(0, len(pdf), 256):
+                yield pd.DataFrame({"token": np.concatenate([_shingles(t, shingle) for t in pdf["text"].iloc[at : at + 256]]).view(np.int64)})
+
+    sample = docs.filter(F.pmod("id", F.lit(SAMPLED)) == 0).select("text").mapInPandas(run, "token long")
+    known = written(sample.groupBy("token").count().filter("count > 2"), "common-shingles")
+    level = F.floor(F.log2("count"))
+    least, total = 63, 0
+    for at, n in sorted(known.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > COMMON:
+            break
+        least = at
+    pdf = known.filter(level >= least).toPandas().sort_values("token")
+    tokens = pdf["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], pdf["count"].to_numpy(np.int64)[order]
+
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """token, id, size: the first shingles of each text, rarest first, as many as make two similar texts share one of them."""
+    common, times = _common(docs, shingle)
+
+    def first(h: np.ndarray) -> np.ndarray:
+        n = len(h) - int(_least(similarity, len(h))) + 1
+        if not len(common):
+            return h[:n]
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        return h[np.lexsort((h, np.where(common[at] == h, times[at], 0)))[:n]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
         for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(rest):
-                continue
-            end = rest.iloc[-1]
-            last = ((rest["table"] == end["table"]) & (rest["trie"] == end["trie"]) & (rest["node"] == end["node"])).to_numpy()
-            yield walk(rest[~last])
-            rest = rest[last]
-        if rest is not None and len(rest):
-            yield walk(rest)
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                sets = [_shingles(t, shingle) for t in part["text"]]
+                heads = [first(h) for h in sets]
+                n, size = [len(x) for x in heads], np.array([len(h) for h in sets])
+                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "id": np.repeat(part["id"].to_numpy(), n), "size": np.repeat(size, n)})
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        fp, table, trie, node = (pdf[c].to_numpy(np.int64) for c in ("fp", "table", "trie", "node"))
-        order = np.lexsort((fp, node, trie, table))
-        fp, table, trie, node = (x[order] for x in (fp, table, trie, node))
-        ids = pdf["head"].to_numpy(np.int64)[order]
-        wide = np.frombuffer(b"".join(pdf["head_wide"].iloc[order]), np.uint64).reshape(len(fp), -1)
-        group = np.concatenate(([0], np.cumsum((table[1:] != table[:-1]) | (node[1:] != node[:-1]) | (trie[1:] != trie[:-1]))))
-        near = lambda a, b: np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= most
-        root = trie_links(group, fp.view(np.uint64), 2, near)
-        own = root != np.arange(len(fp))
-        return pd.DataFrame({"a": ids[root[own]], "b": ids[own]})
+    return docs.select("id", "text").mapInPandas(run, "token long, id long, size long")
 
-    return keys.mapInPandas(run, "a long, b long").union(members)
 
+def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, size_a, size_b, one row for each shared prefix shingle) that may be similar, each once.
 
-def _apart(a, b):
-    """The bits in which two wide fingerprints differ, as a column."""
-    word = lambda x, k: F.conv(F.hex(F.substring(x, 4 * k + 1, 4)), 16, 10).cast("long")
-    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(WIDE_BITS // 32)), F.lit(0))
+    What two sets share is in both prefixes, or behind the end of the prefix that ends first: at most the shared prefix shingles and
+    the rest of one set.
+    """
+    counted = pairs.groupBy("a", "b", "size_a", "size_b").count()
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    rest = F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9) - 1
+    return counted.filter(F.col("count") + rest >= need).select("a", "b")
+
+
+def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that similarity."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["id"], "grams": [_shingles(t, shingle).tobytes() for t in pdf["text"]]})
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for i, (x, y) in enumerate(zip(pdf["grams_a"], pdf["grams_b"], strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pdf.loc[keep, ["a", "b"]]
+
+    sets = written(docs.select("id", "text").join(ids, "id", "left_semi").mapInPandas(run, "key long, grams binary"), "shingle-sets")
+    left, right = (sets.select(F.col("key").alias(f"key_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    joined = pairs.join(left, F.col("a") == F.col("key_a")).join(right, F.col("b") == F.col("key_b"))
+    return joined.select("a", "b", "grams_a", "grams_b").mapInPandas(alike, "a long, b long")
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """a, b: links between ids of docs (id, text; ids distinct, texts distinct) that connect all whose sets of shingle hashes have at least
+    that Jaccard similarity, and no others.
+
+    Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared
+    over their whole sets. In large groups all are compared with a few first; what these links connect needs no pairs of its own,
+    and all other pairs are made.
+    """
+    prefixes = written(_prefixes(docs, shingle, similarity), "prefixes")
+    pivot = lambda k: F.min_by("id", F.xxhash64("id", F.lit(k)))
+    groups = prefixes.groupBy("token").agg(F.count("*").alias("n"), *(pivot(k).alias(f"p{k}") for k in range(PIVOTS))).filter("n > 1")
+    shared = written(prefixes.join(groups, "token"), "shared-prefixes")
+
+    sizes = shared.select(F.col("id").alias("key"), F.col("size").alias("size_p")).distinct()
+    stars = shared.filter(F.col("n") > LARGE).select("id", "size", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
+    counted = stars.filter(F.col("id") != F.col("p")).groupBy("id", "size", "p").count().join(sizes, F.col("p") == F.col("key"))
+    stars = counted.select(F.col("p").alias("a"), F.col("id").alias("b"), F.col("size_p").alias("size_a"), F.col("size").alias("size_b"))
+    near = similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9
+    stars = written(stars.filter(near).select("a", "b"), "stars")
+    first = written(_decided(docs, stars, shingle, similarity), "star-links")
+    labels = components(first)
+
+    known = shared.select("token", "id", "size").join(labels, F.col("id") == F.col("node"), "left")
+    known = written(known.select("token", "id", "size", F.coalesce("label", "id").alias("label")), "labelled-prefixes")
+    open_ = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    known = known.join(open_, "token", "left_semi")
+    a = known.select("token", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+    b = known.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near)
+    pairs = written(_enough(pairs, similarity), "pairs")
+    return first.union(_decided(docs, pairs, shingle, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

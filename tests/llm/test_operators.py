@@ -393,6 +393,42 @@ def test_similar_texts_leave_one_each(spark, docs, empty):
     assert simhash.stage(spark, empty, "").count() == 0
 
 
+def brute_similar(texts):
+    """Groups of texts over links of a five-word-shingle similarity of at least 0.8, as a set of sets of positions."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+
+def similar(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r.node: r.label for r in simhash.components(simhash.similar_links(df)).collect()}
+    return {frozenset(i for i in range(len(texts)) if found.get(i, i) == x) for x in (found.get(i, i) for i in range(len(texts)))}
+
+
+def prose(rng, n):
+    return ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+
+
+def test_texts_below_the_limit_are_not_linked(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for edits in [4] * 10 + [6] * 10 + [8] * 10:  # scattered edits: similarities of about 0.81, 0.73 and 0.66
+        text = prose(rng, 200)
+        edited = list(text)
+        for at in rng.choice(200, edits, replace=False):
+            edited[at] = "new" + edited[at]
+        texts += [" ".join(text), " ".join(edited)]
+    want = brute_similar(texts)
+    assert 0 < sum(len(g) == 2 for g in want) < 20
+    assert similar(spark, texts) == want
+
+
 # op10
 
 
