@@ -429,6 +429,33 @@ def test_texts_below_the_limit_are_not_linked(spark):
     assert similar(spark, texts) == want
 
 
+def test_all_orders_of_the_same_words_are_compared(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    lines = [" ".join(prose(rng, 8)) for _ in range(25)]
+    for _ in range(20):  # pairs of texts of the same words; every pair is unlike all others
+        order = list(rng.permutation(25))
+        texts.append(" ".join(lines[i] for i in order))
+        order[0], order[1] = order[1], order[0]
+        texts.append(" ".join(lines[i] for i in order))
+    want = brute_similar(texts)
+    assert {frozenset((i, i + 1)) for i in range(0, 40, 2)} == want
+    assert similar(spark, texts) == want
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base, texts = prose(rng, 120), []
+    for k in range(60):
+        edited = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            edited[at] = f"{edited[at]}{k}"
+        texts.append(" ".join(edited))
+    want = brute_similar(texts)
+    assert 1 < len(want) < 60
+    assert similar(spark, texts) == want
+
+
 # op10
 
 
