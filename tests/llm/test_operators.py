@@ -443,6 +443,18 @@ def test_all_orders_of_the_same_words_are_compared(spark):
     assert similar(spark, texts) == want
 
 
+def test_paragraphs_appended_or_replaced(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        text = prose(rng, 200)
+        texts.append(" ".join(text))
+        texts.append(" ".join(text + prose(rng, 40 + k % 8) if k % 2 else text[:90] + prose(rng, 12 + k % 6) + text[102 + k % 6 :]))
+    want = brute_similar(texts)
+    assert len(want) == 60
+    assert similar(spark, texts) == want
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(9)
     base, texts = prose(rng, 120), []
