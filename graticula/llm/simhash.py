@@ -348,11 +348,13 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """
     prefixes = written(_prefixes(docs, shingle, similarity), "prefixes")
     pivot = lambda k: F.min_by("id", F.xxhash64("id", F.lit(k)))
-    groups = prefixes.groupBy("token").agg(F.count("*").alias("n"), *(pivot(k).alias(f"p{k}") for k in range(PIVOTS))).filter("n > 1")
+    groups = prefixes.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(prefixes.join(groups, "token"), "shared-prefixes")
 
+    large = shared.filter(F.col("n") > LARGE)
+    heads = large.groupBy("token").agg(*(pivot(k).alias(f"p{k}") for k in range(PIVOTS)))
     sizes = shared.select(F.col("id").alias("key"), F.col("size").alias("size_p")).distinct()
-    stars = shared.filter(F.col("n") > LARGE).select("id", "size", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
+    stars = large.join(heads, "token").select("id", "size", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
     counted = stars.filter(F.col("id") != F.col("p")).groupBy("id", "size", "p").count().join(sizes, F.col("p") == F.col("key"))
     stars = counted.select(F.col("p").alias("a"), F.col("id").alias("b"), F.col("size_p").alias("size_a"), F.col("size").alias("size_b"))
     near = similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9
