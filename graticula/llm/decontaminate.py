@@ -175,22 +175,40 @@ def _windows(pdf, texts, base, doc, pos, item, at, size, counts) -> pd.DataFrame
 
 
 def _joined_passages(docs: DataFrame, placed: DataFrame, kind: str) -> DataFrame:
-    """As passages, for seeds beyond the bound: n-grams with the words around them join the seeds by hash."""
-    reach = int(placed.agg(F.max("words")).first()[0])
+    """As passages, for seeds beyond the bound: places of n-grams join the seeds by hash, and the passages are cut from the texts afterwards."""
+    # written once, so that a row keeps its number
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash")), "numbered-documents")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
-                cut = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                grams = ngram_hashes(batch_hashes([t or ""])[0], SEED).view(np.int64)
-                wide = 2 * reach + SEED
-                around = [b" ".join(cut[max(0, k - wide) : k + wide]).decode("utf-8", "replace") for k in range(len(grams))]
-                yield pd.DataFrame({"doc_id": [d] * len(grams), "text_hash": h, "seed": grams, "pos": np.arange(len(grams)), "around": around})
-
-    grams = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, seed long, pos long, around string")
-    hits = grams.join(placed, "seed")
-    one = hits.groupBy("doc_id", "text_hash", "item", F.floor(F.col("pos") / F.col("words")).alias("stretch")).agg(F.min_by("around", "pos").alias("passage"), F.min("pos").alias("pos"))
-    return one.select("doc_id", "text_hash", "item", F.greatest(F.lit(0), F.col("pos") - (2 * reach + SEED)).alias("start_word"), "passage")
+            texts = [t or "" for t in pdf["text"]]
+            for part in batches_of(texts, 1_000_000):
+                grams, ok, counts = _grams(texts[part])
+                at = np.flatnonzero(ok)
+                starts = np.cumsum(counts) - counts
+                doc = np.searchsorted(starts, at, "right") - 1
+                yield pd.DataFrame({"row": pdf["row"].to_numpy()[part][doc], "seed": grams[at].view(np.int64), "pos": at - starts[doc], "length": counts[doc]})
+
+    hits = rows.select("row", "text").mapInPandas(run, "row long, seed long, pos long, length long").join(placed, "seed")
+    begin, slack = F.col("pos") - F.col("at"), F.floor(F.col("words") / 5) + 1
+    spans = hits.select("row", "item", F.greatest(F.lit(0), begin - slack).alias("lo"), F.least("length", begin + F.col("words") + slack).alias("hi"))
+    # windows of a row and item are joined while they touch, as _windows does
+    before = Window.partitionBy("row", "item").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row", "item").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("fresh", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("long"))
+    spans = spans.withColumn("run", F.sum("fresh").over(upto)).groupBy("row", "item", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = spans.groupBy("row").agg(F.collect_list("item").alias("items"), F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, h, t, items, los, his in zip(*(pdf[c] for c in ("doc_id", "text_hash", "text", "items", "los", "his")), strict=True):
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                out += [(d, h, i, a, b" ".join(words[a:b]).decode("utf-8", "replace")) for i, a, b in zip(items, los, his, strict=True)]
+            out = pd.DataFrame(out, columns=["doc_id", "text_hash", "item", "start_word", "passage"])
+            yield out.astype({"doc_id": pdf["doc_id"].dtype, "text_hash": "int64", "item": "int64", "start_word": "int64"})
+
+    return rows.join(found, "row").select("doc_id", "text_hash", "text", "items", "los", "his").mapInPandas(cut, f"doc_id {kind}, text_hash long, item long, start_word long, passage string")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, max_seeds: int = MAX_SEEDS) -> DataFrame:

@@ -267,6 +267,23 @@ def test_decontamination_finds_edited_copies(spark, docs, empty):
     assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark.filter("false")).count() == 0
 
 
+def test_decontamination_by_joined_seeds_gives_the_same_rows(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    fill = lambda n: [word() for _ in range(n)]
+    items = [fill(n) for n in (8, 20, 60, 5)]
+    texts = [fill(a) + items[i] + fill(b) for i, a, b in ((0, 5, 30), (1, 13, 40), (2, 50, 70), (3, 2, 3))]
+    texts.append(fill(17) + items[1] + fill(2) + items[1] + fill(40) + items[1])  # two copies that touch, one by itself
+    texts.append(fill(3) + items[2] + items[0] + fill(9) + items[0])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rows += [rows[1], rows[1], (None, rows[2][1]), (None, None), (90, " ".join(fill(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(9, " ".join(items[0]))], "item_id long, text string")
+    by_bound = [collections.Counter(map(tuple, decontaminate.contaminated(docs, benchmark, max_seeds=m).collect())) for m in (decontaminate.MAX_SEEDS, 0)]
+    assert max(by_bound[0].values()) == 3
+    assert by_bound[0] == by_bound[1]
+
+
 # op6
 
 
