@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The white space of all word rules here: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
-#: Where spark.checkpoint.dir is unset (local tests): a folder of this machine for each application.
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset, one of our own."""
+    """The folder that spark.checkpoint.dir names. Only a local session may leave it unset: it gets one of its own then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="graticula-")
-        folder = _OWN[app]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = kept(f"folder of {spark.sparkContext.applicationId}", lambda: tempfile.mkdtemp(prefix="graticula-"))
     return folder.rstrip("/")
 
 
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What make gives, made once in this process.
+
+    Functions travel to the workers by value, and their globals with them, so those last for one task only; a module lasts.
+    """
+    state = sys.modules.setdefault("graticula_process_state", types.ModuleType("graticula_process_state")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage, and lost executors do not lose it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,15 +1,20 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every test item gives its word 3-grams as seeds. One pass over the corpus counts how often each seed occurs there. A copy of an item of L
-words with at most L // 5 word edits keeps at least L - 2 - 3 (L // 5) seeds, so all but that many less one, the rarest ones, are enough to
-meet every such copy: the most frequent seeds are left out without a loss. A second pass joins the documents' n-grams to
-these seeds and emits, for each run of seeds of an item, the passage around it; passages join their items and are aligned. Match
-1, mismatch and gap -1: a passage is reported from a score of L - 2 (L // 5) on, which every such copy reaches.
+Every test item gives its word 3-grams as seeds (its only n-gram, if it has fewer words). One pass over the corpus counts how often each seed occurs
+there. A second pass finds the documents that hold rare seeds; the places of their n-grams join the seeds by hash. Places of an item that
+lie close together are one passage, which is cut from the document's word hashes and aligned with the item: match 1, mismatch and gap -1. It is
+reported from a score of L - 2 e on, for an item of L words of which e (a fifth at most, see allowed_edits) may be edited.
 
-The seeds' hashes go to all tasks while there are at most `max_seeds` of them; beyond that the n-grams themselves are joined by hash.
+An alignment of that score has a changed or lost words, b words put in and c words cut off at the ends, with 2 a + b + c <= 2 e. They spoil at most
+3 a + 2 b + c <= 4 e seeds, so the 4 e + 1 rarest ones meet every such passage: the most frequent seeds are left out without a loss.
 
-Defined cases: null or blank documents hold nothing; test items that are null or have fewer than min_words words are not searched for;
-repeated documents and items are reported each by itself; empty tables give an empty result; further columns do not take part.
+Tasks drop n-grams that are no seed by a bitmap of a fixed size (`bits`), whatever the number of seeds; what it lets through by chance
+is dropped by the join. There is one way for all sizes of the benchmark.
+
+Defined cases: null or blank documents hold nothing; null or blank test items are not searched for; items of up to 6 words are found
+where they are copied word by word; repeated documents and items are reported each by itself; of copies of an item whose surroundings touch
+in a document the best one is reported; very long documents and items take memory in proportion to their words; empty tables give an empty
+result; further columns do not take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,24 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graticula.llm.common import written
-from graticula.llm.ngrams import batch_hashes, inside, ngram_hashes
-from graticula.llm.tokens import batches_of
+from graticula.llm.common import fresh, words, written
+from graticula.llm.ngrams import hashed, inside, ngram_hashes
+from graticula.llm.tokens import runs, slices
 
 SEED = 3
-MAX_SEEDS = 2_000_000
+#: Bits of a hash by which n-grams are dropped in tasks: the bitmap is 2 ** BITS bits, 2 MB.
+BITS = 24
+BATCH_BYTES = 1_000_000
 
 
-def allowed_edits(words: int) -> int:
-    return words // 5
+def allowed_edits(length: int) -> int:
+    """A fifth of the words, but so few that 4 e + 1 seeds are left: none up to 6 words."""
+    return min(length // 5, max(0, length - 3) // 4)
 
 
-def kept_seeds(words: int) -> int:
-    """How many of the rarest seeds of an item suffice."""
-    return 3 * allowed_edits(words) + 1
+def _edits(length: Column) -> Column:
+    return F.least(F.floor(length / 5), F.floor(F.greatest(F.lit(0), length - 3) / 4))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -61,191 +69,163 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def item_seeds(benchmark: DataFrame, min_words: int = 5, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Items (item, item_id, words, item_words) and their seeds (item, at, seed)."""
-    split = F.split(F.lower(F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(" \t\n\x0b\f\r"))), r"[\x20\x09-\x0D]+")
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("item_words"), F.size(split).cast("long").alias("words"))
-    items = written(items.filter(F.col("words") >= min_words), "benchmark-items")
+def _of_order(grams: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of n-grams of different lengths are kept apart."""
+    return grams ^ np.uint64(order * 0x9E3779B97F4A7C15 & (2**64 - 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for item, t in zip(pdf["item"], pdf["item_words"], strict=True):
-                seeds = ngram_hashes(batch_hashes([t])[0], SEED).view(np.int64)
-                yield pd.DataFrame({"item": item, "at": np.arange(len(seeds)), "seed": seeds})
 
-    return items, items.select("item", "item_words").mapInPandas(run, "item long, at long, seed long")
+def _seeds(texts: pa.StringArray, orders: list[int], own: bool = False) -> tuple[np.ndarray, ...]:
+    """Of all n-grams of the given orders: text, first word and hash; also the words' hashes and the texts' word counts.
 
+    own: of each text only the n-grams of its own order, SEED or all its words.
+    """
+    hashes, counts = hashed(texts)
+    starts = np.cumsum(counts) - counts
+    doc, pos, seed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in orders:
+        at = np.flatnonzero(inside(counts, n))
+        text = np.searchsorted(starts, at, "right") - 1
+        grams = _of_order(ngram_hashes(hashes, n)[at], n)
+        if own:
+            mine = np.minimum(counts[text], SEED) == n
+            at, text, grams = at[mine], text[mine], grams[mine]
+        doc.append(text), pos.append(at - starts[text]), seed.append(grams)
+    return *(np.concatenate(x) for x in (doc, pos, seed)), hashes, counts
 
-def _member(values: np.ndarray):
-    """A test of many hashes for membership in values: a bitmap first, exact for what passes."""
-    values = np.sort(values)
-    bits = np.zeros(1 << 22, bool)
-    bits[(values >> np.uint64(42)).astype(np.int64)] = True
 
-    def test(hashes: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(bits[(hashes >> np.uint64(42)).astype(np.int64)])
-        near = np.minimum(np.searchsorted(values, hashes[at]), len(values) - 1)
-        return at[values[near] == hashes[at]]
+def item_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Items (item, item_id, words, item_words: the words' hashes) and their seeds (item, at, seed)."""
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    t = F.col(f"`{text}`")
+    numbered = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), t.alias("t")).filter(F.size(words(t)) > 0)
+    numbered = written(numbered.select(F.monotonically_increasing_id().alias("item"), "item_id", "t"), "benchmark-items")
 
-    return test
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(2), BATCH_BYTES):
+                hashes, counts = hashed(texts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in (0, 1)), pa.array(counts), runs(hashes, counts)], ["item", "item_id", "words", "item_words"])
 
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(2), BATCH_BYTES):
+                doc, pos, seed, _, _ = _seeds(texts, [1, 2, 3], own=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + doc)), pa.array(pos), pa.array(seed.view(np.int64))], ["item", "at", "seed"])
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, counts = batch_hashes(texts)
-    grams = ngram_hashes(words, SEED)
-    return grams, inside(counts, SEED), counts
+    return numbered.mapInArrow(items, f"item long, item_id {kind}, words long, item_words binary"), numbered.mapInArrow(seeds, "item long, at long, seed long")
 
 
-def seed_counts(docs: DataFrame, seeds: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """seed, n: how often each distinct seed occurs in all documents (those that never occur are left out)."""
-    known = seeds.select("seed").distinct()
-    if (amount := known.count()) == 0:
-        return known.withColumn("n", F.lit(0).cast("long"))
-    fits = amount <= max_seeds
-    values = known.toPandas()["seed"].to_numpy(np.int64).view(np.uint64) if fits else None
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Which leading bits occur, as 2 ** BITS flags: at most so many bits reach the driver, whatever the number of hashes."""
+    at = F.shiftrightunsigned(column, 64 - BITS) + 1  # buckets are numbered from 1 for positions from 1 on
+    found = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("flags")).collect()
+    out = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in found:
+        first = (r.bucket - 1) * len(r.flags)
+        out[first : first + len(r.flags)] = np.frombuffer(bytes(r.flags), np.uint8)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = _member(values) if fits else None
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for part in batches_of(texts, 1_000_000):
-                grams, ok, _ = _grams(texts[part])
-                at = test(grams) if fits else np.arange(len(grams))
-                found, n = np.unique(grams[at[ok[at]]], return_counts=True)
-                yield pd.DataFrame({"seed": found.view(np.int64), "n": n})
 
-    found = docs.select("text").mapInPandas(run, "seed long, n long")
-    if not fits:
-        found = found.join(known, "seed", "left_semi")
-    return found.groupBy("seed").agg(F.sum("n").alias("n"))
+def _passes(flags: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    at = (seeds >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.flatnonzero(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1)
 
 
-def passages(docs: DataFrame, items: DataFrame, seeds: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """row, doc_id, text_hash, item, start_word and the passage (words) around each run of seeds of an item."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, item long, start_word long, passage string"
-    placed = seeds.join(items.select("item", "words"), "item")
-    if placed.count() > max_seeds:
-        return _joined_passages(docs, placed, kind)
-    table = placed.toPandas()
-    table = table.sort_values("seed", key=lambda s: s.to_numpy(np.int64).view(np.uint64), kind="stable")
-    values = table["seed"].to_numpy(np.int64).view(np.uint64)
-    item, at, size = (table[c].to_numpy(np.int64) for c in ("item", "at", "words"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = _member(values) if len(values) else None
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            if test is None:
-                continue
-            for part in batches_of(texts, 1_000_000):
-                grams, ok, counts = _grams(texts[part])
-                hit = test(grams)
-                hit = hit[ok[hit]]
-                first, last = np.searchsorted(values, grams[hit], "left"), np.searchsorted(values, grams[hit], "right")
-                times = last - first
-                entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                pos = np.repeat(hit, times)
-                starts = np.cumsum(counts) - counts
-                doc = np.searchsorted(starts, pos, "right") - 1
-                yield _windows(pdf, texts, part.start, doc, pos - starts[doc], item[entry], at[entry], size[entry], counts)
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, schema)
-
-
-def _windows(pdf, texts, base, doc, pos, item, at, size, counts) -> pd.DataFrame:
-    """Passages of one batch: hits of a document and item are joined while their windows touch."""
-    slack = size // 5 + 1
-    lo = np.maximum(0, pos - at - slack)
-    hi = np.minimum(counts[doc], pos - at + size + slack)
-    order = np.lexsort((lo, item, doc))
-    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
-    out, k = [], 0
-    cached, cut = -1, []
-    while k < len(doc):
-        d, i, a, b = doc[k], item[k], lo[k], hi[k]
-        k += 1
-        while k < len(doc) and doc[k] == d and item[k] == i and lo[k] <= b:
-            b = max(b, hi[k])
-            k += 1
-        if d != cached:
-            cached, cut = d, texts[base + d].encode("utf-8", "surrogatepass").lower().split()
-        out.append((pdf["doc_id"].iloc[base + d], pdf["text_hash"].iloc[base + d], i, a, b" ".join(cut[a:b]).decode("utf-8", "replace")))
-    return pd.DataFrame(out, columns=["doc_id", "text_hash", "item", "start_word", "passage"]).astype({"doc_id": pdf["doc_id"].dtype, "text_hash": "int64", "item": "int64", "start_word": "int64"})
-
-
-def _joined_passages(docs: DataFrame, placed: DataFrame, kind: str) -> DataFrame:
-    """As passages, for seeds beyond the bound: places of n-grams join the seeds by hash, and the passages are cut from the texts afterwards."""
-    # written once, so that a row keeps its number
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash")), "numbered-documents")
+def seed_counts(docs: DataFrame, seeds: DataFrame, orders: list[int]) -> DataFrame:
+    """seed, n: how often each distinct seed occurs in all documents (those that never occur are left out)."""
+    known = seeds.select("seed").distinct()
+    flags = bitmap(known, "seed")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for part in batches_of(texts, 1_000_000):
-                grams, ok, counts = _grams(texts[part])
-                at = np.flatnonzero(ok)
-                starts = np.cumsum(counts) - counts
-                doc = np.searchsorted(starts, at, "right") - 1
-                yield pd.DataFrame({"row": pdf["row"].to_numpy()[part][doc], "seed": grams[at].view(np.int64), "pos": at - starts[doc], "length": counts[doc]})
-
-    hits = rows.select("row", "text").mapInPandas(run, "row long, seed long, pos long, length long").join(placed, "seed")
-    begin, slack = F.col("pos") - F.col("at"), F.floor(F.col("words") / 5) + 1
-    spans = hits.select("row", "item", F.greatest(F.lit(0), begin - slack).alias("lo"), F.least("length", begin + F.col("words") + slack).alias("hi"))
-    # windows of a row and item are joined while they touch, as _windows does
-    before = Window.partitionBy("row", "item").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("row", "item").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
-    spans = spans.withColumn("fresh", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("long"))
-    spans = spans.withColumn("run", F.sum("fresh").over(upto)).groupBy("row", "item", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = spans.groupBy("row").agg(F.collect_list("item").alias("items"), F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, h, t, items, los, his in zip(*(pdf[c] for c in ("doc_id", "text_hash", "text", "items", "los", "his")), strict=True):
-                words = t.encode("utf-8", "surrogatepass").lower().split()
-                out += [(d, h, i, a, b" ".join(words[a:b]).decode("utf-8", "replace")) for i, a, b in zip(items, los, his, strict=True)]
-            out = pd.DataFrame(out, columns=["doc_id", "text_hash", "item", "start_word", "passage"])
-            yield out.astype({"doc_id": pdf["doc_id"].dtype, "text_hash": "int64", "item": "int64", "start_word": "int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch.column(0), BATCH_BYTES):
+                grams = _seeds(texts, orders)[2]
+                found, n = np.unique(grams[_passes(flags, grams)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["seed", "n"])
 
-    return rows.join(found, "row").select("doc_id", "text_hash", "text", "items", "los", "his").mapInPandas(cut, f"doc_id {kind}, text_hash long, item long, start_word long, passage string")
+    found = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return found.join(known, "seed", "left_semi")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, max_seeds: int = MAX_SEEDS) -> DataFrame:
+def suspects(docs: DataFrame, seeds: DataFrame, orders: list[int]) -> DataFrame:
+    """row, doc_id, text_hash, the words' hashes, and places and hashes of the n-grams that may be seeds, of every document that has some."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    flags = bitmap(seeds, "seed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(1), BATCH_BYTES):
+                doc, pos, seed, hashes, counts = _seeds(texts, orders)
+                hit = _passes(flags, seed)
+                hit = hit[np.argsort(doc[hit], kind="stable")]
+                rows, n = np.unique(doc[hit], return_counts=True)
+                if not len(rows):
+                    continue
+                own = np.repeat(np.isin(np.arange(len(counts)), rows), counts)
+                lists = lambda x, n=n: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(x))
+                take = pa.array(at + rows)
+                columns = [batch.column(0).take(take), batch.column(2).take(take), runs(hashes[own], counts[rows]), lists(pos[hit]), lists(seed[hit].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "hashes", "at", "seeds"])
+
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, hashes binary, at array<long>, seeds array<long>")
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "suspects")
+
+
+def spans(hits: DataFrame) -> DataFrame:
+    """row, item, lo, hi: the surroundings of hits (row, item, at, pos, words, length) of an item in a document, joined while they touch."""
+    begin, slack = F.col("pos") - F.col("at"), 2 * _edits(F.col("words"))
+    wide = hits.select("row", "item", F.greatest(F.lit(0), begin - slack).alias("lo"), F.least("length", begin + F.col("words") + slack).alias("hi")).distinct()
+    before = Window.partitionBy("row", "item").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row", "item").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    wide = wide.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("long"))
+    return wide.withColumn("run", F.sum("new").over(upto)).groupBy("row", "item", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of docs (doc_id, text) that copy test items: doc_id, text_hash, item_id, words, score, similarity, start_word, end_word."""
-    items, seeds = item_seeds(benchmark, min_words)
-    seeds = written(seeds, "benchmark-seeds")
-    counted = seeds.join(seed_counts(docs, seeds, max_seeds), "seed", "left").join(items.select("item", "words"), "item")
+    items, seeds = item_seeds(benchmark)
+    items, seeds = written(items, "benchmark-words"), written(seeds, "benchmark-seeds")
+    # at most three orders
+    orders = sorted(r[0] for r in items.select(F.least("words", F.lit(SEED))).distinct().collect())
+    counted = seeds.join(seed_counts(docs, seeds, orders), "seed", "left").join(items.select("item", "words"), "item")
     rarest = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "at")
-    enough = 3 * F.floor(F.col("words") / 5) + 1
-    rare = written(counted.withColumn("__k", F.row_number().over(rarest)).filter(F.col("__k") <= enough).select("item", "at", "seed"), "rare-seeds")
-    found = passages(docs, items, rare, max_seeds)
+    rare = counted.withColumn("k", F.row_number().over(rarest)).filter(F.col("k") <= 4 * _edits(F.col("words")) + 1)
+    rare = written(rare.select("item", "at", "seed", "words"), "rare-seeds")
+
+    rows = suspects(docs, rare, orders)
+    length = F.octet_length("hashes") / 8
+    places = rows.select("row", length.cast("long").alias("length"), F.inline(F.arrays_zip("at", "seeds")).alias("pos", "seed"))
+    hits = places.join(rare, "seed")
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_kind = benchmark.schema["item_id"].dataType.simpleString()
+    # a document's passages, cut before the items come in
+    cut = spans(hits).join(rows.select("row", "doc_id", "text_hash", "hashes"), "row")
+    passage = F.expr("substring(hashes, int(8 * lo + 1), int(8 * (hi - lo)))")
+    cut = cut.select("doc_id", "text_hash", "item", "lo", passage.alias("passage"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, np.ndarray] = {}
+            known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
             scores = []
-            for words, passage in zip(pdf["item_words"], pdf["passage"], strict=True):
-                if words not in known:
-                    known[words] = batch_hashes([words])[0]
-                scores.append(align(known[words], batch_hashes([passage])[0]))
-            score, began, ended = (np.array(x, np.int64) for x in zip(*scores, strict=True)) if scores else (np.zeros(0, np.int64),) * 3
-            out = pdf[["doc_id", "text_hash", "item_id", "words"]].assign(score=score, similarity=score / pdf["words"], end_word=pdf["start_word"] + ended)
-            out["start_word"] = pdf["start_word"] + began
-            yield out[score >= (pdf["words"] - 2 * (pdf["words"] // 5))]
-
-    return found.join(items, "item").select("doc_id", "text_hash", "item_id", "words", "item_words", "start_word", "passage").mapInPandas(
+            for pair in zip(pdf["item_words"], pdf["passage"], strict=True):
+                if pair not in known:
+                    known[pair] = align(*(np.frombuffer(x, np.uint64) for x in pair))
+                scores.append(known[pair])
+            score, began, ended = np.array(scores, np.int64).reshape(-1, 3).T
+            out = pdf[["doc_id", "text_hash", "item_id", "words"]].assign(score=score, similarity=score / pdf["words"], start_word=pdf["lo"] + began, end_word=pdf["lo"] + ended)
+            yield out[score >= pdf["words"] - 2 * pdf["words"].map(allowed_edits)]
+
+    return cut.join(items, "item").select("doc_id", "text_hash", "item_id", "words", "item_words", "lo", "passage").mapInPandas(
         run, f"doc_id {kind}, text_hash long, item_id {id_kind}, words long, score long, similarity double, start_word long, end_word long"
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a test item."""
+    """Documents without a passage of a test item. Null and empty texts hold none and stay; repeated rows go or stay together, with every further column."""
     found = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-    bad = written(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
-    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"])
+    bad_id, bad_hash = fresh(docs, "bad_id", "bad_hash")
+    bad = written(found.select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(docs["text"]) == bad[bad_hash])
     return docs.join(bad, same, "left_anti")
 
 

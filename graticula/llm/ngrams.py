@@ -7,16 +7,21 @@ all words of a batch. Equal words have equal hashes in every text, batch and pro
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from graticula.llm.common import kept
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
-SEGMENT = 1 << 19  # bytes that are hashed at once
+SEGMENT = 1 << 18  # bytes that are hashed at once
 
 
 def _state() -> dict:
-    """Tables, built once for each process: they hang on numpy's module, which outlives a task."""
-    known = np.__dict__.setdefault("_graticula_ngrams", {})
+    """Tables, built once for each process."""
+    known = kept("ngram tables", dict)
     if not known:
         known["value"] = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uint64)
         known["powers"] = known["inverse"] = np.ones(1, np.uint64)
@@ -40,34 +45,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _segment(data: np.ndarray) -> np.ndarray:
-    powers, inverse = _powers(len(data) + 1)
+def hashed(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts (no nulls), in order, A-Z lower-cased, and the number of words of each text."""
+    at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
     word = ~SPACE_BYTES[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_state()["value"][data] * powers[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edges = at[(at > 0) & (at < len(data))]  # words end with their text
+    begins[edges] = word[edges]
+    ends[edges - 1] = word[edges - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out = np.empty(len(begins), np.uint64)
+    first = 0
+    while first < len(begins):
+        base = begins[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + SEGMENT)))
+        powers, inverse = _powers(int(ends[last - 1] - base) + 1)
+        part = data[base : ends[last - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_state()["value"][part] * powers[: len(part)], out=sums[1:])
+        s, e = begins[first:last] - base, ends[first:last] - base
+        out[first:last] = mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        first = last
+    return out, np.diff(np.searchsorted(begins, at))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of one text, A-Z lower-cased."""
+    """Hashes of the words of one text."""
     return batch_hashes([text])[0]
 
 
 def batch_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, in order, and the number of words of each text."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    counts = np.array([len(b.split()) for b in raw], np.int64)
-    data = b" ".join(raw)
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + SEGMENT)
-        while end < len(data) and not SPACE_BYTES[data[end]]:
-            end += 1
-        out.append(_segment(np.frombuffer(data, np.uint8, end - at, at)))
-        at = end
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+    return hashed(pa.array(texts, pa.string()))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -14,16 +14,16 @@ do not take part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.llm.common import shuffle_partitions, written
-from graticula.llm.tokens import batches_of, tokenizer
+from graticula.llm.tokens import flat, runs, slices, tokenizer
 
 HASHED = 64
 DIMENSIONS = 3
@@ -73,30 +73,33 @@ def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
     return key
 
 
+def hilbert_keys(ids: np.ndarray, counts: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The key of each document on the curve: counts[i] of the ids, one document after the other."""
+    bucket, sign, signs = tables
+    doc = np.repeat(np.arange(len(counts)) * HASHED, counts)
+    v = np.bincount(doc + bucket[ids], sign[ids], len(counts) * HASHED).reshape(-1, HASHED)
+    norm = np.sqrt((v * v).sum(1))
+    y = (v / np.where(norm > 0, norm, 1)[:, None]) @ signs
+    return hilbert_key(np.clip(((np.tanh(y) + 1) / 2 * (1 << ORDER)).astype(np.int64), 0, (1 << ORDER) - 1))
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (with the end token), ids (binary, 2 or 4 bytes each) and the Hilbert key of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        bucket, sign, signs = projection(tok.size)
-        end = np.array([end_id], tok.dtype).tobytes()
-        for pdf in batches:
-            texts = [t or "" for t in pdf["t"]]
-            for part in batches_of(texts):
-                ids = tok.ids(texts[part])
-                y = np.zeros((len(ids), DIMENSIONS))
-                for i, b in enumerate(ids):
-                    a = np.frombuffer(b, tok.dtype)
-                    v = np.bincount(bucket[a], sign[a], HASHED)
-                    norm = np.sqrt(v @ v)
-                    if norm:
-                        y[i] = (v / norm) @ signs
-                cells = np.clip(((np.tanh(y) + 1) / 2 * (1 << ORDER)).astype(np.int64), 0, (1 << ORDER) - 1)
-                out = [b + end for b in ids]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part], "n": [len(b) // tok.dtype.itemsize for b in out], "ids": out, "key": hilbert_key(cells)})
+        tables = projection(tok.size)
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                ids = tok.ids(texts, end_id)
+                values, n = flat(ids, tok.dtype)
+                own = np.ones(len(values), bool)  # but for the end tokens
+                own[np.cumsum(n) - 1] = False
+                key = hilbert_keys(values[own], n - 1, tables)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), ids, pa.array(key)], ["doc_id", "n", "ids", "key"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInPandas(run, f"doc_id {kind}, n long, ids binary, key long")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, key long")
 
 
 def running_offsets(rows: DataFrame, order: list[str], count: str) -> DataFrame:
@@ -127,34 +130,31 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = 2048, doc_id: st
     """Pieces of documents: doc_id, start, length, doc_tokens, sequence_id, offset and ids (unsigned 32-bit, little-endian)."""
     if length < 1:
         raise ValueError("length must be positive")
-    size = _id_size(path)
+    dtype = tokenizer(path).dtype
     rows = written(tokenized(docs, path, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "packed-ids")
     placed = offsets(rows.select("key", "doc_id", "row", "n"), ["key", "doc_id", "row"], "n")
     whole = rows.select("row", "ids").join(placed.select("row", "doc_id", "n", "start", "key"), "row")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, n, at, b, key in zip(pdf["doc_id"], pdf["n"], pdf["start"], pdf["ids"], pdf["key"], strict=True):
-                a = np.frombuffer(b, f"<u{size}").astype("<u4")
-                s = 0
-                while s < n:
-                    seq, off = divmod(at + s, length)
-                    m = min(n - s, length - off)
-                    out.append((d, s, m, n, seq, off, a[s : s + m].tobytes(), key))
-                    s += m
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "hilbert"]).astype({"doc_id": pdf["doc_id"].dtype})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n, key = (batch.column(c).to_numpy() for c in (2, 1, 4))
+            pieces = (at + n - 1) // length - at // length + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            sequence = at[doc] // length + np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin, end = np.maximum(at[doc], sequence * length), np.minimum((at + n)[doc], (sequence + 1) * length)
+            values = flat(batch.column(3), dtype)[0].astype("<u4")
+            out = [begin - at[doc], end - begin, n[doc], sequence, begin - sequence * length]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc)), *(pa.array(x) for x in out), runs(values, end - begin), pa.array(key[doc])],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "hilbert"],
+            )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return whole.select("doc_id", "n", "start", "ids", "key").mapInPandas(
+    return whole.select("doc_id", "n", "start", "ids", "key").mapInArrow(
         cut, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, hilbert long"
     )
 
 
-def _id_size(path: str) -> int:
-    return tokenizer(path).dtype.itemsize
-
-
 def digested(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "hilbert")
 
@@ -166,6 +166,7 @@ def vocabulary() -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows of docs, as op3 gives them: null and empty texts, repeated rows, ties and empty tables as stated above."""
     return digested(pack(docs, vocabulary(), 1))
 
 

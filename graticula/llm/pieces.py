@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graticula.llm.common import kept
+
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 200_000
@@ -100,13 +102,8 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    """One for each Python worker and file, held by the automaton's module, which outlives a task."""
-    import ahocorasick
-
-    known = ahocorasick.__dict__.setdefault("_by_path", {})
-    if path not in known:
-        known[path] = PieceCounter(ranked_vocabulary(path))
-    return known[path]
+    """One for each process and file."""
+    return kept(f"pieces of {path}", lambda: PieceCounter(ranked_vocabulary(path)))
 
 
 def piece_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,30 +1,35 @@
 """Token-id output by a static range asymmetric numeral system.
 
-All blocks share one table of symbol frequencies, counted over the whole corpus. A block holds a run of whole documents in ascending
-id order. Its symbols are dealt to interleaved coder lanes, row by row, so all lanes step together on arrays. Every block is a self-contained
-string of bytes: magic, sizes, checksum of its ids, documents' ids and counts, the final states of the lanes (where decoding starts), word
-counts at checkpoints, and the code words. Blocks are rows of a Parquet table, so they are written, found and decoded in parallel through
-Spark's own writers and readers.
+The files are two Parquet tables in one folder. `table` holds one row: the symbol frequencies that all blocks share, counted over the whole corpus,
+with their checksum. `blocks` holds the blocks: each a run of whole documents in ascending id order. A block's symbols are dealt to interleaved
+coder lanes, row by row, so all lanes step together on arrays. Every STRIDE rows of symbols there is a checkpoint: the states of the lanes and
+the number of code words before it. Decoding starts at all checkpoints of a block at once, so its arrays are as wide as all lanes of all
+stretches, and each stretch must end in the state in which the next one begins. A block is a string of bytes: magic, sizes, checksum of its
+ids, checksum of its bytes, number of ids before it in its partition, documents' ids and counts, checkpoints, code words.
 
 Defined cases: a null text counts as empty and has its end token only; null ids come first; repeated ids are ordered by row;
-an empty table gives no block and an empty result; further columns do not take part; a document longer than a block has a block of its own.
+an empty table gives no block and an empty result; further columns do not take part; a document longer than a block has a block of its own
+or ends one; ids that are no integers are refused.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from graticula.llm.common import shuffle_partitions, written
-from graticula.llm.tokens import batches_of, tokenizer
+from graticula.llm.common import shared_dir, shuffle_partitions, written
+from graticula.llm.tokens import flat, runs, slices, tokenizer
 
-MAGIC = b"GRAN0001"
+MAGIC = b"GRAN0002"
 SCALE = 20  # frequencies add up to 2 ** SCALE
 LOW = np.uint64(1 << 31)
 BLOCK = 1 << 20  # symbols from which a block is closed
@@ -32,6 +37,8 @@ LANES = 2048
 STRIDE = 128  # rows of symbols between checkpoints
 HEAD = "<8sIIIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
+#: Stands for a null id in a block.
+NULL = -(1 << 63)
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
@@ -52,11 +59,11 @@ class Coder:
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
-    def encode(self, ids: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
+    def encode(self, ids: np.ndarray, docs: np.ndarray, counts: np.ndarray, before: int = 0) -> bytes:
         n, lanes = len(ids), max(1, min(LANES, len(ids)))
         rows = -(-n // lanes)
         x = np.full(lanes, LOW, np.uint64)
-        words, marks = [], []
+        words, marks, done = [], [], 0
         for r in range(rows - 1, -1, -1):
             s = ids[r * lanes : min(n, (r + 1) * lanes)]
             k = len(s)
@@ -64,77 +71,76 @@ class Coder:
             over = x[:k] >= (f << np.uint64(63 - SCALE))
             if over.any():
                 words.append((x[:k][over] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
+                done += len(words[-1])
                 x[:k][over] >>= np.uint64(32)
             q = x[:k] // f
             x[:k] = (q << np.uint64(SCALE)) + (x[:k] - q * f) + self.start[s]
-            if r % STRIDE == 0 and r:
-                marks.append((r, sum(map(len, words)), x.copy()))
+            if r % STRIDE == 0:
+                marks.append((done, x.copy()))
         code = np.concatenate(words)[::-1] if words else np.zeros(0, "<u4")
-        total = len(code)
-        # a checkpoint: the row it starts at, code words before it, and the lanes' states there
-        points = b"".join(struct.pack("<II", r, total - done) + state.astype("<u8").tobytes() for r, done, state in reversed(marks))
-        body = docs.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + x.astype("<u8").tobytes() + points + code.tobytes()
-        head = struct.pack(HEAD, MAGIC, n, len(docs), lanes, len(marks), total, zlib.crc32(ids.astype("<u4").tobytes()))
+        # a checkpoint for every STRIDE rows, the first one at the beginning: code words before it, and the lanes' states there
+        points = b"".join(struct.pack("<I", done - behind) + state.astype("<u8").tobytes() for behind, state in reversed(marks))
+        body = struct.pack("<Q", before) + docs.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + points + code.tobytes()
+        head = struct.pack(HEAD, MAGIC, n, len(docs), lanes, len(marks), done, zlib.crc32(ids.astype("<u4").tobytes()))
         return head + struct.pack("<I", zlib.crc32(head + body)) + body
 
-    def _rows(self, x: np.ndarray, code: np.ndarray, at: int, out: np.ndarray, first: int, last: int) -> int:
-        n, lanes, mask = len(out), len(x), np.uint64((1 << SCALE) - 1)
-        for r in range(first, last):
-            k = min(n, (r + 1) * lanes) - r * lanes
-            low = x[:k] & mask
-            s = self.slot[low]
-            out[r * lanes : r * lanes + k] = s
-            x[:k] = self.freq[s] * (x[:k] >> np.uint64(SCALE)) + low - self.start[s]
-            under = x[:k] < LOW
-            m = int(under.sum())
-            if m:
-                x[:k][under] = (x[:k][under] << np.uint64(32)) | code[at : at + m]
-                at += m
-        return at
-
-    def decode(self, block: bytes, from_checkpoint: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, documents' ids and counts; with from_checkpoint the ids from that checkpoint (1 to the last) on."""
+    def decode(self, block: bytes, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """ids from checkpoint `first` on, the documents' ids and counts, and the number of ids before the block."""
         magic, n, docs, lanes, marks, total, check = struct.unpack_from(HEAD, block)
         at = HEAD_SIZE + 4
-        if magic != MAGIC or zlib.crc32(block[: HEAD_SIZE] + block[at:]) != struct.unpack_from("<I", block, HEAD_SIZE)[0]:
+        if magic != MAGIC or zlib.crc32(memoryview(block)[at:], zlib.crc32(block[:HEAD_SIZE])) != struct.unpack_from("<I", block, HEAD_SIZE)[0]:
             raise ValueError("damaged block")
-        take = lambda kind, count: np.frombuffer(block, kind, count, at)
-        doc_ids = take("<i8", docs)
-        at += 8 * docs
-        counts = take("<u4", docs)
-        at += 4 * docs
-        x = take("<u8", lanes).astype(np.uint64)
-        at += 8 * lanes
-        points = at
-        at += marks * (8 + 8 * lanes)
-        code = take("<u4", total).astype(np.uint64)
-        out = np.zeros(n, np.uint32)
-        row, used, rows = 0, 0, -(-n // lanes)
-        if from_checkpoint:
-            at = points + (from_checkpoint - 1) * (8 + 8 * lanes)
-            row, used = struct.unpack_from("<II", block, at)
-            at += 8
-            x = take("<u8", lanes).astype(np.uint64)
-        if self._rows(x, code, used, out, row, rows) != total:
-            raise ValueError("code words left over")
-        if from_checkpoint:
-            return out[row * lanes :], doc_ids, counts
-        if zlib.crc32(out.astype("<u4").tobytes()) != check:
+        (before,) = struct.unpack_from("<Q", block, at)
+        doc_ids = np.frombuffer(block, "<i8", docs, at + 8)
+        counts = np.frombuffer(block, "<u4", docs, at + 8 + 8 * docs)
+        at += 8 + 12 * docs
+        points = np.frombuffer(block, np.dtype([("used", "<u4"), ("state", "<u8", (lanes,))]), marks, at)
+        code = np.frombuffer(block, "<u4", total, at + points.nbytes)
+        out = self._stretches(points[first:], code, n - first * STRIDE * lanes, lanes)
+        if not first and zlib.crc32(out.astype("<u4").tobytes()) != check:
             raise ValueError("ids do not match their checksum")
-        return out, doc_ids, counts
+        return out, doc_ids, counts, before
+
+    def _stretches(self, points: np.ndarray, code: np.ndarray, n: int, lanes: int) -> np.ndarray:
+        """n symbols: the stretches between checkpoints step together, each with its own place in the code words."""
+        if not len(points):
+            return np.zeros(0, np.uint32)
+        stretches, mask = len(points), np.uint64((1 << SCALE) - 1)
+        x, at = points["state"].astype(np.uint64), points["used"].astype(np.int64)
+        out = np.zeros((stretches, STRIDE, lanes), np.uint32)
+        last = n - (stretches - 1) * STRIDE * lanes  # symbols of the last stretch
+        for t in range(STRIDE):
+            left = min(lanes, max(0, last - t * lanes))
+            if stretches == 1 and not left:
+                break
+            low = x & mask
+            s = self.slot[low]
+            out[:, t] = s
+            new = self.freq[s] * (x >> np.uint64(SCALE)) + low - self.start[s]
+            if left < lanes:
+                new[-1, left:] = x[-1, left:]
+            under = new < LOW
+            used = np.cumsum(under, axis=1)
+            where = (at[:, None] + used - 1)[under]
+            new[under] = (new[under] << np.uint64(32)) | code[where].astype(np.uint64)
+            x, at = new, at + used[:, -1]
+        if (at[:-1] != points["used"][1:]).any() or at[-1] != len(code) or (x[:-1] != points["state"][1:]).any() or (x[-1] != LOW).any():
+            raise ValueError("a stretch does not end where the next one begins")
+        return out.reshape(-1)[:n]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id and ids (binary, 2 or 4 bytes each, with the end token) of every row."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        end = np.array([end_id], tok.dtype).tobytes()
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for part in batches_of(texts):
-                out = [b + end for b in tok.ids(texts[part])]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part], "ids": out})
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), tok.ids(texts, end_id)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def symbol_counts(rows: DataFrame, size: int, width: int) -> np.ndarray:
@@ -153,67 +159,69 @@ def symbol_counts(rows: DataFrame, size: int, width: int) -> np.ndarray:
     return counts
 
 
-def encode(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
-    """The blocks (part, number, first_id, n, documents, payload), written, and the frequencies that they share."""
-    tok = tokenizer(path)
-    size, width = tok.size, tok.dtype.itemsize
+def encode(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
+    """Writes the files of docs (doc_id, text) into folder, which must not exist."""
+    spark, tok = docs.sparkSession, tokenizer(path)
+    size, dtype = tok.size, tok.dtype
     rows = written(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    freq = normalised(symbol_counts(rows, size, width))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, number = Coder(freq), 0
-        held: list[tuple[int, bytes]] = []
+    freq = normalised(symbol_counts(rows, size, dtype.itemsize))
+    raw = freq.astype("<u4").tobytes()
+    spark.createDataFrame([(SCALE, size, raw, zlib.crc32(raw))], "scale int, symbols long, frequencies binary, crc32 long").coalesce(1).write.parquet(f"{folder}/table")
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, before, part = Coder(freq), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # documents' ids, counts, symbols
         amount = 0
-        for pdf in batches:
-            part = pdf["part"].iloc[0] if len(pdf) else 0
-            for d, b in zip(pdf["doc_id"].tolist(), pdf["ids"], strict=True):
-                held.append((NULL if d is None or d != d else int(d), b))
-                amount += len(b) // width
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0)[0].as_py()
+            docs_, (values, n) = batch.column(1).fill_null(NULL).to_numpy(), flat(batch.column(2), dtype)
+            ends = np.cumsum(n)
+            row = 0
+            while row < len(n):
+                begun = ends[row] - n[row]
+                to = min(len(n), int(np.searchsorted(ends, begun + BLOCK - amount)) + 1)  # up to the document that fills the block
+                held.append((docs_[row:to], n[row:to], values[begun : ends[to - 1]]))
+                amount += int(ends[to - 1] - begun)
+                row = to
                 if amount >= BLOCK:
-                    yield block(coder, part, number, held)
-                    held, amount, number = [], 0, number + 1
+                    yield block(coder, part, before, held)
+                    held, amount, before = [], 0, before + amount
         if held:
-            yield block(coder, part, number, held)
-
-    def block(coder: Coder, part: int, number: int, held: list[tuple[int, bytes]]) -> pd.DataFrame:
-        ids = np.frombuffer(b"".join(b for _, b in held), f"<u{width}").astype(np.uint32)
-        payload = coder.encode(ids, np.array([d for d, _ in held]), np.array([len(b) // width for _, b in held]))
-        return pd.DataFrame({"part": [part], "number": [number], "n": [len(ids)], "documents": [len(held)], "payload": [payload]})
-
-    blocks = ordered.withColumn("part", F.spark_partition_id()).select("part", F.col("doc_id"), "ids").mapInPandas(
-        run, "part int, number int, n long, documents long, payload binary"
-    )
-    return written(blocks, "rans-blocks"), freq
+            yield block(coder, part, before, held)
 
+    def block(coder: Coder, part: int, before: int, held: list) -> pa.RecordBatch:
+        docs_, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        payload = coder.encode(ids.astype(np.uint32), docs_, counts, before)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["part", "n", "payload"])
 
-#: Stands for a null id in a block.
-NULL = -(1 << 63)
+    blocks = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, "part int, n long, payload binary")
+    blocks.write.parquet(f"{folder}/blocks")
 
 
-def decode(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of every document, from the blocks."""
-    sums = blocks.groupBy("part").agg(F.sum("n").alias("__n"))  # a row for each partition
-    sums = sums.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("__base"))
-    within = Window.partitionBy("part").orderBy("number")
-    starts = blocks.select("part", "number", (F.sum("n").over(within) - F.col("n")).alias("__before")).join(sums, "part")
-    placed = blocks.join(starts.select("part", "number", (F.col("__base") + F.col("__before")).alias("start")), ["part", "number"])
+def decode(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids of every document, from the files alone."""
+    table = spark.read.parquet(f"{folder}/table").first()  # one row, as long as the vocabulary
+    if table.scale != SCALE or zlib.crc32(table.frequencies) != table.crc32:
+        raise ValueError("damaged frequency table")
+    freq = np.frombuffer(table.frequencies, "<u4").astype(np.int64)
+    blocks = spark.read.schema("part int, n long, payload binary").parquet(f"{folder}/blocks")
+    sums = blocks.groupBy("part").agg(F.sum("n").alias("__n"))  # a row for each partition that was written
+    sums = sums.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("base"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
-        for pdf in batches:
-            for at, payload in zip(pdf["start"], pdf["payload"], strict=True):
-                ids, docs, counts = coder.decode(payload)
-                ends = np.cumsum(counts.astype(np.int64))
-                raw = ids.astype("<u4").tobytes()
-                yield pd.DataFrame({
-                    "doc_id": pd.array(docs, "Int64").copy() if not (docs == NULL).any() else pd.array([None if d == NULL else d for d in docs.tolist()], "Int64"),
-                    "start": at + ends - counts,
-                    "n_tokens": counts.astype(np.int64),
-                    "ids": [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)],
-                })
+        for batch in batches:
+            for base, payload in zip(batch.column(0), batch.column(1), strict=True):
+                ids, docs, counts, before = coder.decode(payload.as_buffer().to_pybytes())
+                n = counts.astype(np.int64)
+                out = [pa.array(docs, mask=docs == NULL), pa.array(base.as_py() + before + np.cumsum(n) - n), pa.array(n), runs(ids.astype("<u4"), n)]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.select("start", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = blocks.join(F.broadcast(sums), "part")
+    return placed.select("base", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def vocabulary() -> str:
@@ -223,8 +231,9 @@ def vocabulary() -> str:
 
 
 def op9_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, freq = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 0)
-    return decode(blocks, freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 0, folder)
+    return decode(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES = {"op9_rans_blocks": op9_rans_blocks}

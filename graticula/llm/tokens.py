@@ -1,133 +1,233 @@
-"""Token ids of whole texts by the tokenizers library, cached by chunks.
+"""Token ids of whole texts by the tokenizers library, a batch of texts at a time on Arrow and NumPy arrays.
 
-A text is cut before white space that follows other characters, and before full stops and commas that end such a chunk after a letter. No
-token of the two vocabularies used here spans such a cut, so the ids of a text are those of its chunks, one after the other. Chunks
-repeat far more often than texts: each worker keeps the ids of those that it has seen (a bounded number of short ones). Of the rest, runs of
-letters are one word to the vocabulary's pattern and go straight to its model, in the model's alphabet of bytes; all others are encoded.
+The bytes of a batch are cut before white space that follows something else, and between a letter of Latin-1 and an ASCII mark behind it.
+Both are borders of the vocabularies' own patterns, so the ids of a text are those of its pieces, one after the other. Arrow's
+dictionary encoding finds the distinct pieces of a batch; each worker keeps the ids of those that it has seen (a bounded number of short
+ones) and hands the rest to the tokenizer, many in one string with one of the vocabulary's special tokens between them.
+Pieces that may hold a special token's own text are encoded each by itself.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+from collections.abc import Iterator
 
 import numpy as np
-
-#: White space as Unicode defines it, as in the vocabularies' own patterns.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-UNSAFE = re.compile(f"(?:^|[{WHITE}]) ")
-CONTROL = re.compile("[\x1c-\x1f]")
-#: Entries of a generation of each cache: when it is full, it becomes the older one, whose entries come back as they are met.
-CACHED_ITEMS = 150_000
-CACHED_CHUNKS = 200_000
+import pyarrow as pa
+
+from graticula.llm.common import kept
+
+#: Bytes of the white space that pieces are cut at, and of the ASCII letters and marks between which they are cut.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER = np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+MARK = np.zeros(256, bool)
+MARK[0x21:0x7F] = True
+MARK[0x30:0x3A] = False
+MARK &= ~LETTER
+#: After C3: the second byte of a letter of Latin-1.
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
+#: For tokenizers that lower-case and drop white space: A-Z lower-cased and all such white space a blank.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[0x41:0x5B] += 0x20
+FOLDED[9:14] = 0x20
+
+#: Entries of a generation of the cache: when it is full, it becomes the older one, whose entries come back as they are met.
+CACHED = 400_000
 CACHED_LENGTH = 64
+BATCH_BYTES = 4_000_000
+#: A blank, if any, and letters of Latin-1 (capitals of ASCII only): one word to the vocabularies' patterns.
+RUN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+FOLDED_RUN = re.compile(rb" ?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Pieces that go to the tokenizer in one string.
+TOGETHER = 2_000
 
 
 def _alphabet() -> dict[int, int]:
-    """The character that stands for each byte: itself if it can be printed, else one of those from U+0100 on, in order."""
+    """The character that stands for each byte in the models: itself if it can be printed, else one of those from U+0100 on, in order."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: 0x100 + k for k, b in enumerate(hidden)}
+    return {b: 0x100 + k for k, b in enumerate(hidden) if b != 10}
 
 
+#: But for the line break, which stands between words here.
 ALPHABET = _alphabet()
 
 
-class ChunkTokenizer:
-    """ids(texts): for each text its ids as little-endian unsigned integers of `width` bytes."""
+class BatchTokenizer:
+    """ids(texts, end_id): the ids of each text, then end_id, as little-endian unsigned integers of `width` bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.drops_space, self.lowers = one("a") == one("\n a"), one("A") == one("a")
-        self.pack = "H" if self.size <= 1 << 16 else "I"
-        self.model = self.tokenizer.model
-        self.items: dict[str, bytes] = {}  # ids of what stands between blanks, with the blank before it
-        self.chunks: dict[str, bytes] = {}
-        self.older_items: dict[str, bytes] = {}
-        self.older_chunks: dict[str, bytes] = {}
-        self._long: list[str] = []
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.items) > CACHED_ITEMS:
-            self.items, self.older_items = {}, self.items
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks, self.older_chunks = {}, self.chunks
-        get, split = self.items.get, [self._items(t) for t in texts]
-        found = [[get(x) for x in xs] for xs in split]
-        self._learn({x for xs, ys in zip(split, found, strict=True) if None in ys for x, y in zip(xs, ys, strict=True) if y is None})
-        out = [b"".join([self.items[x] if y is None else y for x, y in zip(xs, ys, strict=True)] if None in ys else ys) for xs, ys in zip(split, found, strict=True)]
-        for cache in (self.items, self.chunks):
-            for x in [x for x in self._long if x in cache]:
-                del cache[x]
+        self.folds = one("A b") == one("a \n b")
+        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.openings = [s[:2].encode() for s in special]
+        self.between = special[0]
+        self.between_id = self.tokenizer.token_to_id(self.between)
+        self.known: dict[bytes, int] = {}
+        self.store = Store(self.width)
+        self.model, self.run = self.tokenizer.model, (FOLDED_RUN if self.folds else RUN).fullmatch
+
+    def ids(self, texts: pa.StringArray, end_id: int) -> pa.BinaryArray:
+        """Of texts without nulls, of less than 2 GB."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        special = self._may_be_special(data.tobytes())
+        bounds, last = _pieces(data, offsets - offsets[0], not special)
+        if self.folds and not special:
+            data = _folded(data)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        numbers = self._numbers(pieces.dictionary.to_pylist(), special, np.array([end_id], self.dtype))
+        found = self.store.array().take(pa.array(numbers).take(pieces.indices))
+        at = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
+        ends = np.concatenate(([0], at[last + 1])).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), found.buffers()[2]])
+
+    def _may_be_special(self, data: bytes) -> bool:
+        return any(o in data for o in self.openings)
+
+    def _numbers(self, pieces: list[bytes], special: bool, end: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece are in the store."""
+        if len(self.known) > CACHED:
+            self._forget()
+        known, store = self.known, self.store
+        out = np.array([known.get(x, -1) for x in pieces], np.int64)
+        store.hits[out[out >= 0]] += 1
+        new = np.flatnonzero(out < 0).tolist()
+        runs, other = [], []
+        for i in new:
+            (runs if self.run(pieces[i]) else other).append(i)
+        if runs:
+            found = [[t.id for t in self.model.tokenize(x)] for x in self._alphabet([pieces[i] for i in runs])]
+            self._learn(out, runs, pieces, np.array([t for ids in found for t in ids], self.dtype), np.array([len(ids) for ids in found]))
+        plain = [i for i in other if pieces[i] and len(pieces[i]) <= CACHED_LENGTH and not (special and self._may_be_special(pieces[i]))]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self._encode(self.between.join([pieces[i].decode() for i in some])), self.dtype)
+            edges = np.flatnonzero(ids == self.between_id)
+            self._learn(out, some, pieces, np.delete(ids, edges), np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1)
+        for i in other:
+            if out[i] < 0:
+                ids = np.array(self._encode(pieces[i].decode()), self.dtype) if pieces[i] else end
+                out[i] = store.add(ids, np.array([len(ids)]))
         return out
 
-    def _items(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.split() if not CONTROL.search(text) else CHUNK.findall(text)
-        if UNSAFE.search(text):
-            return CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first or rest else []
-
-    def _cores(self, chunk: str) -> list[str]:
-        """A chunk as the strings that are looked up for it."""
-        if self.drops_space:
-            chunk = chunk.strip("\t\n\x0b\x0c\r ")
-        if self.lowers and (chunk.isascii() or max(chunk) < "\u0130"):
-            chunk = chunk.lower()
-        body = chunk.rstrip(".,")
-        return [body, chunk[len(body) :]] if len(body) < len(chunk) and body[-1:].isalpha() else [chunk]
-
-    def _learn(self, items: set[str]) -> None:
-        self.items.update({x: self.older_items[x] for x in items if x in self.older_items})
-        items = [x for x in items if x not in self.items]
-        parts = {x: [c for chunk in CHUNK.findall(x) for c in self._cores(chunk)] for x in items}
-        cores = {c for cs in parts.values() for c in cs}
-        self.chunks.update({c: self.older_chunks[c] for c in cores if c in self.older_chunks})
-        new = [c for c in cores if c not in self.chunks]
-        tokenize, pack = self.model.tokenize, struct.pack
-        for c in new:
-            bare = c[1:] if c[:1] == " " else c
-            if bare.isalpha() and max(bare) < "\u0130":
-                ids = [t.id for t in tokenize(c.encode().decode("latin-1").translate(ALPHABET))]
-                self.chunks[c] = pack(f"<{len(ids)}{self.pack}", *ids)
-        other = [c for c in new if c not in self.chunks]
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.chunks[c] = np.array(e.ids, self.dtype).tobytes()
-        for x, cs in parts.items():
-            self.items[x] = b"".join([self.chunks[c] for c in cs])
-        self._long = [x for x in (*items, *new) if len(x) > CACHED_LENGTH]
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
-    """One for each Python worker and file.
-
-    It hangs on the tokenizers module, which outlives a task; globals of this module, shipped with each job, do not.
-    """
-    import tokenizers
-
-    known = tokenizers.__dict__.setdefault("_by_path", {})
-    if path not in known:
-        known[path] = ChunkTokenizer(path)
-    return known[path]
-
-
-def batches_of(texts: list[str], most: int = 2_000_000):
-    """Slices of texts with about `most` characters each, so that one batch's chunks stay small."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= most:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    def _learn(self, out: np.ndarray, some: list[int], pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = self.store.add(ids, lengths)
+        out[some] = np.arange(first, first + len(some))
+        self.known.update(zip([pieces[i] for i in some], range(first, first + len(some)), strict=True))
+
+    def _forget(self) -> None:
+        """Keeps the half of the pieces that most batches held."""
+        hits = self.store.hits[: self.store.n]
+        keep = hits >= max(2, np.partition(hits, -CACHED // 2)[-CACHED // 2] + 1)
+        number = np.cumsum(keep) - 1
+        self.known = {x: int(number[i]) for x, i in self.known.items() if keep[i]}
+        kept = self.store.array().filter(pa.array(keep))
+        ends = np.frombuffer(kept.buffers()[1], np.int32, len(kept) + 1)
+        self.store = Store(self.width)
+        self.store.add(np.frombuffer(kept.buffers()[2], np.uint8)[: ends[-1]].view(self.dtype), np.diff(ends) // self.width)
+
+    def _alphabet(self, runs: list[bytes]) -> list[str]:
+        text = b"\n".join(runs).decode("latin-1")
+        return (text.replace(" ", "") if self.folds else text).translate(ALPHABET).split("\n")
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+class Store:
+    """Runs of ids, numbered as they are added."""
+
+    def __init__(self, width: int):
+        self.width, self.n, self.used = width, 0, 0
+        self.ends, self.data, self.hits = np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.uint8), np.zeros(1 << 10, np.int32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        first, raw = self.n, ids.view(np.uint8)
+        while self.n + len(lengths) + 1 > len(self.ends):
+            self.ends, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.ends, self.hits))
+        while self.used + len(raw) > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros_like(self.data)))
+        self.ends[first + 1 : first + 1 + len(lengths)] = self.used + np.cumsum(lengths) * self.width
+        self.hits[first : first + len(lengths)] = 1
+        self.data[self.used : self.used + len(raw)] = raw
+        self.n, self.used = first + len(lengths), self.used + len(raw)
+        return first
+
+    def array(self) -> pa.BinaryArray:
+        return pa.BinaryArray.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    out = FOLDED[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    latin = latin[(data[latin] < 0x9F) & LATIN[data[latin]]]
+    out[latin] += 0x20
+    # capitals before what may begin a combining mark stay as they are: the two may be one letter
+    at = np.flatnonzero(data[1:] >= 0xCC)
+    out[at] = data[at]
+    return out
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, at_marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin and the last one ends, and for each text the number of its last piece: one of no bytes behind its end."""
+    starts, ends = offsets[:-1], offsets[1:]
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        space = SPACE[data]
+        cut[1:] = space[1:] & ~space[:-1]
+        wide = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+        # white space beyond ASCII is U+0085 and U+00A0 (C2 ..) or three bytes from E1 to E3 on: behind what may be one nothing is cut
+        two, three = data[np.maximum(wide - 2, 0)], data[np.maximum(wide - 3, 0)]
+        cut[wide[(two == 0xC2) | ((two >= 0x80) & (three >= 0xE1) & (three <= 0xE3))]] = False
+        if at_marks:
+            letter = LETTER[data]
+            letter[1:] |= LATIN[data[1:]] & (data[:-1] == 0xC3)
+            cut[1:] |= MARK[data[1:]] & letter[:-1]
+        cut[starts[starts < ends]] = True
+    at = np.flatnonzero(cut)
+    last = np.searchsorted(at, ends) + np.arange(len(ends))
+    bounds = np.full(len(at) + len(ends) + 1, len(data), np.int32)
+    inner = np.ones(len(bounds), bool)
+    inner[-1] = inner[last] = False
+    bounds[last], bounds[inner] = ends, at
+    return bounds, last
+
+
+def tokenizer(path: str) -> BatchTokenizer:
+    """One for each process and file."""
+    return kept(f"tokenizer of {path}", lambda: BatchTokenizer(path))
+
+
+def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.StringArray]]:
+    """Runs of texts of about `most` bytes, with the number of the first; nulls are empty texts."""
+    texts = texts.fill_null("").cast(pa.string())
+    at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        yield start, texts.slice(start, end - start)
+        start = end
+
+
+def flat(ids: pa.BinaryArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the rows one after the other, and how many each row has."""
+    at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+    data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data.view(dtype) if len(data) else np.zeros(0, dtype), np.diff(at) // dtype.itemsize
+
+
+def runs(values: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """The other way round: values cut into rows of the given lengths."""
+    at = np.concatenate(([0], np.cumsum(lengths) * values.itemsize)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])

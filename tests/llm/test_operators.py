@@ -5,10 +5,12 @@ from __future__ import annotations
 import collections
 import json
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,18 +127,37 @@ def exact_ids(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-HARD = ["a  b\n\nc\t d \n e's 12 3é́ 'll  ", "  x", "x  ", " a　 b", "a\x1c b\x1cc", "<|endoftext|> hi", "ÀÉ́ Σας. İx", "", "\n", " \t\n x", "a.b., c,. d's. x.,\ny", "\x01 a\x01b", "., .", LONG]
+ATOMS = """a b The the. word, x..y 'LL don't . , ! $ & < | > " 's ' - _ é É Ü ß ñ × ÷ ª º µ İ ı Σ σ ς J W K » … 12 3 日本 語 ﬁ Å ẞ Ā Ǆ <|endoftext|> <|startoftext|> <|ENDOFTEXT|>""".split()
+ATOMS += [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\u0301", "\u030c", "\u0307", "\u0323", "\u1dca", "\u20d0", "\xa0", "\x85", "\u2003", "\u2028", "\u3000", "\u1680", "\u200b", "\x1c", "\x1f", "\x00", "\U0001f600"]
+HARD = ["ANKARA'DAKİ. ", "<|endoftext|> x", "x<|endoftext|>.","a  b\n\nc\t d \n e's 12 3é́ 'll  ", "  x", "x  ", " a　 b", "a\x1c b\x1cc", "<|endoftext|> hi", "ÀÉ́ Σας. İx", "", "\n", " \t\n x", "a.b., c,. d's. x.,\ny", "\x01 a\x01b", "., .", LONG]
+
+
+def ids_of(path, texts):
+    c = tokens.tokenizer(path)
+    return [np.frombuffer(b, c.dtype).tolist() for b in c.ids(pa.array(texts, pa.string()), 5).to_pylist()]
 
 
 @pytest.mark.parametrize("path", [packing.vocabulary(), rans.vocabulary()])
-def test_chunked_ids_are_those_of_whole_texts(path):
-    c = tokens.ChunkTokenizer(path)
-    for _ in range(2):  # also from the cache
-        assert [np.frombuffer(b, c.dtype).tolist() for b in c.ids(HARD)] == exact_ids(path, HARD)
+def test_ids_of_pieces_are_those_of_whole_texts(path):
+    rng = random.Random(3)
+    for _ in range(12):  # later rounds find most pieces in the cache
+        texts = HARD + ["".join(rng.choices(ATOMS, k=rng.choice((1, 2, 3, 5, 8, 13)))) for _ in range(1500)]
+        if rng.random() < 0.6:
+            texts = [t.replace("<|", "<") for t in texts]
+        assert ids_of(path, texts) == [[*x, 5] for x in exact_ids(path, texts)]
+
+
+def test_ids_after_pieces_were_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 50)
+    path, rng = packing.vocabulary(), random.Random(4)
+    c = tokens.BatchTokenizer(path)
+    for _ in range(30):
+        texts = ["".join(rng.choices(ATOMS, k=6)) for _ in range(40)] + [None]
+        slices = [c.ids(part, 5).to_pylist() for _, part in tokens.slices(pa.array(texts, pa.string()), 100)]
+        assert [np.frombuffer(b, c.dtype).tolist() for s in slices for b in s] == [[*x, 5] for x in exact_ids(path, [t or "" for t in texts])]
 
 
 def test_packing(docs, empty):
@@ -157,6 +178,29 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path, 1).count() == 0
 
 
+def test_packing_follows_the_curve(docs):
+    path = packing.vocabulary()
+    rows = packing.pack(docs, path, 1, 64).collect()
+    bucket, sign, signs = packing.projection(tokens.tokenizer(path).size)
+    keys = {}
+    for (d, t), ids in zip(texts_of(docs), exact_ids(path, [t or "" for _, t in texts_of(docs)]), strict=True):
+        v = np.zeros(packing.HASHED)
+        for i in ids:
+            v[bucket[i]] += sign[i]
+        y = (v / (np.sqrt(v @ v) or 1)) @ signs
+        cells = np.clip(((np.tanh(y) + 1) / 2 * 1024).astype(int), 0, 1023)
+        keys.setdefault(d, []).append((int(packing.hilbert_key(cells[None])[0]), len(ids) + 1))
+    line, at = [], 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 64 + r.offset == at  # laid end to end
+        at += r.length
+        if r.start == 0:
+            line.append((r.hilbert, r.doc_id is not None, r.doc_id or 0, r.doc_tokens))
+    assert [x[:3] for x in line] == sorted(x[:3] for x in line)  # ties by id; null ids first
+    assert sorted((k, n) for k, _, _, n in line) == sorted(x for v in keys.values() for x in v)
+    assert sum(x[3] for x in line) == at
+
+
 def test_hilbert_key_visits_neighbours():
     n = 8
     cells = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])
@@ -165,34 +209,49 @@ def test_hilbert_key_visits_neighbours():
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(1) == 1).all()
 
 
-def test_rans_round_trip(docs, empty):
+def test_rans_round_trip(spark, docs, empty, tmp_path):
     one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    blocks, freq = rans.encode(one, rans.vocabulary(), 0)
-    rows = {r.doc_id: r for r in rans.decode(blocks, freq).collect()}
+    rans.encode(one, rans.vocabulary(), 0, f"{tmp_path}/one")
+    rows = {r.doc_id: r for r in rans.decode(spark.newSession(), f"{tmp_path}/one").collect()}
     start = 0
     for d, ids in enumerate(exact_ids(rans.vocabulary(), [t or "" for t in TEXTS])):
         assert (rows[d].start, rows[d].n_tokens) == (start, len(ids) + 1)
         assert bytes(rows[d].ids) == np.array([*ids, 0], "<u4").tobytes()
         start += len(ids) + 1
-    blocks, freq = rans.encode(docs, rans.vocabulary(), 0)
-    assert rans.decode(blocks, freq).count() == docs.count()
-    blocks, freq = rans.encode(empty, rans.vocabulary(), 0)
-    assert rans.decode(blocks, freq).count() == 0
+    rans.encode(docs, rans.vocabulary(), 0, f"{tmp_path}/all")
+    got = rans.decode(spark, f"{tmp_path}/all").orderBy("start").collect()
+    assert len(got) == docs.count() and got[0].doc_id is None and got[1].doc_id == got[2].doc_id == 0
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    rans.encode(empty, rans.vocabulary(), 0, f"{tmp_path}/none")
+    assert rans.decode(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(TypeError):
+        rans.encode(docs.withColumn("doc_id", F.lit("x")), rans.vocabulary(), 0, f"{tmp_path}/text")
+
+
+def test_rans_tables_are_checked(spark, docs, tmp_path):
+    rans.encode(docs, rans.vocabulary(), 0, f"{tmp_path}/a")
+    table = spark.read.parquet(f"{tmp_path}/a/table")
+    table.withColumn("crc32", F.col("crc32") + 1).write.parquet(f"{tmp_path}/b/table")
+    with pytest.raises(ValueError):
+        rans.decode(spark, f"{tmp_path}/b")
 
 
-def test_rans_checkpoints_and_checksums():
-    rng = np.random.default_rng(1)
-    ids = rng.integers(0, 5000, 600_000).astype(np.uint32)
+@pytest.mark.parametrize("n", [1, 5, 2047, 2048, 2049, rans.LANES * rans.STRIDE, rans.LANES * rans.STRIDE + 1, 600_000])
+def test_rans_checkpoints_and_checksums(n):
+    rng = np.random.default_rng(n)
+    ids = (rng.integers(0, 5000, n) ** 2 // 5000).astype(np.uint32)
     coder = rans.Coder(rans.normalised(np.bincount(ids, minlength=6000)))
-    block = coder.encode(ids, np.array([1, 2]), np.array([1000, 599_000]))
-    out, docs_, counts = coder.decode(block)
-    assert (out == ids).all() and docs_.tolist() == [1, 2] and counts.tolist() == [1000, 599_000]
-    tail, _, _ = coder.decode(block, 1)
-    assert 0 < len(tail) < len(ids) and (ids[-len(tail) :] == tail).all()
-    damaged = bytearray(block)
-    damaged[len(block) // 2] ^= 1
-    with pytest.raises(ValueError):
-        coder.decode(bytes(damaged))
+    block = coder.encode(ids, np.array([1, 2]), np.array([1, n - 1]), 77)
+    out, docs_, counts, before = coder.decode(block)
+    assert (out == ids).all() and docs_.tolist() == [1, 2] and counts.tolist() == [1, n - 1] and before == 77
+    for k in range(1, -(-n // (rans.LANES * rans.STRIDE))):
+        tail = coder.decode(block, k)[0]
+        assert len(tail) == n - k * rans.LANES * rans.STRIDE and (ids[-len(tail) :] == tail).all()
+    for at in (20, len(block) // 2, len(block) - 1):
+        damaged = bytearray(block)
+        damaged[at] ^= 1
+        with pytest.raises(ValueError):
+            coder.decode(bytes(damaged))
 
 
 # op4
@@ -243,45 +302,82 @@ def test_alignment_is_smith_waterman():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
-def test_decontamination_finds_edited_copies(spark, docs, empty):
+def brute_passages(docs, items):
+    """(document's row, item's row, score) of all pairs whose best local alignment reaches the limit."""
+    out = set()
+    for d, t in enumerate(docs):
+        b = (t or "").lower().split()
+        for i, it in enumerate(items):
+            a = (it or "").lower().split()
+            h = np.zeros((len(a) + 1, len(b) + 1), int)
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    h[x + 1, y + 1] = max(0, h[x, y] + (1 if a[x] == b[y] else -1), h[x, y + 1] - 1, h[x + 1, y] - 1)
+            if a and h.max() >= len(a) - 2 * decontaminate.allowed_edits(len(a)):
+                out.add((d, i, int(h.max())))
+    return out
+
+
+def edited(rng, words, edits, word):
+    out = list(words)
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(out))), rng.integers(3)
+        out[at : at + (kind != 1)] = [] if kind == 2 else [word()]
+    return out
+
+
+def test_decontamination_is_all_pairs_alignment(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
-    items = [[word() for _ in range(20 + 5 * k)] for k in range(6)]
-    rows, leaked = [], set()
-    for d in range(120):
-        text = [word() for _ in range(60)]
-        if d % 3 == 0:
-            copy = list(items[d % 6])
-            for at in rng.choice(len(copy), decontaminate.allowed_edits(len(copy)), replace=False):
-                copy[at] = word()
-            text[30:30] = copy
-            leaked.add((d, d % 6))
-        rows.append((d, " ".join(text)))
-    benchmark = spark.createDataFrame([*((k, " ".join(w)) for k, w in enumerate(items)), (97, None), (98, ""), (99, "too short")], "item_id long, text string")
-    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == leaked
-    beyond = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, max_seeds=0).collect()
-    assert {(r.doc_id, r.item_id) for r in beyond} == leaked
-    assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark).count() == 0
-    assert decontaminate.contaminated(empty.select("doc_id", "text"), benchmark).count() == 0
-    assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark.filter("false")).count() == 0
+    sizes = [1, 2, 3, 4, 5, 6, 7, 9, 11, 20, 33, 60]
+    items = [[word() for _ in range(n)] for n in sizes]
+    docs = []
+    for d in range(150):
+        text = [word() for _ in range(int(rng.integers(0, 50)))]
+        if d % 2:
+            for k in rng.choice(len(items), 2, replace=False):
+                copy = edited(rng, items[k], int(rng.integers(0, decontaminate.allowed_edits(sizes[k]) + 1)), word)
+                at = int(rng.integers(len(text) + 1))
+                text[at:at] = copy
+        docs.append(" ".join(text).upper() if d % 7 == 0 else "\n ".join(text))
+    docs += [None, "", " \t"]
+    benchmark = [*(" ".join(w) for w in items), None, "", "  "]
+    got = decontaminate.contaminated(
+        spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string")
+    ).collect()
+    want = brute_passages(docs, benchmark)
+    assert len(want) > 100
+    best = {}
+    for r in got:
+        best[r.doc_id, r.item_id] = max(best.get((r.doc_id, r.item_id), 0), r.score)
+        a, b = items[r.item_id], docs[r.doc_id].lower().split()[r.start_word : r.end_word]
+        assert decontaminate.align(*(np.array([hash(w) for w in x]) for x in (a, b)))[0] == r.score  # the place is that of the passage
+    assert {(d, i, s) for (d, i), s in best.items()} == want
 
 
-def test_decontamination_by_joined_seeds_gives_the_same_rows(spark):
+def test_decontamination_edges(spark, docs, empty):
     rng = np.random.default_rng(11)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
     fill = lambda n: [word() for _ in range(n)]
     items = [fill(n) for n in (8, 20, 60, 5)]
     texts = [fill(a) + items[i] + fill(b) for i, a, b in ((0, 5, 30), (1, 13, 40), (2, 50, 70), (3, 2, 3))]
     texts.append(fill(17) + items[1] + fill(2) + items[1] + fill(40) + items[1])  # two copies that touch, one by itself
-    texts.append(fill(3) + items[2] + items[0] + fill(9) + items[0])
+    texts.append(fill(20_000) + items[2] + fill(3_000))
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     rows += [rows[1], rows[1], (None, rows[2][1]), (None, None), (90, " ".join(fill(50)))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(9, " ".join(items[0]))], "item_id long, text string")
-    by_bound = [collections.Counter(map(tuple, decontaminate.contaminated(docs, benchmark, max_seeds=m).collect())) for m in (decontaminate.MAX_SEEDS, 0)]
-    assert max(by_bound[0].values()) == 3
-    assert by_bound[0] == by_bound[1]
+    df = spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id long, text string, item long, text_hash string")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(9, " ".join(items[0])), (10, None), (11, " ")], "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.start_word, r.end_word, r.score) for r in decontaminate.contaminated(df, benchmark).collect())
+    assert got == {
+        (0, 0, 5, 13, 8): 1, (0, 9, 5, 13, 8): 1, (1, 1, 13, 33, 20): 3, (2, 2, 50, 110, 60): 1, (None, 2, 50, 110, 60): 1, (3, 3, 2, 7, 5): 1,
+        (4, 1, 17, 37, 20): 1, (4, 1, 99, 119, 20): 1, (5, 2, 20_000, 20_060, 60): 1,
+    }
+    benchmark.filter("item_id is not null").write.parquet(str(spark.conf.get("spark.checkpoint.dir")) + "/leak/benchmark.parquet")
+    kept = decontaminate.stage(spark, df, str(spark.conf.get("spark.checkpoint.dir")) + "/leak")
+    assert kept.columns == df.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["90", "None"]
+    assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark).count() == 0
+    assert decontaminate.contaminated(empty.select("doc_id", "text"), benchmark).count() == 0
+    assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark.filter("false")).count() == 0
 
 
 # op6
