@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +56,7 @@ class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
-        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.slot = np.repeat(np.arange(len(freq)), freq)
 
     def encode(self, ids: np.ndarray, docs: np.ndarray, counts: np.ndarray, before: int = 0) -> bytes:
         n, lanes = len(ids), max(1, min(LANES, len(ids)))
@@ -67,14 +66,16 @@ class Coder:
         for r in range(rows - 1, -1, -1):
             s = ids[r * lanes : min(n, (r + 1) * lanes)]
             k = len(s)
-            f = self.freq[s]
-            over = x[:k] >= (f << np.uint64(63 - SCALE))
-            if over.any():
-                words.append((x[:k][over] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
-                done += len(words[-1])
-                x[:k][over] >>= np.uint64(32)
-            q = x[:k] // f
-            x[:k] = (q << np.uint64(SCALE)) + (x[:k] - q * f) + self.start[s]
+            f, y = self.freq.take(s), x[:k]
+            over = np.flatnonzero(y >= (f << np.uint64(63 - SCALE)))
+            if len(over):
+                out = y.take(over)
+                words.append(out.astype("<u4")[::-1])
+                done += len(over)
+                y[over] = out >> np.uint64(32)
+            q = y // f
+            y -= q * f
+            y += (q << np.uint64(SCALE)) + self.start.take(s)
             if r % STRIDE == 0:
                 marks.append((done, x.copy()))
         code = np.concatenate(words)[::-1] if words else np.zeros(0, "<u4")
@@ -107,23 +108,29 @@ class Coder:
             return np.zeros(0, np.uint32)
         stretches, mask = len(points), np.uint64((1 << SCALE) - 1)
         x, at = points["state"].astype(np.uint64), points["used"].astype(np.int64)
-        out = np.zeros((stretches, STRIDE, lanes), np.uint32)
+        out, code = np.zeros((stretches, STRIDE, lanes), np.uint32), code.astype(np.uint64)
         last = n - (stretches - 1) * STRIDE * lanes  # symbols of the last stretch
         for t in range(STRIDE):
             left = min(lanes, max(0, last - t * lanes))
             if stretches == 1 and not left:
                 break
             low = x & mask
-            s = self.slot[low]
+            s = self.slot.take(low.view(np.int64))
             out[:, t] = s
-            new = self.freq[s] * (x >> np.uint64(SCALE)) + low - self.start[s]
+            new = x >> np.uint64(SCALE)
+            new *= self.freq.take(s)
+            new += low
+            new -= self.start.take(s)
             if left < lanes:
                 new[-1, left:] = x[-1, left:]
             under = new < LOW
-            used = np.cumsum(under, axis=1)
-            where = (at[:, None] + used - 1)[under]
-            new[under] = (new[under] << np.uint64(32)) | code[where].astype(np.uint64)
-            x, at = new, at + used[:, -1]
+            # each stretch takes its next code words, lane by lane
+            lane = np.flatnonzero(under)
+            used = np.count_nonzero(under, axis=1)
+            where = np.repeat(at - np.cumsum(used) + used, used) + np.arange(len(lane))
+            held = new.reshape(-1)
+            held[lane] = (held.take(lane) << np.uint64(32)) | code.take(where)
+            x, at = new, at + used
         if (at[:-1] != points["used"][1:]).any() or at[-1] != len(code) or (x[:-1] != points["state"][1:]).any() or (x[-1] != LOW).any():
             raise ValueError("a stretch does not end where the next one begins")
         return out.reshape(-1)[:n]
@@ -143,17 +150,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def symbol_counts(rows: DataFrame, size: int, width: int) -> np.ndarray:
+def symbol_counts(rows: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
     """How often each symbol occurs in all rows: a row for each symbol reaches the driver, as many as the vocabulary has."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for pdf in batches:
-            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), f"<u{width}"), minlength=size)
+        for batch in batches:
+            total += np.bincount(flat(batch.column(0), dtype)[0], minlength=size)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["symbol", "n"])
 
-    found = rows.select("ids").mapInPandas(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["symbol"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
@@ -164,7 +171,7 @@ def encode(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     spark, tok = docs.sparkSession, tokenizer(path)
     size, dtype = tok.size, tok.dtype
     rows = written(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    freq = normalised(symbol_counts(rows, size, dtype.itemsize))
+    freq = normalised(symbol_counts(rows, size, dtype))
     raw = freq.astype("<u4").tobytes()
     spark.createDataFrame([(SCALE, size, raw, zlib.crc32(raw))], "scale int, symbols long, frequencies binary, crc32 long").coalesce(1).write.parquet(f"{folder}/table")
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")

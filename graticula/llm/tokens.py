@@ -9,11 +9,12 @@ Pieces that may hold a special token's own text are encoded each by itself.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from graticula.llm.common import kept
 
@@ -40,8 +41,7 @@ CACHED = 400_000
 CACHED_LENGTH = 64
 BATCH_BYTES = 4_000_000
 #: A blank, if any, and letters of Latin-1 (capitals of ASCII only): one word to the vocabularies' patterns.
-RUN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-FOLDED_RUN = re.compile(rb" ?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+RUN, FOLDED_RUN = "^ ?[A-Za-zß-öø-ÿ]+$", "^ ?[a-zß-öø-ÿ]+$"
 #: Pieces that go to the tokenizer in one string.
 TOGETHER = 2_000
 
@@ -55,6 +55,7 @@ def _alphabet() -> dict[int, int]:
 
 #: But for the line break, which stands between words here.
 ALPHABET = _alphabet()
+BLANKS = {0x20: ALPHABET[0x20]}
 
 
 class BatchTokenizer:
@@ -75,7 +76,7 @@ class BatchTokenizer:
         self.between_id = self.tokenizer.token_to_id(self.between)
         self.known: dict[bytes, int] = {}
         self.store = Store(self.width)
-        self.model, self.run = self.tokenizer.model, (FOLDED_RUN if self.folds else RUN).fullmatch
+        self.model, self.run = self.tokenizer.model, FOLDED_RUN if self.folds else RUN
 
     def ids(self, texts: pa.StringArray, end_id: int) -> pa.BinaryArray:
         """Of texts without nulls, of less than 2 GB."""
@@ -86,7 +87,7 @@ class BatchTokenizer:
         if self.folds and not special:
             data = _folded(data)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-        numbers = self._numbers(pieces.dictionary.to_pylist(), special, np.array([end_id], self.dtype))
+        numbers = self._numbers(pieces.dictionary, special, np.array([end_id], self.dtype))
         found = self.store.array().take(pa.array(numbers).take(pieces.indices))
         at = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
         ends = np.concatenate(([0], at[last + 1])).astype(np.int32)
@@ -95,36 +96,40 @@ class BatchTokenizer:
     def _may_be_special(self, data: bytes) -> bool:
         return any(o in data for o in self.openings)
 
-    def _numbers(self, pieces: list[bytes], special: bool, end: np.ndarray) -> np.ndarray:
+    def _numbers(self, dictionary: pa.BinaryArray, special: bool, end: np.ndarray) -> np.ndarray:
         """Where the ids of each piece are in the store."""
         if len(self.known) > CACHED:
             self._forget()
-        known, store = self.known, self.store
-        out = np.array([known.get(x, -1) for x in pieces], np.int64)
-        store.hits[out[out >= 0]] += 1
-        new = np.flatnonzero(out < 0).tolist()
-        runs, other = [], []
-        for i in new:
-            (runs if self.run(pieces[i]) else other).append(i)
-        if runs:
-            found = [[t.id for t in self.model.tokenize(x)] for x in self._alphabet([pieces[i] for i in runs])]
-            self._learn(out, runs, pieces, np.array([t for ids in found for t in ids], self.dtype), np.array([len(ids) for ids in found]))
-        plain = [i for i in other if pieces[i] and len(pieces[i]) <= CACHED_LENGTH and not (special and self._may_be_special(pieces[i]))]
+        out = np.fromiter(map(self.known.get, dictionary.to_pylist(), repeat(-1)), np.int64, len(dictionary))
+        self.store.hits[out[out >= 0]] += 1
+        new = np.flatnonzero(out < 0)
+        pieces = dictionary.take(pa.array(new))
+        run = pc.match_substring_regex(pieces.view(pa.string()), self.run).to_numpy(zero_copy_only=False)
+        ascii_ = pc.string_is_ascii(pieces.view(pa.string())).to_numpy(zero_copy_only=False)
+        for some, alphabet in ((run & ascii_, BLANKS), (run & ~ascii_, ALPHABET)):
+            if some.any():
+                bare = pieces.filter(pa.array(some)).to_pylist()
+                text = b"\n".join(bare).decode("latin-1")
+                words = (text.replace(" ", "") if self.folds else text).translate(alphabet).split("\n")
+                found = [[t.id for t in x] for x in map(self.model.tokenize, words)]
+                self._learn(out, new[some], bare, np.fromiter(chain.from_iterable(found), self.dtype), np.fromiter(map(len, found), np.int64))
+        rest = [(i, x) for i, x in zip(new[~run].tolist(), pieces.filter(pa.array(~run)).to_pylist(), strict=True)]
+        plain = [(i, x) for i, x in rest if x and len(x) <= CACHED_LENGTH and not (special and self._may_be_special(x))]
         for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            ids = np.array(self._encode(self.between.join([pieces[i].decode() for i in some])), self.dtype)
+            some, bare = zip(*plain[at : at + TOGETHER], strict=True)
+            ids = np.array(self._encode(self.between.join([x.decode() for x in bare])), self.dtype)
             edges = np.flatnonzero(ids == self.between_id)
-            self._learn(out, some, pieces, np.delete(ids, edges), np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1)
-        for i in other:
+            self._learn(out, np.array(some), bare, np.delete(ids, edges), np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1)
+        for i, x in rest:
             if out[i] < 0:
-                ids = np.array(self._encode(pieces[i].decode()), self.dtype) if pieces[i] else end
-                out[i] = store.add(ids, np.array([len(ids)]))
+                ids = np.array(self._encode(x.decode()), self.dtype) if x else end
+                out[i] = self.store.add(ids, np.array([len(ids)]))
         return out
 
-    def _learn(self, out: np.ndarray, some: list[int], pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _learn(self, out: np.ndarray, some: np.ndarray, bare: Sequence[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = self.store.add(ids, lengths)
         out[some] = np.arange(first, first + len(some))
-        self.known.update(zip([pieces[i] for i in some], range(first, first + len(some)), strict=True))
+        self.known.update(zip(bare, range(first, first + len(some)), strict=True))
 
     def _forget(self) -> None:
         """Keeps the half of the pieces that most batches held."""
@@ -137,10 +142,6 @@ class BatchTokenizer:
         self.store = Store(self.width)
         self.store.add(np.frombuffer(kept.buffers()[2], np.uint8)[: ends[-1]].view(self.dtype), np.diff(ends) // self.width)
 
-    def _alphabet(self, runs: list[bytes]) -> list[str]:
-        text = b"\n".join(runs).decode("latin-1")
-        return (text.replace(" ", "") if self.folds else text).translate(ALPHABET).split("\n")
-
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
