@@ -8,7 +8,7 @@ reported from a score of L - 2 e on, for an item of L words of which e (a fifth
 An alignment of that score has a changed or lost words, b words put in and c words cut off at the ends, with 2 a + b + c <= 2 e. They spoil at most
 3 a + 2 b + c <= 4 e seeds, so the 4 e + 1 rarest ones meet every such passage: the most frequent seeds are left out without a loss.
 
-Tasks drop n-grams that are no seed by a bitmap of a fixed size (`bits`), whatever the number of seeds; what it lets through by chance
+Tasks drop n-grams that are no seed by a bitmap of a fixed size, whatever the number of seeds; what it lets through by chance
 is dropped by the join. There is one way for all sizes of the benchmark.
 
 Defined cases: null or blank documents hold nothing; null or blank test items are not searched for; items of up to 6 words are found
@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graticula.llm.bitmaps import bitmap, passing
 from graticula.llm.common import fresh, words, written
 from graticula.llm.ngrams import hashed, inside, ngram_hashes
 from graticula.llm.tokens import runs, slices
 
 SEED = 3
-#: Bits of a hash by which n-grams are dropped in tasks: the bitmap is 2 ** BITS bits, 2 MB.
-BITS = 24
 BATCH_BYTES = 1_000_000
 
 
@@ -115,22 +114,6 @@ def item_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return numbered.mapInArrow(items, f"item long, item_id {kind}, words long, item_words binary"), numbered.mapInArrow(seeds, "item long, at long, seed long")
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Which leading bits occur, as 2 ** BITS flags: at most so many bits reach the driver, whatever the number of hashes."""
-    at = F.shiftrightunsigned(column, 64 - BITS) + 1  # buckets are numbered from 1 for positions from 1 on
-    found = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("flags")).collect()
-    out = np.zeros(1 << BITS >> 3, np.uint8)
-    for r in found:
-        first = (r.bucket - 1) * len(r.flags)
-        out[first : first + len(r.flags)] = np.frombuffer(bytes(r.flags), np.uint8)
-    return out
-
-
-def _passes(flags: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    at = (seeds >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.flatnonzero(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-
-
 def seed_counts(docs: DataFrame, seeds: DataFrame, orders: list[int]) -> DataFrame:
     """seed, n: how often each distinct seed occurs in all documents (those that never occur are left out)."""
     known = seeds.select("seed").distinct()
@@ -140,7 +123,7 @@ def seed_counts(docs: DataFrame, seeds: DataFrame, orders: list[int]) -> DataFra
         for batch in batches:
             for _, texts in slices(batch.column(0), BATCH_BYTES):
                 grams = _seeds(texts, orders)[2]
-                found, n = np.unique(grams[_passes(flags, grams)], return_counts=True)
+                found, n = np.unique(grams[passing(flags, grams)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["seed", "n"])
 
     found = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
@@ -156,7 +139,7 @@ def suspects(docs: DataFrame, seeds: DataFrame, orders: list[int]) -> DataFrame:
         for batch in batches:
             for at, texts in slices(batch.column(1), BATCH_BYTES):
                 doc, pos, seed, hashes, counts = _seeds(texts, orders)
-                hit = _passes(flags, seed)
+                hit = passing(flags, seed)
                 hit = hit[np.argsort(doc[hit], kind="stable")]
                 rows, n = np.unique(doc[hit], return_counts=True)
                 if not len(rows):

@@ -110,14 +110,18 @@ def clean_lines(df: DataFrame, text: str = "text", max_lost: float = 0.6, **rule
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with the cleaned text and its length."""
+    """Documents that pass, with the cleaned text and its length.
+
+    Null, empty and short texts fail; repeated rows pass or fail together; very long texts are read whole; an empty table stays empty;
+    further columns stay, whatever their names, but for n_chars, which follows the text.
+    """
     flagged = clean_lines(docs.select(*docs.columns))
     new = [c for c in flagged.columns if c not in docs.columns]
     kept, clean = new[-1], new[0]
     out = flagged.filter(F.col(kept)).withColumn("text", F.col(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

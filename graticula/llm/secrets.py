@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticula.llm.common import written
+from graticula.llm.common import fresh, written
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,19 +131,22 @@ def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the spans found in them replaced by a mark.
 
-    Spans are looked up by id and a hash of the text, so rows that share an id keep their own.
+    Spans are looked up by id and a hash of the text, so rows that share an id keep their own, and repeated rows have the same. A null or empty
+    text stays as it is, very long ones are searched whole, an empty table stays empty; further columns stay, whatever their names, but
+    for n_chars, which follows the text.
     """
-    key = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")]
-    found = find_secrets(docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")).withColumn("__pair", F.struct("doc_id", "__hash")), doc_id="__pair")
-    spans = found.filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("__spans"))
-    spans = spans.select(F.col("doc_id.doc_id").alias("__id2"), F.col("doc_id.__hash").alias("__hash2"), "__spans")
-    keyed = docs.select("*", *key)
-    out = keyed.join(spans, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    text_hash = F.xxhash64("text")
+    pair, spans_, id_, hash_, own = fresh(docs, "pair", "spans", "span_id", "span_hash", "own_hash")
+    found = find_secrets(docs.select(F.struct(F.col("doc_id"), text_hash.alias("hash")).alias(pair), "text"), doc_id=pair)
+    spans = found.filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias(spans_))
+    spans = spans.select(F.col("doc_id.doc_id").alias(id_), F.col("doc_id.hash").alias(hash_), spans_)
+    keyed = docs.withColumn(own, text_hash)
+    out = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans[id_]) & (keyed[own] == spans[hash_]), "left")
+    text = F.when(F.col(spans_).isNotNull(), redacted(F.col("text"), F.col(spans_))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

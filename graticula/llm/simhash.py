@@ -24,15 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticula.llm.common import shuffle_partitions, written
-from graticula.llm.ngrams import batch_hashes, mixed, ngram_hashes
+from graticula.llm.bitmaps import bitmap, passing
+from graticula.llm.common import fresh, shuffle_partitions, written
+from graticula.llm.ngrams import hashed, inside, ngram_hashes
+from graticula.llm.tokens import flat, runs, slices
 
 BITS = 64
 #: Node pairs that one step of the walk holds at once; more are walked in turn.
 FRONTIER = 1 << 20
+#: A fingerprint of more than one row in so many is joined apart.
+HOT = 2000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -220,14 +225,19 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of every row."""
     rows = written(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    heads = written(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    heads = written(rows.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "heads")
     links = near_links(heads.select("fp"), budget)
     labels = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     members = labels.join(heads, labels["node"] == heads["fp"]).select("fp", "label", "head")
     lowest = members.groupBy("label").agg(F.min("head").alias("component"))
     known = members.join(lowest, "label").select(F.col("fp").alias("fp2"), "component")
-    of_fp = heads.join(known, heads["fp"] == known["fp2"], "left").select("fp", F.coalesce("component", "head").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = written(heads.join(known, heads["fp"] == known["fp2"], "left").select("fp", F.coalesce("component", "head").alias("component_id"), "n"), "components")
+    total = of_fp.agg(F.sum("n")).first()[0] or 0
+    # fingerprints of more than one row in HOT: less than HOT of them, so they go to all tasks; the others are joined by key
+    hot = F.col("n") * HOT > total
+    many, few = F.broadcast(of_fp.filter(hot).drop("n")), of_fp.filter(~hot).drop("n")
+    out = rows.join(many, "fp").unionByName(rows.join(many.select("fp"), "fp", "left_anti").join(few, "fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,12 +254,30 @@ QUERIES = {"op8_simhash_trie": op8_simhash_trie}
 SAMPLED, COMMON = 16, 1 << 18
 #: Groups with more texts are first compared with a few of their own, so that near copies are known to be linked before pairs are made.
 LARGE, PIVOTS = 8, 4
+BATCH_BYTES = 1_000_000
 
 
-def _shingles(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending: all words if they are fewer than a shingle holds, and 0 alone without words."""
-    words = batch_hashes([text or ""])[0]
-    return np.unique(ngram_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(1, np.uint64)
+def _sets(texts: pa.StringArray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """text and hash of the distinct shingles of each text, ascending: all words if they are fewer than a shingle holds, 0 without words."""
+    words, counts = hashed(texts)
+    starts = np.cumsum(counts) - counts
+    at = np.flatnonzero(inside(counts, shingle))
+    docs, grams = [np.searchsorted(starts, at, "right") - 1], [ngram_hashes(words, shingle)[at]]
+    for n in range(shingle):
+        few = np.flatnonzero(counts == n)
+        docs.append(few)
+        grams.append(ngram_hashes(words, n)[starts[few]] if n and len(few) else np.zeros(len(few), np.uint64))
+    doc, gram = np.concatenate(docs), np.concatenate(grams)
+    order = np.lexsort((gram, doc))
+    doc, gram = doc[order], gram[order]
+    first = np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])))
+    return doc[first], gram[first]
+
+
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows with different ids: copies within a batch are read once."""
+    ids = batch.column(0).to_numpy()
+    return batch.take(pa.array(np.sort(np.unique(ids, return_index=True)[1])))
 
 
 def _least(similarity: float, size):
@@ -260,12 +288,12 @@ def _least(similarity: float, size):
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are in at least three sampled texts, ascending, and in how many."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                yield pd.DataFrame({"token": np.concatenate([_shingles(t, shingle) for t in pdf["text"].iloc[at : at + 256]]).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(_once(batch).column(1), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(_sets(texts, shingle)[1].view(np.int64))], ["token"])
 
-    sample = docs.filter(F.pmod("id", F.lit(SAMPLED)) == 0).select("text").mapInPandas(run, "token long")
+    sample = docs.filter(F.pmod("id", F.lit(SAMPLED)) == 0).select("id", "text").mapInArrow(run, "token long")
     known = written(sample.groupBy("token").count().filter("count > 2"), "common-shingles")
     level = F.floor(F.log2("count"))
     least, total = 63, 0
@@ -281,26 +309,33 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """token, id, size: the first shingles of each text, rarest first, as many as make two similar texts share one of them."""
+    """token, id, size, place: the first shingles of each text, rarest first, as many as make two similar texts share one of them."""
     common, times = _common(docs, shingle)
 
-    def first(h: np.ndarray) -> np.ndarray:
-        n = len(h) - int(_least(similarity, len(h))) + 1
-        if not len(common):
-            return h[:n]
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        return h[np.lexsort((h, np.where(common[at] == h, times[at], 0)))[:n]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                sets = [_shingles(t, shingle) for t in part["text"]]
-                heads = [first(h) for h in sets]
-                n, size = [len(x) for x in heads], np.array([len(h) for h in sets])
-                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "id": np.repeat(part["id"].to_numpy(), n), "size": np.repeat(size, n)})
-
-    return docs.select("id", "text").mapInPandas(run, "token long, id long, size long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_once, batches):
+            for at, texts in slices(batch.column(1), BATCH_BYTES):
+                doc, gram = _sets(texts, shingle)
+                if len(common):
+                    near = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+                    order = np.lexsort((gram, np.where(common[near] == gram, times[near], 0), doc))
+                    gram = gram[order]  # doc stays as it is
+                size = np.bincount(doc, minlength=len(texts))
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                keep = place <= (size - _least(similarity, size))[doc]
+                doc, place = doc[keep], place[keep]
+                columns = [gram[keep].view(np.int64), batch.column(0).to_numpy()[at + doc], size[doc], place]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "id", "size", "place"])
+
+    return docs.select("id", "text").mapInArrow(run, "token long, id long, size long, place long")
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Pairs whose sizes, and what is left behind the shared shingle in both orders, allow the similarity."""
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    # the shared shingle and all before it in the shorter prefix, at most, and the rest of both
+    return (F.least("place_a", "place_b") + rest >= need) & (similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9)
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -317,29 +352,34 @@ def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["id"], "grams": [_shingles(t, shingle).tobytes() for t in pdf["text"]]})
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (x, y) in enumerate(zip(pdf["grams_a"], pdf["grams_b"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield pdf.loc[keep, ["a", "b"]]
-
-    sets = written(docs.select("id", "text").join(ids, "id", "left_semi").mapInPandas(run, "key long, grams binary"), "shingle-sets")
+    flags = bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_once, batches):
+            batch = batch.take(pa.array(passing(flags, batch.column(0).to_numpy().view(np.uint64))))
+            for at, texts in slices(batch.column(1), BATCH_BYTES):
+                doc, gram = _sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), runs(gram, np.bincount(doc, minlength=len(texts)))], ["key", "grams"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            x, n = flat(batch.column(2), np.dtype(np.uint64))
+            y, m = flat(batch.column(3), np.dtype(np.uint64))
+            for i, (s, e, t, f) in enumerate(zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), (np.cumsum(m) - m).tolist(), np.cumsum(m).tolist(), strict=True)):
+                both = len(np.intersect1d(x[s:e], y[t:f], assume_unique=True))
+                keep[i] = both >= similarity * (e - s + f - t - both) - 1e-9
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    sets = docs.select("id", "text").mapInArrow(run, "key long, grams binary")
+    sets = written(sets.groupBy("key").agg(F.first("grams").alias("grams")), "shingle-sets")
     left, right = (sets.select(F.col("key").alias(f"key_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     joined = pairs.join(left, F.col("a") == F.col("key_a")).join(right, F.col("b") == F.col("key_b"))
-    return joined.select("a", "b", "grams_a", "grams_b").mapInPandas(alike, "a long, b long")
+    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(alike, "a long, b long")
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """a, b: links between ids of docs (id, text; ids distinct, texts distinct) that connect all whose sets of shingle hashes have at least
+    """a, b: links between ids of docs (id, text; equal ids have equal texts) that connect all whose sets of shingle hashes have at least
     that Jaccard similarity, and no others.
 
     Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared
@@ -348,8 +388,9 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """
     prefixes = written(_prefixes(docs, shingle, similarity), "prefixes")
     pivot = lambda k: F.min_by("id", F.xxhash64("id", F.lit(k)))
-    groups = prefixes.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(prefixes.join(groups, "token"), "shared-prefixes")
+    groups = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token", "n")
+    # copies that were read in different batches are one from here on
+    shared = written(prefixes.join(groups, "token").distinct(), "shared-prefixes")
 
     large = shared.filter(F.col("n") > LARGE)
     heads = large.groupBy("token").agg(*(pivot(k).alias(f"p{k}") for k in range(PIVOTS)))
@@ -362,48 +403,46 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     first = written(_decided(docs, stars, shingle, similarity), "star-links")
     labels = components(first)
 
-    known = shared.select("token", "id", "size").join(labels, F.col("id") == F.col("node"), "left")
-    known = written(known.select("token", "id", "size", F.coalesce("label", "id").alias("label")), "labelled-prefixes")
+    known = shared.select("token", "id", "size", "place").join(labels, F.col("id") == F.col("node"), "left")
+    known = written(known.select("token", "id", "size", "place", F.coalesce("label", "id").alias("label")), "labelled-prefixes")
     open_ = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     known = known.join(open_, "token", "left_semi")
-    a = known.select("token", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    b = known.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near)
+    a, b = (known.select("token", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "label"))) for x in "ab")
+    pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar(similarity))
     pairs = written(_enough(pairs, similarity), "pairs")
     return first.union(_decided(docs, pairs, shingle, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """text_hash and keeper: for each distinct text (by hash) the hash of the text that stands for its group of similar texts.
+    """node and label: for each distinct text (by hash) that is similar to others the smallest hash of its group.
 
     Equal texts are one from the start. A null text is the empty one; texts without words are alike.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text"))
-    # one row for each distinct text; the hot ones meet before the shuffle as partial results
-    links = written(similar_links(_one_each(texts), shingle, similarity), "similar-links")
+    links = written(similar_links(docs.select(F.xxhash64(t).alias("id"), t.alias("text")), shingle, similarity), "similar-links")
     return components(links)
 
 
-def _one_each(texts: DataFrame) -> DataFrame:
-    return texts.groupBy("id").agg(F.first("text").alias("text"))
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest id (null ids last), then the smallest text hash."""
+    """One document of each group of similar texts: the one with the smallest id (null ids last), then the smallest text hash.
+
+    Null and blank texts are one group; rows that repeat id and text are one document, whatever their other columns; very long texts are
+    compared whole; an empty table stays empty; further columns stay, whatever their names.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
-    hashed = docs.select("doc_id", F.xxhash64(t).alias("hash"))
+    hashed_rows = docs.select("doc_id", F.xxhash64(t).alias("hash"))
     labels = similar_groups(docs.select("text"))
-    heads = hashed.groupBy("hash").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    heads = hashed_rows.groupBy("hash").agg(F.min("doc_id").alias("head"))
     grouped = heads.join(labels, heads["hash"] == labels["node"], "left").select("hash", "head", F.coalesce("label", "hash").alias("label"))
-    first = F.min_by("hash", F.struct(F.col("head").isNull(), "head", "hash")).alias("hash")
-    keep = written(grouped.groupBy("label").agg(first, F.min_by("head", F.struct(F.col("head").isNull(), "head", "hash")).alias("head")), "kept-texts")
-    keep = keep.select(F.col("hash").alias("__hash"), F.col("head").alias("__head"))
-    keyed = docs.withColumn("__h", F.xxhash64(t))
-    kept = keyed.join(keep, (keyed["__h"] == keep["__hash"]) & keyed["doc_id"].eqNullSafe(keep["__head"]), "left_semi")
+    order = F.struct(F.col("head").isNull(), "head", "hash")
+    keep = written(grouped.groupBy("label").agg(F.min_by("hash", order).alias("hash"), F.min_by("head", order).alias("head")), "kept-texts")
+    text_hash, keep_hash, keep_id = fresh(docs, "text_hash", "keep_hash", "keep_id")
+    keep = keep.select(F.col("hash").alias(keep_hash), F.col("head").alias(keep_id))
+    keyed = docs.withColumn(text_hash, F.xxhash64(t))
+    kept = keyed.join(keep, (keyed[text_hash] == keep[keep_hash]) & keyed["doc_id"].eqNullSafe(keep[keep_id]), "left_semi")
     # rows that repeat both id and text are one document: only those few are compared row by row
-    again = hashed.groupBy("doc_id", "hash").count().filter("count > 1").select(F.col("doc_id").alias("__id2"), F.col("hash").alias("__hash2"))
+    again = hashed_rows.groupBy("doc_id", "hash").count().filter("count > 1").select(F.col("doc_id").alias(keep_id), F.col("hash").alias(keep_hash))
     again = written(again, "repeated-rows")
-    same = kept["doc_id"].eqNullSafe(again["__id2"]) & (kept["__h"] == again["__hash2"])
-    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"])
-    return kept.join(again, same, "left_anti").union(one).select(*docs.columns)
+    same = kept["doc_id"].eqNullSafe(again[keep_id]) & (kept[text_hash] == again[keep_hash])
+    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", text_hash])
+    return kept.join(again, same, "left_anti").union(one).select(*(F.col(f"`{c}`") for c in docs.columns))
