@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.llm.bitmaps import bitmap, passing
@@ -253,7 +253,7 @@ QUERIES = {"op8_simhash_trie": op8_simhash_trie}
 #: is compared, never what is found.
 SAMPLED, COMMON = 16, 1 << 18
 #: Groups with more texts are first compared with a few of their own, so that near copies are known to be linked before pairs are made.
-LARGE, PIVOTS = 8, 4
+LARGE, PIVOTS, CENTRAL = 8, 4, 2
 BATCH_BYTES = 1_000_000
 
 
@@ -309,33 +309,46 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """token, id, size, place: the first shingles of each text, rarest first, as many as make two similar texts share one of them."""
+    """token, id, size, end: the first shingles of each text, rarest first, as many as make two similar texts share one of them.
+
+    end: where the last of them is in the order of all shingles, rounded down.
+    """
     common, times = _common(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_once, batches):
             for at, texts in slices(batch.column(1), BATCH_BYTES):
                 doc, gram = _sets(texts, shingle)
-                if len(common):
-                    near = np.minimum(np.searchsorted(common, gram), len(common) - 1)
-                    order = np.lexsort((gram, np.where(common[near] == gram, times[near], 0), doc))
-                    gram = gram[order]  # doc stays as it is
+                gram = gram[np.lexsort((gram, times_of(gram), doc))]  # doc stays as it is
                 size = np.bincount(doc, minlength=len(texts))
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 keep = place <= (size - _least(similarity, size))[doc]
-                doc, place = doc[keep], place[keep]
-                columns = [gram[keep].view(np.int64), batch.column(0).to_numpy()[at + doc], size[doc], place]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "id", "size", "place"])
+                doc, gram = doc[keep], gram[keep]
+                last = gram[np.cumsum(np.bincount(doc, minlength=len(texts))) - 1]
+                end = (np.minimum(times_of(last), (1 << 20) - 1) << 43) | (last >> np.uint64(21)).astype(np.int64)
+                columns = [gram.view(np.int64), batch.column(0).to_numpy()[at + doc], size[doc], end[doc]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "id", "size", "end"])
+
+    def times_of(gram: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return np.zeros(len(gram), np.int64)
+        near = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+        return np.where(common[near] == gram, times[near], 0)
 
-    return docs.select("id", "text").mapInArrow(run, "token long, id long, size long, place long")
+    return docs.select("id", "text").mapInArrow(run, "token long, id long, size long, end long")
 
 
 def _may_be_similar(similarity: float) -> Column:
-    """Pairs whose sizes, and what is left behind the shared shingle in both orders, allow the similarity."""
+    """Pairs whose sizes, and first shingles that are among those of no other text, allow the similarity.
+
+    What two sets share within the first shingles of the one whose first shingles end first is among those of the other, too: so that one shares
+    at most its size less its `alone`.
+    """
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    # the shared shingle and all before it in the shorter prefix, at most, and the rest of both
-    return (F.least("place_a", "place_b") + rest >= need) & (similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9)
+    sizes = similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9
+    a, b = F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b")
+    shared = F.when(F.col("end_a") < F.col("end_b"), a).when(F.col("end_a") > F.col("end_b"), b).otherwise(F.greatest(a, b))
+    return sizes & (shared >= need)
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -382,32 +395,33 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """a, b: links between ids of docs (id, text; equal ids have equal texts) that connect all whose sets of shingle hashes have at least
     that Jaccard similarity, and no others.
 
-    Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared
-    over their whole sets. In large groups all are compared with a few first; what these links connect needs no pairs of its own,
-    and all other pairs are made.
+    Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared over their whole sets. In large groups all are compared with a few
+    first, among them those with the fewest shingles of their own, which lie in the middle of near copies; what these links
+    connect needs no pairs of its own, and all other pairs are made.
     """
     prefixes = written(_prefixes(docs, shingle, similarity), "prefixes")
-    pivot = lambda k: F.min_by("id", F.xxhash64("id", F.lit(k)))
     groups = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token", "n")
-    # copies that were read in different batches are one from here on
-    shared = written(prefixes.join(groups, "token").distinct(), "shared-prefixes")
+    # copies that were read in different batches are one from here on; alone: how many of a text's first shingles are among those of no other
+    shared = prefixes.join(groups, "token").distinct()
+    alone = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 - F.count("*").over(Window.partitionBy("id"))
+    shared = written(shared.withColumn("alone", alone), "shared-prefixes")
 
     large = shared.filter(F.col("n") > LARGE)
-    heads = large.groupBy("token").agg(*(pivot(k).alias(f"p{k}") for k in range(PIVOTS)))
-    sizes = shared.select(F.col("id").alias("key"), F.col("size").alias("size_p")).distinct()
-    stars = large.join(heads, "token").select("id", "size", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
-    counted = stars.filter(F.col("id") != F.col("p")).groupBy("id", "size", "p").count().join(sizes, F.col("p") == F.col("key"))
-    stars = counted.select(F.col("p").alias("a"), F.col("id").alias("b"), F.col("size_p").alias("size_a"), F.col("size").alias("size_b"))
-    near = similarity * F.greatest("size_a", "size_b") <= F.least("size_a", "size_b") + 1e-9
-    stars = written(stars.filter(near).select("a", "b"), "stars")
+    mixed = lambda k: F.xxhash64("id", F.lit(k))
+    orders = [F.struct(F.col("alone") / F.col("size"), mixed(k)) for k in range(CENTRAL)] + [mixed(k) for k in range(PIVOTS - CENTRAL)]
+    heads = large.groupBy("token").agg(*(F.min_by("id", x).alias(f"p{k}") for k, x in enumerate(orders)))
+    texts = shared.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("alone").alias("alone_a"), F.col("end").alias("end_a")).distinct()
+    stars = large.join(heads, "token").select("id", "size", "alone", "end", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("a"))
+    stars = stars.filter(F.col("id") != F.col("a")).distinct().withColumnsRenamed({"id": "b", "size": "size_b", "alone": "alone_b", "end": "end_b"}).join(texts, "a")
+    stars = written(stars.filter(_may_be_similar(similarity)).select("a", "b"), "stars")
     first = written(_decided(docs, stars, shingle, similarity), "star-links")
     labels = components(first)
 
-    known = shared.select("token", "id", "size", "place").join(labels, F.col("id") == F.col("node"), "left")
-    known = written(known.select("token", "id", "size", "place", F.coalesce("label", "id").alias("label")), "labelled-prefixes")
+    known = shared.join(labels, F.col("id") == F.col("node"), "left")
+    known = written(known.select("token", "id", "size", "alone", "end", F.coalesce("label", "id").alias("label")), "labelled-prefixes")
     open_ = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     known = known.join(open_, "token", "left_semi")
-    a, b = (known.select("token", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "label"))) for x in "ab")
+    a, b = (known.select("token", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "alone", "end", "label"))) for x in "ab")
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar(similarity))
     pairs = written(_enough(pairs, similarity), "pairs")
     return first.union(_decided(docs, pairs, shingle, similarity))
