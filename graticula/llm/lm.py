@@ -1,40 +1,44 @@
 """Stupid-backoff scores.
 
-Counts of n-grams are a table partitioned by the n-grams' hash. Documents are dealt into batches; each batch asks for the counts of its distinct
-n-grams, a sorted array of hashes for each hash range, and gets an array of counts back. A frequent n-gram is one entry of a batch, however
-many documents hold it, so no hash range grows with it. Each batch then sums the scores of its own documents.
+The n-grams of the texts are exploded to rows (n-gram's hash, batch, how often), each batch's distinct ones once. Grouped by hash they are the count
+table; joined to it by hash, the rows bring the counts back to their batches, where they are summed for each document. A frequent n-gram is one
+row of a batch, however many documents hold it, so no hash grows with it; one that no other batch has needs no count from elsewhere.
 
 S(w | h) = count(h w) / count(h) if the n-gram h w was seen, else alpha * S(w | shorter h); for single words count(w) / words. The score of
 a document is the sum of log S over its words, each with as much history as the document has before it, up to order - 1 words.
+Counts are those of other texts: of the training texts, if there are any, else of all documents but the one that is scored (a document is
+a row: a copy of it counts). Words that were never seen have the share of half an occurrence.
 
-Words are split at space and U+0009 to U+000D, with A-Z lower-cased. Training texts may be others than those scored; words that were
-never seen have count 0 and get the share of half an occurrence.
+Words are split at space and U+0009 to U+000D, with A-Z lower-cased.
 
-Defined cases: a null or blank text has no words and score 0; repeated rows count as often as they occur and are scored each by itself;
-with empty training texts every word is unseen; an empty table gives an empty result; further columns do not take part.
+Defined cases: a null or blank text has no words and score 0; repeated rows are documents of their own; with empty training texts, or a
+single document, every word is unseen; a very long text is one row of its batch and takes memory in proportion to its words; an empty
+table gives an empty result; further columns do not take part, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticula.llm.common import shuffle_partitions
-from graticula.llm.ngrams import batch_hashes, inside, ngram_hashes
+from graticula.llm.ngrams import hashed, inside, ngram_hashes
 
-BATCH_CHARS = 6_000_000
+BATCH_BYTES = 6_000_000
+#: The n-gram of no words: its count is the number of words.
+NOTHING = np.uint64(0)
 
 
-def _grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(texts: pa.StringArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For n from 1 to order the hashes of the n-grams that end at each word (0 where there is none), and words by text."""
-    words, counts = batch_hashes(texts)
+    words, counts = hashed(texts)
     out = []
     for n in range(1, order + 1):
         h = np.zeros(len(words), np.uint64)
-        g = ngram_hashes(words, n)
-        h[n - 1 :] = np.where(inside(counts, n), _of_order(g, n), np.uint64(0))
+        if len(words) >= n:
+            h[n - 1 :] = np.where(inside(counts, n), _of_order(ngram_hashes(words, n), n), NOTHING)
         out.append(h)
     return out, counts
 
@@ -44,111 +48,90 @@ def _of_order(h: np.ndarray, n: int) -> np.ndarray:
     return (h ^ np.uint64(0x9E3779B97F4A7C15 * n & (2**64 - 1))) | np.uint64(1)
 
 
-def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where in sorted hashes each of the equal hash ranges begins, and the end."""
-    limits = np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(h, limits), [len(h)]))
+def _texts(column: pa.ChunkedArray) -> pa.StringArray:
+    texts = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    return texts.fill_null("").cast(pa.string())
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, so that their leading zeros compress away."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def dealt(df: DataFrame, doc_id: str | None, text: str) -> DataFrame:
+    """doc_id, t and batch: rows in batches of about BATCH_BYTES, whatever their texts and ids."""
+    t = F.col(f"`{text}`")
+    size = df.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    number = F.xxhash64(F.monotonically_increasing_id())  # of a scan: the same each time
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id") if doc_id else F.lit(None).alias("doc_id"), t.alias("t"), F.pmod(number, F.lit(max(1, size // BATCH_BYTES))).cast("int").alias("batch"))
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+def exploded(batches: DataFrame, order: int, times: bool = True, asks: bool = True) -> DataFrame:
+    """gram, batch, times: the distinct n-grams of each batch; times 0 without `times`, batch null without `asks`."""
 
+    def run(table: pa.Table) -> pa.Table:
+        grams, counts = _grams(_texts(table.column("t")), order)
+        found, n = np.unique(np.concatenate(grams), return_counts=True)
+        if len(found) and found[0] == NOTHING:
+            found, n = found[1:], n[1:]
+        found, n = np.concatenate(([NOTHING], found)), np.concatenate(([counts.sum()], n))
+        batch = pa.array(np.full(len(found), table.column("batch")[0].as_py(), np.int32)) if asks else pa.nulls(len(found), pa.int32())
+        return pa.table({"gram": found.view(np.int64), "batch": batch, "times": n if times else np.zeros(len(n), np.int64)})
 
-def _requests(batches_df: DataFrame, order: int, buckets: int, train: bool, asks: bool) -> DataFrame:
-    """For each batch and hash range: the distinct n-grams, with their counts if they are trained on."""
+    return batches.groupBy("batch").applyInArrow(run, "gram long, batch int, times long")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = _grams([t or "" for t in pdf["t"]], order)
-        flat = np.concatenate(grams)
-        found, n = np.unique(flat[flat != 0], return_counts=True)
-        edge = _ranges(found, buckets)
-        rows = []
-        for b, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
-            if lo < hi or b == 0:  # the first range also carries the number of words
-                rows.append((b, int(key[0]) if asks else None, int(counts.sum()) if train and b == 0 else 0, _planes(found[lo:hi]), n[lo:hi].astype("<u4").tobytes() if train else None))
-        return pd.DataFrame(rows, columns=["bucket", "batch", "words", "hashes", "times"]).astype({"batch": "Int64"})
 
-    return batches_df.groupBy("batch").applyInPandas(run, "bucket int, batch long, words long, hashes binary, times binary")
+def summed(texts: pa.StringArray, order: int, alpha: float, known: np.ndarray, count: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """words and score of each text; known: hashes of n-grams, ascending, and their counts. leave_out: less a text's own n-grams.
 
-
-def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The counts of a hash range, given back to each batch that asked, in the order of its request."""
-    hashes = [_from_planes(h) for h in pdf["hashes"]]
-    trained = [i for i, t in enumerate(pdf["times"]) if t is not None]
-    flat = np.concatenate([hashes[i] for i in trained]) if trained else np.zeros(0, np.uint64)
-    times = np.concatenate([np.frombuffer(pdf["times"].iloc[i], "<u4") for i in trained]) if trained else np.zeros(0, np.uint32)
-    order = np.argsort(flat, kind="stable")
-    flat, times = flat[order], times[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
-    known, total = flat[first], np.add.reduceat(times, first) if len(first) else times
-    words = int(pdf["words"].sum())
-    rows = []
-    for h, batch in zip(hashes, pdf["batch"], strict=True):
-        if batch is None or pd.isna(batch):
-            continue
-        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-        c = np.where(known[at] == h, total[at], 0) if len(known) else np.zeros(len(h), np.int64)
-        rows.append((int(pdf["bucket"].iloc[0]), int(batch), words, c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "batch", "words", "counts"])
-
-
-def summed(texts: list[str], order: int, alpha: float, counts_of: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """words and score of each text; counts_of: the counts of the texts' distinct n-grams in ascending order of their hashes."""
-    grams, counts = _grams(texts, order)
+    With leave_out, an n-gram that is not known occurs in these texts only.
+    """
+    grams, words = _grams(texts, order)
     flat = np.concatenate(grams)
-    distinct, back = np.unique(flat, return_inverse=True)
-    if len(distinct) and distinct[0] == 0:
-        counts_of = np.concatenate(([0], counts_of))
-    c = counts_of[back].reshape(order, -1) if len(distinct) else np.zeros((order, 0), np.int64)
-    n = max(total, 1)
+    distinct, back, here = np.unique(flat, return_inverse=True, return_counts=True)
+    at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+    of = np.where(known[at] == distinct, count[at], here if leave_out else 0) if len(known) else (here if leave_out else np.zeros(len(distinct), np.int64))
+    c = of[back].reshape(order, -1)
+    total = int(count[0]) if len(known) and known[0] == NOTHING else int(words.sum()) if leave_out else 0
+    totals = np.full(len(words), total)
+    if leave_out:
+        text = np.tile(np.repeat(np.arange(len(words)), words), order)
+        _, own, n = np.unique(text * len(distinct) + back.reshape(-1), return_inverse=True, return_counts=True)
+        c = c - n[own].reshape(order, -1)
+        totals = totals - words
+    totals = np.repeat(np.maximum(totals, 1), words)
     with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.log(np.maximum(c[0], 0.5) / n)
+        score = np.log(np.maximum(c[0], 0.5) / totals)
         for k in range(1, order):
-            there = grams[k] != 0
             history = np.concatenate(([0], c[k - 1][:-1])) if c.shape[1] else c[k - 1]
-            score = np.where(there, np.where(c[k] > 0, np.log(c[k] / history), score + np.log(alpha)), score)
-    ends = np.cumsum(counts)
-    return counts, np.array([score[e - k : e].sum() for e, k in zip(ends.tolist(), counts.tolist(), strict=True)])
+            score = np.where(grams[k] != NOTHING, np.where(c[k] > 0, np.log(c[k] / history), score + np.log(alpha)), score)
+    ends = np.cumsum(words)
+    return words, np.array([score[e - k : e].sum() for e, k in zip(ends.tolist(), words.tolist(), strict=True)])
 
 
 def backoff_scores(docs: DataFrame, train: DataFrame | None = None, order: int = 2, alpha: float = 0.4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, words and score of every row of docs, by counts over train (docs itself if None)."""
+    """doc_id, words and score of every row of docs, by counts over train; if it is None, over all other rows of docs."""
     if order < 1:
         raise ValueError("order must be at least 1")
-    spark = docs.sparkSession
-
-    def dealt(df: DataFrame) -> tuple[DataFrame, int]:
-        size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-        n = max(1, size // BATCH_CHARS)
-        ident = F.col(f"`{doc_id}`") if doc_id in df.columns else F.lit(0)
-        return df.select(ident.alias("doc_id"), F.col(f"`{text}`").alias("t"), F.pmod(F.xxhash64(ident, F.col(f"`{text}`")), F.lit(n)).alias("batch")), size
-
-    mine, size = dealt(docs)
-    if train is None:
-        buckets = max(shuffle_partitions(spark), size // (2 * BATCH_CHARS))
-        asked = _requests(mine, order, buckets, True, True)
+    leave_out = train is None
+    mine = dealt(docs, doc_id, text)
+    if leave_out:
+        rows = exploded(mine, order)
     else:
-        other, more = dealt(train)
-        buckets = max(shuffle_partitions(spark), (size + more) // (2 * BATCH_CHARS))
-        asked = _requests(other, order, buckets, True, False).union(_requests(mine, order, buckets, False, True))
-    replies = asked.groupBy("bucket").applyInPandas(_reply, "bucket int, batch long, words long, counts binary")
+        rows = exploded(dealt(train, None, text), order, asks=False).union(exploded(mine, order, times=False))
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "gram")  # the table and what is joined to it lie by hash
+    counts = rows.groupBy("gram").agg(F.sum("times").alias("n"), F.count("batch").alias("batches"))
+    counts = counts.filter("batches > 1" if leave_out else "n > 0").select("gram", "n")
+    replies = rows.filter("batch is not null").join(counts, "gram").select("batch", "gram", "n")
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values("bucket")
-        of = np.concatenate([np.frombuffer(c, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for c in got["counts"]]) if len(got) else np.zeros(0, np.int64)
-        words, score = summed([t or "" for t in pdf["t"]], order, alpha, of, int(got["words"].max()) if len(got) else 0)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "words": words, "score": score})
+    def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        known = got.column("gram").to_numpy().view(np.uint64)
+        by = np.argsort(known)
+        words, score = summed(_texts(table.column("t")), order, alpha, known[by], got.column("n").to_numpy()[by], leave_out)
+        return pa.table({"doc_id": table.column("doc_id"), "words": pa.array(words, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    return mine.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, f"doc_id {kind}, words long, score double")
+    return mine.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, words long, score double")
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the counts of all others, with words and pairs of words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return backoff_scores(docs).withColumn("score", F.round("score", 4))
 
@@ -157,19 +140,22 @@ QUERIES = {"op1_stupid_backoff": op1_stupid_backoff}
 ORACLES = {
     "op1_stupid_backoff": """
 WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
-  FROM documents
-), t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
-c1 AS (SELECT word, count(*) AS n FROM t GROUP BY word),
-pairs AS (SELECT doc_id, i, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev, word FROM t),
-c2 AS (SELECT prev, word, count(*) AS n FROM pairs WHERE prev IS NOT NULL GROUP BY prev, word),
-total AS (SELECT count(*) AS n FROM t),
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), t AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+p AS (SELECT r, i, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS prev FROM t),
+o1 AS (SELECT r, word, count(*) AS own FROM t GROUP BY r, word),
+c1 AS (SELECT word, sum(own) AS n FROM o1 GROUP BY word),
+o2 AS (SELECT r, prev, word, count(*) AS own FROM p WHERE prev IS NOT NULL GROUP BY r, prev, word),
+c2 AS (SELECT prev, word, sum(own) AS n FROM o2 GROUP BY prev, word),
+l1 AS (SELECT o1.r, o1.word, c1.n - o1.own AS n FROM o1 JOIN c1 ON c1.word = o1.word),
+l2 AS (SELECT o2.r, o2.prev, o2.word, c2.n - o2.own AS n FROM o2 JOIN c2 ON c2.prev = o2.prev AND c2.word = o2.word),
 scored AS (
-  SELECT p.doc_id, CASE WHEN p.prev IS NULL THEN ln(u.n / total.n) ELSE ln(c2.n / h.n) END AS s
-  FROM pairs p CROSS JOIN total JOIN c1 u ON u.word = p.word
-  LEFT JOIN c1 h ON h.word = p.prev LEFT JOIN c2 ON c2.prev = p.prev AND c2.word = p.word
+  SELECT p.r, CASE WHEN l2.n > 0 THEN ln(l2.n / h.n)
+    ELSE ln(greatest(u.n, 0.5) / greatest((SELECT count(*) FROM t) - len(w.ws), 1)) + CASE WHEN p.prev IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM p JOIN w ON w.r = p.r JOIN l1 u ON u.r = p.r AND u.word = p.word
+  LEFT JOIN l1 h ON h.r = p.r AND h.word = p.prev LEFT JOIN l2 ON l2.r = p.r AND l2.prev = p.prev AND l2.word = p.word
 )
-SELECT w.doc_id, coalesce(max(len(w.ws)), 0)::BIGINT AS words, round(coalesce(max(x.s), 0.0), 4) AS score
-FROM w LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id) x ON x.doc_id = w.doc_id GROUP BY w.doc_id
+SELECT w.doc_id, len(w.ws)::BIGINT AS words, round(coalesce(x.s, 0.0), 4)::DOUBLE AS score FROM w LEFT JOIN (SELECT r, sum(s) AS s FROM scored GROUP BY r) x ON x.r = w.r
 """
 }

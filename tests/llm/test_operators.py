@@ -82,9 +82,25 @@ def test_backoff_scores(spark, docs, order):
     assert lm.backoff_scores(s, t.filter("false"), order).count() == len(score)
 
 
-def test_backoff_edges(docs, empty):
-    assert lm.backoff_scores(docs).count() == docs.count()
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_backoff_leaves_out_the_scored_document(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 90)  # many batches
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12))) for _ in range(40)] + [None, "", " B a", LONG[:3000]]
+    texts += texts[:5]
+    rows = [(i, t, 1, "x", 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, batch int, gram string, t int").repartition(3)
+    got = [r.score for r in lm.backoff_scores(df, order=order).orderBy("doc_id").collect()]
+    assert np.allclose(got, [brute_scores(texts[:i] + texts[i + 1 :], [t], order, 0.4)[0] for i, t in enumerate(texts)])
+
+
+def test_backoff_edges(spark, docs, empty):
+    got = lm.backoff_scores(docs).collect()
+    assert len(got) == docs.count() and {(r.words, r.score) for r in got if r.doc_id in (2, 3, 4)} == {(0, 0.0)}
+    assert next(r.words for r in got if r.doc_id == 8) == 30_000
     assert lm.backoff_scores(empty).count() == 0
+    alone = lm.backoff_scores(spark.createDataFrame([(1, "a b a")], "doc_id long, text string")).first()
+    assert np.isclose(alone.score, 3 * math.log(0.5) + 2 * math.log(0.4))
 
 
 def test_ngram_hashes():
