@@ -1,8 +1,9 @@
 """Stupid-backoff scores.
 
-The n-grams of the texts are exploded to rows (n-gram's hash, batch, how often), each batch's distinct ones once. Grouped by hash they are the count
-table; joined to it by hash, the rows bring the counts back to their batches, where they are summed for each document. A frequent n-gram is one
-row of a batch, however many documents hold it, so no hash grows with it; one that no other batch has needs no count from elsewhere.
+The texts' n-grams are exploded batch by batch, each batch's distinct ones once, and dealt by ranges of their hash. A range gathers its part of the
+count table and joins the batches' n-grams to it; the counts go back to their batches, where they are summed for each document. A frequent
+n-gram is one entry of a batch, however many documents hold it, so no range grows with it. N-grams travel as sorted arrays, one row for
+each batch and range that has any (so never more rows than n-grams): as a row each they take 7 times the input on disk.
 
 S(w | h) = count(h w) / count(h) if the n-gram h w was seen, else alpha * S(w | shorter h); for single words count(w) / words. The score of
 a document is the sum of log S over its words, each with as much history as the document has before it, up to order - 1 words.
@@ -27,7 +28,7 @@ from graticula.llm.common import shuffle_partitions
 from graticula.llm.ngrams import hashed, inside, ngram_hashes
 
 BATCH_BYTES = 6_000_000
-#: The n-gram of no words: its count is the number of words.
+#: Stands where no n-gram ends.
 NOTHING = np.uint64(0)
 
 
@@ -54,41 +55,86 @@ def _texts(column: pa.ChunkedArray) -> pa.StringArray:
     return texts.fill_null("").cast(pa.string())
 
 
-def dealt(df: DataFrame, doc_id: str | None, text: str) -> DataFrame:
-    """doc_id, t and batch: rows in batches of about BATCH_BYTES, whatever their texts and ids."""
+def dealt(df: DataFrame, doc_id: str | None, text: str) -> tuple[DataFrame, int]:
+    """doc_id, t and batch: rows in batches of about BATCH_BYTES, whatever their texts and ids; and the bytes of all texts."""
     t = F.col(f"`{text}`")
     size = df.agg(F.sum(F.octet_length(t))).first()[0] or 0
     number = F.xxhash64(F.monotonically_increasing_id())  # of a scan: the same each time
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id") if doc_id else F.lit(None).alias("doc_id"), t.alias("t"), F.pmod(number, F.lit(max(1, size // BATCH_BYTES))).cast("int").alias("batch"))
+    batch = F.pmod(number, F.lit(max(1, size // BATCH_BYTES))).cast("int")
+    return df.select((F.col(f"`{doc_id}`") if doc_id else F.lit(0)).alias("doc_id"), t.alias("t"), batch.alias("batch")), size
 
 
-def exploded(batches: DataFrame, order: int, times: bool = True, asks: bool = True) -> DataFrame:
-    """gram, batch, times: the distinct n-grams of each batch; times 0 without `times`, batch null without `asks`."""
+def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where in sorted hashes each of the equal hash ranges begins, and the end."""
+    limits = np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(h, limits), [len(h)]))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all the lowest bytes first, so that leading zeros compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def exploded(batches: DataFrame, order: int, buckets: int, train: bool = True, asks: bool = True) -> DataFrame:
+    """bucket, batch, words, grams, times: for each batch and hash range the distinct n-grams.
+
+    words: of the whole batch, in its first range; times: how often each occurs, if it is trained on; batch: null unless it asks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         grams, counts = _grams(_texts(table.column("t")), order)
         found, n = np.unique(np.concatenate(grams), return_counts=True)
         if len(found) and found[0] == NOTHING:
             found, n = found[1:], n[1:]
-        found, n = np.concatenate(([NOTHING], found)), np.concatenate(([counts.sum()], n))
-        batch = pa.array(np.full(len(found), table.column("batch")[0].as_py(), np.int32)) if asks else pa.nulls(len(found), pa.int32())
-        return pa.table({"gram": found.view(np.int64), "batch": batch, "times": n if times else np.zeros(len(n), np.int64)})
-
-    return batches.groupBy("batch").applyInArrow(run, "gram long, batch int, times long")
-
-
-def summed(texts: pa.StringArray, order: int, alpha: float, known: np.ndarray, count: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """words and score of each text; known: hashes of n-grams, ascending, and their counts. leave_out: less a text's own n-grams.
-
-    With leave_out, an n-gram that is not known occurs in these texts only.
+        edge = _ranges(found, buckets)
+        some = [b for b in range(buckets) if not b or edge[b] < edge[b + 1]]
+        parts = [slice(edge[b], edge[b + 1]) for b in some]
+        return pa.table({
+            "bucket": pa.array(some, pa.int32()),
+            "batch": pa.array([table.column("batch")[0].as_py() if asks else None] * len(some), pa.int32()),
+            "words": pa.array([int(counts.sum()) if train and not b else 0 for b in some], pa.int64()),
+            "grams": pa.array([_planes(np.diff(found[p], prepend=NOTHING)) for p in parts], pa.binary()),
+            "times": pa.array([_planes(n[p]) if train else None for p in parts], pa.binary()),
+        })
+
+    return batches.groupBy("batch").applyInArrow(run, "bucket int, batch int, words long, grams binary, times binary")
+
+
+def joined(table: pa.Table) -> pa.Table:
+    """The n-grams of a hash range, joined to their count table: bucket, batch, words, counts in the order of each batch's n-grams."""
+    grams = [np.cumsum(_from_planes(g), dtype=np.uint64) for g in table.column("grams").to_pylist()]
+    times = [None if t is None else _from_planes(t).astype(np.int64) for t in table.column("times").to_pylist()]
+    flat = np.concatenate([g for g, t in zip(grams, times, strict=True) if t is not None] or [np.zeros(0, np.uint64)])
+    known, where = np.unique(flat, return_inverse=True)
+    count = np.bincount(where, np.concatenate([t for t in times if t is not None] or [np.zeros(0)]), len(known)).astype(np.int64)
+    words = sum(table.column("words").to_pylist())
+    out = []
+    for g, batch in zip(grams, table.column("batch").to_pylist(), strict=True):
+        if batch is not None:
+            at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+            out.append((batch, _planes(np.where(known[at] == g, count[at], 0) if len(known) else np.zeros(len(g), np.int64))))
+    return pa.table({
+        "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()),
+        "batch": pa.array([b for b, _ in out], pa.int32()),
+        "words": pa.array([words] * len(out), pa.int64()),
+        "counts": pa.array([c for _, c in out], pa.binary()),
+    })
+
+
+def summed(texts: pa.StringArray, order: int, alpha: float, counts: np.ndarray, total: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """words and score of each text; counts: those of the distinct n-grams of all texts, by their hashes; total: the number of words.
+
+    leave_out: less each text's own n-grams and words.
     """
     grams, words = _grams(texts, order)
-    flat = np.concatenate(grams)
-    distinct, back, here = np.unique(flat, return_inverse=True, return_counts=True)
-    at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
-    of = np.where(known[at] == distinct, count[at], here if leave_out else 0) if len(known) else (here if leave_out else np.zeros(len(distinct), np.int64))
-    c = of[back].reshape(order, -1)
-    total = int(count[0]) if len(known) and known[0] == NOTHING else int(words.sum()) if leave_out else 0
+    distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
+    if len(distinct) and distinct[0] == NOTHING:
+        counts = np.concatenate(([0], counts))
+    c = counts[back].reshape(order, -1) if len(distinct) else np.zeros((order, 0), np.int64)
     totals = np.full(len(words), total)
     if leave_out:
         text = np.tile(np.repeat(np.arange(len(words)), words), order)
@@ -110,26 +156,30 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, order: int =
     if order < 1:
         raise ValueError("order must be at least 1")
     leave_out = train is None
-    mine = dealt(docs, doc_id, text)
+    mine, size = dealt(docs, doc_id, text)
     if leave_out:
-        rows = exploded(mine, order)
+        buckets = _buckets(docs, size)
+        asked = exploded(mine, order, buckets)
     else:
-        rows = exploded(dealt(train, None, text), order, asks=False).union(exploded(mine, order, times=False))
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "gram")  # the table and what is joined to it lie by hash
-    counts = rows.groupBy("gram").agg(F.sum("times").alias("n"), F.count("batch").alias("batches"))
-    counts = counts.filter("batches > 1" if leave_out else "n > 0").select("gram", "n")
-    replies = rows.filter("batch is not null").join(counts, "gram").select("batch", "gram", "n")
+        other, more = dealt(train, None, text)
+        buckets = _buckets(docs, size + more)
+        asked = exploded(other, order, buckets, asks=False).union(exploded(mine, order, buckets, train=False))
+    replies = asked.groupBy("bucket").applyInArrow(joined, "bucket int, batch int, words long, counts binary")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
-        known = got.column("gram").to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        words, score = summed(_texts(table.column("t")), order, alpha, known[by], got.column("n").to_numpy()[by], leave_out)
+        got = got.sort_by("bucket")
+        counts = np.concatenate([_from_planes(c) for c in got.column("counts").to_pylist()] or [np.zeros(0)]).astype(np.int64)
+        words, score = summed(_texts(table.column("t")), order, alpha, counts, max(got.column("words").to_pylist(), default=0), leave_out)
         return pa.table({"doc_id": table.column("doc_id"), "words": pa.array(words, pa.int64()), "score": pa.array(score, pa.float64())})
 
     return mine.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, words long, score double")
 
 
+def _buckets(docs: DataFrame, size: int) -> int:
+    return max(shuffle_partitions(docs.sparkSession), size // (2 * BATCH_BYTES))
+
+
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the counts of all others, with words and pairs of words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
