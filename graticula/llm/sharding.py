@@ -3,10 +3,11 @@
 Rows are shuffled by a seeded hash and ranked within their source; the fractional rank (rank - 1/2) / size of the source orders all
 rows, and the order is cut into shards of equal row counts, so every shard has the mixture of the whole. A rank is the number of
 rows in lower hash ranges of the source plus the row number in its own range, so a source with a third of all rows is ranked by
-many tasks; the global order is cut up by ranges of the fractional rank in the same way. The texts themselves are not shuffled.
+many tasks; the global order is numbered by ranges of equal size, even where all fractions are equal. The texts themselves are not shuffled.
 
 Defined cases: a null text counts as 0 bytes and has a null checksum of the empty string, 0; a null source is a source of its own;
-null and repeated ids are ordinary rows (ties are ordered by hash, id, checksum, size); an empty table gives an empty result.
+null and repeated ids are ordinary rows (ties are ordered by source, hash, id, checksum, size); very long texts are read for their
+length and checksum only; an empty table gives an empty result; further columns do not take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +17,6 @@ from pyspark.sql import functions as F
 
 from graticula.llm.common import shuffle_partitions, written
 
-#: Ranges of the fractional rank: one row each goes through the single task that sums them up.
-FRACTIONS = 4096
-
-
 def _power_of_two(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
@@ -41,18 +38,22 @@ def fractional_ranks(rows: DataFrame, stratum: Column, order: list[Column], hash
     return out.withColumn("fraction", (F.col("rank") - 0.5) / F.col("stratum_rows")).drop("__s", "__b", "__rn", "__before")
 
 
-def positions(rows: DataFrame, fraction: Column, order: list[Column]) -> DataFrame:
-    """rows with position (from 0, by fraction in [0, 1), then order) and total (the number of rows)."""
-    rows = rows.withColumn("__f", F.floor(fraction * FRACTIONS))
-    sums = rows.groupBy("__f").agg(F.count("*").alias("__n"))
-    everything = Window.orderBy("__f")  # at most FRACTIONS rows
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with position (from 0, by order) and total (the number of rows).
+
+    Ranges of the whole order, ties included, are numbered apart: as many as there are shuffle partitions, with equal shares of the rows.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "shard-ranges")
+    everything = Window.orderBy("__part")  # a row for each range
+    sums = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     sums = sums.select(
-        "__f",
+        "__part",
         (F.sum("__n").over(everything) - F.col("__n")).alias("__before"),
         F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__f").orderBy(fraction, *order)))
-    return ranked.join(sums, "__f").withColumn("position", F.col("__before") + F.col("__rn") - 1).drop("__f", "__before", "__rn")
+    ranked = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return ranked.join(sums, "__part").withColumn("position", F.col("__before") + F.col("__rn") - 1).drop("__part", "__before", "__rn")
 
 
 def interleave(docs: DataFrame, shards: int, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -73,7 +74,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, doc_id: str = "doc_i
     ties = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     bits = _power_of_two(4 * shuffle_partitions(docs.sparkSession))
     ranked = fractional_ranks(rows, F.col("stratum"), ties, F.col("hashed"), bits)
-    placed = positions(ranked, F.col("fraction"), [F.col("stratum"), F.col("hashed"), *ties])
+    placed = positions(ranked, [F.col("fraction"), F.col("stratum"), F.col("hashed"), *ties])
     shard = F.expr(f"position * {shards} div total")
     first = F.expr(f"(shard * total + {shards} - 1) div {shards}")
     out = placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first)

@@ -1,12 +1,13 @@
 """Chat formatting: tool-call linking.
 
 Calls and results are joined by (conversation, identifier), put into topological order of what they depend on, their arguments are validated
-against the tool's schema, and each call becomes one canonical JSON object. All of it is relational: an ordering round is a join
-over pointers whose length doubles, so a chain of n calls takes log n rounds, whatever conversation it is in.
+against the tool's schema, and each call becomes one canonical JSON object. All of it is relational. Where no call depends on more than one other,
+an ordering round is a join over pointers whose length doubles, so a chain of n calls takes log n rounds; else a round places all calls whose
+dependencies are placed, so there are as many rounds as the longest chain has calls.
 
 Defined cases: a call without result has a null result; results without a call are reported apart (`orphans`); repeated identifiers count
 once, by the smallest position, with `copies`; a missing dependency is ignored; calls on or after a cycle have a null level;
-arguments that are no JSON object fail validation and are kept as a JSON string; null conversations or identifiers link nothing;
+calls or results of one turn are ordered by what they hold; arguments that are no JSON object fail validation and are kept as a JSON string; null conversations or identifiers link nothing;
 an empty table gives an empty result; further columns do not take part.
 """
 
@@ -118,20 +119,36 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
 REPLY = {"reply": {"properties": {"chars": "integer", "text": "string"}, "required": ["chars", "text"]}}
 
 
+BLOCK = 1000
+
+
+def last_before(rows: DataFrame, wanted: Column, name: str) -> DataFrame:
+    """rows (conv_id, turn) with the last turn before theirs, in their conversation, of a row that is wanted.
+
+    Runs of turns are windows of their own, and carry their last such turn on: a long conversation is many tasks' work.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col("turn") / BLOCK)).withColumn("__turn", F.when(wanted, F.col("turn")))
+    blocks = rows.groupBy("conv_id", "__block").agg(F.max("__turn").alias("__last"))
+    blocks = blocks.withColumn("__carried", F.max("__last").over(Window.partitionBy("conv_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = blocks.select(F.col("conv_id").alias("__conv"), F.col("__block").alias("__of"), "__carried")
+    earlier = Window.partitionBy("conv_id", "__block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    inner = rows.withColumn("__inner", F.max("__turn").over(earlier))
+    same = inner["conv_id"].eqNullSafe(blocks["__conv"]) & inner["__block"].eqNullSafe(blocks["__of"])
+    return inner.join(blocks, same, "left").withColumn(name, F.coalesce("__inner", "__carried")).drop("__block", "__turn", "__conv", "__of", "__carried", "__inner")
+
+
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations as calls and results: a user's turn calls `reply` and depends on the user's turn before it; the next
-    assistant's turn, if no other user's turn comes first, is its result."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    users = conversations.filter("role = 'user'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    users = users.withColumn("before", F.lag("turn").over(order))
+    """Plain conversations as calls and results: a user's turn calls `reply` and depends on the last user's turn before it; an
+    assistant's turn is a result of the last user's turn before it. Rows of one turn are copies of one call; null turns are left out."""
+    user = F.col("role") == "user"
+    rows = last_before(conversations.filter("turn is not null"), user, "asked")
     name = lambda c: F.concat(F.lit("call-"), c.cast("string"))
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("chars")))
-    calls = users.select(
+    calls = rows.filter(user).select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"),
-        F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.array(name(F.col("before")))).alias("after"),
+        F.when(F.col("asked").isNull(), F.array().cast("array<string>")).otherwise(F.array(name(F.col("asked")))).alias("after"),
     )
-    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    results = conversations.withColumn("asked", asked).filter("role = 'assistant' and asked is not null")
+    results = rows.filter("role = 'assistant' and asked is not null")
     return calls, results.select("conv_id", name(F.col("asked")).alias("call_id"), "turn", F.col("text").alias("content"))
 
 
@@ -143,18 +160,18 @@ def op4_linked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_linked_calls": op4_linked_calls}
 ORACLES = {
     "op4_linked_calls": """
-WITH u AS (
-  SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL GROUP BY conv_id, turn
+WITH t AS (
+  SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked
+  FROM conversations WHERE turn IS NOT NULL
 ), calls AS (
-  SELECT conv_id, 'call-' || turn AS call_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level, text FROM u
-), asked AS (
-  SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (
-    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS call FROM conversations
+  SELECT conv_id, 'call-' || turn AS call_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level, count(*) AS copies,
+    arg_min(coalesce(text, ''), '{"text":' || to_json(coalesce(text, '')) || ',"chars":' || length(coalesce(text, ''))) AS text
+  FROM t WHERE role = 'user' AND conv_id IS NOT NULL GROUP BY conv_id, turn
 ), results AS (
-  SELECT conv_id, 'call-' || call AS call_id, min(turn) AS result_turn, arg_min(text, turn) AS content, count(*) AS results
-  FROM asked WHERE role = 'assistant' AND call IS NOT NULL GROUP BY conv_id, call
+  SELECT conv_id, 'call-' || asked AS call_id, min(turn) AS result_turn, first(text ORDER BY turn, text NULLS FIRST) AS content, count(*) AS results
+  FROM t WHERE role = 'assistant' AND asked IS NOT NULL GROUP BY conv_id, asked
 )
-SELECT c.conv_id, c.call_id, c.turn, 1::BIGINT AS copies, c.level, c.level AS position, r.result_turn, coalesce(r.results, 0) AS results, '' AS errors,
+SELECT c.conv_id, c.call_id, c.turn, c.copies, c.level, c.level AS position, r.result_turn, coalesce(r.results, 0) AS results, '' AS errors,
   '{"arguments":{"chars":' || length(c.text) || ',"text":' || to_json(c.text) || '},"id":"' || c.call_id || '","name":"reply","result":'
   || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
 FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
