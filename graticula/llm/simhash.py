@@ -395,14 +395,17 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """a, b: links between ids of docs (id, text; equal ids have equal texts) that connect all whose sets of shingle hashes have at least
     that Jaccard similarity, and no others.
 
-    Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared over their whole sets. In large groups all are compared with a few
-    first, among them those with the fewest shingles of their own, which lie in the middle of near copies; what these links
-    connect needs no pairs of its own, and all other pairs are made.
+    Similar sets share a shingle among the first of each in one order of all shingles (prefix filter). Texts that share one are compared
+    over their whole sets. In large groups all are compared with a few first, among them those with the fewest shingles of their own, which
+    lie in the middle of near copies; what these links connect needs no pairs of its own, and all other pairs are made.
     """
     prefixes = written(_prefixes(docs, shingle, similarity), "prefixes")
-    groups = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token", "n")
-    # copies that were read in different batches are one from here on; alone: how many of a text's first shingles are among those of no other
-    shared = prefixes.join(groups, "token").distinct()
+    # most shingles are in one text: only their counts are dealt out. Copies that were read in different batches are one from here on.
+    often = prefixes.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    shared = written(prefixes.join(often, "token").distinct(), "repeated-prefixes")
+    groups = shared.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    # alone: how many of a text's first shingles are among those of no other
+    shared = shared.join(groups, "token")
     alone = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 - F.count("*").over(Window.partitionBy("id"))
     shared = written(shared.withColumn("alone", alone), "shared-prefixes")
 
