@@ -78,12 +78,32 @@ def flag_check(flags: Column, mask: int) -> Column:
     return flags.bitwiseAND(F.lit(mask)) == mask
 
 
-def triangle_quality(*xy: Column) -> Column:
-    """1 for an equilateral triangle, 0 for a flat one: 4 sqrt(3) area over the sum of squared sides."""
-    x1, y1, x2, y2, x3, y3 = xy
-    area = F.abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2.0
-    squares = sum(((a - b) * (a - b) + (c - d) * (c - d) for a, b, c, d in ((x1, x2, y1, y2), (x2, x3, y2, y3), (x3, x1, y3, y1))), F.lit(0.0))
-    return F.when(squares > 0, area * (4.0 * math.sqrt(3.0)) / squares).otherwise(F.lit(0.0))
+def _shortest_to_longest(sides: list[Column]) -> Column:
+    return F.least(*sides) / F.greatest(*sides)
+
+
+def triangle_quality(*points: tuple[Column, Column]) -> tuple[Column, Column]:
+    """eta and rho of a spherical triangle (three lon, lat) by its sides as central angles in degrees.
+
+    eta: 4 sqrt(3) times the area by Heron's rule over the sum of squared sides, 1 for an equilateral and 0 for a flat triangle. rho: the
+    shortest side over the longest. Both are null for three equal points.
+    """
+    a, b, c = (F.degrees(distance(*points[k], *points[k - 2])) for k in range(3))
+    half = (a + b + c) / 2.0
+    area = F.sqrt(F.greatest(half * (half - a) * (half - b) * (half - c), F.lit(0.0)))
+    squares = a * a + b * b + c * c
+    return F.when(squares > 0, area * (4.0 * math.sqrt(3.0)) / squares), F.when(squares > 0, _shortest_to_longest([a, b, c]))
+
+
+def quad_quality(*points: tuple[Column, Column]) -> tuple[Column, Column]:
+    """eta and rho of a spherical quadrilateral: how far the corner that is least square is from flat, and the shortest side over the longest."""
+    corners = [xyz(*p) for p in points]
+    edges = [[b - a for a, b in zip(corners[k], corners[(k + 1) % 4], strict=True)] for k in range(4)]
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    turns = [F.acos(-dot(edges[k - 1], edges[k]) / F.sqrt(dot(edges[k - 1], edges[k - 1]) * dot(edges[k], edges[k]))) for k in range(4)]
+    worst = F.greatest(*(F.abs(t - math.pi / 2) for t in turns))
+    sides = [distance(*points[k], *points[(k + 1) % 4]) for k in range(4)]
+    return F.greatest(1.0 - worst * (2.0 / math.pi), F.lit(0.0)), _shortest_to_longest(sides)
 
 
 def barycentric(px: Column, py: Column, corners: list[tuple[Column, Column]]) -> tuple[Column, Column, Column]:
@@ -152,6 +172,13 @@ def _hilbert(s: SparkSession, d: str):
     return _p(s, d).select("gidx", hilbert(F.col("lon").cast("int"), (F.col("lat") + 89).cast("int"), 9).alias("key"))
 
 
+def _quality(s: SparkSession, d: str, rule, fixed: list[tuple[float, float]], last: tuple[float, float]):
+    """A shape of fixed corners and one that moves with the points."""
+    corners = [(F.lit(x), F.lit(y)) for x, y in fixed] + [(F.col("lon") / 180 + last[0], F.col("lat") / 90 + last[1])]
+    eta, rho = rule(*corners)
+    return _p(s, d).select(*_six(eta=eta, rho=rho))
+
+
 QUERIES = {
     "sf1_rotate": _rotate,
     "sf1_unrotate": _round_trip,
@@ -166,10 +193,21 @@ QUERIES = {
     "sf9_units": lambda s, d: _p(s, d).select(*_six(radians=F.radians("lon"), degrees=F.degrees(F.radians("lat")))),
     "sf11_hilbert": _hilbert,
     "sf13_pack": lambda s, d: _p(s, d).select("gidx", F.struct("lon", "lat").alias("v")).select("gidx", F.col("v.lon").alias("u"), F.col("v.lat").alias("w")),
-    "sf16_triangle_quality": lambda s, d: _p(s, d).select(*_six(quality=triangle_quality(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.col("lon") / 360, (F.col("lat") + 90) / 180))),
+    "sf16_triangle_quality": lambda s, d: _quality(s, d, triangle_quality, [(0.0, 0.0), (8.0, 1.0)], (10.0, 5.0)),
+    "sf16_quad_quality": lambda s, d: _quality(s, d, quad_quality, [(0.0, 0.0), (8.0, 1.0), (9.0, 12.0)], (-3.0, 8.0)),
     "sf17_barycentric": lambda s, d: _p(s, d).select("gidx", *((F.round(w, 6) + 0.0).alias(n) for n, w in zip("abc", barycentric(F.col("lon"), F.col("lat"), [(F.lit(0.0), F.lit(-90.0)), (F.lit(360.0), F.lit(-90.0)), (F.lit(100.0), F.lit(90.0))]), strict=True))),
     "sf20_periodic": lambda s, d: _p(s, d).select("gidx", (F.col("lon") + F.lit(360.0) * (F.col("gidx") % 3 - 1)).alias("lon")),
 }
+
+
+def _angle(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    return f"degrees(acos(least(1, sin(radians({lat1}))*sin(radians({lat2})) + cos(radians({lat1}))*cos(radians({lat2}))*cos(radians({lon1} - ({lon2}))))))"
+
+
+def _unit(lon: str, lat: str) -> str:
+    return f"[cos(radians({lon}))*cos(radians({lat})), sin(radians({lon}))*cos(radians({lat})), sin(radians({lat}))]"
+
+
 _C = "2*asin(least(sqrt(power(cos(radians(lon))*cos(radians(lat))-cos(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lon))*cos(radians(lat))-sin(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lat))-sin(radians(45.25)),2))/2,1))"
 ORACLES = {
     "sf1_rotate": f"""WITH p AS (SELECT gidx, radians(lon) AS l, radians(lat) AS b, radians(-50.0) AS t, radians(-10.0) AS o FROM {POINTS_SQL} WHERE abs(lat) < 89),
@@ -188,7 +226,13 @@ ORACLES = {
     "sf8_flags": f"SELECT gidx, ((gidx % 16)::INT | 4) AS flags, ((gidx % 16)::INT & 6) = 6 AS both FROM {POINTS_SQL}",
     "sf9_units": f"SELECT gidx, round(radians(lon),6) AS radians, round(lat,6) AS degrees FROM {POINTS_SQL}",
     "sf13_pack": f"SELECT gidx, lon AS u, lat AS w FROM {POINTS_SQL}",
-    "sf16_triangle_quality": f"SELECT gidx, round(CASE WHEN TRUE THEN abs((lat+90)/180)/2*4*sqrt(3)/(1 + power(lon/360-1,2)+power((lat+90)/180,2)*2 + power(lon/360,2)) END, 6) AS quality FROM {POINTS_SQL}",
+    "sf16_triangle_quality": f"""WITH s AS (SELECT gidx, {_angle('0', '0', '8', '1')} AS a, {_angle('8', '1', 'lon/180 + 10', 'lat/90 + 5')} AS b, {_angle('lon/180 + 10', 'lat/90 + 5', '0', '0')} AS c FROM {POINTS_SQL})
+ SELECT gidx, round(sqrt(3)*sqrt((a+b+c)*(b+c-a)*(a+c-b)*(a+b-c))/(a*a+b*b+c*c), 6) + 0.0 AS eta, round(least(a,b,c)/greatest(a,b,c), 6) + 0.0 AS rho FROM s""",
+    "sf16_quad_quality": f"""WITH p AS (SELECT gidx, lon/180 - 3 AS l, lat/90 + 8 AS b FROM {POINTS_SQL}),
+ x AS (SELECT gidx, [[1.0, 0.0, 0.0], {_unit('8', '1')}, {_unit('9', '12')}, {_unit('l', 'b')}] AS c, {_angle('0', '0', '8', '1')} AS s1, {_angle('8', '1', '9', '12')} AS s2, {_angle('9', '12', 'l', 'b')} AS s3, {_angle('l', 'b', '0', '0')} AS s4 FROM p),
+ e AS (SELECT gidx, k, list_transform(list_zip(c[k], c[(k + 2) % 4 + 1]), lambda v: v[2] - v[1]) AS u, list_transform(list_zip(c[k], c[k % 4 + 1]), lambda v: v[2] - v[1]) AS w FROM x, (SELECT unnest([1, 2, 3, 4]) AS k)),
+ a AS (SELECT gidx, max(abs(pi()/2 - acos(list_dot_product(u, w)/sqrt(list_dot_product(u, u)*list_dot_product(w, w))))) AS worst FROM e GROUP BY gidx)
+ SELECT gidx, round(greatest(1 - worst*2/pi(), 0), 6) + 0.0 AS eta, round(least(s1,s2,s3,s4)/greatest(s1,s2,s3,s4), 6) + 0.0 AS rho FROM a JOIN x USING (gidx)""",
     "sf17_barycentric": f"SELECT gidx, round(1-b-c,6) + 0.0 AS a, round(b,6) + 0.0 AS b, round(c,6) + 0.0 AS c FROM (SELECT gidx, (lat+90)/180 AS c, (lon - 100*(lat+90)/180)/360 AS b FROM {POINTS_SQL})",
     "sf20_periodic": f"SELECT gidx, lon + 360.0*(gidx % 3 - 1) AS lon FROM {POINTS_SQL}",
 }

@@ -105,7 +105,7 @@ QUERIES = {
     "udf2_for_each_value_masked": lambda s, d: for_each_value_masked(lineitem_field(s, d), F.col("ghost"), lambda v: v * 2, "value").select("gidx", "lev", "value"),
     "udf3_for_each_column": lambda s, d: for_each_column(_col(s, d), lambda a: F.transform(a, lambda x: x - F.get(a, F.lit(0))), "gidx"),
     "udf4_for_each_column_masked": lambda s, d: for_each_column(_col(s, d).filter("gidx % 10 <> 0"), lambda a: F.reverse(a), "gidx").unionByName(_col(s, d).filter("gidx % 10 = 0")),
-    "udf3_for_each_column_pandas": lambda s, d: for_each_column_pandas(_col(s, d).filter("gidx < 2000"), lambda v: v.cummax(), "gidx"),
+    "udf3_for_each_column_pandas": lambda s, d: for_each_column_pandas(_col(s, d), lambda v: v.cummax(), "gidx"),
     "udf5_parallel_for": lambda s, d: for_each_value(order_points(s, d), lambda i, x: i * 1000 + x, "gidx", "lon").select("gidx", "value"),
     "w1_stencil_frame": lambda s, d: frame(table(s, d, "supplier", "s_suppkey", "s_nationkey"), "s_nationkey", ["s_suppkey"], "s_suppkey", 1, 2).select("s_suppkey", F.array_join("stencil", ",").alias("stencil")),
     "w2_vertical_difference": lambda s, d: vertical_difference(_col(s, d), "gidx").select("gidx", "lev", F.round("difference", 6).alias("difference")),
@@ -121,7 +121,7 @@ ORACLES = {
     "udf2_for_each_value_masked": f"SELECT gidx, lev, CASE WHEN ghost THEN value ELSE value*2 END AS value FROM {FIELD_SQL}",
     "udf3_for_each_column": f"SELECT gidx, lev, value - first_value(value) OVER (PARTITION BY gidx ORDER BY lev) AS value FROM {_COL}",
     "udf4_for_each_column_masked": f"WITH c AS {_COL}, r AS (SELECT *, row_number() OVER (PARTITION BY gidx ORDER BY lev) AS a, row_number() OVER (PARTITION BY gidx ORDER BY lev DESC) AS b FROM c) SELECT x.gidx, x.lev, CASE WHEN x.gidx % 10 = 0 THEN x.value ELSE y.value END AS value FROM r x JOIN r y ON x.gidx = y.gidx AND x.a = y.b",
-    "udf3_for_each_column_pandas": f"SELECT gidx, lev, max(value) OVER (PARTITION BY gidx ORDER BY lev) AS value FROM {_COL} WHERE gidx < 2000",
+    "udf3_for_each_column_pandas": f"SELECT gidx, lev, max(value) OVER (PARTITION BY gidx ORDER BY lev) AS value FROM {_COL}",
     "udf5_parallel_for": "SELECT o_orderkey AS gidx, o_orderkey*1000 + ((o_orderkey*37)%360)::DOUBLE AS value FROM orders",
     "w1_stencil_frame": "SELECT s_suppkey, array_to_string(list(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), ',') AS stencil FROM supplier",
     "w2_vertical_difference": f"SELECT gidx, lev, round(CASE WHEN u IS NOT NULL AND p IS NOT NULL THEN (u-p)/2 WHEN u IS NOT NULL THEN u-value WHEN p IS NOT NULL THEN value-p ELSE 0 END, 6) AS difference FROM (SELECT *, lead(value) OVER w AS u, lag(value) OVER w AS p FROM {_COL} WINDOW w AS (PARTITION BY gidx ORDER BY lev))",

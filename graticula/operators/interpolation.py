@@ -160,7 +160,7 @@ def method(name: str) -> Callable[..., DataFrame]:
 
 
 def _targets(s: SparkSession, d: str) -> DataFrame:
-    return customer_points(s, d).filter("gidx % 20 = 0").select("gidx", "lon", "lat")
+    return customer_points(s, d).select("gidx", "lon", "lat")
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
@@ -192,11 +192,11 @@ def _vertical(s: SparkSession, d: str) -> DataFrame:
     return vertical_linear(levels, targets).select("row", "col", F.round("w", 6).alias("w"))
 
 
-_NEAR = f"""WITH t AS (SELECT gidx AS target, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {CUSTOMERS_SQL} WHERE gidx % 20 = 0),
+_NEAR = f"""WITH t AS (SELECT gidx AS target, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {CUSTOMERS_SQL}),
 s AS (SELECT gidx AS source, value, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {POINTS_SQL}),
 p AS (SELECT target, source, value, round(sqrt(power(t.x-s.x,2)+power(t.y-s.y,2)+power(t.z-s.z,2)),7) AS d FROM t, s),
 k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, source) AS rank FROM p)"""
-_BIL = """WITH t AS (SELECT gidx AS row, lon/5 AS u, (90-lat)/5 AS v FROM {c} WHERE gidx % 20 = 0),
+_BIL = """WITH t AS (SELECT gidx AS row, lon/5 AS u, (90-lat)/5 AS v FROM {c}),
 c AS (SELECT row, floor(u)::INT AS i, least(floor(v), 35)::INT AS j, u, v FROM t),
 e AS (SELECT row, (i+a) AS i, (j+b) AS j, (CASE WHEN a=0 THEN 1-(u-i) ELSE u-i END)*(CASE WHEN b=0 THEN 1-(v-j) ELSE v-j END) AS w FROM c, (SELECT unnest([0,1]) AS a), (SELECT unnest([0,1]) AS b))
 SELECT row, round(sum(w*(sin(radians(i*5))*cos(radians(90-j*5)) + sin(radians(90-j*5)))), 6) + 0.0 AS value FROM e GROUP BY row""".format(c=CUSTOMERS_SQL)
@@ -221,7 +221,7 @@ ORACLES = {
     "in13_vertical_linear": """WITH t AS (SELECT c_custkey AS row, (c_custkey % 113)/100.0 - 0.05 AS z FROM customer), l AS (SELECT k::BIGINT AS k, k*k*0.04 AS z FROM (SELECT unnest(range(6)) AS k)),
  e AS (SELECT row, k AS col, CASE WHEN t.z <= 0 THEN (CASE WHEN k = 0 THEN 1 ELSE 0 END) WHEN t.z >= 1 THEN (CASE WHEN k = 5 THEN 1 ELSE 0 END) WHEN t.z >= l.z THEN greatest(0, 1 - (t.z-l.z)/((k+1)*(k+1)*0.04 - l.z)) ELSE greatest(0, 1 - (l.z-t.z)/(l.z - (k-1)*(k-1)*0.04)) END AS w FROM t, l)
  SELECT row, col, round(w::DOUBLE, 6) AS w FROM e WHERE w > 1e-9""",
-    "in17_binning": f"""WITH s AS (SELECT gidx AS tgt, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {CUSTOMERS_SQL} WHERE gidx % 20 = 0),
+    "in17_binning": f"""WITH s AS (SELECT gidx AS tgt, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {CUSTOMERS_SQL}),
  t AS (SELECT gidx, value, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {POINTS_SQL}),
  n AS (SELECT gidx, value, arg_min(tgt, (round(sqrt(power(t.x-s.x,2)+power(t.y-s.y,2)+power(t.z-s.z,2)),7), tgt)) AS row FROM t, s GROUP BY gidx, value)
  SELECT row, round(avg(sqrt(value)), 6) AS value FROM n GROUP BY row""",

@@ -27,7 +27,8 @@ def chunk_sizes(n: int, parts: int) -> list[int]:
 
 def checkerboard(points: DataFrame, parts: int, nx: int, ny: int, size: int) -> DataFrame:
     """Parts in bands from north to south, each cut from west to east: bands hold points in proportion to their parts."""
-    nbands = max(1, min(parts, round(math.sqrt(parts * ny / nx))))
+    wanted = max(1, min(parts, math.floor(math.sqrt(parts * ny / nx) + 0.5)))
+    nbands = max(b for b in range(1, wanted + 1) if parts % b == 0)  # all bands have the same number of parts
     per_band = chunk_sizes(parts, nbands)
     counts = [size * p // parts for p in per_band]
     counts[-1] += size - sum(counts)

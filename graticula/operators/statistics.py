@@ -42,10 +42,21 @@ def moments(field: DataFrame, *by: str) -> DataFrame:
     return field.groupBy(*by).agg(F.avg(owned()).alias("mean"), F.stddev_pop(owned()).alias("stddev"), F.count(owned()).alias("n"))
 
 
-def exact_total(field: DataFrame, *by: str, scale: int = 6) -> DataFrame:
-    """A sum that does not depend on the order of rows: values are summed as decimals of the given scale."""
-    value = owned().cast(f"decimal(30,{scale})")
-    return field.groupBy(*by).agg(F.sum(value).cast("double").alias("total"), F.count(owned()).alias("n"))
+def exact_total(field: DataFrame, *by: str) -> DataFrame:
+    """A sum that does not depend on the order of rows, for values of any size.
+
+    Values are taken by bands of 32 powers of two. Those of a band, brought between 1 and 2 ** 32 without a loss, are summed as decimals, and
+    the few bands of a group are added from the smallest on.
+    """
+    value = owned()
+    band = F.when(value == 0, 0).otherwise(F.floor(F.log2(F.abs(value)) / 32)).cast("int")
+    unit = F.pow(F.lit(2.0), F.col("__band") * 16)  # twice: 2 ** (32 band) alone may be no double
+    scaled = (F.col("__value") / unit / unit).cast("decimal(34,16)")
+    rows = field.withColumn("__value", value).withColumn("__band", band)
+    bands = rows.groupBy(*by, "__band").agg(F.sum(scaled).cast("double").alias("__sum"), F.count("__value").alias("__n"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("__n") > 0, F.struct("__band", (F.col("__sum") * unit * unit).alias("v")))))  # some 70 bands at most
+    total = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["v"]))
+    return bands.groupBy(*by).agg(total.alias("total"), F.sum("__n").alias("n"))
 
 
 def summary(field: DataFrame) -> DataFrame:

@@ -31,14 +31,11 @@ def linear(start: float, end: float, n: int, endpoint: bool = True) -> list[floa
 
 
 def focus(start: float, end: float, n: int, factor: float) -> list[float]:
-    """Values that are denser in the middle: an arc tangent, by the focus factor."""
-    mid, half = (start + end) / 2, (end - start) / 2
-    unit = [2.0 * k / (n - 1) - 1.0 for k in range(n)] if n > 1 else [0.0]
-    c = math.atan(factor) if factor else 0.0
-    out = [mid + half * (math.tan(u * c) / factor if factor else u) for u in unit]
-    if n > 1:
-        out[0], out[-1] = start, end
-    return out
+    """Values that are denser around the middle for a factor above 1: a tangent's steps are flattened by it and turned back."""
+    if n == 1:
+        return [(start + end) / 2]
+    tangents = [math.tan(math.pi * (k / (n - 1) - 0.5)) for k in range(1, n - 1)]
+    return [start, *((start + end) / 2 + (end - start) * math.atan(t / factor) / math.pi for t in tangents), end]
 
 
 def gaussian_latitudes(n: int) -> list[float]:
@@ -105,7 +102,9 @@ def healpix(spark: SparkSession, n: int) -> DataFrame:
             z, start = (z if r < 2 * n else -z), 45.0 / ring
         else:
             z, nx = (4.0 * n - 2.0 * r) / (3.0 * n), 4 * n
-            start = 45.0 / n if (r - n) % 2 == 0 else 0.0
+            # every other ring is turned by half a step; on the equator an odd n begins at 0
+            odd = (min(r, 4 * n - r) - n) % 2
+            start = 45.0 * (1 + odd) / n if r != 2 * n else 45.0 * (1 - odd) / n
         rows.append((math.degrees(math.asin(z)), nx, start, 360.0 / nx))
     return from_rows(spark, rows)
 
@@ -246,7 +245,9 @@ QUERIES = {
     "g4_regular_lonlat": lambda s, d: _ll(grid(s, "L48x37")),
     "g5_shifted_lonlat": lambda s, d: _ll(grid(s, "S80x40")),
     "g5_shifted_lon": lambda s, d: _ll(grid(s, "Slon40x21")),
-    "g6_healpix": lambda s, d: row_offsets(grid(s, "H12")),
+    "g6_healpix": lambda s, d: _r(grid(s, "H12").select("gidx", "lon", "lat")),
+    "g6_healpix_odd": lambda s, d: _r(grid(s, "H5").select("gidx", "lon", "lat")),
+    "g19_focus": lambda s, d: _r(s.createDataFrame(list(enumerate(focus(0.0, 1.0, 9, 4.0))), "k int, value double")),
     "g7_cubed_sphere": lambda s, d: cubed_sphere(s, 8).groupBy("tile").agg(F.count("*").alias("n"), (F.round(F.sum(F.sin(F.radians("lat"))), 6) + 0.0).alias("z")),
     "g9_regional": lambda s, d: _ll(regional(s, 10.0, 60.0, 0.5, 0.25, 20, 10)),
     "g9_zonal_band": lambda s, d: _count(zonal_band(s, 36, 5, -20.0, 20.0)),
@@ -259,6 +260,12 @@ QUERIES = {
     "g23_vortex_rollup": lambda s, d: _r(grid(s, "L36x19").select("gidx", vortex_rollup(F.col("lon"), F.col("lat"), 0.0).alias("value"))),
 }
 _P36 = "(SELECT j*36+i AS gidx, radians(i*10.0) AS a, radians(90-j*10.0) AS b FROM (SELECT unnest(range(36)) AS i), (SELECT unnest(range(19)) AS j))"
+# rings by their distance q from the nearer pole; the belt's rings begin at 45/n and 90/n in turn, the equator at 45/n or 0
+_HEALPIX = """WITH r AS (SELECT r, least(r, 4*{n} - r) AS q FROM (SELECT unnest(range(1, 4*{n})) AS r)),
+s AS (SELECT r, CASE WHEN q < {n} THEN 4*q ELSE 4*{n} END AS nx, CASE WHEN q < {n} THEN 45.0/q WHEN q = 2*{n} THEN CASE WHEN {n} % 2 = 0 THEN 45.0/{n} ELSE 0 END
+  WHEN (q - {n}) % 2 = 0 THEN 45.0/{n} ELSE 90.0/{n} END AS start, CASE WHEN r > 2*{n} THEN -1 ELSE 1 END * CASE WHEN q < {n} THEN 1 - q*q/(3.0*{n}*{n}) ELSE (4.0*{n} - 2.0*q)/(3*{n}) END AS z FROM r),
+f AS (SELECT *, sum(nx) OVER (ORDER BY r) - nx AS before FROM s)
+SELECT (before + i)::BIGINT AS gidx, round((start + i*360.0/nx)::DOUBLE, 6) + 0.0 AS lon, round(degrees(asin(z::DOUBLE)), 6) + 0.0 AS lat FROM f, (SELECT unnest(range(4*{n})) AS i) WHERE i < nx"""
 ORACLES = {
     "g1_reduced_gaussian": "SELECT j::INT AS j, nx::BIGINT AS nx, \"first\"::BIGINT AS \"first\" FROM (VALUES (0,4,0),(1,8,4),(2,8,12),(3,4,20)) t(j,nx,\"first\")",
     "g2_octahedral": "SELECT j::INT AS j, nx, (sum(nx) OVER (ORDER BY j) - nx)::BIGINT AS \"first\" FROM (SELECT j, 20 + 4*least(j, 63-j) AS nx FROM (SELECT unnest(range(64)) AS j))",
@@ -266,7 +273,9 @@ ORACLES = {
     "g4_regular_lonlat": _LL.format(nx=48, ny=37, sx="0.0", north="90.0", dy="5.0"),
     "g5_shifted_lonlat": _LL.format(nx=80, ny=40, sx="2.25", north="87.75", dy="4.5"),
     "g5_shifted_lon": _LL.format(nx=40, ny=21, sx="4.5", north="90.0", dy="9.0"),
-    "g6_healpix": "SELECT j::INT AS j, nx, (sum(nx) OVER (ORDER BY j) - nx)::BIGINT AS \"first\" FROM (SELECT r-1 AS j, 4*least(r, 48-r, 12) AS nx FROM (SELECT unnest(range(1, 48)) AS r))",
+    "g6_healpix": _HEALPIX.format(n=12),
+    "g6_healpix_odd": _HEALPIX.format(n=5),
+    "g19_focus": "SELECT k::INT AS k, round(CASE WHEN k = 0 THEN 0.0 WHEN k = 8 THEN 1.0 ELSE 0.5 + atan(tan(pi()/2*(-1 + k/4.0))/4)/pi() END, 6) AS value FROM (SELECT unnest(range(9)) AS k)",
     "g7_cubed_sphere": "WITH c AS (SELECT tile, CASE WHEN tile < 4 THEN b WHEN tile = 4 THEN 1 ELSE -1 END / sqrt(1+a*a+b*b) AS z FROM (SELECT unnest(range(6)) AS tile), (SELECT tan(((i+0.5)/8*2-1)*pi()/4) AS a FROM (SELECT unnest(range(8)) AS i)), (SELECT tan(((j+0.5)/8*2-1)*pi()/4) AS b FROM (SELECT unnest(range(8)) AS j))) SELECT tile::INT AS tile, count(*) AS n, round(sum(z), 6) + 0.0 AS z FROM c GROUP BY tile",
     "g9_regional": "SELECT j*20+i AS gidx, i::INT AS i, j::INT AS j, (10 + i*0.5)::DOUBLE AS lon, (60 - j*0.25)::DOUBLE AS lat FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(10)) AS j)",
     "g9_zonal_band": "SELECT 180::BIGINT AS points, 5::BIGINT AS rows",

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the folder that spark.checkpoint.dir names."""
+    """A new folder name in the folder that spark.checkpoint.dir names. Only a local session may leave it unset: it gets a folder of its own then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="graticula-")
@@ -30,7 +33,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_record(fields: dict[str, DataFrame], path: str, mode: str = "error", compression: str = "zstd") -> None:
-    """Each field goes to path/name; their schemas, row counts and checksums to path/_index, a row for each."""
+    """Each field goes to path/name; their schemas, row counts and checksums to path/_index, a row for each.
+
+    mode: error, overwrite or append. What is appended counts with what was there, and the index keeps the fields that are not written now.
+    """
     spark, rows = None, []
     for name, df in fields.items():
         spark = df.sparkSession
@@ -39,7 +45,14 @@ def write_record(fields: dict[str, DataFrame], path: str, mode: str = "error", c
         c = checksum(back, back.columns).first()
         rows.append((name, json.dumps(back.dtypes), c["n"], c["added"] or 0, c["mixed"] or 0))
     if rows:
-        spark.createDataFrame(rows, "name string, columns string, n long, added long, mixed long").coalesce(1).write.mode(mode).parquet(f"{path}/_index.parquet")
+        if mode == "append":
+            try:
+                before = spark.read.parquet(f"{path}/_index.parquet").collect()  # a row for each field
+            except AnalysisException:  # the first part
+                before = []
+            rows += [tuple(r) for r in before if r["name"] not in fields]
+        index = spark.createDataFrame(rows, "name string, columns string, n long, added long, mixed long").coalesce(1)
+        index.write.mode("overwrite" if mode == "append" else mode).parquet(f"{path}/_index.parquet")
 
 
 def read_field(spark: SparkSession, path: str, name: str, *columns: str) -> DataFrame:
@@ -150,9 +163,12 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
 
 def _appended(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "record")
+    points = order_points(s, d).select("gidx", "value")
     for k in range(2):
-        order_points(s, d).filter(F.col("gidx") % 2 == k).select("gidx", "value").write.mode("append").parquet(path)
-    return s.read.parquet(path)
+        write_record({"points": points.filter(F.col("gidx") % 2 == k)}, path, mode="append")
+    write_record({"events": table(s, d, "events", "event_id", "value")}, path, mode="append")
+    whole = verify(s, path).agg(F.count_if("ok").alias("fields_ok"))
+    return read_field(s, path, "points").join(F.broadcast(whole))  # one row
 
 
 def _text(s: SparkSession, d: str) -> DataFrame:
@@ -181,7 +197,7 @@ QUERIES = {
 }
 ORACLES = {
     "io1_record_round_trip": "SELECT o_orderkey AS gidx, o_totalprice AS value FROM orders",
-    "io2_record_append": "SELECT o_orderkey AS gidx, o_totalprice AS value FROM orders",
+    "io2_record_append": "SELECT o_orderkey AS gidx, o_totalprice AS value, 2::BIGINT AS fields_ok FROM orders",
     "io5_linked_records": "SELECT o_orderkey AS gidx FROM orders",
     "io8_record_checksums": "SELECT * FROM (VALUES ('points', true), ('events', true)) t(name, ok)",
     "io11_gmsh_round_trip": "SELECT (j*8+i)::BIGINT AS cell, 3 AS type, concat_ws(',', (j+1)*8+i, (j+1)*8+(i+1)%8, j*8+(i+1)%8, j*8+i) AS nodes FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(4)) AS j)",
