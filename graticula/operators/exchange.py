@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graticula.sources.records import scratch
 from graticula.sources.tables import order_points, table
 
 
@@ -74,15 +75,20 @@ def offsets(counts: DataFrame, group: str, count: str) -> DataFrame:
 
 
 def renumber(rows: DataFrame, uid: str, new: str = "number") -> DataFrame:
-    """Dense numbers from 1 by ascending uid, equal uids alike.
+    """Dense numbers from 1 by ascending uid, equal uids alike; rows without a uid have no number and are left out.
 
-    Distinct uids are ranked within ranges of their value and shifted by the counts before, so ranking is not one task's work.
+    Distinct uids are dealt into as many ranges of equal share as there are shuffle partitions, whatever their values; each range is
+    numbered by itself and shifted by the counts before. The ranges are written, so that all that is counted sees the same ones.
     """
-    width = 1 << 20
-    ids = rows.select(uid).distinct().withColumn("__band", F.floor(F.col(uid) / width))
-    sizes = ids.groupBy("__band").agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__band", (F.sum("__n").over(Window.orderBy("__band")) - F.col("__n")).alias("__before"))
-    ranked = ids.withColumn("__r", F.row_number().over(Window.partitionBy("__band").orderBy(uid))).join(sizes, "__band")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "numbering")
+    ids = rows.select(uid).dropna().distinct().repartitionByRange(parts, uid)
+    ids.withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    ids = spark.read.parquet(path)
+    sizes = ids.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    sizes = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    ranked = ids.withColumn("__r", F.row_number().over(Window.partitionBy("__range").orderBy(uid))).join(sizes, "__range")
     return rows.join(ranked.select(uid, (F.col("__before") + F.col("__r")).alias(new)), uid)
 
 

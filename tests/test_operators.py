@@ -278,3 +278,14 @@ def test_checkerboard_bands_have_equal_parts(spark):
     for parts in (6, 7, 10, 12):
         sizes = [r["count"] for r in partition.checkerboard(p, parts, 50, 20, 1000).groupBy("part").count().collect()]
         assert len(sizes) == parts and max(sizes) - min(sizes) <= parts
+
+
+def test_numbers_of_sparse_keys(spark):
+    rng = np.random.default_rng(3)
+    keys = [int(k) for k in rng.integers(0, 1 << 60, 400)] * 2 + [-5, 7]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "uid long, row long")
+    number = {k: n for n, k in enumerate(sorted(set(keys)), 1)}
+    got = exchange.renumber(df, "uid").collect()
+    assert len(got) == len(keys) and all(r.number == number[r.uid] for r in got)
+    assert exchange.renumber(df.filter("false"), "uid").count() == 0
+    assert exchange.renumber(df, "uid").select("number").distinct().count() == len(number)
