@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a local session may leave it unset: it gets one of its own then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = kept(f"folder of {spark.sparkContext.applicationId}", lambda: tempfile.mkdtemp(prefix="graticula-"))
     return folder.rstrip("/")
