@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from graticula.functions import geometry, projections
-from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, polygons, search, sparse, spectral, statistics
+from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, polygons, search, sparse, spectral, statistics, structured
 from graticula.sources import grids, records
 from graticula.streaming import windows
 
-MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, mesh, polygons, fvm, spectral, records, windows)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, structured, mesh, polygons, fvm, spectral, records, windows)
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graticula.functions.geometry import course
 from graticula.operators.search import nearest
 from graticula.operators.sparse import apply, normalised, transpose
+from graticula.operators.structured import structured_weights
 from graticula.sources.grids import regular_lonlat
 from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points
 
@@ -145,9 +146,12 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "k-nearest-neighbours": k_nearest,
     "grid-box-average": grid_box_average,
     "binning": binning,
-    "structured-bilinear": lambda targets, nx, ny: structured(targets, nx, ny, "bilinear"),
-    "structured-bicubic": lambda targets, nx, ny: structured(targets, nx, ny, "bicubic"),
-    "structured-biquasicubic": lambda targets, nx, ny: structured(targets, nx, ny, "biquasicubic"),
+    "structured-bilinear": lambda source, target: structured_weights(target, source, "bilinear"),
+    "regular-bilinear": lambda targets, nx, ny: structured(targets, nx, ny, "bilinear"),
+    "structured-bicubic": lambda source, target: structured_weights(target, source, "bicubic"),
+    "regular-bicubic": lambda targets, nx, ny: structured(targets, nx, ny, "bicubic"),
+    "structured-biquasicubic": lambda source, target: structured_weights(target, source, "biquasicubic"),
+    "regular-biquasicubic": lambda targets, nx, ny: structured(targets, nx, ny, "biquasicubic"),
 }
 ALIASES = {"bilinear": "structured-bilinear", "bicubic": "structured-bicubic", "biquasicubic": "structured-biquasicubic", "knn": "k-nearest-neighbours"}
 
