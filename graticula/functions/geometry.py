@@ -133,6 +133,26 @@ def hilbert(x: Column, y: Column, order: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)), state, step, lambda acc: acc["d"])
 
 
+def domain_hilbert(x: Column, y: Column, west: float, east: float, south: float, north: float, levels: int = 15) -> Column:
+    """Place of a point on two Hilbert curves side by side, one for each half of a box twice as wide as high, west half first.
+
+    A curve runs from the half's north-west corner down and up again to its north-east one, through 4**levels cells.
+    """
+    half = (x >= (west + east) / 2).cast("long")
+    cells = 2**levels
+    along = (x - west) / ((east - west) / 2) - half
+    cell = lambda c: F.least(F.greatest(F.floor(c * cells), F.lit(0)), F.lit(cells - 1))
+    return hilbert(cell(along), cell((north - y) / (north - south)), levels) + half * 4**levels
+
+
+def torus(x: Column, y: Column, west: float, east: float, south: float, north: float, nx: int, ny: int, major: float = 2.0, minor: float = 1.0) -> tuple[Column, Column, Column]:
+    """A plane of nx by ny points, doubly periodic, on a ring: x goes round the ring, y round its tube."""
+    a = -math.pi + (x - west) * (2 * math.pi * (nx - 1) / nx / (east - west))
+    b = -math.pi + (y - south) * (2 * math.pi * (ny - 1) / ny / (north - south))
+    reach = major + minor * F.cos(b)
+    return F.cos(a) * reach, F.sin(a) * reach, F.sin(b) * minor
+
+
 def _p(s: SparkSession, d: str):
     return order_points(s, d).select("gidx", "lon", "lat")
 
@@ -179,7 +199,14 @@ def _quality(s: SparkSession, d: str, rule, fixed: list[tuple[float, float]], la
     return _p(s, d).select(*_six(eta=eta, rho=rho))
 
 
+def _torus(s: SparkSession, d: str):
+    x, y, z = torus(F.col("lon"), F.col("lat"), 0.0, 359.0, -89.0, 89.0, 360, 179)
+    return _p(s, d).select(*_six(x=x, y=y, z=z))
+
+
 QUERIES = {
+    "me7_torus": _torus,
+    "sf11_domain_hilbert": lambda s, d: _p(s, d).select("gidx", domain_hilbert(F.col("lon"), F.col("lat"), 0.0, 360.0, -90.0, 90.0, 10).alias("key")),
     "sf1_rotate": _rotate,
     "sf1_unrotate": _round_trip,
     "sf2_lonlat_to_xyz": _xyz,
@@ -210,6 +237,7 @@ def _unit(lon: str, lat: str) -> str:
 
 _C = "2*asin(least(sqrt(power(cos(radians(lon))*cos(radians(lat))-cos(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lon))*cos(radians(lat))-sin(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lat))-sin(radians(45.25)),2))/2,1))"
 ORACLES = {
+    "me7_torus": f"SELECT gidx, round(cos(a)*(2+cos(b)), 6) + 0.0 AS x, round(sin(a)*(2+cos(b)), 6) + 0.0 AS y, round(sin(b), 6) + 0.0 AS z FROM (SELECT gidx, -pi() + lon*2*pi()/360 AS a, -pi() + (lat+89)*2*pi()/179 AS b FROM {POINTS_SQL})",
     "sf1_rotate": f"""WITH p AS (SELECT gidx, radians(lon) AS l, radians(lat) AS b, radians(-50.0) AS t, radians(-10.0) AS o FROM {POINTS_SQL} WHERE abs(lat) < 89),
  v AS (SELECT gidx, t, o, cos(l)*cos(b) AS x, sin(l)*cos(b) AS y, sin(b) AS z FROM p),
  r AS (SELECT gidx, cos(t)*cos(o)*x + sin(o)*y - sin(t)*cos(o)*z AS x, sin(t)*x + cos(t)*z AS z FROM v)

@@ -43,8 +43,10 @@ def missing_keys(keys: DataFrame, distribution: DataFrame, key: str = "gidx") ->
 
 
 def local_index(points: DataFrame, part: str = "part", key: str = "gidx") -> DataFrame:
-    """remote index: the row's place in its part, from 0, in key order."""
-    return points.withColumn("ridx", (F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1).cast("long"))
+    """remote index: the place of the row's key in its part, from 0, in key order; a part of any size is numbered by ranges."""
+    numbers = renumber(points.withColumn("__uid", F.struct(F.col(part).alias("p"), F.col(key).alias("k"))), "__uid", "ridx").drop("__uid")
+    starts = numbers.groupBy(part).agg(F.min("ridx").alias("__start"))  # a row for each part
+    return numbers.join(F.broadcast(starts), part).withColumn("ridx", F.col("ridx") - F.col("__start")).select(*points.columns, "ridx")
 
 
 def gather(rows: DataFrame, key: str = "gidx", ghost: str | None = "ghost") -> DataFrame:
@@ -92,6 +94,20 @@ def renumber(rows: DataFrame, uid: str, new: str = "number") -> DataFrame:
     return rows.join(ranked.select(uid, (F.col("__before") + F.col("__r")).alias(new)), uid)
 
 
+def running(rows: DataFrame, key: str, amount: str, new: str) -> DataFrame:
+    """rows with the sum of an amount over all rows before, in the order of a unique key: sums within ranges of equal share, shifted by the sums
+    of the ranges before. The ranges are written, as in `renumber`."""
+    spark = rows.sparkSession
+    path = scratch(spark, "running")
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    sizes = dealt.groupBy("__range").agg(F.sum(amount).alias("__n"))  # a row for each range
+    sizes = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__r", inside).join(F.broadcast(sizes), "__range").withColumn(new, F.col("__before") + F.col("__r")).drop("__range", "__r", "__before")
+
+
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

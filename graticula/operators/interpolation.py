@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.functions.geometry import course
+from graticula.operators.elements import finite_element
 from graticula.operators.search import nearest
 from graticula.operators.sparse import apply, normalised, transpose
 from graticula.operators.structured import structured_weights
@@ -99,11 +100,19 @@ def box_area(west: Column, east: Column, south: Column, north: Column) -> Column
     return F.radians(east - west) * (F.sin(F.radians(north)) - F.sin(F.radians(south)))
 
 
-def grid_box_average(source: DataFrame, target: DataFrame, tile: float = 30.0) -> DataFrame:
+def box_tile(*boxes: DataFrame) -> float:
+    """Degrees of a lon-lat tile for boxes (west, east, south, north): twice the mean of their longer sides, so a tile meets a few boxes."""
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    means = [b.agg(F.avg(side)).first()[0] or 0.0 for b in boxes]
+    return min(30.0, max(1e-4, 2.0 * max(means, default=0.0)))
+
+
+def grid_box_average(source: DataFrame, target: DataFrame, tile: float | None = None) -> DataFrame:
     """w = overlap area / area of the target's box; boxes meet by an equi-join on lon-lat tiles, also across the date line.
 
-    Each overlap is counted in the tile that holds its south-west corner.
+    Each overlap is counted in the tile that holds its south-west corner. Tiles follow the size of the boxes if they are not given.
     """
+    tile = tile or box_tile(source, target)
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
     s = source.select(F.col("gidx").alias("col"), "south", "north", F.inline(F.array(*(F.struct((F.col("west") + k).alias("west"), (F.col("east") + k).alias("east")) for k in (-360.0, 0.0, 360.0)))))
     s = s.withColumn("tx", tiles("west", "east")).withColumn("ty", tiles("south", "north"))
@@ -146,6 +155,7 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "k-nearest-neighbours": k_nearest,
     "grid-box-average": grid_box_average,
     "binning": binning,
+    "finite-element": finite_element,
     "structured-bilinear": lambda source, target: structured_weights(target, source, "bilinear"),
     "regular-bilinear": lambda targets, nx, ny: structured(targets, nx, ny, "bilinear"),
     "structured-bicubic": lambda source, target: structured_weights(target, source, "bicubic"),
@@ -217,7 +227,12 @@ QUERIES = {
     "in14_limiter": lambda s, d: limited(structured(_targets(s, d), 72, 37, "bicubic"), _plane(s, 72, 37, _wave), structured(_targets(s, d), 72, 37, "bilinear")).select("row", (F.round("value", 6) + 0.0).alias("value")),
     "in17_binning": lambda s, d: apply(binning(nearest_neighbour(_targets(s, d), _points(s, d), 7)), order_points(s, d).select("gidx", F.sqrt("value").alias("value"))).select("row", F.round("value", 6).alias("value")),
 }
+_BOXES = """WITH s AS (SELECT (j*36+i)::BIGINT AS col, i*10.0::DOUBLE + o - 5 AS w, i*10.0::DOUBLE + o + 5 AS e, greatest(90.0::DOUBLE - j*10 - 5, -90) AS b, least(90.0::DOUBLE - j*10 + 5, 90) AS t, i*10.0::DOUBLE + 2*(90 - j*10) AS value FROM (SELECT unnest(range(36)) AS i), (SELECT unnest(range(19)) AS j), (SELECT unnest([-360, 0, 360]) AS o)),
+t AS (SELECT (j*24+i)::BIGINT AS row, i*15.0::DOUBLE - 7.5 AS w, i*15.0::DOUBLE + 7.5 AS e, greatest(90.0::DOUBLE - j*15 - 7.5, -90) AS b, least(90.0::DOUBLE - j*15 + 7.5, 90) AS t FROM (SELECT unnest(range(24)) AS i), (SELECT unnest(range(13)) AS j)),
+p AS (SELECT row, value, (least(s.e, t.e) - greatest(s.w, t.w))*(sin(radians(least(s.t, t.t))) - sin(radians(greatest(s.b, t.b))))/((t.e - t.w)*(sin(radians(t.t)) - sin(radians(t.b)))) AS part FROM s JOIN t ON least(s.e, t.e) > greatest(s.w, t.w) AND least(s.t, t.t) > greatest(s.b, t.b))"""
 ORACLES = {
+    "in3_grid_box_average": f"{_BOXES} SELECT row, round(sum(part*value), 6) + 0.0 AS value FROM p GROUP BY row",
+    "in4_grid_box_maximum": f"{_BOXES} SELECT row, max(value) AS value FROM p GROUP BY row",
     "in1_nearest_neighbour": f"{_NEAR} SELECT target AS row, value FROM k WHERE rank = 1",
     "in2_k_nearest": f"{_NEAR} SELECT target AS row, round(sum(sqrt(value)/(1+d*d))/sum(1/(1+d*d)), 6) AS value FROM k WHERE rank <= 4 GROUP BY target",
     "in5_grid_boxes": "SELECT j*12+i AS gidx, round(radians(30.0)*(sin(radians(least(90-j*30+15, 90))) - sin(radians(greatest(90-j*30-15, -90)))), 6) AS area FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(7)) AS j)",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.functions.geometry import xyz
+from graticula.operators.exchange import renumber
 from graticula.sources.grids import regular_lonlat
 
 
@@ -51,12 +52,9 @@ def node_to_edges(edges: DataFrame) -> DataFrame:
 
 
 def numbered(edges: DataFrame) -> DataFrame:
-    """Edge ids from 0 by (n0, n1): counts before the first node, then a rank at the node."""
-    sizes = edges.groupBy(F.floor(F.col("n0") / 10_000).alias("band")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("band", (F.sum("n").over(Window.orderBy("band")) - F.col("n")).alias("base"))
-    e = edges.withColumn("band", F.floor(F.col("n0") / 10_000))
-    r = F.row_number().over(Window.partitionBy("band").orderBy("n0", "n1")) - 1
-    return e.withColumn("__r", r).join(sizes, "band").withColumn("edge", F.col("base") + F.col("__r")).drop("band", "base", "__r")
+    """Edge ids from 0 by (n0, n1), by ranges of equal share."""
+    e = renumber(edges.withColumn("__uid", F.struct("n0", "n1")), "__uid", "edge")
+    return e.withColumn("edge", F.col("edge") - 1).drop("__uid")
 
 
 def cell_centres(cells: DataFrame, nodes: DataFrame) -> DataFrame:

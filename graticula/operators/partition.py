@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graticula.operators.exchange import renumber
 from graticula.sources.tables import POINTS_SQL, order_points
 
 
@@ -39,7 +40,7 @@ def _cut(points: DataFrame, per_band: list[int], counts: list[int], exact: list[
     """Band by rank from north to south, then part by rank from west to east inside the band; both ranks are taken by ranges."""
     y, x = -F.col("lat"), F.col("lon")
     spark = points.sparkSession
-    r = ranked(points, y, [x, F.col("gidx")], "__rank")
+    r = ranked(points, [y, x, F.col("gidx")], "__rank")
     edges, acc = [], 0
     for b, c in enumerate(counts):
         edges.append((b, acc, acc + c))
@@ -48,7 +49,12 @@ def _cut(points: DataFrame, per_band: list[int], counts: list[int], exact: list[
     for b, lo, hi in reversed(edges):
         band = F.when((F.col("__rank") >= lo) & (F.col("__rank") < hi), F.lit(b)).otherwise(band)
     r = r.withColumn("__band", band)
-    inner = r.withColumn("__k", F.row_number().over(Window.partitionBy("__band").orderBy(x, y, "gidx")) - 1)
+    # a band holds exactly its count, so a rank over all bands is one inside the band after the edge before
+    inner = ranked(r, [F.col("__band"), x, y, F.col("gidx")], "__k")
+    start = F.lit(0)
+    for b, lo, _ in edges:
+        start = F.when(F.col("__band") == b, F.lit(lo)).otherwise(start)
+    inner = inner.withColumn("__k", F.col("__k") - start)
     rows, first = [], 0
     for b, (p, c) in enumerate(zip(per_band, counts, strict=True)):
         at = 0
@@ -61,13 +67,10 @@ def _cut(points: DataFrame, per_band: list[int], counts: list[int], exact: list[
     return inner.drop("part").join(F.broadcast(table), cond).drop("__band", "__k", "__rank", "__b", "__lo", "__hi")
 
 
-def ranked(points: DataFrame, first: Column, rest: list[Column], name: str) -> DataFrame:
-    """points with a rank from 0 by (first, *rest): counts of the distinct values of whole degrees of `first`, then a rank within each."""
-    points = points.withColumn("__g", F.floor(first))
-    sums = points.groupBy("__g").agg(F.count("*").alias("__n"))
-    sums = sums.select("__g", (F.sum("__n").over(Window.orderBy("__g")) - F.col("__n")).alias("__base"))
-    w = Window.partitionBy("__g").orderBy(first, *rest)
-    return points.withColumn("__r", F.row_number().over(w)).join(sums, "__g").withColumn(name, F.col("__base") + F.col("__r") - 1).drop("__g", "__r", "__base")
+def ranked(points: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """points with a rank from 0 by an order, by ranges of equal share whatever its values; the order must end on a unique key."""
+    keyed = points.withColumn("__key", F.struct(*(c.alias(f"k{n}") for n, c in enumerate(order))))
+    return renumber(keyed, "__key", name).withColumn(name, F.col(name) - 1).drop("__key")
 
 
 def equal_region_layout(parts: int) -> list[int]:
@@ -124,6 +127,8 @@ def _n(s: SparkSession, d: str) -> int:
 
 
 QUERIES = {
+    "pt3_checkerboard_points": lambda s, d: checkerboard(order_points(s, d), 12, 360, 179, _n(s, d)).select("gidx", "part"),
+    "pt4_equal_regions_points": lambda s, d: equal_regions(order_points(s, d), 12, _n(s, d)).select("gidx", "part"),
     "pt1_serial": lambda s, d: serial(order_points(s, d).select("gidx")),
     "pt2_bands": lambda s, d: order_points(s, d).select("gidx", bands(F.col("gidx"), 7, 20000, 16).alias("part")),
     "pt3_checkerboard": lambda s, d: checkerboard(order_points(s, d), 12, 360, 179, _n(s, d)).groupBy("part").agg(F.count("*").alias("n")),
@@ -131,7 +136,15 @@ QUERIES = {
     "pt5_equal_area": lambda s, d: order_points(s, d).select("gidx", equal_area(2).alias("part")),
     "pt9_distribution": lambda s, d: summary(order_points(s, d)),
 }
+_RANKED = f"SELECT gidx, lon, lat, row_number() OVER (ORDER BY -lat, lon, gidx) - 1 AS r, count(*) OVER () AS n FROM {POINTS_SQL}"
 ORACLES = {
+    "pt3_checkerboard": f"WITH b AS (SELECT *, CASE WHEN r < n*6//12 THEN 0 ELSE 1 END AS band FROM ({_RANKED})), k AS (SELECT band, row_number() OVER (PARTITION BY band ORDER BY lon, -lat, gidx) - 1 AS k, count(*) OVER (PARTITION BY band) AS c FROM b) SELECT (band*6 + least(k // (c//6), 5))::INT AS part, count(*) AS n FROM k GROUP BY 1",
+    "pt3_checkerboard_points": f"WITH b AS (SELECT *, CASE WHEN r < n*6//12 THEN 0 ELSE 1 END AS band FROM ({_RANKED})), k AS (SELECT gidx, band, row_number() OVER (PARTITION BY band ORDER BY lon, -lat, gidx) - 1 AS k, count(*) OVER (PARTITION BY band) AS c FROM b) SELECT gidx, (band*6 + least(k // (c//6), 5))::INT AS part FROM k",
+    # twelve regions: two caps and two collars of five; sizes differ by one at most
+    "pt4_equal_regions_points": f"""WITH s AS (SELECT p, (SELECT count(*) FROM orders) AS n, CASE WHEN p = 0 THEN 0 WHEN p < 6 THEN 1 WHEN p < 11 THEN 2 ELSE 3 END AS band FROM (SELECT unnest(range(12)) AS p)),
+ e AS (SELECT p, band, (sum(n//12 + (p < n%12)::INT) OVER (ORDER BY p))::BIGINT AS hi, n//12 + (p < n%12)::INT AS m FROM s),
+ b AS (SELECT *, (SELECT min(band) FROM e WHERE hi > r) AS band FROM ({_RANKED})), k AS (SELECT gidx, band, row_number() OVER (ORDER BY band, lon, -lat, gidx) - 1 AS k FROM b)
+ SELECT gidx, (SELECT min(p) FROM e WHERE hi > k)::INT AS part FROM k""",
     "pt1_serial": "SELECT o_orderkey AS gidx, 0 AS part FROM orders",
     "pt2_bands": "SELECT o_orderkey AS gidx, floor(floor(o_orderkey/16)*7/1250)::INT AS part FROM orders",
     "pt4_equal_regions": "WITH t AS (SELECT count(*) AS n FROM orders) SELECT p::INT AS part, n // 20 + (CASE WHEN p < n % 20 THEN 1 ELSE 0 END) AS n FROM t, (SELECT unnest(range(20)) AS p)",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graticula.functions.geometry import xyz
 from graticula.operators.mesh import structured_cells
 from graticula.sources.grids import regular_lonlat
+from graticula.sources.tables import POINTS_SQL, order_points
 
 EPS = 1e-12
 
@@ -81,6 +82,17 @@ def inside(lon: Column, lat: Column, ring: Column) -> Column:
     return F.forall(F.transform(corner, left), lambda ok: ok)
 
 
+def simplified(ring: Column, eps: float = 1e-12) -> Column:
+    """A planar ring, an array of structs (x, y) that does not repeat its first vertex, without the vertices on a straight line between their neighbours."""
+    n = F.size(ring)
+
+    def turns(p: Column, k: Column) -> Column:
+        a, b = F.get(ring, F.pmod(k - 1, n)), F.get(ring, F.pmod(k + 1, n))
+        return F.abs((p["x"] - a["x"]) * (b["y"] - p["y"]) - (p["y"] - a["y"]) * (b["x"] - p["x"])) > eps
+
+    return F.filter(ring, turns)
+
+
 def _cubes(polygons: DataFrame, size: float, names: tuple[str, str]) -> DataFrame:
     """(id, ring, lower corner, cube) for every cube cell that the polygon's box meets; edges bulge out by no more than the box is padded."""
     cell, ring = names
@@ -89,16 +101,29 @@ def _cubes(polygons: DataFrame, size: float, names: tuple[str, str]) -> DataFram
     spread = F.greatest(*(F.array_max(f"v.{c}") - F.array_min(f"v.{c}") for c in "xyz"))
     p = p.withColumn("pad", spread * spread / 2.0 + 1e-9)
     for c in "xyz":
-        p = p.withColumn(f"{cell}_{c}", F.array_min(f"v.{c}") - F.col("pad"))
-        p = p.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{cell}_{c}") / size), F.floor((F.array_max(f"v.{c}") + F.col("pad")) / size))))
+        p = p.withColumns({f"{cell}_{c}": F.array_min(f"v.{c}") - F.col("pad"), f"{cell}_{c}_end": F.array_max(f"v.{c}") + F.col("pad")})
+        p = p.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{cell}_{c}") / size), F.floor(F.col(f"{cell}_{c}_end") / size))))
     return p.drop("v", "pad")
 
 
-def overlaps(source: DataFrame, target: DataFrame, size: float = 0.25) -> DataFrame:
-    """row (target cell), col (source cell), area (of the overlap), target_area; pairs that do not overlap are left out."""
+def cube_size(*polygons: DataFrame) -> float:
+    """Side of the cubes for polygons (cell, ring): twice the mean of their boxes' longest sides, so a cube meets a few of them."""
+    v = F.transform("ring", lambda p: F.struct(*(c.alias(n) for n, c in zip("xyz", xyz(p["lon"], p["lat"]), strict=True)))).alias("v")
+    longest = F.greatest(*(F.array_max(f"v.{c}") - F.array_min(f"v.{c}") for c in "xyz"))
+    means = [p.select(v).agg(F.avg(longest)).first()[0] or 0.0 for p in polygons]
+    return min(0.5, max(1e-6, 2.0 * max(means, default=0.0)))
+
+
+def overlaps(source: DataFrame, target: DataFrame, size: float | None = None) -> DataFrame:
+    """row (target cell), col (source cell), area (of the overlap), target_area; pairs that do not overlap are left out.
+
+    Only pairs whose boxes meet are clipped. Cubes follow the size of the polygons if it is not given.
+    """
+    size = size or cube_size(source, target)
     s, t = _cubes(source, size, ("col", "s")), _cubes(target, size, ("row", "t"))
     once = [F.floor(F.greatest(f"col_{c}", f"row_{c}") / size) == F.col(f"c{c}") for c in "xyz"]
-    pairs = t.join(s, ["cx", "cy", "cz"]).filter(once[0] & once[1] & once[2]).select("row", "col", "t", "s")
+    meet = [(F.col(f"col_{c}") <= F.col(f"row_{c}_end")) & (F.col(f"row_{c}") <= F.col(f"col_{c}_end")) for c in "xyz"]
+    pairs = t.join(s, ["cx", "cy", "cz"]).filter(meet[0] & meet[1] & meet[2]).filter(once[0] & once[1] & once[2]).select("row", "col", "t", "s")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape = lambda r: tidy(unit(np.array([p["lon"] for p in r]), np.array([p["lat"] for p in r])))
@@ -115,7 +140,7 @@ def overlaps(source: DataFrame, target: DataFrame, size: float = 0.25) -> DataFr
     return pairs.mapInPandas(run, "row long, col long, area double, target_area double")
 
 
-def conservative(source: DataFrame, target: DataFrame, size: float = 0.25, normalise: bool = False) -> DataFrame:
+def conservative(source: DataFrame, target: DataFrame, size: float | None = None, normalise: bool = False) -> DataFrame:
     """First-order conservative weights: overlap over the target's area (or over the covered part of it)."""
     o = overlaps(source, target, size)
     if normalise:
@@ -143,10 +168,40 @@ def _areas(s: SparkSession, d: str) -> DataFrame:
     return own.select(F.floor(F.col("row") / 12).alias("band"), "area").groupBy("band").agg(F.round(F.sum("area"), 8).alias("area"))
 
 
+_QUAD = ((10.0, -20.0), (95.0, -5.0), (80.0, 60.0), (20.0, 40.0))
+
+
+def _inside(s: SparkSession, d: str) -> DataFrame:
+    ring = F.array(*(F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in _QUAD))
+    return order_points(s, d).select("gidx", inside(F.col("lon"), F.col("lat"), ring).alias("inside"))
+
+
+def _simplified(s: SparkSession, d: str) -> DataFrame:
+    """L-shaped rings of whole steps, whose size follows the key."""
+    n = F.col("gidx") % 5 + 2
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0)
+    steps = lambda lo, hi, f: F.transform(F.sequence(lo, hi), f)
+    ring = F.concat(steps(zero, 2 * n - 1, lambda k: p(k, zero)), steps(zero, n - 1, lambda k: p(2 * n, k)), steps(zero, n - 1, lambda k: p(2 * n - k, n)), steps(zero, n - 1, lambda k: p(n, n + k)), steps(zero, n - 1, lambda k: p(n - k, 2 * n)), steps(zero, 2 * n - 1, lambda k: p(zero, 2 * n - k)))
+    return order_points(s, d).withColumn("ring", ring).select("gidx", F.array_join(F.transform(simplified(F.col("ring")), lambda v: F.concat_ws(":", v["x"].cast("int"), v["y"].cast("int"))), ",").alias("ring"))
+
+
 QUERIES = {
+    "f4_inside_spherical_polygon": _inside,
+    "sf19_simplified": _simplified,
     "in16_conservative": lambda s, d: conservative(_mesh(s, 24, 13), _mesh(s, 16, 9)).groupBy("row").agg(F.round(F.sum("w"), 8).alias("total")),
     "sf14_polygon_areas": _areas,
 }
+_V = "(cos(radians({0}))*cos(radians({1})))", "(sin(radians({0}))*cos(radians({1})))", "sin(radians({0}*0 + {1}))"
+
+
+def _left(a: tuple[float, float], b: tuple[float, float]) -> str:
+    (p, q, r), (u, v, w) = ([c.format(*k) for c in _V] for k in (a, b))
+    return f"({q}*{w} - {r}*{v})*x + ({r}*{u} - {p}*{w})*y + ({p}*{v} - {q}*{u})*z >= -1e-12"
+
+
 ORACLES = {
+    "f4_inside_spherical_polygon": f"SELECT gidx, {' AND '.join(_left(a, b) for a, b in zip(_QUAD, _QUAD[1:] + _QUAD[:1], strict=True))} AS inside FROM (SELECT gidx, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {POINTS_SQL})",
+    "sf19_simplified": "SELECT gidx, concat('0:0,', 2*n, ':0,', 2*n, ':', n, ',', n, ':', n, ',', n, ':', 2*n, ',0:', 2*n) AS ring FROM (SELECT o_orderkey AS gidx, o_orderkey % 5 + 2 AS n FROM orders)",
     "in16_conservative": "SELECT unnest(range(128)) AS row, 1.0::DOUBLE AS total",
 }

@@ -116,13 +116,15 @@ def inside_polygon(px: Column, py: Column, polygon: Column, eps: float = 1e-10)
     return F.aggregate(F.sequence(F.lit(0), F.size(polygon) - 2), start, step, lambda acc: acc["on"] | (acc["w"] != 0))
 
 
-def locate_polygon(points: DataFrame, polygons: DataFrame, tile: float = 30.0) -> DataFrame:
+def locate_polygon(points: DataFrame, polygons: DataFrame, tile: float | None = None) -> DataFrame:
     """gidx, polygon: the lowest-numbered polygon that holds each point, also looked for at lon + 360 and lon - 360; null if none does.
 
     Polygons (polygon, ring) are dealt to the lon-lat tiles that their bounding box meets, points to theirs: an equi-join, then the exact test.
+    Tiles are as wide as the mean of the boxes' longer sides if they are not given.
     """
     bound = {"x0": F.array_min("ring.x"), "x1": F.array_max("ring.x"), "y0": F.array_min("ring.y"), "y1": F.array_max("ring.y")}
     box = polygons.select("polygon", "ring", *(c.alias(n) for n, c in bound.items()))
+    tile = tile or min(30.0, max(1e-4, box.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 30.0))
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
     box = box.withColumn("tx", tiles("x0", "x1")).withColumn("ty", tiles("y0", "y1"))
     moved = points.select("gidx", "lat", F.explode(F.array(F.col("lon"), F.col("lon") - 360.0, F.col("lon") + 360.0)).alias("lon"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graticula.operators.exchange import running
 from graticula.sources.tables import table
 
 
@@ -43,11 +44,7 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 def compressed(weights: DataFrame) -> DataFrame:
     """Rows of a compressed matrix: each row's columns and weights, ordered, and the offset of its first entry."""
     rows = weights.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("entries"), F.count("*").alias("n"))
-    band = F.floor(F.col("row") / 10_000)
-    sums = rows.groupBy(band.alias("band")).agg(F.sum("n").alias("m"))
-    sums = sums.select("band", (F.sum("m").over(Window.orderBy("band")) - F.col("m")).alias("base"))
-    inside = F.sum("n").over(Window.partitionBy("band").orderBy("row")) - F.col("n")
-    return rows.withColumn("band", band).withColumn("inside", inside).join(sums, "band").select("row", "n", (F.col("base") + F.col("inside")).alias("offset"), "entries")
+    return running(rows, "row", "n", "offset").select("row", "n", "offset", "entries")
 
 
 def normalised(weights: DataFrame) -> DataFrame:

@@ -102,12 +102,10 @@ def ordered_fletcher(field: DataFrame, order: str = "gidx", value: str = "value"
 
     The rank is a running number by key ranges, so no task sees all rows; both sums are algebraic.
     """
-    rows = field.select(F.col(order).alias("k"), F.col(value).cast("long").alias("v"))
-    ranked = rows.withColumn("band", F.floor(F.col("k") / 1000))
-    sizes = ranked.groupBy("band").agg(F.count("*").alias("m"))
-    sizes = sizes.select("band", (F.sum("m").over(Window.orderBy("band")) - F.col("m")).alias("before"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("k"))).join(sizes, "band")
-    ranked = ranked.withColumn("p", F.col("before") + F.col("r") - 1)
+    from graticula.operators.exchange import running  # exchange needs this module
+
+    rows = field.select(F.col(order).alias("k"), F.col(value).cast("long").alias("v"), F.lit(1).alias("one"))
+    ranked = running(rows, "k", "one", "p")
     n = F.count("*")
     first, second = F.sum(F.col("v") % 255) % 255, (n * F.sum(F.col("v") % 255) - F.sum(F.col("p") * (F.col("v") % 255))) % 255
     return ranked.agg((second * 256 + first).alias("fletcher"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graticula.functions import geometry, projections
-from graticula.operators import elementwise, exchange, fvm, interpolation, mesh, partition, polygons, search, sparse, spectral, statistics
+from graticula.operators import clouds, elementwise, elements, exchange, fvm, interpolation, mesh, partition, polygons, search, sparse, spectral, statistics, structured
 from graticula.plans.remap import Remap
 from graticula.sources import grids, records
 from graticula.streaming import windows
@@ -289,3 +289,97 @@ def test_numbers_of_sparse_keys(spark):
     assert len(got) == len(keys) and all(r.number == number[r.uid] for r in got)
     assert exchange.renumber(df.filter("false"), "uid").count() == 0
     assert exchange.renumber(df, "uid").select("number").distinct().count() == len(number)
+
+
+def test_structured_weights_on_an_octahedral_grid(spark):
+    """Constants everywhere, latitudes away from the poles and points of the grid come out exactly; null and impossible targets get nothing."""
+    grid = grids.octahedral(spark, 8)
+    targets = spark.createDataFrame([(0, 12.3, 3.0), (1, 359.9, -41.0), (2, -725.0, 89.9), (3, 10.0, -90.0), (4, 10.0, 90.0), (5, None, 3.0), (6, 1.0, 91.0)], "gidx long, lon double, lat double")
+    for kind in structured.KINDS:
+        w = structured.structured_weights(targets, grid, kind)
+        total = {r.row: r.s for r in w.groupBy("row").agg(F.sum("w").alias("s")).collect()}
+        assert total.keys() == {0, 1, 2, 3, 4} and all(math.isclose(v, 1.0, abs_tol=1e-12) for v in total.values())
+        lat = {r.row: r.value for r in sparse.apply(w, grid.select("gidx", F.col("lat").alias("value"))).collect()}
+        assert math.isclose(lat[0], 3.0, abs_tol=1e-9) and math.isclose(lat[1], -41.0, abs_tol=1e-9)
+        own = structured.structured_weights(grid, grid, kind).filter("abs(w) > 1e-9").select("row", "col", F.round("w", 9).alias("w")).collect()
+        assert len(own) == grid.count() and all(r.row == r.col and r.w == 1.0 for r in own)
+    with pytest.raises(ValueError):
+        structured.structured_weights(targets, grid, "quintic")
+
+
+def test_cubic_vertical_weights(spark):
+    levels = spark.createDataFrame([(k, z) for k, z in enumerate((0.0, 0.1, 0.3, 0.6, 1.0))], "lev long, z double")
+    heights = spark.createDataFrame([(0, -1.0), (1, 0.05), (2, 0.2), (3, 0.9), (4, 2.0)], "row long, z double")
+    cube = levels.select(F.col("lev").alias("gidx"), F.pow("z", F.lit(3)).alias("value"))
+    value = lambda **o: [r.value for r in sparse.apply(structured.vertical_cubic(levels, heights, **o), cube).orderBy("row").collect()]
+    assert np.allclose(value(linear_ends=False), [0.0, 0.05**3, 0.2**3, 0.9**3, 1.0])
+    assert np.allclose(value(), [0.0, 0.0005, 0.2**3, 0.25 * 0.6**3 + 0.75, 1.0])
+
+
+def test_elements_of_a_quadrilateral_and_a_triangle(spark):
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 10.0, 10.0), (3, 0.0, 10.0), (4, 20.0, 5.0)], "gidx long, lon double, lat double")
+    cells = spark.createDataFrame([(7, [0, 1, 2, 3]), (8, [1, 4, 2])], "cell long, nodes array<long>")
+    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.0), (2, 10.0, 10.0), (3, 18.0, 5.0), (4, -3.0, 5.0), (5, 180.0, 0.0)], "gidx long, lon double, lat double")
+    w = {}
+    for r in elements.finite_element(cells, nodes, points).collect():
+        w.setdefault(r.row, {})[r.col] = round(r.w, 9)
+    assert w[0] == {0: 1.0} and w[1] == {0: 0.5, 1: 0.5} and w[2] == {2: 1.0}
+    assert w[3].keys() == {1, 4, 2} and w.keys() == {0, 1, 2, 3}
+    at = sum(w[3][n] * polygons.unit(np.array([lon]), np.array([lat]))[0] for n, lon, lat in ((1, 10.0, 0.0), (4, 20.0, 5.0), (2, 10.0, 10.0)))
+    assert np.allclose(at / np.linalg.norm(at), polygons.unit(np.array([18.0]), np.array([5.0]))[0]) and math.isclose(sum(w[3].values()), 1.0, abs_tol=1e-8)
+    parts = spark.createDataFrame([(7, 0), (8, 1)], "cell long, part int")
+    got = {r.gidx: r.part for r in elements.matching_parts(points, cells, nodes, parts).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: None, 5: None}
+    assert {r.gidx: r.part for r in elements.matching_parts(points, cells, nodes, parts, fallback=True).collect()} == {**got, 4: 0, 5: 1}
+    assert elements.finite_element(cells, nodes, points.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("triangulate", [False, True])
+def test_reduced_mesh_covers_the_sphere(spark, triangulate):
+    grid = grids.octahedral(spark, 6)
+    cells, nodes = elements.reduced_cells(grid, triangulate, poles=True), structured.extended(grid.select("gidx", "lon", "lat"))
+    edges, faces = mesh.facets(cells).collect(), cells.collect()
+    assert all(e.right is not None for e in edges) and len({c.cell for c in faces}) == len(faces)
+    assert nodes.count() - len(edges) + len(faces) == 2
+    assert elements.mesh_faults(cells, nodes).count() == 0
+    assert elements.finite_element(cells, nodes, grid).filter("row = col and w = 1").count() == grid.count()
+
+
+def test_domain_hilbert_halves_squares(spark):
+    def place(x, y, west, east, south, north, levels):
+        """Quarter by quarter: down the west side, up the east one; the first and last quarters are mirrored."""
+        a, b, c, d = (west, north), (west, south), (east, south), (east, north)
+        mid = (west + east) / 2
+        out = 0
+        if x < mid:
+            c, d = (mid, south), (mid, north)
+        else:
+            a, b, out = (mid, north), (mid, south), 4**levels
+        half = lambda p, q: ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2)
+        for level in range(levels, 0, -1):
+            o = half(a, c)
+            quarters = [(a, half(a, d), o, half(a, b)), (half(a, b), b, half(b, c), o), (o, half(b, c), c, half(c, d)), (half(c, d), o, half(a, d), d)]
+            k = min(range(4), key=lambda n: math.dist((x, y), half(quarters[n][0], quarters[n][2])))
+            out += k * 4 ** (level - 1)
+            a, b, c, d = quarters[k]
+        return out
+
+    rng = np.random.default_rng(3)
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(0, 360, 200), rng.uniform(-90, 90, 200), strict=True))]
+    df = spark.createDataFrame(points, "gidx long, x double, y double").select("gidx", geometry.domain_hilbert(F.col("x"), F.col("y"), 0.0, 360.0, -90.0, 90.0, 6).alias("key"))
+    assert [r.key for r in df.orderBy("gidx").collect()] == [place(x, y, 0.0, 360.0, -90.0, 90.0, 6) for _, x, y in points]
+
+
+def test_running_sums_and_places(spark):
+    rows = spark.createDataFrame([(k * k, k % 3, k + 1) for k in range(40)], "gidx long, part int, n long")
+    got = {r.gidx: r.before for r in exchange.running(rows, "gidx", "n", "before").collect()}
+    assert got == {k * k: k * (k + 1) // 2 for k in range(40)}
+    assert {r.gidx: r.ridx for r in exchange.local_index(rows).collect()} == {k * k: k // 3 for k in range(40)}
+
+
+def test_clouds_edges(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 1.0, 0.0, 1), (3, 1.0, 0.0, 1), (4, 180.0, 0.0, 2)], "gidx long, lon double, lat double, part int")
+    got = {(r.part, r.gidx, r.ghost) for r in clouds.cloud_halo(p, 0.02).collect()}
+    assert got == {(0, 1, False), (1, 2, False), (1, 3, False), (2, 4, False), (0, 2, True), (0, 3, True), (1, 1, True)}
+    assert clouds.cloud_halo(p.filter("false"), 0.1).count() == 0
+    assert clouds.create_field(p, 2, 3, 1.5).agg(F.count("*"), F.sum("value")).first() == (24, 36.0)
