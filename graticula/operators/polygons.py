@@ -200,7 +200,13 @@ def _left(a: tuple[float, float], b: tuple[float, float]) -> str:
     return f"({q}*{w} - {r}*{v})*x + ({r}*{u} - {p}*{w})*y + ({p}*{v} - {q}*{u})*z >= -1e-12"
 
 
+# corners of a cell 30 degrees wide, and both triangles of its fan: twice the arc tangent of volume over 1 plus the sum of cosines
+_AREAS = """WITH q AS (SELECT band, radians(90 - band*30) AS t, radians(60 - band*30) AS b FROM (SELECT unnest(range(6)) AS band)),
+v AS (SELECT band, [cos(b), 0, sin(b)] AS p, [cos(b)*sqrt(3)/2, cos(b)/2, sin(b)] AS q, [cos(t)*sqrt(3)/2, cos(t)/2, sin(t)] AS r, [cos(t), 0, sin(t)] AS s FROM q),
+t AS (SELECT band, p AS a, q AS b, r AS c FROM v UNION ALL SELECT band, p, r, s FROM v)
+SELECT band::BIGINT AS band, round(sum(12*2*atan2(list_dot_product(a, [b[2]*c[3]-b[3]*c[2], b[3]*c[1]-b[1]*c[3], b[1]*c[2]-b[2]*c[1]]), 1 + list_dot_product(a, b) + list_dot_product(b, c) + list_dot_product(c, a))), 8) AS area FROM t GROUP BY band"""
 ORACLES = {
+    "sf14_polygon_areas": _AREAS,
     "f4_inside_spherical_polygon": f"SELECT gidx, {' AND '.join(_left(a, b) for a, b in zip(_QUAD, _QUAD[1:] + _QUAD[:1], strict=True))} AS inside FROM (SELECT gidx, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {POINTS_SQL})",
     "sf19_simplified": "SELECT gidx, concat('0:0,', 2*n, ':0,', 2*n, ':', n, ',', n, ':', n, ',', n, ':', 2*n, ',0:', 2*n) AS ring FROM (SELECT o_orderkey AS gidx, o_orderkey % 5 + 2 AS n FROM orders)",
     "in16_conservative": "SELECT unnest(range(128)) AS row, 1.0::DOUBLE AS total",
