@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 BITS = 24
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Which leading bits occur, as 2 ** BITS flags: at most so many bits reach the driver, whatever the number of hashes."""
-    at = F.shiftrightunsigned(column, 64 - BITS) + 1  # buckets are numbered from 1 for positions from 1 on
+def bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """Which leading bits occur, as 2 ** bits flags: at most so many bits reach the driver, whatever the number of hashes."""
+    at = F.shiftrightunsigned(column, 64 - bits) + 1  # buckets are numbered from 1 for positions from 1 on
     found = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("flags")).collect()
-    out = np.zeros(1 << BITS >> 3, np.uint8)
+    out = np.zeros(1 << bits >> 3, np.uint8)
     for r in found:
         first = (r.bucket - 1) * len(r.flags)
         out[first : first + len(r.flags)] = np.frombuffer(bytes(r.flags), np.uint8)
@@ -23,5 +23,6 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 def passing(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The numbers of the hashes whose flag is set."""
-    at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    bits = len(flags).bit_length() + 2
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return np.flatnonzero(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1)

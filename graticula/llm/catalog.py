@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import decontaminate, lm, packing, pieces, quality, rans, secrets, sharding, simhash, toolcalls
+from graticula.llm import decontaminate, lm, packing, pieces, quality, rans, secrets, sharding, simhash, suffixes, toolcalls
 
-MODULES = (lm, pieces, packing, toolcalls, decontaminate, sharding, quality, simhash, rans, secrets)
+MODULES = (lm, pieces, packing, toolcalls, decontaminate, sharding, quality, simhash, rans, secrets, suffixes)
 
 
 def queries() -> dict:
