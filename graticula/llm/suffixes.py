@@ -8,8 +8,8 @@ by content, and each group of suffixes that can be equal has an array of its own
 * The windows of an anchor are cut into blocks of `block` neighbouring starts. All windows of a block hold its core, the bytes that they share, so only
   blocks with equal cores (128 bits of hash) can hold equal windows. A core travels as one symbol: the string of a block is the bytes before
   its core, the symbol, and the bytes behind it, and two windows are equal where `block` symbols of such strings are.
-* Equal strings are counted before anything is shuffled by core. The different strings of a core are concatenated, and their suffix array is built by
-  grouping (grouping.py): windows next to each other in it are compared.
+* Equal strings are copies: they are counted. The different strings of a core are concatenated, and their suffix array is built by
+  grouping (grouping.py): windows next to each other in it are compared. Only blocks whose core has different strings bring their bytes along, once a batch.
 * A core with more than GROUP different strings (a passage that many documents share) is dealt anew: its blocks are cut into eight, whose
   cores are longer. Blocks of one start are their cores alone, counted with partial sums. So no task gets a group that grows with the data.
 
@@ -122,27 +122,36 @@ def cut(first: np.ndarray, count: np.ndarray, at: np.ndarray, block: int) -> tup
     return run, b, begin, end - begin
 
 
-def blocks(data: np.ndarray, text: np.ndarray, flags: np.ndarray, window: int, anchor: int, block: int) -> tuple:
-    """Blocks of the windows whose anchor may occur twice: place of the first window, keys (4), t0 and fringe. Two of the keys tell the cores, two the whole strings.
+class Blocks:
+    """Blocks of the windows whose anchor may occur twice: begin (the first window), n (windows) and t0.
 
     A block's windows are numbered t from t0 on; window t begins block - 1 - t bytes before the core.
     """
-    hashes = Hashes(data)
-    first, count, at, gram = anchors(data, text, hashes, window, anchor)
-    hit = passing(flags, gram)
-    first, count, at = first[hit], count[hit], at[hit]
-    run, b, begin, n = cut(first, count, at, block)
-    core = at[run] - b * block
-    core_end = core + window - block + 1
-    t0 = block - 1 - (core - begin)
-    end = begin + n - 1 + window
-    mark = b.astype(np.uint64) << np.uint64(32)
-    cores = [mixed(hashes.of(core, core_end, k) + mark) for k in (0, 1)]
-    wholes = [mixed(hashes.of(begin, end, k) + mark + t0.astype(np.uint64) + np.uint64(1)) for k in (0, 1)]
-    before, behind = core - begin, end - core_end
-    # bytes before the core, then those behind it
-    places = _ragged(np.stack((begin, core_end), 1).ravel(), np.stack((before, behind), 1).ravel())
-    return begin, [x.view(np.int64) for x in cores + wholes], t0, runs(data[places], before + behind)
+
+    def __init__(self, data: np.ndarray, text: np.ndarray, flags: np.ndarray, window: int, anchor: int, block: int, bases: int = 2):
+        self.data, self.hashes = data, Hashes(data, bases)
+        first, count, at, gram = anchors(data, text, self.hashes, window, anchor)
+        hit = passing(flags, gram)
+        first, count, at = first[hit], count[hit], at[hit]
+        run, b, self.begin, self.n = cut(first, count, at, block)
+        self.core = at[run] - b * block
+        self.core_end = self.core + window - block + 1
+        self.t0 = block - 1 - (self.core - self.begin)
+        self.end = self.begin + self.n - 1 + window
+        self.mark = b.astype(np.uint64) << np.uint64(32)
+
+    def cores(self, base: int) -> np.ndarray:
+        return mixed(self.hashes.of(self.core, self.core_end, base) + self.mark)
+
+    def wholes(self, base: int) -> np.ndarray:
+        return mixed(self.hashes.of(self.begin, self.end, base) + self.mark + self.t0.astype(np.uint64) + np.uint64(1))
+
+    def fringes(self, some: np.ndarray) -> pa.BinaryArray:
+        """The bytes before the core, then those behind it."""
+        begin, core, core_end, end = (x[some] for x in (self.begin, self.core, self.core_end, self.end))
+        before, behind = core - begin, end - core_end
+        places = _ragged(np.stack((begin, core_end), 1).ravel(), np.stack((before, behind), 1).ravel())
+        return runs(self.data[places], before + behind)
 
 
 def _segments(texts: pa.StringArray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,39 +180,72 @@ def anchor_counts(docs: DataFrame, text: str, window: int, anchor: int) -> DataF
     return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def text_blocks(docs: DataFrame, text: str, flags: np.ndarray, window: int, anchor: int, block: int) -> DataFrame:
-    """The blocks of all texts whose anchor may occur twice, with the text's hashes (h1, h2), the first window's place in it, and the number of copies in the batch."""
+def core_strings(docs: DataFrame, text: str, flags: np.ndarray, window: int, anchor: int, block: int) -> DataFrame:
+    """k1, n, low, high: of each core how many blocks hold it, and the least and greatest hash of their strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch.column(0), BATCH_BYTES):
+                for _, data, own, _ in _segments(texts, window):
+                    found = Blocks(data, own, flags, window, anchor, block, 1)
+                    core, whole = found.cores(0), found.wholes(0).view(np.int64)
+                    order = np.lexsort((whole, core))
+                    core, whole = core[order], whole[order]
+                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(core)), bool), core[1:] != core[:-1])))
+                    n = np.diff(np.concatenate((first, [len(core)])))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (core[first].view(np.int64), n, whole[first], whole[first + n - 1])], ["k1", "n", "low", "high"])
+
+    found = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "k1 long, n long, low long, high long")
+    return found.groupBy("k1").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def text_blocks(docs: DataFrame, text: str, flags: tuple[np.ndarray, np.ndarray, np.ndarray], window: int, anchor: int, block: int) -> DataFrame:
+    """The blocks of all texts whose anchor and core may occur twice, with the text's hashes (h1, h2), the place and number of windows, and the copies of the text in the batch.
+
+    Where the core may have different strings, the first block of each string in a segment brings k1, k2, t0 and the fringe along.
+    """
+    seen, twice, different = flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(2), BATCH_BYTES):
                 copies = texts.dictionary_encode()
-                row, n = np.unique(copies.indices.to_numpy(), return_index=True)[1] + at, np.bincount(copies.indices.to_numpy(), minlength=len(copies.dictionary))
+                index = copies.indices.to_numpy()
+                row, n = np.unique(index, return_index=True)[1] + at, np.bincount(index, minlength=len(copies.dictionary))
                 h = [batch.column(c).to_numpy()[row] for c in (0, 1)]
                 for x, data, own, offsets in _segments(copies.dictionary, window):
-                    begin, keys, t0, fringe = blocks(data, own, flags, window, anchor, block)
-                    mine = own[begin]
-                    columns = [*keys, t0.astype(np.int32), fringe, h[0][mine], h[1][mine], begin + x - offsets[mine], n[mine]]
-                    names = ["k1", "k2", "s1", "s2", "t0", "fringe", "h1", "h2", "at", "n"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    found = Blocks(data, own, seen, window, anchor, block)
+                    core = found.cores(0)
+                    hit = passing(twice, core)
+                    s1, s2 = (found.wholes(k)[hit].view(np.int64) for k in (0, 1))
+                    mine, begin = own[found.begin[hit]], found.begin[hit]
+                    several = passing(different, core[hit])
+                    firsts = several[np.unique(s1[several], return_index=True)[1]]
+                    place = np.full(len(hit), -1)
+                    place[firsts] = np.arange(len(firsts))
+                    place = pa.array(place, mask=place < 0)
+                    with_ = hit[firsts]
+                    extra = [pa.array(y).take(place) for y in (core[with_].view(np.int64), found.cores(1)[with_].view(np.int64), found.t0[with_].astype(np.int32))]
+                    columns = [*extra[:2], s1, s2, extra[2], found.fringes(with_).take(place), h[0][mine], h[1][mine], begin + x - offsets[mine], found.n[hit], n[mine]]
+                    names = ["k1", "k2", "s1", "s2", "t0", "fringe", "h1", "h2", "at", "windows", "n"]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hashed = docs.select(*text_hashes(t), t.alias("t")).filter(F.octet_length("t") >= window)
-    return hashed.mapInArrow(run, f"{BLOCKS}, {TEXTS}, n long")
+    return hashed.mapInArrow(run, f"{BLOCKS}, {TEXTS}, windows long, n long")
 
 
 def text_hashes(t) -> tuple:
     return F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2")
 
 
-def repeated_windows(t0: np.ndarray, fringe: pa.BinaryArray, weight: np.ndarray, core: np.ndarray, block: int) -> np.ndarray:
-    """For strings in the order of their cores: a mask of the windows (bit u: window t0 + u) that occur in another one, or in copies of their own (weight > 1)."""
+def repeated_windows(t0: np.ndarray, fringe: pa.BinaryArray, core: np.ndarray, block: int) -> np.ndarray:
+    """For different strings in the order of their cores: a mask of the windows (bit u: window t0 + u) that occur in another one."""
     at = np.frombuffer(fringe.buffers()[1], np.int32, len(fringe) + 1, 4 * fringe.offset).astype(np.int64)
     data = np.frombuffer(fringe.buffers()[2] or b"", np.uint8)
     size = np.diff(at)
     windows = size - block + 2
-    full = np.where(windows >= 64, np.uint64(2**64 - 1), (np.uint64(1) << (windows % 64).astype(np.uint64)) - np.uint64(1))
-    mask = np.where(weight > 1, full, np.uint64(0))
+    mask = np.zeros(len(size), np.uint64)
     new = np.concatenate(([True], core[1:] != core[:-1]))
     of = np.cumsum(new) - 1
     some = np.flatnonzero(np.bincount(of)[of] > 1)
@@ -243,9 +285,7 @@ def repeated_windows(t0: np.ndarray, fringe: pa.BinaryArray, weight: np.ndarray,
 
 
 def decided(strings: DataFrame, block: int) -> DataFrame:
-    """s1, s2 and the mask of repeated windows of all strings (those of BLOCKS, with n copies) that have some."""
-    if block == 1:  # the core is the window
-        return strings.filter("n > 1").select("s1", "s2", F.lit(1).cast("long").alias("mask"))
+    """s1, s2 and the mask of the windows that occur in other strings, of all different strings (BLOCKS) that have some."""
     strings = written(strings, "block-strings")
     flags = bitmap(strings.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP), "k1")
     large = bool(flags.any())
@@ -272,36 +312,41 @@ def decided(strings: DataFrame, block: int) -> DataFrame:
 
     def masks(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        k1, k2, s1, s2, t0, fringe, n = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+        k1, k2, s1, s2, t0, fringe = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
         k1, k2 = k1.to_numpy(), k2.to_numpy()
         core = np.cumsum(np.concatenate(([False], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))[: len(k1)]
-        mask = repeated_windows(t0.to_numpy(), fringe, n.to_numpy(), core, block) if len(k1) else np.zeros(0, np.int64)
+        mask = repeated_windows(t0.to_numpy(), fringe, core, block) if len(k1) else np.zeros(0, np.int64)
         some = pa.array(np.flatnonzero(mask))
         return pa.RecordBatch.from_arrays([s1.take(some), s2.take(some), pa.array(mask).take(some)], ["s1", "s2", "mask"])
 
     parts = shuffle_partitions(strings.sparkSession)
     dealt = strings.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2")
-    out = dealt.select(*BLOCKS_COLUMNS, "n").mapInArrow(arrays, "s1 long, s2 long, mask long")
+    out = dealt.select(*COLUMNS).mapInArrow(arrays, "s1 long, s2 long, mask long")
     if not large:
         return out
     finer = block // 8
-    children = written(strings.select(*BLOCKS_COLUMNS, "n").mapInArrow(lambda batches: _refined(batches, flags, block, finer), f"{BLOCKS}, p1 long, p2 long, shift int, n long"), "finer-blocks")
-    found = salted(children.select("s1", "s2", "p1", "p2", "shift"), decided(counted(children), finer), F.xxhash64("p1", "p2"))
-    found = found.groupBy("p1", "p2").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask"))
+    children = written(strings.select(*COLUMNS).mapInArrow(lambda batches: _refined(batches, flags, block, finer), f"{BLOCKS}, p1 long, p2 long, shift int"), "finer-blocks")
+    if finer == 1:  # the core is the window
+        windows = children.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2", F.lit(1).cast("long").alias("mask"))
+    else:
+        windows = decided(children.select(*COLUMNS).distinct(), finer).unionByName(copied(children, F.lit(1)))
+        windows = windows.groupBy("s1", "s2").agg(F.bit_or("mask").alias("mask"))
+    found = children.select("s1", "s2", "p1", "p2", "shift", clipped_to(finer)).join(windows, ["s1", "s2"])
+    found = found.groupBy("p1", "p2").agg(F.bit_or(F.expr("shiftleft(mask & clip, shift)")).alias("mask"))
     return out.unionByName(found.select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), "mask"))
 
 
-BLOCKS_COLUMNS = ("k1", "k2", "s1", "s2", "t0", "fringe")
+COLUMNS = ("k1", "k2", "s1", "s2", "t0", "fringe")
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*BLOCKS_COLUMNS).agg(F.sum("n").alias("n"))
+def clipped_to(block: int) -> F.Column:
+    """A bit for each window of a string."""
+    return F.expr(f"shiftrightunsigned(-1L, 64 - (octet_length(fringe) - {block} + 2))").alias("clip")
 
 
-def salted(rows: DataFrame, masks: DataFrame, spread: F.Column) -> DataFrame:
-    """rows with the mask of their string: a string that many rows have is dealt to SALTS tasks, and AQE cuts it further."""
-    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
-    return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(masks.select("*", salts), ["s1", "s2", "salt"]).drop("salt")
+def copied(rows: DataFrame, n: F.Column) -> DataFrame:
+    """s1, s2 and a mask of all windows, of the strings that rows hold more than once."""
+    return rows.groupBy("s1", "s2").agg(F.sum(n).alias("n")).filter("n > 1").select("s1", "s2", F.lit(-1).cast("long").alias("mask"))
 
 
 def _others(flags: np.ndarray, keys: pa.Array) -> np.ndarray:
@@ -340,10 +385,10 @@ def _refined(batches: Iterator[pa.RecordBatch], flags: np.ndarray, block: int, f
             parent = own[run].view(np.uint64)
             keys.append(mixed(parent + mark + hashes.of(core, middle, k) + mixed(hashes.of(middle, core_end, k) + (middle - core).astype(np.uint64))))
         wholes = [mixed(keys[k] + hashes.of(left, core, k) * np.uint64(3) + mixed(hashes.of(core_end, right, k) + (begin - c * finer).astype(np.uint64) + np.uint64(7))) for k in (0, 1)]
-        bits = _ragged(np.stack((left, core_end), 1).ravel(), np.stack((core - left, right - core_end), 1).ravel())
-        out = [*(x.view(np.int64) for x in keys + wholes), (begin - c * finer).astype(np.int32), runs(data[bits], core - left + right - core_end)]
-        out += [s1[run], s2[run], (begin - t0[run]).astype(np.int32), batch.column(6).to_numpy()[run]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*BLOCKS_COLUMNS, "p1", "p2", "shift", "n"])
+        places = _ragged(np.stack((left, core_end), 1).ravel(), np.stack((core - left, right - core_end), 1).ravel())
+        out = [*(x.view(np.int64) for x in keys + wholes), (begin - c * finer).astype(np.int32), runs(data[places], core - left + right - core_end)]
+        out += [s1[run], s2[run], (begin - t0[run]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*COLUMNS, "p1", "p2", "shift"])
 
 
 def covered(places: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -359,9 +404,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bl
     """doc_id, n_bytes, n_removed, n_spans, spans (array of struct begin, end: the removed runs) and kept (the other bytes) of every row."""
     if block not in (8, 64) or not 1 <= anchor <= window - block + 1:
         raise ValueError("block must be 8 or 64, and the anchor fit into a core")
-    flags = bitmap(anchor_counts(docs, text, window, anchor).filter("n > 1"), "anchor", bits)
-    rows = written(text_blocks(docs, text, flags, window, anchor, block), "text-blocks")
-    marks = salted(rows.select("s1", "s2", "h1", "h2", "at"), decided(counted(rows), block), F.xxhash64("h1", "h2", "at"))
+    seen = bitmap(anchor_counts(docs, text, window, anchor).filter("n > 1"), "anchor", bits)
+    cores = written(core_strings(docs, text, seen, window, anchor, block).filter("n > 1"), "cores")
+    twice, different = bitmap(cores, "k1", bits), bitmap(cores.filter("low < high"), "k1", bits)
+    rows = written(text_blocks(docs, text, (seen, twice, different), window, anchor, block), "text-blocks")
+    strings = rows.filter(F.col("fringe").isNotNull()).select(*COLUMNS).distinct()
+    masks = decided(strings, block).unionByName(copied(rows, F.col("n"))).groupBy("s1", "s2").agg(F.bit_or("mask").alias("mask"))
+    # a string that many texts hold: AQE cuts the skewed side of the join
+    marks = rows.select("s1", "s2", "h1", "h2", "at", "windows").join(masks, ["s1", "s2"])
+    marks = marks.withColumn("mask", F.expr("mask & shiftrightunsigned(-1L, int(64 - windows))"))
     # very long texts have many marks, but not more than bytes
     marks = marks.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "mask")).alias("marks"))
     marks = written(marks, "text-marks")
