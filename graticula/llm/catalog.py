@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graticula.llm import decontaminate, lm, packing, pieces, quality, rans, secrets, sharding, simhash, suffixes, toolcalls, whitening
+from graticula.llm import decontaminate, lm, merkle, packing, pieces, quality, rans, secrets, sharding, simhash, suffixes, toolcalls, whitening
 
-MODULES = (lm, pieces, packing, toolcalls, decontaminate, sharding, quality, simhash, rans, secrets, whitening, suffixes)
+MODULES = (lm, pieces, packing, toolcalls, decontaminate, sharding, quality, simhash, rans, secrets, whitening, merkle, suffixes)
 
 
 def queries() -> dict:
