@@ -12,8 +12,8 @@ Tasks drop n-grams that are no seed by a bitmap of a fixed size, whatever the nu
 is dropped by the join. There is one way for all sizes of the benchmark.
 
 Defined cases: null or blank documents hold nothing; null or blank test items are not searched for; items of up to 6 words are found
-where they are copied word by word; repeated documents and items are reported each by itself; of copies of an item whose surroundings touch
-in a document the best one is reported; very long documents and items take memory in proportion to their words; empty tables give an empty
+where they are copied word by word; repeated documents and items are reported each by itself; of copies of an item that overlap in a document
+the best one is reported, all others by themselves; very long documents and items take memory in proportion to their words; empty tables give an empty
 result; further columns do not take part, whatever their names.
 """
 
@@ -63,11 +63,28 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
         start = np.where(value > here, start[source], start)
         prev, began = np.concatenate(([0], value)), np.concatenate(([0], np.where(value > 0, start, at)))
         if m and value.max() > best[0]:
-            j = int(value.argmax())
+            # of equal ones one in the middle, so that what is left of a passage of many copies falls into halves
+            at_best = np.flatnonzero(value == value.max())
+            j = int(at_best[len(at_best) // 2])
             best = (int(value[j]), int(began[j + 1]), j + 1)
     return best
 
 
+def all_places(item: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Disjoint alignments that score `least` or more, in order: the best one, then those in what is left before and behind it."""
+    out, open_ = [], [(0, len(passage))]
+    while open_:
+        a, b = open_.pop()
+        # an alignment of that score has as many equal words
+        if b - a < least:
+            continue
+        score, began, ended = align(item, passage[a:b])
+        if score >= least:
+            out.append((score, a + began, a + ended))
+            open_ += [(a, a + began), (a + ended, b)]
+    return sorted(out, key=lambda x: x[1])
+
+
 def _of_order(grams: np.ndarray, order: int) -> np.ndarray:
     """Hashes of n-grams of different lengths are kept apart."""
     return grams ^ np.uint64(order * 0x9E3779B97F4A7C15 & (2**64 - 1))
@@ -188,15 +205,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
-            scores = []
-            for pair in zip(pdf["item_words"], pdf["passage"], strict=True):
-                if pair not in known:
-                    known[pair] = align(*(np.frombuffer(x, np.uint64) for x in pair))
-                scores.append(known[pair])
-            score, began, ended = np.array(scores, np.int64).reshape(-1, 3).T
-            out = pdf[["doc_id", "text_hash", "item_id", "words"]].assign(score=score, similarity=score / pdf["words"], start_word=pdf["lo"] + began, end_word=pdf["lo"] + ended)
-            yield out[score >= pdf["words"] - 2 * pdf["words"].map(allowed_edits)]
+            known: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
+            places = []
+            for item, passage in zip(pdf["item_words"], pdf["passage"], strict=True):
+                if (item, passage) not in known:
+                    words_ = len(item) // 8
+                    known[item, passage] = all_places(np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64), words_ - 2 * allowed_edits(words_))
+                places.append(known[item, passage])
+            score, began, ended = np.array([x for p in places for x in p], np.int64).reshape(-1, 3).T
+            out = pdf[["doc_id", "text_hash", "item_id", "words", "lo"]].iloc[np.repeat(np.arange(len(pdf)), [len(p) for p in places])]
+            out = out.assign(score=score, similarity=score / out["words"], start_word=out["lo"] + began, end_word=out["lo"] + ended)
+            yield out.drop(columns="lo")
 
     return cut.join(items, "item").select("doc_id", "text_hash", "item_id", "words", "item_words", "lo", "passage").mapInPandas(
         run, f"doc_id {kind}, text_hash long, item_id {id_kind}, words long, score long, similarity double, start_word long, end_word long"

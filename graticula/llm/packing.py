@@ -79,7 +79,8 @@ def hilbert_keys(ids: np.ndarray, counts: np.ndarray, tables: tuple[np.ndarray,
     doc = np.repeat(np.arange(len(counts)) * HASHED, counts)
     v = np.bincount(doc + bucket[ids], sign[ids], len(counts) * HASHED).reshape(-1, HASHED)
     norm = np.sqrt((v * v).sum(1))
-    y = (v / np.where(norm > 0, norm, 1)[:, None]) @ signs
+    # whole numbers, so the products are exact whatever the size of the batch
+    y = (v @ signs) / np.where(norm > 0, norm, 1)[:, None]
     return hilbert_key(np.clip(((np.tanh(y) + 1) / 2 * (1 << ORDER)).astype(np.int64), 0, (1 << ORDER) - 1))
 
 

@@ -3,7 +3,7 @@
 The bytes of a batch are cut before white space that follows something else, and between a letter of Latin-1 and an ASCII mark behind it.
 Both are borders of the vocabularies' own patterns, so the ids of a text are those of its pieces, one after the other. Arrow's
 dictionary encoding finds the distinct pieces of a batch; each worker keeps the ids of those that it has seen (a bounded number of short
-ones) and hands the rest to the tokenizer, many in one string with one of the vocabulary's special tokens between them.
+ones; those of longer pieces go with their batch) and hands the rest to the tokenizer, many in one string with one of the vocabulary's special tokens between them.
 Pieces that may hold a special token's own text are encoded each by itself.
 """
 
@@ -76,6 +76,7 @@ class BatchTokenizer:
         self.between_id = self.tokenizer.token_to_id(self.between)
         self.known: dict[bytes, int] = {}
         self.store = Store(self.width)
+        self.lasting = 0
         self.model, self.run = self.tokenizer.model, FOLDED_RUN if self.folds else RUN
 
     def ids(self, texts: pa.StringArray, end_id: int) -> pa.BinaryArray:
@@ -89,6 +90,7 @@ class BatchTokenizer:
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         numbers = self._numbers(pieces.dictionary, special, np.array([end_id], self.dtype))
         found = self.store.array().take(pa.array(numbers).take(pieces.indices))
+        self.store.cut(self.lasting)
         at = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
         ends = np.concatenate(([0], at[last + 1])).astype(np.int32)
         return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), found.buffers()[2]])
@@ -97,14 +99,15 @@ class BatchTokenizer:
         return any(o in data for o in self.openings)
 
     def _numbers(self, dictionary: pa.BinaryArray, special: bool, end: np.ndarray) -> np.ndarray:
-        """Where the ids of each piece are in the store."""
+        """Where the ids of each piece are in the store: behind `lasting` are those of this batch only."""
         if len(self.known) > CACHED:
             self._forget()
         out = np.fromiter(map(self.known.get, dictionary.to_pylist(), repeat(-1)), np.int64, len(dictionary))
         self.store.hits[out[out >= 0]] += 1
         new = np.flatnonzero(out < 0)
         pieces = dictionary.take(pa.array(new))
-        run = pc.match_substring_regex(pieces.view(pa.string()), self.run).to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.binary_length(pieces), CACHED_LENGTH).to_numpy(zero_copy_only=False)
+        run = pc.match_substring_regex(pieces.view(pa.string()), self.run).to_numpy(zero_copy_only=False) & short
         ascii_ = pc.string_is_ascii(pieces.view(pa.string())).to_numpy(zero_copy_only=False)
         for some, alphabet in ((run & ascii_, BLANKS), (run & ~ascii_, ALPHABET)):
             if some.any():
@@ -120,6 +123,7 @@ class BatchTokenizer:
             ids = np.array(self._encode(self.between.join([x.decode() for x in bare])), self.dtype)
             edges = np.flatnonzero(ids == self.between_id)
             self._learn(out, np.array(some), bare, np.delete(ids, edges), np.diff(np.concatenate(([-1], edges, [len(ids)]))) - 1)
+        self.lasting = self.store.n
         for i, x in rest:
             if out[i] < 0:
                 ids = np.array(self._encode(x.decode()), self.dtype) if x else end
@@ -155,6 +159,8 @@ class Store:
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         first, raw = self.n, ids.view(np.uint8)
+        if self.used + len(raw) >= 1 << 31:
+            raise ValueError("the ids of a batch take 2 GB or more: give smaller batches or texts")
         while self.n + len(lengths) + 1 > len(self.ends):
             self.ends, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.ends, self.hits))
         while self.used + len(raw) > len(self.data):
@@ -165,6 +171,12 @@ class Store:
         self.n, self.used = first + len(lengths), self.used + len(raw)
         return first
 
+    def cut(self, n: int) -> None:
+        """Forgets all runs from number n on."""
+        self.n, self.used = n, int(self.ends[n])
+        if len(self.data) > max(1 << 24, 4 * self.used):
+            self.data = self.data[: max(1 << 12, self.used)].copy()
+
     def array(self) -> pa.BinaryArray:
         return pa.BinaryArray.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
 

@@ -189,6 +189,43 @@ def test_ids_after_pieces_were_forgotten(monkeypatch):
         assert [np.frombuffer(b, c.dtype).tolist() for s in slices for b in s] == [[*x, 5] for x in exact_ids(path, [t or "" for t in texts])]
 
 
+@pytest.mark.parametrize("path", [packing.vocabulary, rans.vocabulary])
+def test_store_is_bounded_on_texts_without_blanks(path):
+    from tokenizers import Tokenizer
+
+    tok, plain, rng, sizes = tokens.BatchTokenizer(path()), Tokenizer.from_file(path()), random.Random(4), []
+    letters = ["".join(map(chr, range(0x4E00, 0x4F00))), "abcdefghijklmnopqrstuvwxyz", "ABCDEFab0123456789+/"]
+    for batch in range(1000):
+        texts = ["".join(rng.choices(letters[k % 3], k=rng.choice([30, 70, 200]))) for k in range(3)]
+        got = tok.ids(pa.array(texts), 0)
+        if batch % 50 == 0:
+            want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+            values, n = tokens.flat(got, tok.dtype)
+            assert [x.tolist() for x in np.split(values, np.cumsum(n)[:-1])] == want
+        sizes.append((tok.store.used, len(tok.store.data), sum(map(len, tok.known))))
+    assert max(s[0] for s in sizes) < 64 * 2 * (len(tok.known) + 1) and all(len(x) <= tokens.CACHED_LENGTH for x in tok.known)
+    assert tok.store.n == len(tok.known)  # what is not cached goes with its batch
+
+
+def test_store_refuses_two_gigabytes():
+    store = tokens.Store(2)
+    store.used = (1 << 31) - 8
+    with pytest.raises(ValueError, match="2 GB"):
+        store.add(np.zeros(8, "<u2"), np.array([8]))
+
+
+def test_hilbert_keys_do_not_depend_on_batches():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 400, 300)
+    ids = rng.integers(0, 49408, int(counts.sum()))
+    tables = packing.projection(49408)
+    whole = packing.hilbert_keys(ids, counts, tables)
+    ends = np.cumsum(counts)
+    for size in (1, 2, 3, 7, 50):
+        parts = [packing.hilbert_keys(ids[ends[a] - counts[a] : ends[min(a + size, 300) - 1]], counts[a : a + size], tables) for a in range(0, 300, size)]
+        assert (np.concatenate(parts) == whole).all()
+
+
 def test_packing(docs, empty):
     path = packing.vocabulary()
     rows = packing.pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), path, 1, 64).collect()
@@ -421,7 +458,7 @@ def test_decontamination_edges(spark, docs, empty):
     got = collections.Counter((r.doc_id, r.item_id, r.start_word, r.end_word, r.score) for r in decontaminate.contaminated(df, benchmark).collect())
     assert got == {
         (0, 0, 5, 13, 8): 1, (0, 9, 5, 13, 8): 1, (1, 1, 13, 33, 20): 3, (2, 2, 50, 110, 60): 1, (None, 2, 50, 110, 60): 1, (3, 3, 2, 7, 5): 1,
-        (4, 1, 17, 37, 20): 1, (4, 1, 99, 119, 20): 1, (5, 2, 20_000, 20_060, 60): 1,
+        (4, 1, 17, 37, 20): 1, (4, 1, 39, 59, 20): 1, (4, 1, 99, 119, 20): 1, (5, 2, 20_000, 20_060, 60): 1,
     }
     benchmark.filter("item_id is not null").write.parquet(str(spark.conf.get("spark.checkpoint.dir")) + "/leak/benchmark.parquet")
     kept = decontaminate.stage(spark, df, str(spark.conf.get("spark.checkpoint.dir")) + "/leak")
@@ -431,6 +468,36 @@ def test_decontamination_edges(spark, docs, empty):
     assert decontaminate.contaminated(docs.select("doc_id", "text"), benchmark.filter("false")).count() == 0
 
 
+def test_decontamination_reports_every_copy(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    items = [[word() for _ in range(n)] for n in (4, 9, 25)]
+    docs, want = [], collections.Counter()
+    for d in range(60):
+        text: list[str] = []
+        for _ in range(int(rng.integers(0, 15))):
+            k = int(rng.integers(len(items)))
+            text += edited(rng, items[k], int(rng.integers(0, decontaminate.allowed_edits(len(items[k])) + 1)), word)
+            text += [word() for _ in range(int(rng.choice([0, 0, 1, 5])))]
+            want[d, k] += 1
+        docs.append((d, " ".join(text)))
+    docs.append((99, " ".join(items[1] * 3000)))
+    want[99, 1] = 3000
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), benchmark).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in rows) == want
+    # the same places as in the whole document
+    code = {}
+    texts = {d: np.array([code.setdefault(w, len(code)) for w in t.split()]) for d, t in docs[:30]}
+    for k, item in enumerate(items):
+        a = np.array([code.setdefault(w, len(code)) for w in item])
+        for d, b in texts.items():
+            whole = decontaminate.all_places(a, b, len(a) - 2 * decontaminate.allowed_edits(len(a)))
+            assert sorted(x[0] for x in whole) == sorted(r.score for r in rows if (r.doc_id, r.item_id) == (d, k))
+    for r in (r for r in rows if r.doc_id == 99):
+        assert r.end_word - r.start_word == 9 and r.start_word % 9 == 0
+
+
 # op6
 
 
