@@ -41,7 +41,7 @@ WINDOW, ANCHOR, BLOCK = 400, 32, 64
 GROUP = 128
 #: Leading bits of anchors' hashes in the bitmap: 16 MB.
 BITS = 27
-SEGMENT = 1 << 20  # starts that are searched at once
+SEGMENT = 1 << 18  # starts that are searched at once
 BATCH_BYTES = 4_000_000
 SYMBOLS = 2_000_000  # symbols of a batch of suffix arrays
 SALTS = 8
@@ -331,6 +331,7 @@ def decided(strings: DataFrame, block: int) -> DataFrame:
     else:
         windows = decided(children.select(*COLUMNS).distinct(), finer).unionByName(copied(children, F.lit(1)))
         windows = windows.groupBy("s1", "s2").agg(F.bit_or("mask").alias("mask"))
+    windows = written(windows, "finer-masks")
     found = children.select("s1", "s2", "p1", "p2", "shift", clipped_to(finer)).join(windows, ["s1", "s2"])
     found = found.groupBy("p1", "p2").agg(F.bit_or(F.expr("shiftleft(mask & clip, shift)")).alias("mask"))
     return out.unionByName(found.select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), "mask"))
@@ -410,7 +411,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bl
     rows = written(text_blocks(docs, text, (seen, twice, different), window, anchor, block), "text-blocks")
     strings = rows.filter(F.col("fringe").isNotNull()).select(*COLUMNS).distinct()
     masks = decided(strings, block).unionByName(copied(rows, F.col("n"))).groupBy("s1", "s2").agg(F.bit_or("mask").alias("mask"))
-    # a string that many texts hold: AQE cuts the skewed side of the join
+    # a string that many texts hold: both sides of the join are tables, so AQE cuts the skewed one
+    masks = written(masks, "string-masks")
     marks = rows.select("s1", "s2", "h1", "h2", "at", "windows").join(masks, ["s1", "s2"])
     marks = marks.withColumn("mask", F.expr("mask & shiftrightunsigned(-1L, int(64 - windows))"))
     # very long texts have many marks, but not more than bytes
