@@ -178,12 +178,12 @@ def _course(s: SparkSession, d: str):
 
 def _rotate(s: SparkSession, d: str):
     lon, lat = rotated(F.col("lon"), F.col("lat"), 10.0, -40.0)
-    return _p(s, d).filter("abs(lat) < 89").select(*_six(x=F.cos(F.radians(lon)) * F.cos(F.radians(lat)), lat=lat))
+    return _p(s, d).select(*_six(x=F.cos(F.radians(lon)) * F.cos(F.radians(lat)), lat=lat))
 
 
 def _round_trip(s: SparkSession, d: str):
     lon, lat = rotated(F.col("lon"), F.col("lat"), 25.0, -30.0)
-    p = _p(s, d).filter("abs(lat) < 89").select("gidx", lon.alias("a"), lat.alias("b"))
+    p = _p(s, d).select("gidx", lon.alias("a"), lat.alias("b"))
     lon, lat = rotated(F.col("a"), F.col("b"), 25.0, -30.0, back=True)
     return p.select("gidx", F.round(normalise(lon, -0.5), 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
@@ -238,11 +238,11 @@ def _unit(lon: str, lat: str) -> str:
 _C = "2*asin(least(sqrt(power(cos(radians(lon))*cos(radians(lat))-cos(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lon))*cos(radians(lat))-sin(radians(10.5))*cos(radians(45.25)),2)+power(sin(radians(lat))-sin(radians(45.25)),2))/2,1))"
 ORACLES = {
     "me7_torus": f"SELECT gidx, round(cos(a)*(2+cos(b)), 6) + 0.0 AS x, round(sin(a)*(2+cos(b)), 6) + 0.0 AS y, round(sin(b), 6) + 0.0 AS z FROM (SELECT gidx, -pi() + lon*2*pi()/360 AS a, -pi() + (lat+89)*2*pi()/179 AS b FROM {POINTS_SQL})",
-    "sf1_rotate": f"""WITH p AS (SELECT gidx, radians(lon) AS l, radians(lat) AS b, radians(-50.0) AS t, radians(-10.0) AS o FROM {POINTS_SQL} WHERE abs(lat) < 89),
+    "sf1_rotate": f"""WITH p AS (SELECT gidx, radians(lon) AS l, radians(lat) AS b, radians(-50.0) AS t, radians(-10.0) AS o FROM {POINTS_SQL}),
  v AS (SELECT gidx, t, o, cos(l)*cos(b) AS x, sin(l)*cos(b) AS y, sin(b) AS z FROM p),
  r AS (SELECT gidx, cos(t)*cos(o)*x + sin(o)*y - sin(t)*cos(o)*z AS x, sin(t)*x + cos(t)*z AS z FROM v)
  SELECT gidx, round(x, 6) + 0.0 AS x, round(degrees(asin(z)), 6) + 0.0 AS lat FROM r""",
-    "sf1_unrotate": f"SELECT gidx, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {POINTS_SQL} WHERE abs(lat) < 89",
+    "sf1_unrotate": f"SELECT gidx, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {POINTS_SQL}",
     "sf2_lonlat_to_xyz": f"SELECT gidx, round(6371229.0*cos(radians(lon))*cos(radians(lat)),3) + 0.0 AS x, round(6371229.0*sin(radians(lon))*cos(radians(lat)),3) + 0.0 AS y, round(6371229.0*sin(radians(lat)),3) + 0.0 AS z FROM {POINTS_SQL}",
     "sf2_xyz_to_lonlat": f"SELECT gidx, round(lon - 179.5, 6) AS lon, round(lat, 6) AS lat FROM {POINTS_SQL}",
     "sf3_distance": f"SELECT gidx, round(6371229.0*{_C}, 2) AS meters, round(2*sin({_C}/2), 8) AS chord FROM {POINTS_SQL}",

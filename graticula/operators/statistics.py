@@ -46,16 +46,22 @@ def exact_total(field: DataFrame, *by: str) -> DataFrame:
     """A sum that does not depend on the order of rows, for values of any size.
 
     Values are taken by bands of 32 powers of two. Those of a band, brought between 1 and 2 ** 32 without a loss, are summed as decimals, and
-    the few bands of a group are added from the smallest on.
+    the few bands of a group are added from the smallest on. A NaN, or infinities of both signs, make the sum NaN; infinities of one sign make it
+    infinite.
     """
-    value = owned()
-    band = F.when(value == 0, 0).otherwise(F.floor(F.log2(F.abs(value)) / 32)).cast("int")
+    whole, inf = owned(), float("inf")
+    value = F.when(~F.isnan(whole) & (F.abs(whole) < inf), whole)
+    band = F.when(value != 0, F.floor(F.log2(F.abs(value)) / 32)).otherwise(0).cast("int")
     unit = F.pow(F.lit(2.0), F.col("__band") * 16)  # twice: 2 ** (32 band) alone may be no double
     scaled = (F.col("__value") / unit / unit).cast("decimal(34,16)")
-    rows = field.withColumn("__value", value).withColumn("__band", band)
-    bands = rows.groupBy(*by, "__band").agg(F.sum(scaled).cast("double").alias("__sum"), F.count("__value").alias("__n"))
-    parts = F.sort_array(F.collect_list(F.when(F.col("__n") > 0, F.struct("__band", (F.col("__sum") * unit * unit).alias("v")))))  # some 70 bands at most
-    total = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["v"]))
+    rows = field.withColumns({"__value": value, "__whole": whole, "__band": band})
+    # what is not finite, and nulls, in the band of 0
+    special = {"__nan": F.isnan("__whole"), "__up": F.col("__whole") == inf, "__down": F.col("__whole") == -inf}
+    bands = rows.groupBy(*by, "__band").agg(F.sum(scaled).cast("double").alias("__sum"), F.count("__whole").alias("__n"), *(F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in special.items()))
+    parts = F.sort_array(F.collect_list(F.when(F.col("__n") > 0, F.struct("__band", (F.coalesce("__sum", F.lit(0.0)) * unit * unit).alias("v")))))  # some 70 bands at most
+    nan, up, down = (F.bool_or(n) for n in special)
+    total = F.when(nan | (up & down), F.lit(float("nan"))).when(up, F.lit(inf)).when(down, F.lit(-inf))
+    total = total.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["v"]))
     return bands.groupBy(*by).agg(total.alias("total"), F.sum("__n").alias("n"))
 
 
@@ -131,6 +137,24 @@ def stats_per_level(spark: SparkSession, d: str) -> DataFrame:
     return _r(out, 2)
 
 
+def _extremes(s: SparkSession, d: str, *by: str) -> DataFrame:
+    """Sums over values that a running sum would lose or spoil: huge ones that cancel beside tiny ones (0), tiny ones (1), a NaN in each order of 500 (2), infinities of one (3) and both signs (4)."""
+    q, key = F.col("value"), F.col("gidx")
+    values = {0: [F.lit(1e20), q / 4096, F.lit(-1e20), F.lit(1e300), F.lit(-1e300)], 1: [q * 2.0**-40, F.lit(None).cast("double")], 2: [F.when(key % 500 == 7, float("nan")).otherwise(q)]}
+    values |= {3: [F.when(key % 500 == 7, float("inf")).otherwise(q)], 4: [F.when(key % 500 < 2, float("inf")).when(key % 500 < 4, float("-inf")).otherwise(q)]}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("var"), v.alias("value")) for k, x in values.items() for v in x))).alias("e")
+    f = lineitem_field(s, d, ("l_quantity",)).select("gidx", "lev", "ghost", each).select("gidx", "lev", "ghost", "e.*")
+    out = exact_total(f, *by, "var")
+    kind = F.when(F.isnan("total"), "nan").when(F.col("total") == float("inf"), "inf").otherwise("finite")
+    return out.select(*by, "var", kind.alias("kind"), F.when(kind == "finite", F.round(F.col("total") * F.when(F.col("var") == 1, 2.0**40).otherwise(1.0), 6)).alias("total"), "n")
+
+
+def _extremes_sql(by: str) -> str:
+    rows = "SELECT l_orderkey AS k, l_linenumber AS lev, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 <> 0"
+    kinds = "CASE WHEN var = 2 AND bool_or(k % 500 = 7) THEN 'nan' WHEN var = 3 AND bool_or(k % 500 = 7) THEN 'inf' WHEN var = 4 AND bool_or(k % 500 < 2) AND bool_or(k % 500 IN (2, 3)) THEN 'nan' WHEN var = 4 AND bool_or(k % 500 < 2) THEN 'inf' WHEN var = 4 AND bool_or(k % 500 IN (2, 3)) THEN '-inf' ELSE 'finite' END"
+    return f"SELECT {by}var, kind, CASE WHEN kind = 'finite' THEN round(q / CASE WHEN var = 0 THEN 4096 ELSE 1 END, 6) END AS total, n * CASE WHEN var = 0 THEN 5 ELSE 1 END AS n FROM (SELECT {by}var, {kinds} AS kind, sum(q::DECIMAL(20,2))::DOUBLE AS q, count(*) AS n FROM ({rows}), (SELECT unnest([0,1,2,3,4])::INT AS var) GROUP BY {by}var)"
+
+
 _VARS = "(SELECT l_orderkey AS gidx, l_linenumber AS lev, u.var::INT AS var, u.value AS value, l_orderkey % 10 = 0 AS ghost FROM lineitem, LATERAL (SELECT unnest([0,1,2,3]) AS var, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value) u)"
 
 QUERIES = {
@@ -140,6 +164,8 @@ QUERIES = {
     "ag2_sum_per_level": lambda s, d: _r(total(_field(s, d), "lev", "var"), 2),
     "ag3_order_independent_sum": lambda s, d: _r(exact_total(_field(s, d)), 2),
     "ag4_order_independent_sum_per_level": lambda s, d: _r(exact_total(_field(s, d), "lev", "var"), 2),
+    "ag3_sum_of_extreme_values": _extremes,
+    "ag4_sum_of_extreme_values_per_level": lambda s, d: _extremes(s, d, "lev"),
     "ag5_min_max": lambda s, d: extremes(_field(s, d)),
     "ag6_min_max_per_level": lambda s, d: extremes(_field(s, d), "lev", "var"),
     "ag7_locations": lambda s, d: locations(_field(s, d)),
@@ -162,6 +188,8 @@ ORACLES = {
     "ag2_sum_per_level": f"SELECT lev, 0 AS var, round(sum(value) FILTER (NOT ghost), 2) AS total, {_N} FROM {FIELD_SQL} GROUP BY lev",
     "ag3_order_independent_sum": f"SELECT round(sum(value::DECIMAL(30,6)) FILTER (NOT ghost)::DOUBLE, 2) AS total, {_N} FROM {FIELD_SQL}",
     "ag4_order_independent_sum_per_level": f"SELECT lev, 0 AS var, round(sum(value::DECIMAL(30,6)) FILTER (NOT ghost)::DOUBLE, 2) AS total, {_N} FROM {FIELD_SQL} GROUP BY lev",
+    "ag3_sum_of_extreme_values": _extremes_sql(""),
+    "ag4_sum_of_extreme_values_per_level": _extremes_sql("lev, "),
     "ag5_min_max": f"SELECT min(value) AS low, max(value) AS high FROM {FIELD_SQL}",
     "ag6_min_max_per_level": f"SELECT lev, 0 AS var, min(value) AS low, max(value) AS high FROM {FIELD_SQL} GROUP BY lev",
     "ag7_locations": f"WITH f AS {FIELD_SQL} SELECT * FROM (SELECT value AS low, gidx AS low_gidx, lev AS low_lev FROM f ORDER BY value, gidx, lev LIMIT 1), (SELECT value AS high, gidx AS high_gidx, lev AS high_lev FROM f ORDER BY value DESC, gidx, lev LIMIT 1)",

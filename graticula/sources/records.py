@@ -108,7 +108,7 @@ def write_mesh(nodes: DataFrame, cells: DataFrame, path: str) -> None:
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parts = spark.read.text(path).select(F.split("value", " ").alias("p"))
     nodes = parts.filter(F.col("p")[0] == "n").select(F.col("p")[1].cast("long").alias("gidx"), F.col("p")[2].cast("double").alias("lon"), F.col("p")[3].cast("double").alias("lat"))
-    cells = parts.filter(F.col("p")[0] == "e").select(F.col("p")[1].cast("long").alias("cell"), F.slice("p", 3, 100).cast("array<long>").alias("nodes"))
+    cells = parts.filter(F.col("p")[0] == "e").select(F.col("p")[1].cast("long").alias("cell"), F.slice(F.col("p"), F.lit(3), F.size("p") - 2).cast("array<long>").alias("nodes"))
     return nodes, cells
 
 
