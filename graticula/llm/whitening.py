@@ -58,6 +58,8 @@ def exact_sums(rows: DataFrame) -> tuple[int, list[int]]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
+                if total is not None and x.shape[1] != len(total):
+                    raise ValueError("vectors of different lengths")
                 n, total = n + len(x), x.sum(0) + (0 if total is None else total)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.full(len(total), n)), pa.array(total), pa.array(np.full(len(total), len(total)))], ["at", "n", "s", "size"])
