@@ -1,7 +1,8 @@
 """Convex polygons on the sphere with great-circle edges: area, centroid, point test, clipping, and conservative remapping.
 
 Polygons are rows (cell, ring), ring an array of structs (lon, lat) in order. Overlapping pairs are found by an equi-join on cells of the unit cube
-that their bounding boxes meet; each pair is kept in one of them only, and clipped exactly in Arrow batches.
+that their bounding boxes meet; each pair is kept in one of them only, and clipped exactly in Arrow batches, all pairs of a batch at once: the corners of all
+rings lie one after the other in one array.
 """
 
 from __future__ import annotations
@@ -9,64 +10,141 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticula.functions.geometry import xyz
-from graticula.operators.mesh import structured_cells
+from graticula.operators.mesh import facets, structured_cells
 from graticula.sources.grids import regular_lonlat
+from graticula.sources.meshes import CELLS_SQL, orders_grid, size_sql
 from graticula.sources.tables import POINTS_SQL, order_points
 
 EPS = 1e-12
 
 
+class Rings:
+    """Corners (n, 3) on the unit sphere of many rings, one after the other; count: the corners of each."""
+
+    def __init__(self, points: np.ndarray, count: np.ndarray):
+        self.points, self.count = points, count
+        self.start = np.cumsum(count) - count
+        self.owner = np.repeat(np.arange(len(count)), count)
+
+    @classmethod
+    def of(cls, lon: np.ndarray, lat: np.ndarray, count: np.ndarray) -> Rings:
+        return cls(unit(lon, lat), count).tidy()
+
+    def tidy(self) -> Rings:
+        """Without neighbours that coincide, anticlockwise seen from outside."""
+        r = self.apart(1e-10)
+        back = r.areas() < 0
+        k = np.arange(len(r.points)) - r.start[r.owner]
+        k = np.where(back[r.owner], r.count[r.owner] - 1 - k, k)
+        return Rings(r.points[r.start[r.owner] + k], r.count)
+
+    def taken(self, which: np.ndarray) -> Rings:
+        n = self.count[which]
+        at = np.repeat(self.start[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Rings(self.points[at], n)
+
+    def after(self) -> np.ndarray:
+        """The number of the next corner of the same ring."""
+        at = np.arange(1, len(self.points) + 1)
+        some = self.count > 0
+        at[(self.start + self.count - 1)[some]] = self.start[some]
+        return at
+
+    def apart(self, eps: float) -> Rings:
+        keep = np.abs(self.points - self.points[self.after()]).max(1, initial=0) > eps
+        return Rings(self.points[keep], np.bincount(self.owner[keep], minlength=len(self.count)))
+
+    def areas(self) -> np.ndarray:
+        """Signed, in steradians: fans of spherical triangles."""
+        a, b, c = self.points[self.start[self.owner]], self.points, self.points[self.after()]
+        det = (np.cross(b, c) * a).sum(1)
+        part = 2.0 * np.arctan2(det, 1.0 + (a * b).sum(1) + (b * c).sum(1) + (c * a).sum(1))
+        return np.bincount(self.owner, part, len(self.count))
+
+    def moments(self) -> np.ndarray:
+        """The integral of the position over each ring: half the sum of its edges' normals, each as long as the edge's angle. Moments of parts add up."""
+        b, c = self.points, self.points[self.after()]
+        n = np.cross(b, c)
+        size = np.sqrt((n * n).sum(1))
+        angle = np.arctan2(size, (b * c).sum(1))
+        n *= (angle / np.where(size > 0, size, 1.0) / 2.0)[:, None]
+        return np.stack([np.bincount(self.owner, n[:, k], len(self.count)) for k in range(3)], 1)
+
+    def clipped(self, by: Rings) -> Rings:
+        """What of each ring lies to the left of all edges of the ring of the same number in `by`, both anticlockwise: one great circle after the other."""
+        ring = self
+        for k in range(int(by.count.max(initial=0))):
+            edge = by.count > k
+            i = np.where(edge, by.start + k, 0)
+            j = np.where(edge, by.start + (k + 1) % np.maximum(by.count, 1), 0)
+            n = np.cross(by.points[i], by.points[j])
+            n /= np.maximum(np.sqrt((n * n).sum(1)), 1e-300)[:, None]
+            p, nxt = ring.points, ring.after()
+            s = np.where(edge[ring.owner], (p * n[ring.owner]).sum(1), 1.0)
+            t, q = s[nxt], p[nxt]
+            stays = s >= -EPS
+            crosses = ((s > EPS) & (t < -EPS)) | ((s < -EPS) & (t > EPS))
+            x = p * np.abs(t)[:, None] + q * np.abs(s)[:, None]
+            x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+            kept = np.stack((stays, crosses), 1)
+            points = np.stack((p, x), 1)[kept]
+            ring = Rings(points, np.bincount(np.repeat(ring.owner, kept.sum(1)), minlength=len(ring.count))).apart(1e-13)
+        return ring
+
+
+# One ring of corners (n, 3).
+
+
 def unit(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     a, b = np.radians(lon), np.radians(lat)
     return np.column_stack([np.cos(a) * np.cos(b), np.sin(a) * np.cos(b), np.sin(b)])
 
 
+def _one(ring: np.ndarray) -> Rings:
+    return Rings(ring, np.array([len(ring)]))
+
+
 def tidy(ring: np.ndarray) -> np.ndarray:
     """Without neighbours that coincide, anticlockwise seen from outside."""
-    ring = ring[np.abs(ring - np.roll(ring, -1, axis=0)).max(1) > 1e-10]
-    return ring[::-1] if len(ring) > 2 and signed_area(ring) < 0 else ring
+    return _one(ring).tidy().points
+
+
+def clip(ring: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return _one(ring).clipped(_one(by)).points
 
 
 def signed_area(ring: np.ndarray) -> float:
-    """Fan of spherical triangles, in steradians."""
-    if len(ring) < 3:
-        return 0.0
-    a, b, c = ring[0], ring[1:-1], ring[2:]
-    det = np.cross(b, c) @ a
-    return float((2.0 * np.arctan2(det, 1.0 + b @ a + (b * c).sum(1) + c @ a)).sum())
+    """In steradians."""
+    return float(_one(ring).areas()[0]) if len(ring) > 2 else 0.0
 
 
 def centroid(ring: np.ndarray) -> np.ndarray:
-    """The direction of the area-weighted mean of the fan's triangles."""
-    total = np.zeros(3)
-    for b, c in zip(ring[1:-1], ring[2:], strict=True):
-        total += (ring[0] + b + c) * signed_area(np.array([ring[0], b, c]))
+    """The direction of the mean position."""
+    total = _one(ring).moments()[0]
     return total / np.linalg.norm(total)
 
 
-def clip(ring: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """What of ring lies to the left of all edges of `by`, both anticlockwise: one great circle after the other."""
-    for a, b in zip(by, np.roll(by, -1, axis=0), strict=True):
-        if len(ring) < 3:
-            return ring[:0]
-        n = np.cross(a, b)
-        s = ring @ (n / np.linalg.norm(n))
-        out = []
-        for p, q, sp, sq in zip(ring, np.roll(ring, -1, axis=0), s, np.roll(s, -1), strict=True):
-            if sp >= -EPS:
-                out.append(p)
-            if (sp > EPS and sq < -EPS) or (sp < -EPS and sq > EPS):
-                x = p * abs(sq) + q * abs(sp)
-                out.append(x / np.linalg.norm(x))
-        ring = np.array(out).reshape(-1, 3)
-        if len(ring) > 1:
-            ring = ring[np.abs(ring - np.roll(ring, -1, axis=0)).max(1) > 1e-13]
-    return ring
+def _rings_of(column: pa.ListArray) -> Rings:
+    values = column.flatten()
+    return Rings.of(values.field("lon").to_numpy(), values.field("lat").to_numpy(), np.diff(column.offsets.to_numpy()))
+
+
+def moments(polygons: DataFrame) -> DataFrame:
+    """cell, area (steradians), mx, my, mz: the integral of the position over each polygon (cell, ring)."""
+    kind = polygons.schema["cell"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = _rings_of(batch.column(1))
+            m = r.moments()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r.areas()), *(pa.array(m[:, k]) for k in range(3))], ["cell", "area", "mx", "my", "mz"])
+
+    return polygons.select("cell", "ring").mapInArrow(run, f"cell {kind}, area double, mx double, my double, mz double")
 
 
 def inside(lon: Column, lat: Column, ring: Column) -> Column:
@@ -115,7 +193,7 @@ def cube_size(*polygons: DataFrame) -> float:
 
 
 def overlaps(source: DataFrame, target: DataFrame, size: float | None = None) -> DataFrame:
-    """row (target cell), col (source cell), area (of the overlap), target_area; pairs that do not overlap are left out.
+    """row (target cell), col (source cell), area (of the overlap), mx, my, mz (the integral of the position over it), target_area; pairs that do not overlap are left out.
 
     Only pairs whose boxes meet are clipped. Cubes follow the size of the polygons if it is not given.
     """
@@ -125,19 +203,18 @@ def overlaps(source: DataFrame, target: DataFrame, size: float | None = None) ->
     meet = [(F.col(f"col_{c}") <= F.col(f"row_{c}_end")) & (F.col(f"row_{c}") <= F.col(f"col_{c}_end")) for c in "xyz"]
     pairs = t.join(s, ["cx", "cy", "cz"]).filter(meet[0] & meet[1] & meet[2]).filter(once[0] & once[1] & once[2]).select("row", "col", "t", "s")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shape = lambda r: tidy(unit(np.array([p["lon"] for p in r]), np.array([p["lat"] for p in r])))
-        for pdf in batches:
-            out = []
-            for row, col, t, s in zip(pdf["row"], pdf["col"], pdf["t"], pdf["s"], strict=True):
-                a, b = shape(t), shape(s)
-                whole = signed_area(a)
-                part = signed_area(clip(b, a)) if len(a) > 2 and len(b) > 2 else 0.0
-                if part > 1e-14:
-                    out.append((row, col, part, whole))
-            yield pd.DataFrame(out, columns=["row", "col", "area", "target_area"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a target stands in many pairs: its corners and its area are worked out once
+            rows, first, of = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+            target = _rings_of(batch.column(2).take(pa.array(first)))
+            part = _rings_of(batch.column(3)).clipped(target.taken(of))
+            area, m = part.areas(), part.moments()
+            some = np.flatnonzero((area > 1e-14) & (target.count[of] > 2))
+            columns = [pa.array(x) for x in (area[some], m[some, 0], m[some, 1], m[some, 2], target.areas()[of[some]])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), *columns], ["row", "col", "area", "mx", "my", "mz", "target_area"])
 
-    return pairs.mapInPandas(run, "row long, col long, area double, target_area double")
+    return pairs.mapInArrow(run, "row long, col long, area double, mx double, my double, mz double, target_area double")
 
 
 def conservative(source: DataFrame, target: DataFrame, size: float | None = None, normalise: bool = False) -> DataFrame:
@@ -150,6 +227,57 @@ def conservative(source: DataFrame, target: DataFrame, size: float | None = None
     return o.select("row", "col", (F.col("area") / F.col("target_area")).alias("w"))
 
 
+def cell_gradients(source: DataFrame, near: DataFrame) -> DataFrame:
+    """cell, of, gx, gy, gz: a cell's gradient is the sum of these vectors times the values of the cells `of`: itself and its neighbours (cell, near).
+
+    Least squares over the differences to the neighbours in the plane that touches the sphere at the cell's centre. Cells whose neighbours do not span
+    that plane have no gradient.
+    """
+    m = moments(source)
+    p = m.select("cell", *((F.col(f"m{c}") / F.col("area")).alias(c) for c in "xyz"))
+    other = p.select(F.col("cell").alias("near"), *(F.col(c).alias(f"n{c}") for c in "xyz"))
+    e = near.select("cell", "near").distinct().join(p, "cell").join(other, "near")
+    norm = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    e = e.withColumns({f"u{c}": F.col(c) / norm for c in "xyz"}).withColumns({f"d{c}": F.col(f"n{c}") - F.col(c) for c in "xyz"})
+    up = sum((F.col(f"d{c}") * F.col(f"u{c}") for c in "yz"), F.col("dx") * F.col("ux"))
+    e = e.withColumn("up", up).withColumns({f"d{c}": F.col(f"d{c}") - F.col("up") * F.col(f"u{c}") for c in "xyz"})
+    # the products' sums, made regular along the normal, where all differences are zero
+    trace = F.sum(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    s = e.groupBy("cell").agg(*(F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"{a}{b}") for a, b in pairs), trace.alias("t"), *(F.first(f"u{c}").alias(f"u{c}") for c in "xyz"))
+    s = s.withColumns({f"{a}{b}": F.col(f"{a}{b}") + F.col("t") * F.col(f"u{a}") * F.col(f"u{b}") for a, b in pairs})
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in pairs)
+    minors = {"ixx": yy * zz - yz * yz, "ixy": xz * yz - xy * zz, "ixz": xy * yz - xz * yy, "iyy": xx * zz - xz * xz, "iyz": xy * xz - xx * yz, "izz": xx * yy - xy * xy}
+    s = s.withColumns(minors).withColumn("det", xx * F.col("ixx") + xy * F.col("ixy") + xz * F.col("ixz"))
+    s = s.filter(F.col("det") > 1e-9 * F.col("t") ** 3).select("cell", *((F.col(c) / F.col("det")).alias(c) for c in minors))
+    e = e.select("cell", "near", "dx", "dy", "dz").join(s, "cell")
+    row = {"gx": ("ixx", "ixy", "ixz"), "gy": ("ixy", "iyy", "iyz"), "gz": ("ixz", "iyz", "izz")}
+    e = e.select("cell", F.col("near").alias("of"), *((F.col(a) * F.col("dx") + F.col(b) * F.col("dy") + F.col(c) * F.col("dz")).alias(g) for g, (a, b, c) in row.items()))
+    own = e.groupBy("cell").agg(*((-F.sum(g)).alias(g) for g in row)).select("cell", F.col("cell").alias("of"), *row)
+    return e.unionByName(own)
+
+
+def conservative_second_order(source: DataFrame, target: DataFrame, near: DataFrame, size: float | None = None) -> DataFrame:
+    """row, col, w: second-order conservative weights between polygons (cell, ring); near: pairs (cell, near) of neighbouring source cells.
+
+    A source cell's value varies inside it with its gradient. What a target gets of it is the overlap times the value plus the gradient times
+    the overlap's moment about the centre of the cell; over all targets these moments add up to nothing, so the total is conserved as in first order.
+    """
+    o = overlaps(source, target, size)
+    centre = moments(source).select(F.col("cell").alias("col"), *((F.col(f"m{c}") / F.col("area")).alias(f"c{c}") for c in "xyz"))
+    o = o.join(centre, "col").withColumns({f"v{c}": (F.col(f"m{c}") - F.col("area") * F.col(f"c{c}")) / F.col("target_area") for c in "xyz"})
+    first = o.select("row", "col", (F.col("area") / F.col("target_area")).alias("w"))
+    g = cell_gradients(source, near).withColumnRenamed("cell", "col")
+    second = o.select("row", "col", "vx", "vy", "vz").join(g, "col").select("row", F.col("of").alias("col"), (F.col("vx") * F.col("gx") + F.col("vy") * F.col("gy") + F.col("vz") * F.col("gz")).alias("w"))
+    return first.unionByName(second).groupBy("row", "col").agg(F.sum("w").alias("w"))
+
+
+def neighbours(cells: DataFrame) -> DataFrame:
+    """cell, near: both ways, the cells that share an edge."""
+    f = facets(cells).filter("right is not null")
+    return f.select(F.inline(F.array(F.struct(F.col("left").alias("cell"), F.col("right").alias("near")), F.struct(F.col("right").alias("cell"), F.col("left").alias("near")))))
+
+
 def rings(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cells (cell, nodes) with their corners' coordinates (cell, ring)."""
     n = nodes.select(F.col("gidx").alias("node"), "lon", "lat")
@@ -163,9 +291,30 @@ def _mesh(s: SparkSession, nx: int, ny: int) -> DataFrame:
     return rings(structured_cells(p, nx), p)
 
 
+def _table_mesh(s: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Polygons and cells of the grid of a table."""
+    p, nx, _ = orders_grid(s, d, name)
+    cells = structured_cells(p, nx)
+    return rings(cells, p), cells
+
+
 def _areas(s: SparkSession, d: str) -> DataFrame:
-    own = overlaps(_mesh(s, 12, 7), _mesh(s, 12, 7), 0.5).filter("row = col")
-    return own.select(F.floor(F.col("row") / 12).alias("band"), "area").groupBy("band").agg(F.round(F.sum("area"), 8).alias("area"))
+    return moments(_table_mesh(s, d, "orders")[0]).select("cell", F.round("area", 9).alias("area"))
+
+
+def _mass(s: SparkSession, d: str, order: int) -> DataFrame:
+    """col, mass: what all customers' cells together take of each cell of orders: its area."""
+    (source, cells), (target, _) = _table_mesh(s, d, "orders"), _table_mesh(s, d, "customer")
+    w = conservative(source, target) if order == 1 else conservative_second_order(source, target, neighbours(cells))
+    size = moments(target).select(F.col("cell").alias("row"), "area")
+    return w.join(size, "row").groupBy("col").agg(F.round(F.sum(F.col("w") * F.col("area")), 9).alias("mass"))
+
+
+def _total(s: SparkSession, d: str, order: int) -> DataFrame:
+    """row, total: the weights of each customers' cell add up to 1."""
+    (source, cells), (target, _) = _table_mesh(s, d, "orders"), _table_mesh(s, d, "customer")
+    w = conservative(source, target) if order == 1 else conservative_second_order(source, target, neighbours(cells))
+    return w.groupBy("row").agg(F.round(F.sum("w"), 8).alias("total"))
 
 
 _QUAD = ((10.0, -20.0), (95.0, -5.0), (80.0, 60.0), (20.0, 40.0))
@@ -189,7 +338,10 @@ def _simplified(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "f4_inside_spherical_polygon": _inside,
     "sf19_simplified": _simplified,
-    "in16_conservative": lambda s, d: conservative(_mesh(s, 24, 13), _mesh(s, 16, 9)).groupBy("row").agg(F.round(F.sum("w"), 8).alias("total")),
+    "in16_conservative": lambda s, d: _total(s, d, 1),
+    "in16_conservative_mass": lambda s, d: _mass(s, d, 1),
+    "in16_second_order": lambda s, d: _total(s, d, 2),
+    "in16_second_order_mass": lambda s, d: _mass(s, d, 2),
     "sf14_polygon_areas": _areas,
 }
 _V = "(cos(radians({0}))*cos(radians({1})))", "(sin(radians({0}))*cos(radians({1})))", "sin(radians({0}*0 + {1}))"
@@ -200,14 +352,18 @@ def _left(a: tuple[float, float], b: tuple[float, float]) -> str:
     return f"({q}*{w} - {r}*{v})*x + ({r}*{u} - {p}*{w})*y + ({p}*{v} - {q}*{u})*z >= -1e-12"
 
 
-# corners of a cell 30 degrees wide, and both triangles of its fan: twice the arc tangent of volume over 1 plus the sum of cosines
-_AREAS = """WITH q AS (SELECT band, radians(90 - band*30) AS t, radians(60 - band*30) AS b FROM (SELECT unnest(range(6)) AS band)),
-v AS (SELECT band, [cos(b), 0, sin(b)] AS p, [cos(b)*sqrt(3)/2, cos(b)/2, sin(b)] AS q, [cos(t)*sqrt(3)/2, cos(t)/2, sin(t)] AS r, [cos(t), 0, sin(t)] AS s FROM q),
-t AS (SELECT band, p AS a, q AS b, r AS c FROM v UNION ALL SELECT band, p, r, s FROM v)
-SELECT band::BIGINT AS band, round(sum(12*2*atan2(list_dot_product(a, [b[2]*c[3]-b[3]*c[2], b[3]*c[1]-b[1]*c[3], b[1]*c[2]-b[2]*c[1]]), 1 + list_dot_product(a, b) + list_dot_product(b, c) + list_dot_product(c, a))), 8) AS area FROM t GROUP BY band"""
+# corners of a cell from lon 0 on, and both triangles of its fan: twice the arc tangent of volume over 1 plus the sum of cosines
+_AREAS = f"""(WITH q AS (SELECT cell, radians(360.0/nx) AS w, radians(90 - j*180.0/(ny-1)) AS t, radians(90 - (j+1)*180.0/(ny-1)) AS b FROM {CELLS_SQL}),
+v AS (SELECT cell, [cos(b), 0, sin(b)] AS p, [cos(b)*cos(w), cos(b)*sin(w), sin(b)] AS q, [cos(t)*cos(w), cos(t)*sin(w), sin(t)] AS r, [cos(t), 0, sin(t)] AS s FROM q),
+t AS (SELECT cell, p AS a, q AS b, r AS c FROM v UNION ALL SELECT cell, p, r, s FROM v)
+SELECT cell, sum(2*atan2(list_dot_product(a, [b[2]*c[3]-b[3]*c[2], b[3]*c[1]-b[1]*c[3], b[1]*c[2]-b[2]*c[1]]), 1 + list_dot_product(a, b) + list_dot_product(b, c) + list_dot_product(c, a))) AS area FROM t GROUP BY cell)"""
+_MASS, _TOTAL = f"SELECT cell AS col, round(area, 9) AS mass FROM {_AREAS}", f"SELECT unnest(range(nx*(ny-1))) AS row, 1.0::DOUBLE AS total FROM {size_sql('customer')}"
 ORACLES = {
-    "sf14_polygon_areas": _AREAS,
+    "sf14_polygon_areas": f"SELECT cell, round(area, 9) AS area FROM {_AREAS}",
     "f4_inside_spherical_polygon": f"SELECT gidx, {' AND '.join(_left(a, b) for a, b in zip(_QUAD, _QUAD[1:] + _QUAD[:1], strict=True))} AS inside FROM (SELECT gidx, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM {POINTS_SQL})",
     "sf19_simplified": "SELECT gidx, concat('0:0,', 2*n, ':0,', 2*n, ':', n, ',', n, ':', n, ',', n, ':', 2*n, ',0:', 2*n) AS ring FROM (SELECT o_orderkey AS gidx, o_orderkey % 5 + 2 AS n FROM orders)",
-    "in16_conservative": "SELECT unnest(range(128)) AS row, 1.0::DOUBLE AS total",
+    "in16_conservative": _TOTAL,
+    "in16_conservative_mass": _MASS,
+    "in16_second_order": _TOTAL,
+    "in16_second_order_mass": _MASS,
 }

@@ -14,15 +14,15 @@ from graticula.sources.grids import regular_lonlat
 from graticula.sources.tables import table
 
 
-def grid_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """nx, ny of the grid of orders."""
-    ny = max(3, math.isqrt(table(spark, sf_dir, "orders", "o_orderkey").count() // 4))
+def grid_size(spark: SparkSession, sf_dir: str, name: str = "orders") -> tuple[int, int]:
+    """nx, ny of the grid of a table."""
+    ny = max(3, math.isqrt(table(spark, sf_dir, name).count() // 4))
     return 2 * ny, ny
 
 
-def orders_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+def orders_grid(spark: SparkSession, sf_dir: str, name: str = "orders") -> tuple[DataFrame, int, int]:
     """gidx, i, j, lon, lat of rows from pole to pole, and nx, ny."""
-    nx, ny = grid_size(spark, sf_dir)
+    nx, ny = grid_size(spark, sf_dir, name)
     return regular_lonlat(spark, nx, ny), nx, ny
 
 
@@ -42,7 +42,11 @@ def customers_field(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 
 #: The same in SQL.
-SIZE_SQL = "(SELECT 2 * ny AS nx, ny FROM (SELECT greatest(3, floor(sqrt(count(*) // 4))::BIGINT) AS ny FROM orders))"
+def size_sql(name: str) -> str:
+    return f"(SELECT 2 * ny AS nx, ny FROM (SELECT greatest(3, floor(sqrt(count(*) // 4))::BIGINT) AS ny FROM {name}))"
+
+
+SIZE_SQL = size_sql("orders")
 GRID_SQL = f"(SELECT j*nx+i AS gidx, i, j, nx, ny, i*360.0::DOUBLE/nx AS lon, 90.0::DOUBLE - j*(180.0::DOUBLE/(ny-1)) AS lat FROM (SELECT *, unnest(range(ny)) AS j FROM (SELECT nx, ny, unnest(range(nx)) AS i FROM {SIZE_SQL})))"
 CELLS_SQL = f"(SELECT j*nx+i AS cell, i, j, nx, ny, [(j+1)*nx+i, (j+1)*nx+(i+1)%nx, j*nx+(i+1)%nx, j*nx+i] AS nodes FROM {GRID_SQL} WHERE j < ny - 1)"
 
