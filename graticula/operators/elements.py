@@ -1,26 +1,26 @@
 """Meshes of reduced grids, and searches for the element that holds a point: finite-element weights, matching partitions, outlines.
 
 Elements are triangles and quadrilaterals with straight edges between points of the unit sphere; a point lies in the one that its ray from the
-centre hits. Elements and points meet by an equi-join on cells of the unit cube, whose size follows the number of elements, and the test is a
-column expression. A point that several elements hold (on a common edge) goes to the one it is deepest in, then to the lowest number.
+centre hits. Elements lie in cells of the unit cube of the level of their own size and meet the points by an equi-join; the test is a column
+expression. A point that several elements hold (on a common edge) goes to the one it is deepest in, then to the lowest number.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.functions.geometry import quad_quality, triangle_quality, xyz
 from graticula.operators.exchange import renumber
 from graticula.operators.mesh import facets
-from graticula.operators.search import nearest
+from graticula.operators.octree import at_levels, in_cells, levels_of, nearest, own_level
 from graticula.operators.sparse import apply
 from graticula.operators.structured import extended
 from graticula.sources.grids import from_rows
 from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points
 
+#: Side of a cell of level 0.
+CUBE = 4.0
 #: Weights below this count as zero.
 TOL = 1e-12
 
@@ -102,24 +102,25 @@ def element_hits(points: DataFrame, elements: DataFrame, slack: float = 1e-10) -
     triangle has barycentric weights. A quadrilateral is two triangles, whose u and v along the sides give bilinear weights. A point may
     be outside by `slack`; such weights are cut at 0 and scaled to 1.
     """
-    size = min(0.5, max(2.0**-20, 2.0 * math.sqrt(4 * math.pi / max(1, elements.count()))))
     e = triangles(elements)
     spread = F.greatest(*(F.greatest(*(F.col(f"{v}{c}") for v in "abd")) - F.least(*(F.col(f"{v}{c}") for v in "abd")) for c in "xyz"))
     e = e.withColumn("pad", spread * spread / 2.0 + 1e-9)  # the sphere bulges over an element's plane
     normals = {n: _cross([F.col(f"{p}{c}") for c in "xyz"], [F.col(f"{q}{c}") for c in "xyz"]) for n, p, q in (("na", "b", "d"), ("nb", "d", "a"), ("nd", "a", "b"))}
     reach = lambda f, c: f(*(F.col(f"{v}{c}") for v in "abd"))
-    cells = {f"c{c}": F.sequence(F.floor((reach(F.least, c) - F.col("pad")) / size), F.floor((reach(F.greatest, c) + F.col("pad")) / size)) for c in "xyz"}
-    e = e.select("cell", "far", "three", "ax", "ay", "az", *(k.alias(f"{n}{c}") for n, v in normals.items() for c, k in zip("xyz", v, strict=True)), *(s.alias(n) for n, s in cells.items()))
-    for c in cells:
-        e = e.withColumn(c, F.explode(c))
+    cells = {f"c{c}": (F.col(f"{c}0"), F.col(f"{c}1")) for c in "xyz"}
+    lev = own_level(spread + 2 * F.col("pad"), CUBE)
+    bounds = [(reach(f, c) + sign * F.col("pad")).alias(f"{c}{k}") for c in "xyz" for k, f, sign in ((0, F.least, -1), (1, F.greatest, 1))]
+    e = e.select("cell", "far", "three", "ax", "ay", "az", *(k.alias(f"{n}{c}") for n, v in normals.items() for c, k in zip("xyz", v, strict=True)), lev.alias("lev"), *bounds)
+    levels = levels_of(e)
+    e = in_cells(e, CUBE, **cells).drop("x0", "x1", "y0", "y1", "z0", "z1")
     x, y, z = xyz(F.col("lon"), F.col("lat"))
     t = points.select(F.col("gidx").alias("row"), x.alias("x"), y.alias("y"), z.alias("z"))
-    t = t.withColumns({f"c{c}": F.floor(F.col(c) / size) for c in "xyz"})
+    t = at_levels(t, levels, CUBE, cx="x", cy="y", cz="z")
     ray = [F.col(c) for c in "xyz"]
     volume = lambda n: _dot(ray, [F.col(f"{n}{c}") for c in "xyz"])
     low = -slack * F.abs(volume("na") + volume("nb") + volume("nd"))
     held = (volume("na") >= low) & (volume("nb") >= low) & (volume("nd") >= low)  # corners are anticlockwise seen from outside
-    j = t.join(e, list(cells)).filter((volume("a") > 0) & held).select("row", "cell", "far", "three", F.inline(F.array(F.struct(*(volume(n).alias(n) for n in ("na", "nb", "nd"))))))
+    j = t.join(e, ["lev", *cells]).filter((volume("a") > 0) & held).select("row", "cell", "far", "three", F.inline(F.array(F.struct(*(volume(n).alias(n) for n in ("na", "nb", "nd"))))))
     u, v = (F.col(n) / (F.col("na") + F.col("nb") + F.col("nd")) for n in ("nb", "nd"))
     j = j.select("row", "cell", "three", F.inline(F.array(F.struct(F.when(F.col("far"), 1.0 - u).otherwise(u).alias("u"), F.when(F.col("far"), 1.0 - v).otherwise(v).alias("v")))))
     u, v = F.col("u"), F.col("v")

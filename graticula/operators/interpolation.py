@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graticula.functions.geometry import course
 from graticula.operators.elements import finite_element
-from graticula.operators.search import nearest
+from graticula.operators.octree import in_cells, levels_of, nearest, own_level, width
 from graticula.operators.sparse import apply, normalised, transpose
 from graticula.operators.structured import structured_weights
 from graticula.sources.grids import regular_lonlat
@@ -100,26 +100,26 @@ def box_area(west: Column, east: Column, south: Column, north: Column) -> Column
     return F.radians(east - west) * (F.sin(F.radians(north)) - F.sin(F.radians(south)))
 
 
-def box_tile(*boxes: DataFrame) -> float:
-    """Degrees of a lon-lat tile for boxes (west, east, south, north): twice the mean of their longer sides, so a tile meets a few boxes."""
-    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    means = [b.agg(F.avg(side)).first()[0] or 0.0 for b in boxes]
-    return min(30.0, max(1e-4, 2.0 * max(means, default=0.0)))
+#: Degrees of a tile of level 0.
+TURN = 1440.0
 
 
-def grid_box_average(source: DataFrame, target: DataFrame, tile: float | None = None) -> DataFrame:
+def grid_box_average(source: DataFrame, target: DataFrame) -> DataFrame:
     """w = overlap area / area of the target's box; boxes meet by an equi-join on lon-lat tiles, also across the date line.
 
-    Each overlap is counted in the tile that holds its south-west corner. Tiles follow the size of the boxes if they are not given.
+    Each box lies in tiles of the level of its own size and in those of all coarser levels there are; two boxes meet at the coarser of their levels. Each
+    overlap is counted in the tile that holds its south-west corner.
     """
-    tile = tile or box_tile(source, target)
-    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    side = lambda w, e, s, n: own_level(F.greatest(F.col(e) - F.col(w), F.col(n) - F.col(s)), TURN)
     s = source.select(F.col("gidx").alias("col"), "south", "north", F.inline(F.array(*(F.struct((F.col("west") + k).alias("west"), (F.col("east") + k).alias("east")) for k in (-360.0, 0.0, 360.0)))))
-    s = s.withColumn("tx", tiles("west", "east")).withColumn("ty", tiles("south", "north"))
-    t = target.select(F.col("gidx").alias("row"), *(F.col(c).alias(f"t_{c}") for c in ("west", "east", "south", "north")))
-    t = t.withColumn("tx", tiles("t_west", "t_east")).withColumn("ty", tiles("t_south", "t_north"))
+    s = s.withColumn("lev", side("west", "east", "south", "north"))
+    t = target.select(F.col("gidx").alias("row"), *(F.col(c).alias(f"t_{c}") for c in ("west", "east", "south", "north"))).withColumn("lev", side("t_west", "t_east", "t_south", "t_north"))
+    levels = levels_of(s, t)
+    s = in_cells(s, TURN, levels, tx=(F.col("west"), F.col("east")), ty=(F.col("south"), F.col("north"))).withColumnRenamed("own", "s_own")
+    t = in_cells(t, TURN, levels, tx=(F.col("t_west"), F.col("t_east")), ty=(F.col("t_south"), F.col("t_north"))).withColumnRenamed("own", "t_own")
     w, e, so, n = F.greatest("west", "t_west"), F.least("east", "t_east"), F.greatest("south", "t_south"), F.least("north", "t_north")
-    j = t.join(s, ["tx", "ty"]).withColumns({"w0": w, "e0": e, "s0": so, "n0": n}).filter("e0 > w0 and n0 > s0")
+    j = t.join(s, ["lev", "tx", "ty"]).filter("s_own = lev or t_own = lev").withColumns({"w0": w, "e0": e, "s0": so, "n0": n}).filter("e0 > w0 and n0 > s0")
+    tile = width(F.col("lev"), TURN)
     j = j.filter((F.floor(F.col("w0") / tile) == F.col("tx")) & (F.floor(F.col("s0") / tile) == F.col("ty")))
     part = box_area(F.col("w0"), F.col("e0"), F.col("s0"), F.col("n0")) / box_area(F.col("t_west"), F.col("t_east"), F.col("t_south"), F.col("t_north"))
     return j.groupBy("row", "col").agg(F.sum(part).alias("w"))

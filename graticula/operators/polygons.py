@@ -1,7 +1,7 @@
 """Convex polygons on the sphere with great-circle edges: area, centroid, point test, clipping, and conservative remapping.
 
 Polygons are rows (cell, ring), ring an array of structs (lon, lat) in order. Overlapping pairs are found by an equi-join on cells of the unit cube
-that their bounding boxes meet; each pair is kept in one of them only, and clipped exactly in Arrow batches, all pairs of a batch at once: the corners of all
+of the polygons' own sizes; each pair is kept in one of them only, and clipped exactly in Arrow batches, all pairs of a batch at once: the corners of all
 rings lie one after the other in one array.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graticula.functions.geometry import xyz
 from graticula.operators.mesh import facets, structured_cells
+from graticula.operators.octree import in_cells, levels_of, own_level, width
 from graticula.sources.grids import regular_lonlat
 from graticula.sources.meshes import CELLS_SQL, orders_grid, size_sql
 from graticula.sources.tables import POINTS_SQL, order_points
@@ -171,8 +172,12 @@ def simplified(ring: Column, eps: float = 1e-12) -> Column:
     return F.filter(ring, turns)
 
 
-def _cubes(polygons: DataFrame, size: float, names: tuple[str, str]) -> DataFrame:
-    """(id, ring, lower corner, cube) for every cube cell that the polygon's box meets; edges bulge out by no more than the box is padded."""
+#: Side of a cube of level 0.
+CUBE = 4.0
+
+
+def _boxed(polygons: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(id, ring, bounds, lev) of polygons (cell, ring); edges bulge out by no more than the box is padded."""
     cell, ring = names
     v = F.transform("ring", lambda p: F.struct(*(c.alias(n) for n, c in zip("xyz", xyz(p["lon"], p["lat"]), strict=True))))
     p = polygons.select(F.col("cell").alias(cell), F.col("ring").alias(ring), v.alias("v"))
@@ -180,28 +185,24 @@ def _cubes(polygons: DataFrame, size: float, names: tuple[str, str]) -> DataFram
     p = p.withColumn("pad", spread * spread / 2.0 + 1e-9)
     for c in "xyz":
         p = p.withColumns({f"{cell}_{c}": F.array_min(f"v.{c}") - F.col("pad"), f"{cell}_{c}_end": F.array_max(f"v.{c}") + F.col("pad")})
-        p = p.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{cell}_{c}") / size), F.floor(F.col(f"{cell}_{c}_end") / size))))
-    return p.drop("v", "pad")
-
-
-def cube_size(*polygons: DataFrame) -> float:
-    """Side of the cubes for polygons (cell, ring): twice the mean of their boxes' longest sides, so a cube meets a few of them."""
-    v = F.transform("ring", lambda p: F.struct(*(c.alias(n) for n, c in zip("xyz", xyz(p["lon"], p["lat"]), strict=True)))).alias("v")
-    longest = F.greatest(*(F.array_max(f"v.{c}") - F.array_min(f"v.{c}") for c in "xyz"))
-    means = [p.select(v).agg(F.avg(longest)).first()[0] or 0.0 for p in polygons]
-    return min(0.5, max(1e-6, 2.0 * max(means, default=0.0)))
+    return p.withColumn("lev", own_level(spread + 2 * F.col("pad"), CUBE)).drop("v", "pad")
 
 
-def overlaps(source: DataFrame, target: DataFrame, size: float | None = None) -> DataFrame:
+def overlaps(source: DataFrame, target: DataFrame) -> DataFrame:
     """row (target cell), col (source cell), area (of the overlap), mx, my, mz (the integral of the position over it), target_area; pairs that do not overlap are left out.
 
-    Only pairs whose boxes meet are clipped. Cubes follow the size of the polygons if it is not given.
+    Each polygon lies in cubes of the level of its own size and in those of all coarser levels that are there; two meet at the coarser of their levels. Only
+    pairs whose boxes meet are clipped.
     """
-    size = size or cube_size(source, target)
-    s, t = _cubes(source, size, ("col", "s")), _cubes(target, size, ("row", "t"))
-    once = [F.floor(F.greatest(f"col_{c}", f"row_{c}") / size) == F.col(f"c{c}") for c in "xyz"]
+    s, t = _boxed(source, ("col", "s")), _boxed(target, ("row", "t"))
+    levels = levels_of(s, t)
+    axes = lambda n: {f"c{c}": (F.col(f"{n}_{c}"), F.col(f"{n}_{c}_end")) for c in "xyz"}
+    s, t = in_cells(s, CUBE, levels, **axes("col")).withColumnRenamed("own", "col_own"), in_cells(t, CUBE, levels, **axes("row")).withColumnRenamed("own", "row_own")
+    w = width(F.col("lev"), CUBE)
+    once = [F.floor(F.greatest(f"col_{c}", f"row_{c}") / w) == F.col(f"c{c}") for c in "xyz"]
     meet = [(F.col(f"col_{c}") <= F.col(f"row_{c}_end")) & (F.col(f"row_{c}") <= F.col(f"col_{c}_end")) for c in "xyz"]
-    pairs = t.join(s, ["cx", "cy", "cz"]).filter(meet[0] & meet[1] & meet[2]).filter(once[0] & once[1] & once[2]).select("row", "col", "t", "s")
+    coarse = (F.col("col_own") == F.col("lev")) | (F.col("row_own") == F.col("lev"))
+    pairs = t.join(s, ["lev", "cx", "cy", "cz"]).filter(coarse & meet[0] & meet[1] & meet[2]).filter(once[0] & once[1] & once[2]).select("row", "col", "t", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +218,9 @@ def overlaps(source: DataFrame, target: DataFrame, size: float | None = None) ->
     return pairs.mapInArrow(run, "row long, col long, area double, mx double, my double, mz double, target_area double")
 
 
-def conservative(source: DataFrame, target: DataFrame, size: float | None = None, normalise: bool = False) -> DataFrame:
+def conservative(source: DataFrame, target: DataFrame, normalise: bool = False) -> DataFrame:
     """First-order conservative weights: overlap over the target's area (or over the covered part of it)."""
-    o = overlaps(source, target, size)
+    o = overlaps(source, target)
     if normalise:
         from pyspark.sql import Window
 
@@ -257,13 +258,13 @@ def cell_gradients(source: DataFrame, near: DataFrame) -> DataFrame:
     return e.unionByName(own)
 
 
-def conservative_second_order(source: DataFrame, target: DataFrame, near: DataFrame, size: float | None = None) -> DataFrame:
+def conservative_second_order(source: DataFrame, target: DataFrame, near: DataFrame) -> DataFrame:
     """row, col, w: second-order conservative weights between polygons (cell, ring); near: pairs (cell, near) of neighbouring source cells.
 
     A source cell's value varies inside it with its gradient. What a target gets of it is the overlap times the value plus the gradient times
     the overlap's moment about the centre of the cell; over all targets these moments add up to nothing, so the total is conserved as in first order.
     """
-    o = overlaps(source, target, size)
+    o = overlaps(source, target)
     centre = moments(source).select(F.col("cell").alias("col"), *((F.col(f"m{c}") / F.col("area")).alias(f"c{c}") for c in "xyz"))
     o = o.join(centre, "col").withColumns({f"v{c}": (F.col(f"m{c}") - F.col("area") * F.col(f"c{c}")) / F.col("target_area") for c in "xyz"})
     first = o.select("row", "col", (F.col("area") / F.col("target_area")).alias("w"))

@@ -1,13 +1,11 @@
 """Nearest neighbours, radius joins and point-in-polygon joins.
 
-Points on the sphere are bucketed into cells of the unit cube. A radius join looks at the cells within reach of a point, an equi-join on the
-cell, and tests the exact distance. A kNN join starts with a radius that holds k points on average and doubles it for those targets that found
-fewer than k, so every answer is exact and no cross join is formed. Ties go to the lowest key.
+A radius join deals points on the sphere to cells of the unit cube, looks at the cells within reach of a point, an equi-join on the cell, and tests
+the exact distance. kNN joins go down an octree of the sources (octree.py). Polygons lie in tiles of their own size. No cross join is formed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.functions.geometry import xyz
+from graticula.operators.octree import at_levels, in_cells, levels_of, nearest, own_level
 from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points, table
 
 
@@ -39,30 +38,6 @@ def radius_join(targets: DataFrame, sources: DataFrame, chord: float) -> DataFra
     return t.join(s, ["cx", "cy", "cz"]).withColumn("d", d).filter(F.col("d") <= chord).select("target", "source", "d")
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, start: float | None = None, digits: int = 12) -> DataFrame:
-    """target, source, d, rank: the k nearest sources of each target (fewer only if there are fewer sources).
-
-    Distances are compared after rounding to `digits`, so ties are ties on every machine.
-    """
-    n = sources.count()
-    k = min(k, n)
-    if k == 0:
-        return targets.sparkSession.createDataFrame([], "target long, source long, d double, rank int")
-    chord = start or min(2.0, 4.0 * math.sqrt(k / max(n, 1)))
-    left, found = targets.select("gidx", "lon", "lat"), None
-    while True:
-        pairs = radius_join(left, sources, chord).withColumn("d", F.round("d", digits))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("d", "source"))).filter(F.col("rank") <= k)
-        if chord >= 2.0:
-            return ranked if found is None else found.unionByName(ranked)
-        full = ranked.withColumn("__n", F.max("rank").over(Window.partitionBy("target"))).filter(F.col("__n") == k).drop("__n")
-        rest = left.join(full.select(F.col("target").alias("gidx")).distinct(), "gidx", "left_anti")
-        found = full if found is None else found.unionByName(full)
-        if rest.isEmpty():
-            return found
-        left, chord = rest, min(2.0, chord * 2)
-
-
 def nearest_vectors(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact k nearest vectors by Euclidean distance for a stated set of queries against all items, in blocks.
 
@@ -116,24 +91,28 @@ def inside_polygon(px: Column, py: Column, polygon: Column, eps: float = 1e-10)
     return F.aggregate(F.sequence(F.lit(0), F.size(polygon) - 2), start, step, lambda acc: acc["on"] | (acc["w"] != 0))
 
 
-def locate_polygon(points: DataFrame, polygons: DataFrame, tile: float | None = None) -> DataFrame:
+def locate_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """gidx, polygon: the lowest-numbered polygon that holds each point, also looked for at lon + 360 and lon - 360; null if none does.
 
-    Polygons (polygon, ring) are dealt to the lon-lat tiles that their bounding box meets, points to theirs: an equi-join, then the exact test.
-    Tiles are as wide as the mean of the boxes' longer sides if they are not given.
+    Polygons (polygon, ring) lie in lon-lat tiles of the level of their own bounding box, points are looked up at each level there is: an equi-join, then the exact test.
     """
     bound = {"x0": F.array_min("ring.x"), "x1": F.array_max("ring.x"), "y0": F.array_min("ring.y"), "y1": F.array_max("ring.y")}
     box = polygons.select("polygon", "ring", *(c.alias(n) for n, c in bound.items()))
-    tile = tile or min(30.0, max(1e-4, box.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 30.0))
-    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
-    box = box.withColumn("tx", tiles("x0", "x1")).withColumn("ty", tiles("y0", "y1"))
+    box = box.withColumn("lev", own_level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), TURN))
+    levels = levels_of(box)
+    eps = 1e-10
+    box = in_cells(box, TURN, tx=(F.col("x0") - eps, F.col("x1") + eps), ty=(F.col("y0") - eps, F.col("y1") + eps))
     moved = points.select("gidx", "lat", F.explode(F.array(F.col("lon"), F.col("lon") - 360.0, F.col("lon") + 360.0)).alias("lon"))
-    moved = moved.withColumn("tx", F.floor(F.col("lon") / tile)).withColumn("ty", F.floor(F.col("lat") / tile))
-    bounds = F.col("lon").between(F.col("x0") - 1e-10, F.col("x1") + 1e-10) & F.col("lat").between(F.col("y0") - 1e-10, F.col("y1") + 1e-10)
-    held = moved.join(box, ["tx", "ty"]).filter(bounds).filter(inside_polygon(F.col("lon"), F.col("lat"), F.col("ring")))
+    moved = at_levels(moved, levels, TURN, tx="lon", ty="lat")
+    bounds = F.col("lon").between(F.col("x0") - eps, F.col("x1") + eps) & F.col("lat").between(F.col("y0") - eps, F.col("y1") + eps)
+    held = moved.join(box, ["lev", "tx", "ty"]).filter(bounds).filter(inside_polygon(F.col("lon"), F.col("lat"), F.col("ring")))
     return points.select("gidx").join(held.groupBy("gidx").agg(F.min("polygon").alias("polygon")), "gidx", "left")
 
 
+#: Degrees of a tile of level 0.
+TURN = 720.0
+
+
 def boxes(spark: SparkSession, step: int = 45) -> DataFrame:
     """Quadrilaterals that cover the sphere in lon-lat."""
     i = spark.range(360 // step).select((F.col("id") * step).cast("double").alias("x"))
