@@ -7,6 +7,8 @@ expression. A point that several elements hold (on a common edge) goes to the on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from graticula.operators.octree import at_levels, in_cells, levels_of, nearest,
 from graticula.operators.sparse import apply
 from graticula.operators.structured import extended
 from graticula.sources.grids import from_rows
-from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points
+from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points, table
 
 #: Side of a cell of level 0.
 CUBE = 4.0
@@ -222,21 +224,22 @@ def renumbered(cells: DataFrame, nodes: DataFrame, key: Column) -> tuple[DataFra
     return e.groupBy("cell").agg(listed.alias("nodes")), order
 
 
-# A reduced grid with rows every ten degrees: 8, 12, ... 40, 40, ... 8 points.
+# A reduced grid of n rows, half the root of the number of customers: 8, 12, 16, ... 16, 12, 8 points.
 
 
-def _grid(s: SparkSession) -> DataFrame:
-    nx = [8 + 4 * min(j, 17 - j) for j in range(18)]
-    return from_rows(s, [(85.0 - 10 * j, n, 0.0, 360.0 / n) for j, n in enumerate(nx)])
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    n = 2 * max(3, math.isqrt(table(s, d, "customer", "c_custkey").count()) // 4)
+    nx = [8 + 4 * min(j, n - 1 - j) for j in range(n)]
+    return from_rows(s, [(90.0 - (j + 0.5) * 180.0 / n, k, 0.0, 360.0 / k) for j, k in enumerate(nx)])
 
 
-def _mesh(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    g = _grid(s)
+def _mesh(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = _grid(s, d)
     return reduced_cells(g, poles=True), extended(g.select("gidx", "lon", "lat"))
 
 
-def _open_mesh(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    g = _grid(s)
+def _open_mesh(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = _grid(s, d)
     return reduced_cells(g), g.select("gidx", "lon", "lat")
 
 
@@ -245,19 +248,19 @@ _FIELD = "sin(radians({lon}))*cos(radians({lat})) + 2*sin(radians({lat}))"
 
 
 def _finite_element(s: SparkSession, d: str) -> DataFrame:
-    cells, nodes = _mesh(s)
+    cells, nodes = _mesh(s, d)
     field = nodes.select("gidx", F.expr(_FIELD.format(lon="lon", lat="lat")).alias("value"))
     return apply(finite_element(cells, nodes, customer_points(s, d)), field).select("row", (F.round("value", 6) + 0.0).alias("value"))
 
 
 def _outside(s: SparkSession, d: str) -> DataFrame:
-    cells, nodes = _open_mesh(s)
+    cells, nodes = _open_mesh(s, d)
     return not_found(order_points(s, d), finite_element(cells, nodes, order_points(s, d)))
 
 
 def _matching(fallback: bool):
     def run(s: SparkSession, d: str) -> DataFrame:
-        cells, nodes = _open_mesh(s) if fallback else _mesh(s)
+        cells, nodes = _open_mesh(s, d) if fallback else _mesh(s, d)
         p = customer_points(s, d)
         out = matching_parts(p, cells, nodes, _parts(cells), fallback)
         return out.groupBy("part").agg(F.count("*").alias("n")) if fallback else out
@@ -266,23 +269,23 @@ def _matching(fallback: bool):
 
 
 def _kept(s: SparkSession, d: str) -> DataFrame:
-    cells, nodes = _mesh(s)
+    cells, nodes = _mesh(s, d)
     return kept_cells(cells, nodes, F.col("lat") > 30).select("cell")
 
 
 def _faulty(s: SparkSession, d: str) -> DataFrame:
-    cells, nodes = _mesh(s)
-    return mesh_faults(cells, nodes.filter("gidx not in (0, 100)").unionByName(nodes.filter("gidx = 7")))
+    cells, nodes = _mesh(s, d)
+    return mesh_faults(cells, nodes.filter("gidx not in (0, 30)").unionByName(nodes.filter("gidx = 7")))
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
-    return cell_quality(*_mesh(s)).select("cell", "kind", *((F.round(c, 6) + 0.0).alias(c) for c in ("eta", "rho")))
+    return cell_quality(*_mesh(s, d)).select("cell", "kind", *((F.round(c, 6) + 0.0).alias(c) for c in ("eta", "rho")))
 
 
 _lists = lambda cells: cells.select("cell", F.array_join("nodes", ",").alias("nodes"))
 # All edges of a band in the order of their middles; each is closed by the point that the other row has reached.
-_CELLS = """r AS (SELECT j, nx, sum(nx) OVER (ORDER BY j) - nx AS f FROM (SELECT j, 8 + 4*least(j, 17-j) AS nx FROM (SELECT unnest(range(18)) AS j))),
-rp AS (SELECT * FROM r UNION ALL SELECT -1, 1, 432 WHERE {poles} UNION ALL SELECT 18, 1, 433 WHERE {poles}),
+_CELLS = """r AS (SELECT j, nx, rows, sum(nx) OVER (ORDER BY j) - nx AS f FROM (SELECT j, rows, 8 + 4*least(j, rows-1-j) AS nx FROM (SELECT rows, unnest(range(rows)) AS j FROM (SELECT 2*greatest(3, floor(sqrt(count(*)))::BIGINT // 4) AS rows FROM customer)))),
+rp AS (SELECT j, nx, f FROM r UNION ALL SELECT -1, 1, sum(nx) FROM r WHERE {poles} UNION ALL SELECT max(rows), 1, sum(nx) + 1 FROM r WHERE {poles}),
 b AS (SELECT u.j, u.nx AS n, u.f AS fu, l.nx AS m, l.f AS fl FROM rp u JOIN rp l ON l.j = u.j + 1),
 e AS (SELECT *, 0 AS side, unnest(range(n)) AS i FROM b UNION ALL SELECT *, 1 AS side, unnest(range(m)) AS i FROM b),
 o AS (SELECT *, coalesce(sum(side) OVER w, 0)::BIGINT AS low, coalesce(sum(1 - side) OVER w, 0)::BIGINT AS up FROM e
@@ -291,7 +294,7 @@ z AS (SELECT j, coalesce(sum(CASE WHEN n = m THEN n ELSE n + m END) OVER (ORDER
 c AS (SELECT (base + low + up)::BIGINT AS cell, CASE side WHEN 0 THEN [fu + up, fl + low % m, fu + (up + 1) % n] ELSE [fl + low, fl + (low + 1) % m, fu + up % n] END::BIGINT[] AS nodes FROM o JOIN z USING (j) WHERE n <> m
   UNION ALL SELECT (base + i)::BIGINT, [fu + i, fl + i, fl + (i + 1) % m, fu + (i + 1) % n]::BIGINT[] FROM e JOIN z USING (j) WHERE n = m AND side = 0),
 cells AS (SELECT * FROM c WHERE len(list_distinct(nodes)) = len(nodes)),
-p AS (SELECT (f + i)::BIGINT AS node, i*360.0::DOUBLE/nx AS lon, 85.0::DOUBLE - 10*j AS lat FROM (SELECT *, unnest(range(nx)) AS i FROM r) UNION ALL SELECT 432, 0, 90 UNION ALL SELECT 433, 0, -90),
+p AS (SELECT (f + i)::BIGINT AS node, i*360.0::DOUBLE/nx AS lon, 90.0::DOUBLE - (j + 0.5)*180.0/rows AS lat FROM (SELECT *, unnest(range(nx)) AS i FROM r) UNION ALL SELECT sum(nx)::BIGINT, 0, 90 FROM r UNION ALL SELECT sum(nx)::BIGINT + 1, 0, -90 FROM r),
 v AS (SELECT node, lon, lat, cos(radians(lon))*cos(radians(lat)) AS x, sin(radians(lon))*cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM p),
 k AS (SELECT cell, len(nodes) AS kind, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS k FROM cells)"""
 _CLOSED, _OPEN = _CELLS.format(poles="TRUE"), _CELLS.format(poles="FALSE")
@@ -306,18 +309,18 @@ l AS (SELECT row, cell, c, CASE kind WHEN 3 THEN [1-u-v, u, v] ELSE [(1-u)*(1-v)
 best AS (SELECT row, arg_min(cell, (-round(list_min(w), 9) + 0.0, cell)) AS cell, arg_min(c, (-round(list_min(w), 9) + 0.0, cell)) AS c, arg_min(w, (-round(list_min(w), 9) + 0.0, cell)) AS w FROM l GROUP BY row)"""
 _PART = "((cell // 100) % 5)::INT"
 QUERIES = {
-    "me1_reduced_cells": lambda s, d: _lists(_mesh(s)[0]),
+    "me1_reduced_cells": lambda s, d: _lists(_mesh(s, d)[0]),
     "in6_finite_element": _finite_element,
     "in6_points_outside": _outside,
     "pt8_matching_parts": _matching(False),
     "pt8_matching_fallback": _matching(True),
-    "pt10_outlines": lambda s, d: outlines(_mesh(s)[0], _parts(_mesh(s)[0])),
+    "pt10_outlines": lambda s, d: outlines(_mesh(s, d)[0], _parts(_mesh(s, d)[0])),
     "f7_kept_cells": _kept,
     "sf16_cell_quality": _quality,
-    "ag17_quality_statistics": lambda s, d: quality_statistics(cell_quality(*_mesh(s))).select("kind", "cells", *((F.round(f"{c}_{n}", 6) + 0.0).alias(f"{c}_{n}") for c in ("eta", "rho") for n in ("min", "max", "mean"))),
+    "ag17_quality_statistics": lambda s, d: quality_statistics(cell_quality(*_mesh(s, d))).select("kind", "cells", *((F.round(f"{c}_{n}", 6) + 0.0).alias(f"{c}_{n}") for c in ("eta", "rho") for n in ("min", "max", "mean"))),
     "io21_mesh_faults": _faulty,
-    "me11_element_numbers": lambda s, d: element_numbers(_mesh(s)[0], _parts(_mesh(s)[0])),
-    "so3_renumbered_cells": lambda s, d: _lists(renumbered(*_mesh(s), F.struct("lon", "lat"))[0]),
+    "me11_element_numbers": lambda s, d: element_numbers(_mesh(s, d)[0], _parts(_mesh(s, d)[0])),
+    "so3_renumbered_cells": lambda s, d: _lists(renumbered(*_mesh(s, d), F.struct("lon", "lat"))[0]),
 }
 _DEG = "degrees(2*asin(least(1, sqrt(power({a}.x-{b}.x,2)+power({a}.y-{b}.y,2)+power({a}.z-{b}.z,2))/2)))"
 _DOT = "(({p}.x-{q}.x)*({r}.x-{q}.x) + ({p}.y-{q}.y)*({r}.y-{q}.y) + ({p}.z-{q}.z)*({r}.z-{q}.z))"
@@ -346,7 +349,7 @@ ORACLES = {
     "f7_kept_cells": f"WITH {_CLOSED} SELECT cell FROM k JOIN p USING (node) GROUP BY cell HAVING min(lat) > 30",
     "sf16_cell_quality": f"{_QUALITY} SELECT cell, kind, round(eta, 6) + 0.0 AS eta, round(rho, 6) + 0.0 AS rho FROM quality",
     "ag17_quality_statistics": f"{_QUALITY} SELECT kind, count(*) AS cells, " + ", ".join(f"round({f}({c}), 6) + 0.0 AS {c}_{n}" for c in ("eta", "rho") for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"))) + " FROM quality GROUP BY kind",
-    "io21_mesh_faults": f"WITH {_CLOSED} SELECT 'no such node' AS fault, cell AS id FROM cells WHERE list_contains(nodes, 0) OR list_contains(nodes, 100) UNION ALL SELECT 'node number twice', 7",
+    "io21_mesh_faults": f"WITH {_CLOSED} SELECT 'no such node' AS fault, cell AS id FROM cells WHERE list_contains(nodes, 0) OR list_contains(nodes, 30) UNION ALL SELECT 'node number twice', 7",
     "me11_element_numbers": f"WITH {_CLOSED} SELECT cell, {_PART} AS part, row_number() OVER (ORDER BY {_PART}, cell) AS number FROM cells",
     "so3_renumbered_cells": f"WITH {_CLOSED}, n AS (SELECT node, row_number() OVER (ORDER BY lon, lat, node) - 1 AS new FROM p) SELECT cell, string_agg(new::VARCHAR, ',' ORDER BY k) AS nodes FROM k JOIN n USING (node) GROUP BY cell",
 }

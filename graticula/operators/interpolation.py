@@ -16,6 +16,7 @@ from graticula.operators.octree import in_cells, levels_of, nearest, own_level,
 from graticula.operators.sparse import apply, normalised, transpose
 from graticula.operators.structured import structured_weights
 from graticula.sources.grids import regular_lonlat
+from graticula.sources.meshes import GRID_SQL, field_sql, grid_size, grid_sql, orders_field
 from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points
 
 
@@ -196,8 +197,14 @@ def _boxed(s: SparkSession, nx: int, ny: int) -> DataFrame:
     return boxes(regular_lonlat(s, nx, ny), 360.0 / nx, 180.0 / (ny - 1))
 
 
+def _box_weights(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """From the grid of orders to that of customers, and the field of orders."""
+    (nx, ny), (mx, my) = grid_size(s, d), grid_size(s, d, "customer")
+    return grid_box_average(_boxed(s, nx, ny), _boxed(s, mx, my)), orders_field(s, d, nx * ny).withColumnRenamed("node", "gidx")
+
+
 def _average(s: SparkSession, d: str) -> DataFrame:
-    return apply(grid_box_average(_boxed(s, 36, 19), _boxed(s, 24, 13)), _plane(s, 36, 19, lambda lon, lat: lon + lat * 2)).select("row", (F.round("value", 6) + 0.0).alias("value"))
+    return apply(*_box_weights(s, d)).select("row", (F.round("value", 6) + 0.0).alias("value"))
 
 
 def _vertical(s: SparkSession, d: str) -> DataFrame:
@@ -218,8 +225,8 @@ QUERIES = {
     "in1_nearest_neighbour": lambda s, d: apply(nearest_neighbour(_points(s, d), _targets(s, d), 7), order_points(s, d).select("gidx", "value")),
     "in2_k_nearest": lambda s, d: apply(k_nearest(_points(s, d), _targets(s, d), 4, 1.0, 7), order_points(s, d).select("gidx", F.sqrt("value").alias("value"))).select("row", F.round("value", 6).alias("value")),
     "in3_grid_box_average": _average,
-    "in4_grid_box_maximum": lambda s, d: grid_box_maximum(grid_box_average(_boxed(s, 36, 19), _boxed(s, 24, 13)), _plane(s, 36, 19, lambda lon, lat: lon + lat * 2)),
-    "in5_grid_boxes": lambda s, d: _boxed(s, 12, 7).select("gidx", F.round(box_area(F.col("west"), F.col("east"), F.col("south"), F.col("north")), 6).alias("area")),
+    "in4_grid_box_maximum": lambda s, d: grid_box_maximum(*_box_weights(s, d)),
+    "in5_grid_boxes": lambda s, d: _boxed(s, *grid_size(s, d)).select("gidx", F.round(box_area(F.col("west"), F.col("east"), F.col("south"), F.col("north")), 6).alias("area")),
     "in9_structured_bilinear": _structured("bilinear"),
     "in10_structured_bicubic": _structured("bicubic"),
     "in11_structured_biquasicubic": _structured("biquasicubic"),
@@ -227,15 +234,16 @@ QUERIES = {
     "in14_limiter": lambda s, d: limited(structured(_targets(s, d), 72, 37, "bicubic"), _plane(s, 72, 37, _wave), structured(_targets(s, d), 72, 37, "bilinear")).select("row", (F.round("value", 6) + 0.0).alias("value")),
     "in17_binning": lambda s, d: apply(binning(nearest_neighbour(_targets(s, d), _points(s, d), 7)), order_points(s, d).select("gidx", F.sqrt("value").alias("value"))).select("row", F.round("value", 6).alias("value")),
 }
-_BOXES = """WITH s AS (SELECT (j*36+i)::BIGINT AS col, i*10.0::DOUBLE + o - 5 AS w, i*10.0::DOUBLE + o + 5 AS e, greatest(90.0::DOUBLE - j*10 - 5, -90) AS b, least(90.0::DOUBLE - j*10 + 5, 90) AS t, i*10.0::DOUBLE + 2*(90 - j*10) AS value FROM (SELECT unnest(range(36)) AS i), (SELECT unnest(range(19)) AS j), (SELECT unnest([-360, 0, 360]) AS o)),
-t AS (SELECT (j*24+i)::BIGINT AS row, i*15.0::DOUBLE - 7.5 AS w, i*15.0::DOUBLE + 7.5 AS e, greatest(90.0::DOUBLE - j*15 - 7.5, -90) AS b, least(90.0::DOUBLE - j*15 + 7.5, 90) AS t FROM (SELECT unnest(range(24)) AS i), (SELECT unnest(range(13)) AS j)),
+_BOX = "SELECT gidx, lon - 180.0/nx AS w, lon + 180.0/nx AS e, greatest(lat - 90.0/(ny-1), -90) AS b, least(lat + 90.0/(ny-1), 90) AS t"
+_BOXES = f"""WITH s AS MATERIALIZED (SELECT gidx AS col, w + o AS w, e + o AS e, b, t, value FROM ({_BOX} FROM {GRID_SQL}) x JOIN {field_sql('nx * ny')} f ON f.node = gidx, (SELECT unnest([-360, 0, 360]) AS o)),
+t AS MATERIALIZED (SELECT gidx AS row, w, e, b, t FROM ({_BOX} FROM {grid_sql('customer')})),
 p AS (SELECT row, value, (least(s.e, t.e) - greatest(s.w, t.w))*(sin(radians(least(s.t, t.t))) - sin(radians(greatest(s.b, t.b))))/((t.e - t.w)*(sin(radians(t.t)) - sin(radians(t.b)))) AS part FROM s JOIN t ON least(s.e, t.e) > greatest(s.w, t.w) AND least(s.t, t.t) > greatest(s.b, t.b))"""
 ORACLES = {
-    "in3_grid_box_average": f"{_BOXES} SELECT row, round(sum(part*value), 6) + 0.0 AS value FROM p GROUP BY row",
-    "in4_grid_box_maximum": f"{_BOXES} SELECT row, max(value) AS value FROM p GROUP BY row",
+    "in3_grid_box_average": f"{_BOXES} SELECT row, round(sum(part*value), 6) + 0.0 AS value FROM p WHERE part > 0 GROUP BY row",
+    "in4_grid_box_maximum": f"{_BOXES} SELECT row, max(value) AS value FROM p WHERE part > 1e-12 GROUP BY row",
     "in1_nearest_neighbour": f"{_NEAR} SELECT target AS row, value FROM k WHERE rank = 1",
     "in2_k_nearest": f"{_NEAR} SELECT target AS row, round(sum(sqrt(value)/(1+d*d))/sum(1/(1+d*d)), 6) AS value FROM k WHERE rank <= 4 GROUP BY target",
-    "in5_grid_boxes": "SELECT j*12+i AS gidx, round(radians(30.0)*(sin(radians(least(90-j*30+15, 90))) - sin(radians(greatest(90-j*30-15, -90)))), 6) AS area FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(7)) AS j)",
+    "in5_grid_boxes": f"SELECT gidx, round(radians(e - w)*(sin(radians(t)) - sin(radians(b))), 6) AS area FROM ({_BOX} FROM {GRID_SQL})",
     "in9_structured_bilinear": _BIL,
     "in13_vertical_linear": """WITH t AS (SELECT c_custkey AS row, (c_custkey % 113)/100.0 - 0.05 AS z FROM customer), l AS (SELECT k::BIGINT AS k, k*k*0.04 AS z FROM (SELECT unnest(range(6)) AS k)),
  e AS (SELECT row, k AS col, CASE WHEN t.z <= 0 THEN (CASE WHEN k = 0 THEN 1 ELSE 0 END) WHEN t.z >= 1 THEN (CASE WHEN k = 5 THEN 1 ELSE 0 END) WHEN t.z >= l.z THEN greatest(0, 1 - (t.z-l.z)/((k+1)*(k+1)*0.04 - l.z)) ELSE greatest(0, 1 - (l.z-t.z)/(l.z - (k-1)*(k-1)*0.04)) END AS w FROM t, l)

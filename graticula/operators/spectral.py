@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticula.sources.grids import gaussian_latitudes, gaussian_weights
-from graticula.sources.schema import SPECTRA
+from graticula.sources.meshes import customers_field, field_sql, grid_size, size_sql
 
 
 def legendre(truncation: int, lats: list[float]) -> np.ndarray:
@@ -115,33 +115,57 @@ def wind_spectra(vorticity: DataFrame, divergence: DataFrame, truncation: int, r
     return total(turned(chi), minus(slope(psi))), total(turned(psi), slope(chi))
 
 
-N, T = 16, 15
-
-
-def _one(s: SparkSession, rows: list[tuple[int, int, int, float]]) -> DataFrame:
-    return s.createDataFrame(rows, SPECTRA)
+def table_spectra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Coefficients made of the customers: (m, n, part) with the number m (T + 1) 2 + 2 n + part takes the mean balance of the keys with that remainder, and T."""
+    t = grid_size(spark, sf_dir, "customer")[1]
+    size = 2 * (t + 1) * (t + 1)
+    k = F.col("node")
+    m, n, part = F.floor(k / (2 * t + 2)).cast("int"), F.floor(k % (2 * t + 2) / 2).cast("int"), (k % 2).cast("int")
+    f = customers_field(spark, sf_dir, size).select(m.alias("m"), n.alias("n"), part.alias("part"), "value")
+    return f.filter("n >= m and (m > 0 or part = 0)"), t
 
 
 def _inverse(s: SparkSession, d: str) -> DataFrame:
-    f = _one(s, [(0, 0, 0, 2.0), (0, 1, 0, 1.0), (1, 1, 0, 0.5), (2, 3, 1, -0.25)])
-    return inverse_transform(f, legendre_table(s, T, gaussian_latitudes(N)), [4 * N] * (2 * N)).select("j", "i", (F.round("value", 6) + 0.0).alias("value"))
+    """On 2 T + 2 points of T + 1 latitudes between the poles."""
+    f, t = table_spectra(s, d)
+    lats = [90.0 - (j + 0.5) * 180.0 / (t + 1) for j in range(t + 1)]
+    return inverse_transform(f, legendre_table(s, t, lats), [2 * t + 2] * (t + 1)).select("j", "i", (F.round("value", 6) + 0.0).alias("value"))
 
 
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
-    t = legendre_table(s, T, gaussian_latitudes(N))
-    f = _one(s, [(m, n, part, (m * 7 + n * 3 + part) % 11 - 5.0) for m in range(8) for n in range(m, 8) for part in (0, 1) if m or not part])
-    g = direct_transform(inverse_transform(f, t, [4 * N] * (2 * N)), t, [2 * w for w in gaussian_weights(N)])
-    return g.filter("n < 8 and (m > 0 or part = 0)").select("m", "n", "part", (F.round(F.col("value") / 2, 6) + 0.0).alias("value"))
+    f, t = table_spectra(s, d)
+    n = t // 2 + 1  # 2 n Gaussian latitudes are exact to this truncation
+    table = legendre_table(s, t, gaussian_latitudes(n))
+    g = direct_transform(inverse_transform(f, table, [2 * t + 2] * (2 * n)), table, [2 * w for w in gaussian_weights(n)])
+    return g.filter((F.col("n") <= t) & ((F.col("m") > 0) | (F.col("part") == 0))).select("m", "n", "part", (F.round(F.col("value") / 2, 6) + 0.0).alias("value"))
+
+
+def _truncated(s: SparkSession, d: str) -> DataFrame:
+    f, t = table_spectra(s, d)
+    low = truncated(f, t // 2).withColumn("truncation", F.lit("low"))
+    return low.unionByName(truncated(f, t + 3).withColumn("truncation", F.lit("high")))
 
 
+_S = f"""(SELECT m, n, part, value, t FROM (SELECT node // (2*t+2) AS m, node % (2*t+2) // 2 AS n, node % 2 AS part, value, t FROM {field_sql('2*(ny+1)*(ny+1)', 'customer', 'c_custkey', 'c_acctbal', 'customer')}, (SELECT ny AS t FROM {size_sql('customer')})) WHERE n >= m AND (m > 0 OR part = 0))"""
+_EVERY = "(SELECT m, n, part FROM (SELECT unnest(range({t}+1)) AS n), (SELECT unnest(range({t}+1)) AS m), (SELECT unnest([0, 1]) AS part) WHERE n >= m)"
 QUERIES = {
     "sp1_inverse_transform": _inverse,
     "sp3_direct_transform": _round_trip,
-    "sp5_truncation": lambda s, d: truncated(_one(s, [(0, 0, 0, 2.0), (1, 2, 1, 3.0), (5, 9, 0, 1.0)]), 3),
-    "ag13_spectral_norm": lambda s, d: norm(_one(s, [(0, 0, 0, 3.0), (1, 1, 0, 2.0), (1, 2, 1, 2.0)])).select(F.round("norm", 6).alias("norm")),
+    "sp5_truncation": _truncated,
+    "ag13_spectral_norm": lambda s, d: norm(table_spectra(s, d)[0]).select(F.round("norm", 6).alias("norm")),
+    "ag13_spectral_norm_by_wave": lambda s, d: norm(table_spectra(s, d)[0], "n").select("n", F.round("norm", 6).alias("norm")),
 }
+_NORM = "round(sqrt(sum(value*value*CASE WHEN m > 0 THEN 2 ELSE 1 END)), 6) AS norm"
 ORACLES = {
-    "sp3_direct_transform": "SELECT m::INT AS m, n::INT AS n, part::INT AS part, ((m*7 + n*3 + part) % 11 - 5)::DOUBLE AS value FROM (SELECT unnest(range(8)) AS m), (SELECT unnest(range(8)) AS n), (SELECT unnest([0,1]) AS part) WHERE n >= m AND (m > 0 OR part = 0)",
-    "sp5_truncation": "SELECT m::INT AS m, n::INT AS n, part::INT AS part, CASE WHEN m=0 AND n=0 AND part=0 THEN 2.0 WHEN m=1 AND n=2 AND part=1 THEN 3.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT unnest(range(4)) AS m), (SELECT unnest(range(4)) AS n), (SELECT unnest([0,1]) AS part) WHERE n >= m",
-    "ag13_spectral_norm": "SELECT round(sqrt(25.0), 6)::DOUBLE AS norm",
+    # the functions by their recurrence in n from p(m, m), for each latitude
+    "sp1_inverse_transform": f"""WITH RECURSIVE s AS MATERIALIZED {_S}, y AS (SELECT j, t, sin(radians(90 - (j+0.5)*180.0/(t+1))) AS x FROM (SELECT t, unnest(range(t+1)) AS j FROM (SELECT DISTINCT t FROM s))),
+d AS (SELECT j, t, x, 0::BIGINT AS m, 1.0::DOUBLE AS p FROM y UNION ALL SELECT j, t, x, m+1, p*sqrt(1-x*x)*sqrt((2*(m+1)+1)/(2.0*(m+1))) FROM d WHERE m < t),
+l AS (SELECT j, t, x, m, m AS n, p, 0.0::DOUBLE AS before FROM d UNION ALL SELECT j, t, x, m, n+1, (x*p - CASE WHEN n > m THEN before*sqrt((n*n-m*m)/(4.0*n*n-1)) ELSE 0 END)/sqrt(((n+1)*(n+1)-m*m)/(4.0*(n+1)*(n+1)-1)), p FROM l WHERE n < t),
+w AS (SELECT j, l.m, part, l.t, sum(value*p) AS w FROM l JOIN s ON s.m = l.m AND s.n = l.n GROUP BY j, l.m, part, l.t)
+SELECT j::INT AS j, i::INT AS i, round(sum(w*CASE WHEN m > 0 THEN 2 ELSE 1 END*CASE part WHEN 0 THEN cos(2*pi()*m*i/(2*t+2)) ELSE -sin(2*pi()*m*i/(2*t+2)) END), 6) + 0.0 AS value FROM w, (SELECT unnest(range(2*ny+2)) AS i FROM {size_sql('customer')}) GROUP BY j, i""",
+    "sp3_direct_transform": f"SELECT m::INT AS m, n::INT AS n, part::INT AS part, round(value, 6) + 0.0 AS value FROM {_S}",
+    "sp5_truncation": f"""WITH s AS MATERIALIZED {_S}, q AS (SELECT any_value(t) AS t FROM s), e AS (SELECT 'low' AS truncation, x.* FROM {_EVERY.format(t='(SELECT t // 2 FROM q)')} x UNION ALL SELECT 'high', x.* FROM {_EVERY.format(t='(SELECT t + 3 FROM q)')} x)
+SELECT truncation, e.m::INT AS m, e.n::INT AS n, e.part::INT AS part, coalesce(value, 0.0) AS value FROM e LEFT JOIN s ON s.m = e.m AND s.n = e.n AND s.part = e.part""",
+    "ag13_spectral_norm": f"SELECT {_NORM} FROM {_S}",
+    "ag13_spectral_norm_by_wave": f"SELECT n::INT AS n, {_NORM} FROM {_S} GROUP BY n",
 }

@@ -47,10 +47,16 @@ def size_sql(name: str) -> str:
 
 
 SIZE_SQL = size_sql("orders")
-GRID_SQL = f"(SELECT j*nx+i AS gidx, i, j, nx, ny, i*360.0::DOUBLE/nx AS lon, 90.0::DOUBLE - j*(180.0::DOUBLE/(ny-1)) AS lat FROM (SELECT *, unnest(range(ny)) AS j FROM (SELECT nx, ny, unnest(range(nx)) AS i FROM {SIZE_SQL})))"
+
+
+def grid_sql(name: str) -> str:
+    return f"(SELECT j*nx+i AS gidx, i, j, nx, ny, i*360.0::DOUBLE/nx AS lon, 90.0::DOUBLE - j*(180.0::DOUBLE/(ny-1)) AS lat FROM (SELECT *, unnest(range(ny)) AS j FROM (SELECT nx, ny, unnest(range(nx)) AS i FROM {size_sql(name)})))"
+
+
+GRID_SQL = grid_sql("orders")
 CELLS_SQL = f"(SELECT j*nx+i AS cell, i, j, nx, ny, [(j+1)*nx+i, (j+1)*nx+(i+1)%nx, j*nx+(i+1)%nx, j*nx+i] AS nodes FROM {GRID_SQL} WHERE j < ny - 1)"
 
 
-def field_sql(n: str, name: str = "orders", key: str = "o_orderkey", value: str = "o_totalprice") -> str:
-    means = f"(SELECT {key} % (SELECT {n} FROM {SIZE_SQL}) AS node, avg({value}) / 1000.0 AS value FROM {name} GROUP BY 1)"
-    return f"(SELECT g.node, coalesce(value, 0.0) AS value FROM (SELECT unnest(range({n})) AS node FROM {SIZE_SQL}) g LEFT JOIN {means} f ON g.node = f.node)"
+def field_sql(n: str, name: str = "orders", key: str = "o_orderkey", value: str = "o_totalprice", size: str = "orders") -> str:
+    means = f"(SELECT {key} % (SELECT {n} FROM {size_sql(size)}) AS node, avg({value}) / 1000.0 AS value FROM {name} GROUP BY 1)"
+    return f"(SELECT g.node, coalesce(value, 0.0) AS value FROM (SELECT unnest(range({n})) AS node FROM {size_sql(size)}) g LEFT JOIN {means} f ON g.node = f.node)"
