@@ -10,6 +10,8 @@ may occur twice; a product adds them up.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graticula.operators.sparse import apply
 from graticula.sources.grids import healpix
-from graticula.sources.tables import CUSTOMERS_SQL, customer_points
+from graticula.sources.tables import CUSTOMERS_SQL, POINTS_SQL, customer_points, order_points
 
 #: Points this close (degrees) to a row or to a point of it count as lying on it.
 TOL = 0.5e-6
@@ -197,12 +199,17 @@ def _trilinear(levels: DataFrame, targets: DataFrame) -> DataFrame:
     return vertical_linear(levels, targets)
 
 
+def _order(s: SparkSession, d: str) -> int:
+    """An even HEALPix order that follows the number of customers."""
+    return 2 * max(1, math.isqrt(s.read.parquet(f"{d}/customer.parquet").count()) // 4)
+
+
 QUERIES = {f"in{n}_reduced_{kind}": _value(kind) for n, kind in zip((9, 10, 11), KINDS, strict=True)}
 QUERIES |= {f"in12_structured_tri{kind[2:]}": _deep(kind, _trilinear if kind == "bilinear" else vertical_cubic) for kind in KINDS}
 QUERIES |= {
     "in13_vertical_cubic": lambda s, d: vertical_cubic(_levels(s), _heights(s, d)).select("row", "col", (F.round("w", 6) + 0.0).alias("w")),
-    "j24_row_stencils": lambda s, d: row_stencils(rows_of(healpix(s, 6))).select("j", F.round("y", 6).alias("y"), F.round("south", 6).alias("south"), *(F.col("stencil")[k]["first"].alias(f"first_{k}") for k in range(4))),
-    "st4_extended_points": lambda s, d: extended(healpix(s, 6).select("gidx", "lon", "lat")).filter("abs(lat) > 80").select("gidx", *(F.round(c, 6).alias(c) for c in ("lon", "lat"))),
+    "j24_row_stencils": lambda s, d: row_stencils(rows_of(healpix(s, _order(s, d)))).select("j", F.round("y", 6).alias("y"), F.round("south", 6).alias("south"), *(F.col("stencil")[k]["first"].alias(f"first_{k}") for k in range(4))),
+    "st4_extended_points": lambda s, d: extended(order_points(s, d).select("gidx", "lon", "lat")).select("gidx", *(F.round(c, 6).alias(c) for c in ("lon", "lat"))),
 }
 ORACLES = {f"in{n}_reduced_{kind}": _sql(kind) for n, kind in zip((9, 10, 11), KINDS, strict=True)}
 ORACLES |= {f"in12_structured_tri{kind[2:]}": _sql(kind, f"any_value{_PROFILE}") for kind in KINDS}
@@ -211,11 +218,11 @@ ORACLES |= {
  s AS (SELECT row, z, CASE WHEN z <= 0 THEN -1 WHEN z >= 1 THEN 5 ELSE (SELECT max(k) FROM l WHERE h <= z) END AS pos FROM t),
  c AS (SELECT row, z, pos, k, h FROM s, l WHERE CASE pos WHEN -1 THEN k = 0 WHEN 5 THEN k = 5 WHEN 0 THEN k < 2 WHEN 4 THEN k > 3 ELSE k BETWEEN pos - 1 AND pos + 2 END)
  SELECT a.row, a.k AS col, round(coalesce(product((a.z - b.h)/(a.h - b.h)), 1), 6) + 0.0 AS w FROM c a LEFT JOIN c b ON a.row = b.row AND a.k <> b.k GROUP BY a.row, a.k HAVING coalesce(product((a.z - b.h)/(a.h - b.h)), 1) <> 0""",
-    "j24_row_stencils": """WITH q AS (SELECT r, least(r, 24 - r) AS q FROM (SELECT unnest(range(1, 24)) AS r)),
-g AS (SELECT r - 1 AS j, CASE WHEN q < 6 THEN 4*q ELSE 24 END AS nx, degrees(asin(CASE WHEN r > 12 THEN -1 ELSE 1 END * CASE WHEN q < 6 THEN 1 - q*q/108.0 ELSE (24.0 - 2.0*q)/18 END)) AS y FROM q),
-f AS (SELECT j, y, sum(nx) OVER (ORDER BY j) - nx AS first FROM g), m AS (SELECT j, CASE WHEN j < 0 THEN -j - 1 WHEN j > 22 THEN 45 - j ELSE j END AS real FROM (SELECT unnest(range(-2, 25)) AS j)),
-h AS (SELECT m.j, CASE WHEN m.j < 0 THEN 180 - y WHEN m.j > 22 THEN -180 - y ELSE y END AS y, first FROM m JOIN f ON f.j = real)
+    "j24_row_stencils": """WITH o AS (SELECT 2*greatest(1, floor(sqrt(count(*)))::BIGINT // 4) AS n FROM customer), q AS (SELECT r, least(r, 4*n - r) AS q, n FROM (SELECT n, unnest(range(1, 4*n)) AS r FROM o)),
+g AS (SELECT r - 1 AS j, n, CASE WHEN q < n THEN 4*q ELSE 4*n END AS nx, degrees(asin(CASE WHEN r > 2*n THEN -1 ELSE 1 END * CASE WHEN q < n THEN 1 - q*q/(3.0*n*n) ELSE (4.0*n - 2.0*q)/(3*n) END)) AS y FROM q),
+f AS (SELECT j, y, sum(nx) OVER (ORDER BY j) - nx AS first FROM g), m AS (SELECT j, n, CASE WHEN j < 0 THEN -j - 1 WHEN j > 4*n-2 THEN 8*n-3 - j ELSE j END AS real FROM (SELECT n, unnest(range(-2, 4*n + 1)) AS j FROM o)),
+h AS (SELECT m.j, CASE WHEN m.j < 0 THEN 180 - y WHEN m.j > 4*n-2 THEN -180 - y ELSE y END AS y, first FROM m JOIN f ON f.j = real)
 SELECT b.j::BIGINT AS j, round(b.y, 6) AS y, round(c.y, 6) AS south, a.first::BIGINT AS first_0, b.first::BIGINT AS first_1, c.first::BIGINT AS first_2, e.first::BIGINT AS first_3
 FROM h a JOIN h b ON b.j = a.j + 1 JOIN h c ON c.j = b.j + 1 JOIN h e ON e.j = c.j + 1""",
-    "st4_extended_points": "SELECT * FROM (VALUES (0::BIGINT, 45.0::DOUBLE, round(degrees(asin(107/108.0)), 6)), (1, 135, round(degrees(asin(107/108.0)), 6)), (2, 225, round(degrees(asin(107/108.0)), 6)), (3, 315, round(degrees(asin(107/108.0)), 6)), (428, 45, -round(degrees(asin(107/108.0)), 6)), (429, 135, -round(degrees(asin(107/108.0)), 6)), (430, 225, -round(degrees(asin(107/108.0)), 6)), (431, 315, -round(degrees(asin(107/108.0)), 6)), (432, 0, 90), (433, 0, -90)) t(gidx, lon, lat)",
+    "st4_extended_points": f"SELECT gidx, lon, lat FROM {POINTS_SQL} UNION ALL SELECT max(o_orderkey) + 1, 0, 90 FROM orders UNION ALL SELECT max(o_orderkey) + 2, 0, -90 FROM orders",
 }

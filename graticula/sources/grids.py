@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graticula.sources.tables import POINTS_SQL, order_points
 
 # Spacings: lists of the driver, as long as a grid has rows.
 
@@ -192,9 +193,13 @@ def row_offsets(points: DataFrame) -> DataFrame:
 
 
 def index_to_ij(index: DataFrame, offsets: DataFrame) -> DataFrame:
-    """index (gidx) with i and j: a range join against one row for each latitude."""
-    cond = (F.col("gidx") >= F.col("first")) & (F.col("gidx") < F.col("first") + F.col("nx"))
-    return index.join(F.broadcast(offsets), cond).select("gidx", (F.col("gidx") - F.col("first")).alias("i"), "j")
+    """index (gidx) with i and j: rows and indices meet in bins as wide as the mean row, so an index meets a few rows."""
+    mean = offsets.agg(F.max(F.col("first") + F.col("nx")).alias("n"), F.count("*").alias("rows")).first()  # one row
+    width = max(1, (mean["n"] or 1) // max(1, mean["rows"]))
+    bins = F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"(first + nx - 1) div {width}"))).alias("bin")
+    binned = offsets.filter("nx > 0").select("j", "first", "nx", bins)
+    hit = index.withColumn("bin", F.expr(f"gidx div {width}")).join(binned, "bin").filter("gidx >= first and gidx < first + nx")
+    return hit.select("gidx", (F.col("gidx") - F.col("first")).alias("i"), "j")
 
 
 # Analytic fields.
@@ -236,54 +241,91 @@ def _r(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 _ll = lambda df: _r(df.select("gidx", "i", "j", "lon", "lat"))
-_count = lambda df: df.agg(F.count("*").alias("points"), F.countDistinct("j").alias("rows"))
-_LL = "SELECT j*{nx}+i AS gidx, i::INT AS i, j::INT AS j, round(({sx} + i*360.0/{nx})::DOUBLE, 6) AS lon, round(({north} - j*{dy})::DOUBLE, 6) + 0.0 AS lat FROM (SELECT unnest(range({nx})) AS i), (SELECT unnest(range({ny})) AS j)"
+
+
+def _size(s: SparkSession, d: str) -> tuple[int, int]:
+    """The grid of orders (see meshes.py)."""
+    ny = max(3, math.isqrt(s.read.parquet(f"{d}/orders.parquet").count() // 4))
+    return 2 * ny, ny
+
+
+def _on_grid(s: SparkSession, d: str, **columns: Callable[[Column, Column], Column]) -> DataFrame:
+    return _r(regular_lonlat(s, *_size(s, d)).select("gidx", *(f(F.col("lon"), F.col("lat")).alias(n) for n, f in columns.items())))
+
+
+def _rows_sized(s: SparkSession, d: str) -> DataFrame:
+    """A classic reduced grid: two rows of 8, two of 12, and so on towards the equator."""
+    ny = _size(s, d)[1] // 2 * 2
+    return from_rows(s, [(y, 4 * (min(j, ny - 1 - j) // 2 + 2), 0.0, 90.0 / (min(j, ny - 1 - j) // 2 + 2)) for j, y in enumerate(gaussian_latitudes(ny // 2))])
+
+
+def _orders_index(s: SparkSession, d: str) -> DataFrame:
+    """The keys of orders, as indices of an octahedral grid."""
+    n = _size(s, d)[1]
+    g = octahedral(s, n)
+    index = s.read.parquet(f"{d}/orders.parquet").select(F.pmod("o_orderkey", F.lit(4 * n * (n + 9))).cast("long").alias("gidx")).distinct()
+    return index_to_ij(index, row_offsets(g))
+
+
+_ring = lambda df: _r(df.select("gidx", "i", "j", "lon"))
 QUERIES = {
-    "g1_reduced_gaussian": lambda s, d: reduced(s, [4, 8, 8, 4]).groupBy("j").agg(F.count("*").alias("nx"), F.min("gidx").alias("first")),
-    "g2_octahedral": lambda s, d: row_offsets(grid(s, "O32")),
-    "g3_regular_gaussian": lambda s, d: _count(grid(s, "F24")),
-    "g4_regular_lonlat": lambda s, d: _ll(grid(s, "L48x37")),
-    "g5_shifted_lonlat": lambda s, d: _ll(grid(s, "S80x40")),
-    "g5_shifted_lon": lambda s, d: _ll(grid(s, "Slon40x21")),
-    "g6_healpix": lambda s, d: _r(grid(s, "H12").select("gidx", "lon", "lat")),
-    "g6_healpix_odd": lambda s, d: _r(grid(s, "H5").select("gidx", "lon", "lat")),
-    "g19_focus": lambda s, d: _r(s.createDataFrame(list(enumerate(focus(0.0, 1.0, 9, 4.0))), "k int, value double")),
-    "g7_cubed_sphere": lambda s, d: cubed_sphere(s, 8).groupBy("tile").agg(F.count("*").alias("n"), (F.round(F.sum(F.sin(F.radians("lat"))), 6) + 0.0).alias("z")),
-    "g9_regional": lambda s, d: _ll(regional(s, 10.0, 60.0, 0.5, 0.25, 20, 10)),
-    "g9_zonal_band": lambda s, d: _count(zonal_band(s, 36, 5, -20.0, 20.0)),
-    "g12_unstructured": lambda s, d: _r(unstructured(grid(s, "L8x5").select("gidx", "lon", "lat"))),
-    "g13_cropped": lambda s, d: _ll(cropped(grid(s, "L48x37"), in_rectangle(F.col("lon"), F.col("lat"), 0.0, 45.0, -30.0, 30.0))),
-    "f1_domain_zonal_band": lambda s, d: _ll(cropped(grid(s, "L48x37"), in_zonal_band(F.col("lon"), F.col("lat"), 10.0, 50.0, -90.0, 45.0))),
-    "g15_index_to_ij": lambda s, d: index_to_ij(s.range(0, 5248, 7).select(F.col("id").alias("gidx")), row_offsets(grid(s, "O32"))),
-    "g23_solid_body": lambda s, d: _r(grid(s, "L36x19").select("gidx", *(c.alias(n) for c, n in zip(solid_body(F.col("lon"), F.col("lat"), 30.0), "uv", strict=True)))),
-    "g23_spherical_harmonic": lambda s, d: _r(grid(s, "L36x19").select("gidx", spherical_harmonic(F.col("lon"), F.col("lat"), 2, 1).alias("value"))),
-    "g23_vortex_rollup": lambda s, d: _r(grid(s, "L36x19").select("gidx", vortex_rollup(F.col("lon"), F.col("lat"), 0.0).alias("value"))),
+    "g1_reduced_gaussian": lambda s, d: _ring(_rows_sized(s, d)),
+    "g2_octahedral": lambda s, d: _ring(grid(s, f"O{_size(s, d)[1]}")),
+    "g3_regular_gaussian": lambda s, d: _ring(grid(s, f"F{_size(s, d)[1] // 2}")),
+    "g4_regular_lonlat": lambda s, d: _ll(grid(s, "L{}x{}".format(*_size(s, d)))),
+    "g5_shifted_lonlat": lambda s, d: _ll(grid(s, "S{}x{}".format(*_size(s, d)))),
+    "g5_shifted_lon": lambda s, d: _ll(grid(s, "Slon{}x{}".format(*_size(s, d)))),
+    "g5_shifted_lat": lambda s, d: _ll(regular_lonlat(s, *_size(s, d), shift_y=True)),
+    "g6_healpix": lambda s, d: _r(grid(s, f"H{_size(s, d)[1] // 4 * 2}").select("gidx", "lon", "lat")),
+    "g6_healpix_odd": lambda s, d: _r(grid(s, f"H{_size(s, d)[1] // 4 * 2 + 1}").select("gidx", "lon", "lat")),
+    "g19_focus": lambda s, d: _r(s.createDataFrame(list(enumerate(focus(0.0, 1.0, _size(s, d)[0] + 1, 4.0))), "k int, value double")),
+    "g7_cubed_sphere": lambda s, d: _r(cubed_sphere(s, max(2, _size(s, d)[1] // 4 * 2)).select("gidx", "tile", "i", "j", "lon", "lat")),
+    "g9_regional": lambda s, d: _ll(regional(s, 10.0, 60.0, 0.5, 0.25, *_size(s, d))),
+    "g9_zonal_band": lambda s, d: _ll(zonal_band(s, *_size(s, d), -20.0, 20.0)),
+    "g12_unstructured": lambda s, d: _r(unstructured(order_points(s, d).select("gidx", "lon", "lat"))),
+    "g13_cropped": lambda s, d: _ll(cropped(regular_lonlat(s, *_size(s, d)), in_rectangle(F.col("lon"), F.col("lat"), 0.0, 45.0, -30.0, 30.0))),
+    "f1_domain_zonal_band": lambda s, d: order_points(s, d).select("gidx", in_zonal_band(F.col("lon"), F.col("lat"), 10.0, 50.0, -90.0, 45.0).alias("inside")),
+    "g15_index_to_ij": _orders_index,
+    "g23_solid_body": lambda s, d: _on_grid(s, d, u=lambda a, b: solid_body(a, b, 30.0)[0], v=lambda a, b: solid_body(a, b, 30.0)[1]),
+    "g23_spherical_harmonic": lambda s, d: _on_grid(s, d, value=lambda a, b: spherical_harmonic(a, b, 2, 1)),
+    "g23_vortex_rollup": lambda s, d: _on_grid(s, d, value=lambda a, b: vortex_rollup(a, b, 0.0)),
 }
-_P36 = "(SELECT j*36+i AS gidx, radians(i*10.0) AS a, radians(90-j*10.0) AS b FROM (SELECT unnest(range(36)) AS i), (SELECT unnest(range(19)) AS j))"
+_SIZE = "(SELECT 2 * ny AS nx, ny FROM (SELECT greatest(3, floor(sqrt(count(*) // 4))::BIGINT) AS ny FROM orders))"
+_G = f"(SELECT *, unnest(range(ny)) AS j FROM (SELECT nx, ny, unnest(range(nx)) AS i FROM {_SIZE}))"
+_LL = f"SELECT j*nx+i AS gidx, i::INT AS i, j::INT AS j, round(({{sx}} + i*360.0/nx)::DOUBLE, 6) AS lon, round(({{north}} - j*{{dy}})::DOUBLE, 6) + 0.0 AS lat FROM {_G}"
+_LONLAT = _LL.format(sx="0.0", north="90.0", dy="180.0/(ny-1)")
+_PLANE = f"(SELECT j*nx+i AS gidx, radians(i*360.0/nx) AS a, radians(90 - j*180.0/(ny-1)) AS b FROM {_G})"
 # rings by their distance q from the nearer pole; the belt's rings begin at 45/n and 90/n in turn, the equator at 45/n or 0
-_HEALPIX = """WITH r AS (SELECT r, least(r, 4*{n} - r) AS q FROM (SELECT unnest(range(1, 4*{n})) AS r)),
-s AS (SELECT r, CASE WHEN q < {n} THEN 4*q ELSE 4*{n} END AS nx, CASE WHEN q < {n} THEN 45.0/q WHEN q = 2*{n} THEN CASE WHEN {n} % 2 = 0 THEN 45.0/{n} ELSE 0 END
-  WHEN (q - {n}) % 2 = 0 THEN 45.0/{n} ELSE 90.0/{n} END AS start, CASE WHEN r > 2*{n} THEN -1 ELSE 1 END * CASE WHEN q < {n} THEN 1 - q*q/(3.0*{n}*{n}) ELSE (4.0*{n} - 2.0*q)/(3*{n}) END AS z FROM r),
+_HEALPIX = f"""WITH r AS (SELECT r, least(r, 4*n - r) AS q, n FROM (SELECT n, unnest(range(1, 4*n)) AS r FROM (SELECT ny // 4 * 2 + {{odd}} AS n FROM {_SIZE}))),
+s AS (SELECT r, n, CASE WHEN q < n THEN 4*q ELSE 4*n END AS nx, CASE WHEN q < n THEN 45.0/q WHEN q = 2*n THEN CASE WHEN n % 2 = 0 THEN 45.0/n ELSE 0 END
+  WHEN (q - n) % 2 = 0 THEN 45.0/n ELSE 90.0/n END AS start, CASE WHEN r > 2*n THEN -1 ELSE 1 END * CASE WHEN q < n THEN 1 - q*q/(3.0*n*n) ELSE (4.0*n - 2.0*q)/(3*n) END AS z FROM r),
 f AS (SELECT *, sum(nx) OVER (ORDER BY r) - nx AS before FROM s)
-SELECT (before + i)::BIGINT AS gidx, round((start + i*360.0/nx)::DOUBLE, 6) + 0.0 AS lon, round(degrees(asin(z::DOUBLE)), 6) + 0.0 AS lat FROM f, (SELECT unnest(range(4*{n})) AS i) WHERE i < nx"""
+SELECT (before + i)::BIGINT AS gidx, round((start + i*360.0/nx)::DOUBLE, 6) + 0.0 AS lon, round(degrees(asin(z::DOUBLE)), 6) + 0.0 AS lat FROM (SELECT *, unnest(range(nx)) AS i FROM f)"""
+_RING = "SELECT (sum_ + i)::BIGINT AS gidx, i::INT AS i, j::INT AS j, round((i*360.0/nx)::DOUBLE, 6) AS lon FROM (SELECT *, unnest(range(nx)) AS i FROM (SELECT j, nx, sum(nx) OVER (ORDER BY j) - nx AS sum_ FROM ({rows})))"
+_OCTA = f"SELECT j, 20 + 4*least(j, 2*n-1-j) AS nx FROM (SELECT n, unnest(range(2*n)) AS j FROM (SELECT ny AS n FROM {_SIZE}))"
+# the six frames, turned tile by tile
+_CUBE = f"""WITH c AS (SELECT n, t, i, j, tan(((i+0.5)/n*2-1)*pi()/4) AS a, tan(((j+0.5)/n*2-1)*pi()/4) AS b FROM (SELECT *, unnest(range(6)) AS t FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT greatest(2, ny // 4 * 2) AS n FROM {_SIZE}))))),
+p AS (SELECT *, CASE t WHEN 0 THEN [1, a, b] WHEN 1 THEN [-a, 1, b] WHEN 2 THEN [-1, -a, b] WHEN 3 THEN [a, -1, b] WHEN 4 THEN [-b, a, 1] ELSE [b, a, -1] END::DOUBLE[] AS v FROM c)
+SELECT t*n*n + j*n + i AS gidx, t::INT AS tile, i::INT AS i, j::INT AS j, round(degrees(atan2(v[2], v[1])) + CASE WHEN atan2(v[2], v[1]) < 0 THEN 360 ELSE 0 END, 6) + 0.0 AS lon, round(degrees(atan2(v[3], sqrt(v[1]*v[1] + v[2]*v[2]))), 6) + 0.0 AS lat FROM p"""
 ORACLES = {
-    "g1_reduced_gaussian": "SELECT j::INT AS j, nx::BIGINT AS nx, \"first\"::BIGINT AS \"first\" FROM (VALUES (0,4,0),(1,8,4),(2,8,12),(3,4,20)) t(j,nx,\"first\")",
-    "g2_octahedral": "SELECT j::INT AS j, nx, (sum(nx) OVER (ORDER BY j) - nx)::BIGINT AS \"first\" FROM (SELECT j, 20 + 4*least(j, 63-j) AS nx FROM (SELECT unnest(range(64)) AS j))",
-    "g3_regular_gaussian": "SELECT 96*48::BIGINT AS points, 48::BIGINT AS rows",
-    "g4_regular_lonlat": _LL.format(nx=48, ny=37, sx="0.0", north="90.0", dy="5.0"),
-    "g5_shifted_lonlat": _LL.format(nx=80, ny=40, sx="2.25", north="87.75", dy="4.5"),
-    "g5_shifted_lon": _LL.format(nx=40, ny=21, sx="4.5", north="90.0", dy="9.0"),
-    "g6_healpix": _HEALPIX.format(n=12),
-    "g6_healpix_odd": _HEALPIX.format(n=5),
-    "g19_focus": "SELECT k::INT AS k, round(CASE WHEN k = 0 THEN 0.0 WHEN k = 8 THEN 1.0 ELSE 0.5 + atan(tan(pi()/2*(-1 + k/4.0))/4)/pi() END, 6) AS value FROM (SELECT unnest(range(9)) AS k)",
-    "g7_cubed_sphere": "WITH c AS (SELECT tile, CASE WHEN tile < 4 THEN b WHEN tile = 4 THEN 1 ELSE -1 END / sqrt(1+a*a+b*b) AS z FROM (SELECT unnest(range(6)) AS tile), (SELECT tan(((i+0.5)/8*2-1)*pi()/4) AS a FROM (SELECT unnest(range(8)) AS i)), (SELECT tan(((j+0.5)/8*2-1)*pi()/4) AS b FROM (SELECT unnest(range(8)) AS j))) SELECT tile::INT AS tile, count(*) AS n, round(sum(z), 6) + 0.0 AS z FROM c GROUP BY tile",
-    "g9_regional": "SELECT j*20+i AS gidx, i::INT AS i, j::INT AS j, (10 + i*0.5)::DOUBLE AS lon, (60 - j*0.25)::DOUBLE AS lat FROM (SELECT unnest(range(20)) AS i), (SELECT unnest(range(10)) AS j)",
-    "g9_zonal_band": "SELECT 180::BIGINT AS points, 5::BIGINT AS rows",
-    "g12_unstructured": "SELECT j*8+i AS gidx, (i*45.0)::DOUBLE AS x, (90-j*45.0)::DOUBLE AS y, (i*45.0)::DOUBLE AS lon, (90-j*45.0)::DOUBLE AS lat FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(5)) AS j)",
-    "g13_cropped": f"SELECT * FROM ({_LL.format(nx=48, ny=37, sx='0.0', north='90.0', dy='5.0')}) WHERE lon <= 45 AND abs(lat) <= 30",
-    "f1_domain_zonal_band": f"SELECT * FROM ({_LL.format(nx=48, ny=37, sx='0.0', north='90.0', dy='5.0')}) WHERE lat BETWEEN 10 AND 50 AND (lon <= 45 OR lon >= 270)",
-    "g15_index_to_ij": "WITH r AS (SELECT j, nx, sum(nx) OVER (ORDER BY j) - nx AS f FROM (SELECT j, 20 + 4*least(j, 63-j) AS nx FROM (SELECT unnest(range(64)) AS j))) SELECT gidx, (gidx - f)::BIGINT AS i, j::INT AS j FROM (SELECT unnest(range(0, 5248, 7)) AS gidx) JOIN r ON gidx >= f AND gidx < f + nx",
-    "g23_solid_body": f"SELECT gidx, round(cos(b)*cos(radians(30)) + cos(a)*sin(b)*sin(radians(30)), 6) + 0.0 AS u, round(-sin(a)*sin(radians(30)), 6) + 0.0 AS v FROM {_P36}",
-    "g23_spherical_harmonic": f"SELECT gidx, round(sqrt(1.5)*cos(b)*sin(b)*sqrt(5.0)*cos(a), 6) + 0.0 AS value FROM {_P36}",
-    "g23_vortex_rollup": f"SELECT gidx, round(1 - tanh(3*cos(q)/5*sin(atan2(cos(b)*sin(a-pi()/2), -sin(b)))), 6) + 0.0 AS value FROM (SELECT *, asin(cos(b)*cos(a-pi()/2)) AS q FROM {_P36})",
+    "g1_reduced_gaussian": _RING.format(rows=f"SELECT j, 4*(least(j, n-1-j)//2 + 2) AS nx FROM (SELECT n, unnest(range(n)) AS j FROM (SELECT ny//2*2 AS n FROM {_SIZE}))"),
+    "g2_octahedral": _RING.format(rows=_OCTA),
+    "g3_regular_gaussian": _RING.format(rows=f"SELECT unnest(range(ny//2*2)) AS j, 4*(ny//2) AS nx FROM {_SIZE}"),
+    "g4_regular_lonlat": _LONLAT,
+    "g5_shifted_lonlat": _LL.format(sx="180.0/nx", north="90.0 - 90.0/ny", dy="180.0/ny"),
+    "g5_shifted_lon": _LL.format(sx="180.0/nx", north="90.0", dy="180.0/(ny-1)"),
+    "g5_shifted_lat": _LL.format(sx="0.0", north="90.0 - 90.0/ny", dy="180.0/ny"),
+    "g6_healpix": _HEALPIX.format(odd=0),
+    "g6_healpix_odd": _HEALPIX.format(odd=1),
+    "g19_focus": f"SELECT k::INT AS k, round(CASE WHEN k = 0 THEN 0.0 WHEN k = nx THEN 1.0 ELSE 0.5 + atan(tan(pi()/2*(-1 + 2.0*k/nx))/4)/pi() END, 6) AS value FROM (SELECT nx, unnest(range(nx + 1)) AS k FROM {_SIZE})",
+    "g7_cubed_sphere": _CUBE,
+    "g9_regional": f"SELECT j*nx+i AS gidx, i::INT AS i, j::INT AS j, (10 + i*0.5)::DOUBLE AS lon, (60 - j*0.25)::DOUBLE AS lat FROM {_G}",
+    "g9_zonal_band": _LL.format(sx="0.0", north="20.0", dy="40.0/(ny-1)"),
+    "g12_unstructured": f"SELECT gidx, lon AS x, lat AS y, lon, lat FROM {POINTS_SQL}",
+    "g13_cropped": f"SELECT * FROM ({_LONLAT}) WHERE lon <= 45 AND abs(lat) <= 30",
+    "f1_domain_zonal_band": f"SELECT gidx, lat BETWEEN 10 AND 50 AND (lon <= 45 OR lon >= 270) AS inside FROM {POINTS_SQL}",
+    "g15_index_to_ij": f"WITH r AS (SELECT j, nx, sum(nx) OVER (ORDER BY j) - nx AS f, sum(nx) OVER () AS n FROM ({_OCTA})) SELECT gidx, (gidx - f)::BIGINT AS i, j::INT AS j FROM (SELECT DISTINCT o_orderkey % (SELECT any_value(n) FROM r)::BIGINT AS gidx FROM orders) JOIN r ON gidx >= f AND gidx < f + nx",
+    "g23_solid_body": f"SELECT gidx, round(cos(b)*cos(radians(30)) + cos(a)*sin(b)*sin(radians(30)), 6) + 0.0 AS u, round(-sin(a)*sin(radians(30)), 6) + 0.0 AS v FROM {_PLANE}",
+    "g23_spherical_harmonic": f"SELECT gidx, round(sqrt(1.5)*cos(b)*sin(b)*sqrt(5.0)*cos(a), 6) + 0.0 AS value FROM {_PLANE}",
+    "g23_vortex_rollup": f"SELECT gidx, round(1 - tanh(3*cos(q)/5*sin(atan2(cos(b)*sin(a-pi()/2), -sin(b)))), 6) + 0.0 AS value FROM (SELECT *, asin(cos(b)*cos(a-pi()/2)) AS q FROM {_PLANE})",
 }

@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graticula.operators.statistics import checksum
-from graticula.sources.grids import grid
+from graticula.sources.meshes import CELLS_SQL
 from graticula.sources.tables import order_points, table
 
 
@@ -112,29 +114,93 @@ def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, cells
 
 
-def read_gmsh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and elements of an ASCII file, sections $Nodes and $Elements of format 2: lines are told apart by how many numbers they hold.
+def sectioned(spark: SparkSession, path: str) -> DataFrame:
+    """section, value: the lines of a text with sections $Name ... $EndName, a file of any size or a folder of files in the order of their names, read in splits.
 
-    The file is one text with order, so lines are numbered by their position in it; section borders are a handful of rows.
+    A task does not know in which section its split begins. So a first pass notes the last mark of each split, a row for each; the section in which a split begins is
+    the last mark before it.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    marks = {r["line"].strip(): r["at"] for r in lines.filter(F.col("line").startswith("$")).collect()}
-    inside = lambda name: lines.filter((F.col("at") > marks[f"${name}"] + 1) & (F.col("at") < marks[f"$End{name}"])).select(F.split(F.trim("line"), r"\s+").alias("p"))
-    nodes = inside("Nodes").select(F.col("p")[0].cast("long").alias("gidx"), *(F.col("p")[k].cast("double").alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))))
-    tags = F.col("p")[2].cast("int")
-    cells = inside("Elements").select(F.col("p")[0].cast("long").alias("cell"), F.col("p")[1].cast("int").alias("type"), F.slice(F.col("p"), tags + 4, F.size("p")).cast("array<long>").alias("nodes"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+
+    def marked(batches: Iterator[pa.RecordBatch], summary: bool) -> Iterator[pa.RecordBatch]:
+        split, section = None, None
+        for batch in batches:
+            out, ends = [], []
+            for value, *here in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if here != split:
+                    if split is not None:
+                        ends.append((*split, section))
+                    split, section = here, None
+                text = value.strip()
+                if text.startswith("$"):
+                    section = "" if text.startswith("$End") else text[1:]
+                elif text and not summary:
+                    out.append((*here, section, text))
+            yield from rows(ends if summary else out)
+        if summary and split is not None:
+            yield from rows([(*split, section)])
+
+    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            columns = list(zip(*found, strict=True))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["file", "at", "section", "value"][: len(columns)])
+
+    ends = lines.mapInArrow(lambda b: marked(b, True), "file string, at long, section string")
+    # a split may come in pieces of a task's batches: its last mark counts
+    ends = ends.groupBy("file", "at").agg(F.last("section", ignorenulls=True).alias("section"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    begins = ends.select("file", "at", F.coalesce(F.last("section", ignorenulls=True).over(before), F.lit("")).alias("begins"))
+    found = lines.mapInArrow(lambda b: marked(b, False), "file string, at long, section string, value string")
+    return found.join(F.broadcast(begins), ["file", "at"]).select(F.coalesce("section", "begins").alias("section"), "value")
+
+
+def read_gmsh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and elements of ASCII text of format 2, sections $Nodes and $Elements: a file or a folder of them, read by many tasks."""
+    lines = sectioned(spark, path)
+    # try_cast: the optimizer may look at lines of other sections first
+    inside = lambda name: lines.filter(F.col("section") == name).select(F.split("value", r"\s+").alias("p")).filter(F.size("p") > 1)
+    nodes = inside("Nodes").select(F.col("p")[0].try_cast("long").alias("gidx"), *(F.col("p")[k].try_cast("double").alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))))
+    tags = F.col("p")[2].try_cast("int")
+    cells = inside("Elements").select(F.col("p")[0].try_cast("long").alias("cell"), F.col("p")[1].try_cast("int").alias("type"), F.slice(F.col("p"), tags + 4, F.size("p")).try_cast("array<long>").alias("nodes"))
     return nodes, cells
 
 
+def read_gmsh_field(spark: SparkSession, path: str, section: str = "NodeData") -> DataFrame:
+    """gidx, value of a $NodeData (or $ElementData) section: its lines of two numbers; the tags before them have one."""
+    p = sectioned(spark, path).filter((F.col("section") == section) & ~F.col("value").startswith('"')).select(F.split("value", r"\s+").alias("p")).filter(F.size("p") == 2)
+    return p.select(F.col("p")[0].try_cast("long").alias("gidx"), F.col("p")[1].try_cast("double").alias("value"))
+
+
+def _section(name: str, first: int, lines: DataFrame, head: list[str]) -> DataFrame:
+    """s, k, value: a section's marks, head lines (the last one with the number of lines behind it) and lines (k, value)."""
+    spark = lines.sparkSession
+    n = lines.agg(F.count("*").cast("string").alias("value")).select(F.lit(first + 1).alias("s"), F.lit(0).cast("long").alias("k"), "value")
+    marks = spark.createDataFrame([(first, k, v) for k, v in enumerate([f"${name}", *head])] + [(first + 3, 0, f"$End{name}")], "s int, k long, value string")
+    return marks.unionByName(n).unionByName(lines.select(F.lit(first + 2).alias("s"), F.col("k").cast("long").alias("k"), "value"))
+
+
+def _write_sorted(text: DataFrame, path: str) -> None:
+    """Part files whose names are in the order of their lines."""
+    parts = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text.repartitionByRange(parts, "s", "k").sortWithinPartitions("s", "k").select("value").write.text(path)
+
+
 def write_gmsh(nodes: DataFrame, cells: DataFrame, path: str) -> None:
-    """An ASCII mesh file of format 2, in one part: the lines are sorted by section and number."""
-    head = nodes.sparkSession.createDataFrame([(0, 0, "$MeshFormat"), (0, 1, "2.2 0 8"), (0, 2, "$EndMeshFormat"), (1, -2, "$Nodes"), (2, 0, "$EndNodes"), (3, -2, "$Elements"), (4, 0, "$EndElements")], "s int, k long, value string")
-    count = lambda df, s: df.agg(F.count("*").cast("string").alias("value")).select(F.lit(s).alias("s"), F.lit(-1).cast("long").alias("k"), "value")
-    n = nodes.select(F.lit(1).alias("s"), F.col("gidx").alias("k"), F.concat_ws(" ", "gidx", "lon", "lat", F.lit("0")).alias("value"))
+    """An ASCII mesh of format 2 as a folder of sorted part files, written by many tasks: one after the other they are one mesh file."""
+    n = nodes.select(F.col("gidx").alias("k"), F.concat_ws(" ", "gidx", "lon", "lat", F.lit("0")).alias("value"))
     kind = F.when(F.size("nodes") == 2, "1").when(F.size("nodes") == 3, "2").otherwise("3")
-    e = cells.select(F.lit(3).alias("s"), F.col("cell").alias("k"), F.concat_ws(" ", "cell", kind, F.lit("2 1 1"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ")).alias("value"))
-    whole = head.unionByName(count(nodes, 1)).unionByName(count(cells, 3)).unionByName(n).unionByName(e)
-    whole.orderBy("s", "k").select("value").coalesce(1).write.text(path)
+    e = cells.select(F.col("cell").alias("k"), F.concat_ws(" ", "cell", kind, F.lit("2 1 1"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ")).alias("value"))
+    head = nodes.sparkSession.createDataFrame([(0, 0, "$MeshFormat"), (0, 1, "2.2 0 8"), (0, 2, "$EndMeshFormat")], "s int, k long, value string")
+    _write_sorted(head.unionByName(_section("Nodes", 1, n, [])).unionByName(_section("Elements", 5, e, [])), path)
+
+
+def write_gmsh_field(field: DataFrame, path: str, name: str, section: str = "NodeData", time: float = 0.0, step: int = 0) -> None:
+    """A field (gidx, value) in the same format: its name, time and step, then a line for each value."""
+    lines = field.select(F.col("gidx").alias("k"), F.concat_ws(" ", "gidx", "value").alias("value"))
+    head = field.sparkSession.createDataFrame([(0, 0, "$MeshFormat"), (0, 1, "2.2 0 8"), (0, 2, "$EndMeshFormat")], "s int, k long, value string")
+    tags = ["1", json.dumps(name), "1", repr(time), "3", str(step), "1"]
+    _write_sorted(head.unionByName(_section(section, 1, lines, tags)), path)
 
 
 def load_config(text_or_path: str) -> dict:
@@ -179,11 +245,20 @@ def _text(s: SparkSession, d: str) -> DataFrame:
 
 def _mesh(s: SparkSession, d: str) -> DataFrame:
     from graticula.operators.mesh import structured_cells
+    from graticula.sources.meshes import orders_grid
 
-    path, p = scratch(s, "gmsh"), grid(s, "L8x5")
-    write_gmsh(p, structured_cells(p, 8), path)
+    path, (p, nx, _) = scratch(s, "gmsh"), orders_grid(s, d)
+    write_gmsh(p, structured_cells(p, nx), path)
     nodes, cells = read_gmsh(s, path)
-    return cells.select("cell", "type", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    corner = cells.select("cell", "type", F.posexplode("nodes").alias("k", "gidx")).join(nodes, "gidx")
+    at = F.transform(F.sort_array(F.collect_list(F.struct("k", "gidx"))), lambda v: v["gidx"].cast("string"))
+    return corner.groupBy("cell", "type").agg(F.array_join(at, ",").alias("nodes"), (F.round(F.avg("y"), 6) + 0.0).alias("lat"))
+
+
+def _gmsh_field(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "gmsh-field")
+    write_gmsh_field(order_points(s, d), path, "total price")
+    return read_gmsh_field(s, path)
 
 
 QUERIES = {
@@ -192,6 +267,7 @@ QUERIES = {
     "io5_linked_records": lambda s, d: linked(order_points(s, d).filter("gidx < 500").select("gidx"), order_points(s, d).filter("gidx >= 500").select("gidx")),
     "io8_record_checksums": _verified,
     "io11_gmsh_round_trip": _mesh,
+    "io13_gmsh_field": _gmsh_field,
     "io14_points_text": _text,
     "io16_points_json": lambda s, d: points_json(order_points(s, d).select("gidx", "part"), "part"),
 }
@@ -200,7 +276,8 @@ ORACLES = {
     "io2_record_append": "SELECT o_orderkey AS gidx, o_totalprice AS value, 2::BIGINT AS fields_ok FROM orders",
     "io5_linked_records": "SELECT o_orderkey AS gidx FROM orders",
     "io8_record_checksums": "SELECT * FROM (VALUES ('points', true), ('events', true)) t(name, ok)",
-    "io11_gmsh_round_trip": "SELECT (j*8+i)::BIGINT AS cell, 3 AS type, concat_ws(',', (j+1)*8+i, (j+1)*8+(i+1)%8, j*8+(i+1)%8, j*8+i) AS nodes FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(4)) AS j)",
+    "io11_gmsh_round_trip": f"SELECT cell, 3 AS type, array_to_string(nodes, ',') AS nodes, round(90.0::DOUBLE - (j + 0.5)*180.0/(ny-1), 6) + 0.0 AS lat FROM {CELLS_SQL}",
+    "io13_gmsh_field": "SELECT o_orderkey AS gidx, o_totalprice AS value FROM orders",
     "io14_points_text": "SELECT ((o_orderkey*37)%360)::DOUBLE AS lon, ((o_orderkey*17)%179-89)::DOUBLE AS lat, o_totalprice AS value FROM orders",
     "io16_points_json": "SELECT '{\"gidx\":' || o_orderkey || ',\"part\":' || (o_orderkey % 4) || '}' AS json FROM orders",
 }
