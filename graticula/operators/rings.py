@@ -102,11 +102,11 @@ def write_rings(walks: DataFrame, nodes: DataFrame, path: str) -> None:
 
 
 def _outlined(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Outlines of parts of the grid of orders: a comb, whose teeth touch in corners, and what is left of each half."""
+    """Outlines of parts of the grid of orders: eight cells that touch in corners (2), what is left of that half (0), and the other half (1)."""
     points, nx, _ = orders_grid(s, d)
     cells = structured_cells(points, nx)
     i, j = F.col("cell") % nx, F.floor(F.col("cell") / nx)
-    parts = cells.select("cell", F.when((i < nx // 4) & (i % 2 == j % 2), 2).when(i < nx // 2, 0).otherwise(1).alias("part"))
+    parts = cells.select("cell", F.when((i > 0) & (i < 9) & (j == 5 + i % 2), 2).when(i < nx // 2, 0).otherwise(1).alias("part"))
     return outlines(cells, parts), points
 
 
@@ -137,7 +137,7 @@ def _steps(s: SparkSession, d: str) -> DataFrame:
     return step.join(w, ["part", "ring", "position"]).select("part", "a", F.col("node").alias("b"))
 
 
-_E = f"""(WITH p AS (SELECT *, CASE WHEN i < nx//4 AND i % 2 = j % 2 THEN 2 WHEN i < nx//2 THEN 0 ELSE 1 END AS part FROM {CELLS_SQL}),
+_E = f"""(WITH p AS (SELECT *, CASE WHEN i BETWEEN 1 AND 8 AND j = 5 + i % 2 THEN 2 WHEN i < nx//2 THEN 0 ELSE 1 END AS part FROM {CELLS_SQL}),
  e AS (SELECT part, nodes[k+1] AS a, nodes[(k+1)%4+1] AS b FROM p, (SELECT unnest([0,1,2,3]) AS k))
  SELECT part, a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.part = e.part AND f.a = e.b AND f.b = e.a))"""
 QUERIES = {"pt10_ring_edges": _steps, "st3_boundary_rings": _boundary, "pt10_rings": lambda s, d: rings(_outlined(s, d)[0].filter("part = 1")), "io22_ring_lines": _dump}
