@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from graticula.functions import geometry, projections
-from graticula.operators import clouds, dual, elements, elementwise, exchange, fvm, interpolation, mesh, partition, polygons, reorder, rings, search, sparse, spectral, statistics, structured
+from graticula.operators import clouds, dual, elements, elementwise, exchange, fvm, interpolation, mesh, partition, planar, polygons, reorder, rings, search, sparse, spectral, statistics, structured
 from graticula.sources import grids, records
 from graticula.streaming import windows
 
-MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, structured, elements, clouds, mesh, dual, rings, reorder, polygons, fvm, spectral, records, windows)
+MODULES = (statistics, exchange, sparse, elementwise, search, partition, geometry, projections, grids, interpolation, structured, elements, clouds, mesh, dual, rings, reorder, polygons, planar, fvm, spectral, records, windows)
 
 
 def queries() -> dict:

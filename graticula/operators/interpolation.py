@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graticula.functions.geometry import course
 from graticula.operators.elements import finite_element
 from graticula.operators.octree import in_cells, levels_of, nearest, own_level, width
+from graticula.operators.planar import planar_weights
 from graticula.operators.sparse import apply, normalised, transpose
 from graticula.operators.structured import structured_weights
 from graticula.sources.grids import regular_lonlat
@@ -157,6 +158,7 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "grid-box-average": grid_box_average,
     "binning": binning,
     "finite-element": finite_element,
+    "unstructured-bilinear-lonlat": planar_weights,
     "structured-bilinear": lambda source, target: structured_weights(target, source, "bilinear"),
     "regular-bilinear": lambda targets, nx, ny: structured(targets, nx, ny, "bilinear"),
     "structured-bicubic": lambda source, target: structured_weights(target, source, "bicubic"),
