@@ -1,12 +1,12 @@
 """Sharding: proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash and ranked within their source; the fractional rank (rank - 1/2) / size of the source orders all
-rows, and the order is cut into shards of equal row counts, so every shard has the mixture of the whole. A rank is the number of
-rows in lower hash ranges of the source plus the row number in its own range, so a source with a third of all rows is ranked by
-many tasks; the global order is numbered by ranges of equal size, even where all fractions are equal. The texts themselves are not shuffled.
+rows, and the order is cut into shards of equal row counts, so every shard has the mixture of the whole. Both orders are numbered by
+ranges of equal size, so a source with a third of all rows, a row that repeats, and fractions that are equal are numbered by
+many tasks. The texts themselves are not shuffled.
 
 Defined cases: a null text counts as 0 bytes and has a null checksum of the empty string, 0; a null source is a source of its own;
-null and repeated ids are ordinary rows (ties are ordered by source, hash, id, checksum, size); very long texts are read for their
+null and repeated ids are ordinary rows (ties are ordered by source, hash, id, checksum, size, row); very long texts are read for their
 length and checksum only; an empty table gives an empty result; further columns do not take part, whatever their names.
 """
 
@@ -17,25 +17,19 @@ from pyspark.sql import functions as F
 
 from graticula.llm.common import shuffle_partitions, written
 
-def _power_of_two(n: int) -> int:
-    return max(1, (n - 1).bit_length())
 
+def fractional_ranks(rows: DataFrame, stratum: Column, order: list[Column]) -> DataFrame:
+    """rows with rank (from 1, within the stratum by order), stratum_rows and fraction.
 
-def fractional_ranks(rows: DataFrame, stratum: Column, order: list[Column], hashed: Column, bits: int) -> DataFrame:
-    """rows with rank (from 1, within the stratum by hashed, then order), stratum_rows and fraction.
-
-    hashed: a 64-bit hash, evenly spread; its leading bits give the ranges that are ranked apart.
+    All rows are numbered by (stratum, order); a rank is the number less that of the stratum's first row. The order ends with something that tells all rows apart, so
+    neither a large stratum nor a row that repeats is one range.
     """
-    rows = rows.withColumn("__s", stratum).withColumn("__b", F.shiftright(hashed, 64 - bits))
-    sums = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
-    by = Window.partitionBy("__s").orderBy("__b")
-    sums = sums.withColumn("__before", F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "stratum_rows", F.sum("__n").over(Window.partitionBy("__s"))
-    )
-    sums = sums.select("__s", "__b", F.coalesce("__before", F.lit(0)).alias("__before"), "stratum_rows")
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__s", "__b").orderBy(hashed, *order)))
-    out = ranked.join(sums, ["__s", "__b"]).withColumn("rank", F.col("__before") + F.col("__rn"))
-    return out.withColumn("fraction", (F.col("rank") - 0.5) / F.col("stratum_rows")).drop("__s", "__b", "__rn", "__before")
+    placed = positions(rows.withColumn("__s", stratum), [F.col("__s"), *order]).drop("total")
+    placed = written(placed.withColumnRenamed("position", "__p"), "shard-ranks")
+    # one row for each stratum
+    sums = placed.groupBy("__s").agg(F.min("__p").alias("__first"), F.count("*").alias("stratum_rows"))
+    out = placed.join(sums, "__s").withColumn("rank", F.col("__p") - F.col("__first") + 1)
+    return out.withColumn("fraction", (F.col("rank") - 0.5) / F.col("stratum_rows")).drop("__s", "__p", "__first")
 
 
 def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -68,12 +62,12 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, doc_id: str = "doc_i
             (F.octet_length(t).cast("long") + 8).alias("size"),
             F.crc32(t.cast("binary")).alias("text_crc32"),
             F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), t).alias("hashed"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
-    ties = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    bits = _power_of_two(4 * shuffle_partitions(docs.sparkSession))
-    ranked = fractional_ranks(rows, F.col("stratum"), ties, F.col("hashed"), bits)
+    ties = [F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("row")]
+    ranked = fractional_ranks(rows, F.col("stratum"), [F.col("hashed"), *ties])
     placed = positions(ranked, [F.col("fraction"), F.col("stratum"), F.col("hashed"), *ties])
     shard = F.expr(f"position * {shards} div total")
     first = F.expr(f"(shard * total + {shards} - 1) div {shards}")

@@ -545,6 +545,24 @@ def test_interleaving_is_the_sorted_line(spark, docs):
         assert sorted(got, key=key) == sorted(brute_shards(spark, table, shards), key=key)
 
 
+def test_rows_that_repeat_are_ranked_by_many_tasks(spark, monkeypatch):
+    rows = [(1, "same text", "hot")] * 4000 + [(k, f"text {k}", f"s{k % 3}") for k in range(4000)]
+    ranges = []
+    kept = sharding.written
+
+    def watched(df, name):
+        out = kept(df, name)
+        if "__part" in out.columns:
+            ranges.append([r["count"] for r in out.groupBy("__part").count().collect()])
+        return out
+
+    monkeypatch.setattr(sharding, "written", watched)
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), 24).collect()
+    assert len(ranges) == 2 and all(len(r) == 4 and max(r) < 3000 for r in ranges)
+    per = collections.Counter((r.shard, r.source) for r in got)
+    assert all(abs(per[k, "hot"] - 4000 / 24) <= 2 for k in range(24)) and len({(r.shard, r.slot) for r in got}) == 8000
+
+
 # op7
 
 
