@@ -1,14 +1,14 @@
 """Chat formatting: tool-call linking.
 
 Calls and results are joined by (conversation, identifier), put into topological order of what they depend on, their arguments are validated
-against the tool's schema, and each call becomes one canonical JSON object. All of it is relational. Where no call depends on more than one other,
-an ordering round is a join over pointers whose length doubles, so a chain of n calls takes log n rounds; else a round places all calls whose
-dependencies are placed, so there are as many rounds as the longest chain has calls.
+against the tool's schema, and each call becomes one canonical JSON object. All of it is relational. In conversations where no call depends on more than one
+other, an ordering round is a join over pointers whose length doubles, so a chain of n calls takes log n rounds; in others a round places all calls
+whose dependencies are placed, so there are as many rounds as the longest chain of such a conversation has calls.
 
 Defined cases: a call without result has a null result; results without a call are reported apart (`orphans`); repeated identifiers count
 once, by the smallest position, with `copies`; a missing dependency is ignored; calls on or after a cycle have a null level;
 calls or results of one turn are ordered by what they hold; arguments that are no JSON object fail validation and are kept as a JSON string; null conversations or identifiers link nothing;
-an empty table gives an empty result; further columns do not take part.
+very long texts and conversations are handled by columns and joins; an empty table gives an empty result; further columns do not take part.
 """
 
 from __future__ import annotations
@@ -48,26 +48,39 @@ def errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
 def levels(calls: DataFrame, max_rounds: int = 64) -> DataFrame:
     """conv_id, call_id, level: the length of the longest chain of dependencies below a call; calls: distinct, with after (array of ids).
 
-    With at most one dependency each, pointers are doubled. Otherwise calls whose dependencies are all placed are placed, round by round.
+    In conversations whose calls have at most one dependency each, pointers are doubled. In others calls whose dependencies are all placed are placed,
+    round by round; they don't hold up the rest.
     """
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("parent"))
     known = calls.select("conv_id", F.col("call_id").alias("parent"))
     edges = written(edges.join(known, ["conv_id", "parent"], "left_semi").select("conv_id", "call_id", "parent"), "call-edges")
-    branching = not edges.groupBy("conv_id", "call_id").count().filter("count > 1").isEmpty()
+    branching = edges.groupBy("conv_id", "call_id").count().filter("count > 1").select("conv_id").distinct()
+    branching = written(branching, "branching-conversations")
     nodes = calls.select("conv_id", "call_id")
-    if not branching:
-        up = written(nodes.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")), "call-levels")
-        for _ in range(max_rounds):
-            if up.filter("parent is not null").isEmpty():
-                break
-            over = up.select("conv_id", F.col("call_id").alias("parent"), F.col("parent").alias("next"), F.col("level").alias("more"))
-            new = up.join(over, ["conv_id", "parent"], "left").select("conv_id", "call_id", F.col("next").alias("parent"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-            new = written(new, "call-levels")
-            left, before = new.filter("parent is not null").count(), up.filter("parent is not null").count()
-            up = new
-            if left == before:  # only cycles keep all their pointers
-                break
-        return up.select("conv_id", "call_id", F.when(F.col("parent").isNull(), F.col("level")).alias("level"))
+    if branching.isEmpty():
+        return _doubled(nodes, edges, max_rounds)
+    plain = _doubled(nodes.join(branching, "conv_id", "left_anti"), edges.join(branching, "conv_id", "left_anti"), max_rounds)
+    return plain.unionByName(_placed(nodes.join(branching, "conv_id", "left_semi"), edges.join(branching, "conv_id", "left_semi")))
+
+
+def _doubled(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Levels where each call has one dependency at most: rounds grow with the logarithm of the longest chain."""
+    up = written(nodes.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")), "call-levels")
+    for _ in range(max_rounds):
+        if up.filter("parent is not null").isEmpty():
+            break
+        over = up.select("conv_id", F.col("call_id").alias("parent"), F.col("parent").alias("next"), F.col("level").alias("more"))
+        new = up.join(over, ["conv_id", "parent"], "left").select("conv_id", "call_id", F.col("next").alias("parent"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        new = written(new, "call-levels")
+        left, before = new.filter("parent is not null").count(), up.filter("parent is not null").count()
+        up = new
+        if left == before:  # only cycles keep all their pointers
+            break
+    return up.select("conv_id", "call_id", F.when(F.col("parent").isNull(), F.col("level")).alias("level"))
+
+
+def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of any graph: a round for each call of the longest chain."""
     placed = written(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "call-levels")
     while True:
         done = placed.select("conv_id", F.col("call_id").alias("parent"), "level")

@@ -354,6 +354,28 @@ def test_long_chains_take_few_rounds(spark):
     assert all(r.level == int(r.call_id) for r in got) and len(got) == n
 
 
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(8)
+    rows, want = [(7, str(k), [str(k - 1)] if k else []) for k in range(150)], {(7, str(k)): k for k in range(150)}  # a chain beside graphs that branch
+    for conv in range(6):
+        n, after = 12, {}
+        for k in range(n):
+            near = rng.sample(range(n if conv == 5 else k), min(k, rng.randrange(4))) if k else []
+            after[k] = [x for x in near if x != k] + ([99] if k % 5 == 0 else [])
+
+        def level(k, seen=(), after=after):
+            if k in seen:
+                return None
+            below = [level(p, (*seen, k)) for p in after[k] if p in after]
+            return None if None in below else max(below, default=-1) + 1
+
+        for k in range(n):
+            rows.append((conv, str(k), [str(x) for x in after[k]]))
+            want[conv, str(k)] = level(k)
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>").repartition(3)
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(df).collect()} == want
+
+
 def test_conversations_as_calls(spark):
     rows = [
         (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "too early"), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"), (1, 1, "system", "s"),
