@@ -27,7 +27,7 @@ def serial(n, links, starts):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_order_is_the_serial_one(spark, seed):
     rng = random.Random(seed)
     n = 120
@@ -50,11 +50,11 @@ def test_components(spark):
 
 def test_bandwidth_of_a_shuffled_strip(spark):
     rng = random.Random(4)
-    name = list(range(150))
+    name = list(range(45))
     rng.shuffle(name)
     at = lambda i, j: name[3 * i + j]
-    links = [(at(i, j), at(i + 1, j)) for i in range(49) for j in range(3)] + [(at(i, j), at(i, j + 1)) for i in range(50) for j in range(2)]
+    links = [(at(i, j), at(i + 1, j)) for i in range(14) for j in range(3)] + [(at(i, j), at(i, j + 1)) for i in range(15) for j in range(2)]
     both = spark.createDataFrame([*links, *((b, a) for a, b in links)], "a long, b long")
-    nodes = spark.range(150).withColumnRenamed("id", "node")
+    nodes = spark.range(45).withColumnRenamed("id", "node")
     assert reorder.bandwidth(both, reorder.cuthill_mckee(nodes, both)).first().bandwidth <= 5
     assert reorder.cuthill_mckee(nodes.filter("false"), both.filter("false")).count() == 0
