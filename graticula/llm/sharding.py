@@ -26,8 +26,8 @@ def fractional_ranks(rows: DataFrame, stratum: Column, order: list[Column]) -> D
     """
     placed = positions(rows.withColumn("__s", stratum), [F.col("__s"), *order]).drop("total")
     placed = written(placed.withColumnRenamed("position", "__p"), "shard-ranks")
-    # one row for each stratum
-    sums = placed.groupBy("__s").agg(F.min("__p").alias("__first"), F.count("*").alias("stratum_rows"))
+    # one row for each stratum, as a table: its size is known when the join is planned, and AQE can cut a large stratum
+    sums = written(placed.groupBy("__s").agg(F.min("__p").alias("__first"), F.count("*").alias("stratum_rows")), "shard-strata")
     out = placed.join(sums, "__s").withColumn("rank", F.col("__p") - F.col("__first") + 1)
     return out.withColumn("fraction", (F.col("rank") - 0.5) / F.col("stratum_rows")).drop("__s", "__p", "__first")
 
