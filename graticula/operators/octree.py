@@ -1,6 +1,6 @@
 """Search structures that follow the density: an octree of points, and levels of cells for things that have a size.
 
-Points on the unit sphere are dealt to the cells of the cube around it, level by level: a cell with more than LEAF points is cut into four by four by four. So a cluster
+Points on the unit sphere are dealt to the cells of the cube around it, level by level: a cell with more than LEAF points is cut into eight by eight by eight. So a cluster
 gets deep cells and an empty region none, and each leaf holds a few points. The k nearest points are found from the top: each target keeps the cells
 that may hold one of its k nearest, going by the boxes of the points in the cells and by their numbers, and all targets go down a level with one equi-join.
 
@@ -17,9 +17,9 @@ from graticula.functions.geometry import xyz
 from graticula.sources.records import scratch
 
 #: Points of a leaf, or k if that is more.
-LEAF = 8
-#: Levels of the tree, each of two bits of every coordinate.
-LEVELS = 10
+LEAF = 16
+#: Bits of every coordinate at each level of the tree.
+BITS = (2, 5, 8, 11, 14, 17, 20)
 #: Finest level of things with a size.
 DEEPEST = 24
 
@@ -40,21 +40,27 @@ def tree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int
     """
     x, y, z = xyz(F.col("lon"), F.col("lat"))
     at = points.select("gidx", x.alias("x"), y.alias("y"), z.alias("z"))
-    bits = 2 * LEVELS
+    bits, deepest = BITS[-1], len(BITS)
     at = at.withColumns({f"i{c}": F.least(F.floor((F.col(c) + 1.0) * 2.0 ** (bits - 1)), F.lit((1 << bits) - 1)) for c in "xyz"})
-    nodes, leaves, alive = None, None, _cut(at, "tree-points")
-    for lev in range(1, LEVELS + 1):
-        a = alive.withColumns({f"c{c}": F.shiftright(f"i{c}", bits - 2 * lev) for c in "xyz"})
+    at = _cut(at, "tree-points")
+    at_level = lambda lev: at.withColumns({f"c{c}": F.shiftright(f"i{c}", bits - BITS[lev - 1]) for c in "xyz"})
+    nodes, leaves, large = None, None, None
+    for lev in range(1, deepest + 1):
+        # points of the cells of the level before that are no leaves
+        a = at_level(lev)
+        if large is not None:
+            step = BITS[lev - 1] - BITS[lev - 2]
+            parent = [F.shiftright(f"c{c}", step) == F.col(f"p{c}") for c in "xyz"]
+            a = a.join(large.select(*(F.col(f"c{c}").alias(f"p{c}") for c in "xyz")), parent, "left_semi")
         box = [f(c).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))]
-        found = a.groupBy(*CELL).agg(F.count("*").alias("n"), *box).withColumn("leaf", (F.col("n") <= leaf) | F.lit(lev == LEVELS))
+        found = a.groupBy(*CELL).agg(F.count("*").alias("n"), *box).withColumn("leaf", (F.col("n") <= leaf) | F.lit(lev == deepest))
         found = _cut(found.select(F.lit(lev).alias("lev"), *CELL, "n", "leaf", *BOX), "tree-nodes")
         nodes = found if nodes is None else nodes.unionByName(found)
-        dealt = a.join(found.select(*CELL, "leaf"), list(CELL))
-        mine = dealt.filter("leaf").select(F.lit(lev).alias("lev"), *CELL, "gidx", "x", "y", "z")
+        mine = at_level(lev).join(found.filter("leaf").select(*CELL), list(CELL)).select(F.lit(lev).alias("lev"), *CELL, "gidx", "x", "y", "z")
         leaves = mine if leaves is None else leaves.unionByName(mine)
-        if lev == LEVELS or found.filter("not leaf").isEmpty():
+        large = found.filter("not leaf")
+        if lev == deepest or large.isEmpty():
             return nodes, leaves, lev
-        alive = _cut(dealt.filter("not leaf").select(*alive.columns), "tree-points")
     raise AssertionError("unreachable")
 
 
@@ -78,7 +84,7 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, digits: int = 12) ->
             break
         # used twice below: leaves stay as they are and go on to bound the rest
         near = _cut(near, "near-cells")
-        child = nodes.filter(F.col("lev") == lev + 1).drop("lev").withColumns({f"p{c}": F.shiftright(f"c{c}", 2) for c in "xyz"})
+        child = nodes.filter(F.col("lev") == lev + 1).drop("lev").withColumns({f"p{c}": F.shiftright(f"c{c}", BITS[lev] - BITS[lev - 1]) for c in "xyz"})
         parent = near.filter("not leaf").select("target", "tx", "ty", "tz", *(F.col(f"c{c}").alias(f"p{c}") for c in "xyz"))
         down = parent.join(child, ["px", "py", "pz"]).select("target", "tx", "ty", "tz", F.lit(lev + 1).alias("own"), *CELL, "n", "leaf", *BOX)
         front = down.unionByName(near.filter("leaf").select(*down.columns))
