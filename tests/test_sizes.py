@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from graticula.operators import interpolation
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -20,3 +23,12 @@ def test_grids_are_not_taken_for_their_rows(spark):
 def test_rows_of_different_lengths(spark):
     got = from_rows(spark, [(9.0 - j, n, 0.0, 1.0) for j, n in enumerate([3, 0, 5, 2])]).orderBy("gidx").select("gidx", "i", "j").collect()
     assert [tuple(r) for r in got] == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 0, 2), (4, 1, 2), (5, 2, 2), (6, 3, 2), (7, 4, 2), (8, 0, 3), (9, 1, 3)]
+
+
+def test_fixed_fields_are_broadcast_and_weights_are_not(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("c_custkey"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    for kind in ("bilinear", "bicubic", "biquasicubic"):
+        assert "BuildLeft" not in _plan(interpolation._structured(kind)(spark, str(tmp_path)))
+        w = interpolation.structured(interpolation._targets(spark, str(tmp_path)), 8, 5, kind)
+        assert "Exchange" not in _plan(w)
+        assert w.count() == w.select("row", "col").distinct().count()
