@@ -67,15 +67,20 @@ def tree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int
 def nearest(targets: DataFrame, sources: DataFrame, k: int, digits: int = 12) -> DataFrame:
     """target, source, d, rank: the k nearest sources of each target (fewer only if there are fewer sources), by straight-line distance on the unit sphere.
 
-    Distances are compared after rounding to `digits`, so ties are ties on every machine; they go to the lowest source.
+    Distances are compared after rounding to `digits`, so ties are ties on every machine; they go to the lowest source. Targets at one place have one search
+    between them, and of sources at one place only the k lowest can be among the nearest.
     """
     spark = targets.sparkSession
     kinds = [f"{n} {df.schema['gidx'].dataType.simpleString()}" for n, df in (("target", targets), ("source", sources))]
     if k < 1 or sources.isEmpty():
         return spark.createDataFrame([], f"{', '.join(kinds)}, d double, rank int")
+    lowest = F.row_number().over(Window.partitionBy("lon", "lat").orderBy("gidx"))
+    sources = sources.select("gidx", "lon", "lat").withColumn("__n", lowest).filter(F.col("__n") <= k).drop("__n")
     nodes, leaves, levels = tree(sources, max(LEAF, k))
     x, y, z = xyz(F.col("lon"), F.col("lat"))
-    t = targets.select(F.col("gidx").alias("target"), x.alias("tx"), y.alias("ty"), z.alias("tz"))
+    # a place goes by its lowest target
+    places = _cut(targets.groupBy("lon", "lat").agg(F.min("gidx").alias("target")), "places")
+    t = places.select("target", x.alias("tx"), y.alias("ty"), z.alias("tz"))
     root = nodes.filter("lev = 1").drop("lev")
     front = t.crossJoin(F.broadcast(root)).withColumn("own", F.lit(1))  # at most 64 rows
     for lev in range(1, levels + 1):
@@ -91,7 +96,10 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, digits: int = 12) ->
     found = near.select("target", "tx", "ty", "tz", F.col("own").alias("lev"), *CELL).join(leaves, ["lev", *CELL])
     d = F.sqrt((F.col("tx") - F.col("x")) ** 2 + (F.col("ty") - F.col("y")) ** 2 + (F.col("tz") - F.col("z")) ** 2)
     pairs = found.select("target", F.col("gidx").alias("source"), F.round(d, digits).alias("d"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("d", "source"))).filter(F.col("rank") <= k)
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("d", "source"))).filter(F.col("rank") <= k)
+    at = places.select(F.col("target").alias("__place"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat")).join(pairs.withColumnRenamed("target", "__place"), "__place")
+    here = F.col("lon").eqNullSafe(F.col("__lon")) & F.col("lat").eqNullSafe(F.col("__lat"))
+    return targets.select(F.col("gidx").alias("target"), "lon", "lat").join(at, here).select("target", "source", "d", "rank")
 
 
 def _near(front: DataFrame, k: int, eps: float) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import interpolation
+from graticula.operators import interpolation, octree
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -32,3 +33,19 @@ def test_fixed_fields_are_broadcast_and_weights_are_not(spark, tmp_path):
         w = interpolation.structured(interpolation._targets(spark, str(tmp_path)), 8, 5, kind)
         assert "Exchange" not in _plan(w)
         assert w.count() == w.select("row", "col").distinct().count()
+
+
+def test_places_are_searched_once(spark, monkeypatch):
+    seen, tree = [], octree.tree
+    monkeypatch.setattr(octree, "tree", lambda points, leaf: (seen.append(points.count()), tree(points, leaf))[1])
+    at = lambda n, places, turn: spark.range(n).select(F.col("id").alias("gidx"), (F.col("id") % places * 40.0 + turn).alias("lon"), (F.col("id") % places * 10.0).alias("lat"))
+    targets, sources = at(60, 4, 1.0), at(90, 3, 0.0)
+    got = sorted((r["target"], r["rank"], r["source"], r["d"]) for r in octree.nearest(targets, sources, 5, 9).collect())
+    xyz = lambda df: {r["gidx"]: np.array([np.cos(np.radians(r["lat"])) * np.cos(np.radians(r["lon"])), np.cos(np.radians(r["lat"])) * np.sin(np.radians(r["lon"])), np.sin(np.radians(r["lat"]))]) for r in df.collect()}
+    s, want = xyz(sources), []
+    for t, p in xyz(targets).items():
+        near = sorted((round(float(np.linalg.norm(p - q)), 9), i) for i, q in s.items())[:5]
+        want += [(t, k + 1, i, d) for k, (d, i) in enumerate(near)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, sorted(want), strict=True)) < 1e-8
+    assert seen == [15]
