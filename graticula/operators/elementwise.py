@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,13 +52,19 @@ def for_each_column(field: DataFrame, f: Callable[[Column], Column], *key: str,
 
 def for_each_column_pandas(field: DataFrame, f: Callable[[pd.Series], pd.Series], *key: str, order: str = "lev") -> DataFrame:
     """As for_each_column, for functions that columns cannot express: f maps a pandas Series in vertical order."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in field.select(*key, order, "value").dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(value=f(pdf["value"]).to_numpy())
-
-    return field.select(*key, order, "value").groupBy(*key).applyInPandas(run, schema)
+    kinds = dict(field.dtypes)
+    keys = field.select(*key).columns
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", __at array<{kinds[order]}>, __values array<{kinds['value']}>"
+    # columns travel many to a batch; null orders come last
+    entry = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col("value").alias("value"))
+    columns = field.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("c")).select(*keys, F.col("c.at").alias("__at"), F.col("c.value").alias("__values"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(__values=[f(pd.Series(v)).to_numpy() for v in pdf["__values"]])
+
+    out = columns.mapInPandas(run, schema)
+    return out.select(*keys, F.inline(F.arrays_zip(F.col("__at").alias(order), F.col("__values").alias("value"))))
 
 
 def vertical_difference(field: DataFrame, *key: str, order: str = "lev") -> DataFrame:

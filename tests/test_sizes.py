@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import interpolation, octree
+from graticula.operators import elementwise, interpolation, octree
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -49,3 +49,12 @@ def test_places_are_searched_once(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
     assert max(abs(g[3] - w[3]) for g, w in zip(got, sorted(want), strict=True)) < 1e-8
     assert seen == [15]
+
+
+def test_columns_go_to_pandas_by_batches(spark):
+    rows = [(1, 2, 5.0), (1, 1, 3.0), (1, 3, 4.0), (2, 1, None), (2, 2, 7.0), (3, 1, 1.0)]
+    out = elementwise.for_each_column_pandas(spark.createDataFrame(rows, "gidx long, lev int, value double"), lambda v: v.cummax(), "gidx")
+    assert out.dtypes == [("gidx", "bigint"), ("lev", "int"), ("value", "double")]
+    assert "FlatMapGroups" not in _plan(out)
+    assert sorted((r[0], r[1], r[2]) for r in out.collect() if r[2] is not None) == [(1, 1, 3.0), (1, 2, 5.0), (1, 3, 5.0), (2, 2, 7.0), (3, 1, 1.0)]
+    assert [tuple(r) for r in out.filter("value is null").collect()] == [(2, 1, None)]
