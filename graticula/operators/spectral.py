@@ -17,6 +17,10 @@ from graticula.sources.grids import gaussian_latitudes, gaussian_weights
 from graticula.sources.meshes import customers_field, field_sql, grid_size, size_sql
 
 
+#: Pairs of a latitude and a wave whose functions a task holds at once.
+BLOCK = 1024
+
+
 def legendre(truncation: int, lats: list[float]) -> np.ndarray:
     """p[j, m, n]: associated Legendre functions, their squares' mean over the sphere 1 for m = 0; by the three-term recurrence."""
     x = np.sin(np.radians(np.asarray(lats)))
@@ -33,18 +37,39 @@ def legendre(truncation: int, lats: list[float]) -> np.ndarray:
     return p
 
 
+def legendre_rows(truncation: int, lats: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """p[k, n]: the same functions, of latitude lats[k] and wave m[k], 0 below n = m[k]."""
+    x = np.sin(np.radians(lats))
+    c = np.sqrt(1 - x * x)
+    start = np.ones(len(x))
+    for k in range(1, int(m.max(initial=0)) + 1):
+        start = np.where(k <= m, start * c * math.sqrt((2 * k + 1) / (2 * k)), start)
+    p = np.zeros((len(x), truncation + 1))
+    p[np.arange(len(x)), m] = start
+    eps = lambda n: np.sqrt(np.maximum(n * n - m * m, 0) / (4 * n * n - 1))
+    for n in range(1, truncation + 1):
+        before = p[:, n - 2] * eps(n - 1) if n > 1 else 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p[:, n] = np.where(n > m, (x * p[:, n - 1] - before) / eps(n), p[:, n])
+    return p
+
+
 def legendre_table(spark: SparkSession, truncation: int, lats: list[float]) -> DataFrame:
-    """The functions as rows (m, n, j, p): written once, it serves any number of transforms."""
+    """The functions as rows (m, n, j, p): written once, it serves any number of transforms.
+
+    Tasks get pairs of a latitude and a wave and hold the functions of a block of them. As latitudes alone, Spark would take the table for as small as their list and broadcast it.
+    """
 
     def run(batches):
         for pdf in batches:
-            js = pdf["j"].tolist()
-            p = legendre(truncation, [lats[j] for j in js])
-            m, n = np.triu_indices(truncation + 1)
-            for k, j in enumerate(js):
-                yield pd.DataFrame({"m": m, "n": n, "j": j, "p": p[k, m, n]})
-
-    return spark.range(len(lats)).select(F.col("id").cast("int").alias("j")).mapInPandas(run, "m int, n int, j int, p double")
+            for at in range(0, len(pdf), BLOCK):
+                j, m = (pdf[c].to_numpy()[at : at + BLOCK] for c in "jm")
+                p = legendre_rows(truncation, np.asarray(lats)[j], m)
+                k, n = np.nonzero(np.arange(truncation + 1) >= m[:, None])
+                yield pd.DataFrame({"m": m[k], "n": n, "j": j[k], "p": p[k, n]})
+
+    j, m = (spark.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((len(lats), "j"), (truncation + 1, "m")))
+    return j.crossJoin(m).mapInPandas(run, "m int, n int, j int, p double")
 
 
 def inverse_transform(spectra: DataFrame, table: DataFrame, points: list[int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import elementwise, interpolation, octree
+from graticula.operators import elementwise, interpolation, octree, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -58,3 +58,11 @@ def test_columns_go_to_pandas_by_batches(spark):
     assert "FlatMapGroups" not in _plan(out)
     assert sorted((r[0], r[1], r[2]) for r in out.collect() if r[2] is not None) == [(1, 1, 3.0), (1, 2, 5.0), (1, 3, 5.0), (2, 2, 7.0), (3, 1, 1.0)]
     assert [tuple(r) for r in out.filter("value is null").collect()] == [(2, 1, None)]
+
+
+def test_legendre_rows_and_the_size_of_their_table(spark):
+    lats = [80.0, 10.0, -35.5]
+    p = spectral.legendre(9, lats)
+    j, m = np.repeat(np.arange(3), 10), np.tile(np.arange(10), 3)
+    assert np.allclose(spectral.legendre_rows(9, np.array(lats)[j], m), p[j, m], atol=1e-12)
+    assert _size(spectral.legendre_table(spark, 399, [0.0] * 400)) >= 8 * 400 * 400
