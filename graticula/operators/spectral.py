@@ -74,7 +74,8 @@ def legendre_table(spark: SparkSession, truncation: int, lats: list[float]) -> D
 
 def inverse_transform(spectra: DataFrame, table: DataFrame, points: list[int]) -> DataFrame:
     """j, i, value on a grid whose row j has points[j] points from lon 0: value = Re sum c(m, n) p e^{i m lon}, m > 0 counted twice."""
-    waves = spectra.join(table, ["m", "n"]).groupBy("j", "m", "part").agg(F.sum(F.col("value") * F.col("p")).alias("w"))
+    # a table is about as many times larger than its pairs as there are waves, which Spark does not know
+    waves = spectra.join(table.hint("merge"), ["m", "n"]).groupBy("j", "m", "part").agg(F.sum(F.col("value") * F.col("p")).alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         j, nx = int(pdf["j"].iloc[0]), points[int(pdf["j"].iloc[0])]
@@ -96,7 +97,7 @@ def direct_transform(values: DataFrame, table: DataFrame, weights: list[float])
         return pd.DataFrame({"j": j, "m": np.repeat(np.arange(len(f)), 2), "part": [0, 1] * len(f), "f": np.column_stack([f.real, f.imag]).ravel() * weights[j]})
 
     waves = values.groupBy("j").applyInPandas(run, "j int, m int, part int, f double")
-    return waves.join(table, ["m", "j"]).groupBy("m", "n", "part").agg(F.sum(F.col("f") * F.col("p")).alias("value")).select("m", "n", "part", "value")
+    return waves.join(table.hint("merge"), ["m", "j"]).groupBy("m", "n", "part").agg(F.sum(F.col("f") * F.col("p")).alias("value")).select("m", "n", "part", "value")
 
 
 def norm(spectra: DataFrame, *by: str) -> DataFrame:

@@ -66,3 +66,9 @@ def test_legendre_rows_and_the_size_of_their_table(spark):
     j, m = np.repeat(np.arange(3), 10), np.tile(np.arange(10), 3)
     assert np.allclose(spectral.legendre_rows(9, np.array(lats)[j], m), p[j, m], atol=1e-12)
     assert _size(spectral.legendre_table(spark, 399, [0.0] * 400)) >= 8 * 400 * 400
+
+
+def test_legendre_tables_are_not_broadcast(spark):
+    table = spectral.legendre_table(spark, 9, [0.0] * 10)
+    spectra = spark.range(10).select(F.col("id").cast("int").alias("m"), F.lit(9).alias("n"), F.lit(0).alias("part"), F.lit(1.0).alias("value"))
+    assert "BroadcastHashJoin" not in _plan(spectral.inverse_transform(spectra, table, [20] * 10))
