@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import elementwise, interpolation, octree, spectral
+from graticula.operators import elements, elementwise, interpolation, octree, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -26,6 +26,14 @@ def test_rows_of_different_lengths(spark):
     assert [tuple(r) for r in got] == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 0, 2), (4, 1, 2), (5, 2, 2), (6, 3, 2), (7, 4, 2), (8, 0, 3), (9, 1, 3)]
 
 
+def test_equal_longitudes_of_rows_of_different_lengths_are_equal(spark, tmp_path):
+    spark.range(15_000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    points = elements._grid(spark, str(tmp_path)).select("i", "j", "lon").collect()
+    nx = {j: 8 + 4 * min(j, 59 - j) for j in range(60)}
+    assert len(points) == sum(nx.values())
+    assert [r for r in points if r["lon"] != r["i"] * 360.0 / nx[r["j"]]] == []
+
+
 def test_fixed_fields_are_broadcast_and_weights_are_not(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("c_custkey"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
     for kind in ("bilinear", "bicubic", "biquasicubic"):
