@@ -6,10 +6,8 @@ the exact distance. kNN joins go down an octree of the sources (octree.py). Poly
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,30 +39,22 @@ def radius_join(targets: DataFrame, sources: DataFrame, chord: float) -> DataFra
 def nearest_vectors(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact k nearest vectors by Euclidean distance for a stated set of queries against all items, in blocks.
 
-    Queries and items are dealt into blocks of bounded size; each pair of a query block and an item block is one matrix product that leaves
-    k candidates for each query, and a rank over those candidates gives the answer.
+    Queries and items are dealt into blocks of bounded size; a task holds one pair of a query block and an item block at a time. Matrix products show which items
+    may be among the k nearest of a query there, these are compared exactly, and a rank over the k of each block gives the answer.
     """
     n_q, n_i = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, items))
-    kind = f"struct<id:{queries.schema[id_col].dataType.simpleString()},v:array<float>>"
-
-    def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-        row = F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v")).cast(kind)
-        return df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("b")).agg(F.collect_list(row).alias(name)).select(name)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, i in zip(pdf["q"], pdf["i"], strict=True):
-                a, b = (np.array([r["v"] for r in x], np.float64) for x in (q, i))
-                qid, iid = (np.array([r["id"] for r in x]) for x in (q, i))
-                d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0.0)) if a.size * len(b) < 1 << 24 else _distances(a, b)
-                d = np.round(np.where(qid[:, None] == iid[None, :], np.inf, d), 4)
-                best = np.lexsort((np.broadcast_to(iid, d.shape), d), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(qid)), best.shape[1])
-                out = pd.DataFrame({"query": qid[at], "item": iid[best.ravel()], "d": d[at, best.ravel()]})
-                yield out[np.isfinite(out["d"])]
-
     id_kind = queries.schema[id_col].dataType.simpleString()
-    pairs = blocks(queries, n_q, "q").crossJoin(blocks(items, n_i, "i")).mapInPandas(run, f"query {id_kind}, item {id_kind}, d double")
+
+    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        row = df.select(F.col(id_col).cast(id_kind).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias(own))
+        return row.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))).groupBy("qb", "ib")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qid, a), (iid, b) = _rows(left), _rows(right)
+        at, best, found = _k_nearest(qid, a, iid, b, k) if len(qid) and len(iid) else ([], [], [])
+        return pa.table({"query": left["id"].take(pa.array(at, pa.int64())), "item": right["id"].take(pa.array(best, pa.int64())), "d": pa.array(found, pa.float64())})
+
+    pairs = blocks(queries, "qb", n_q, "ib", n_i).cogroup(blocks(items, "ib", n_i, "qb", n_q)).applyInArrow(run, f"query {id_kind}, item {id_kind}, d double")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "item"))).filter(F.col("rank") <= k)
 
 
@@ -72,8 +62,33 @@ def nearest_vectors(queries: DataFrame, items: DataFrame, k: int, id_col: str =
 BLOCK_ROWS = 4096
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.array([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
+#: Queries that are compared with a block of items at once.
+SLICE = 128
+
+
+def _rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    v = t["v"].combine_chunks()
+    return t["id"].to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+
+
+def _k_nearest(qid: np.ndarray, a: np.ndarray, iid: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of their k nearest items, itself excluded, with distances rounded to 4 digits; ties go to the lowest id."""
+    out, length = [], (b**2).sum(1)
+    for s in range(0, len(a), SLICE):
+        x, own = a[s : s + SLICE], qid[s : s + SLICE, None] == iid
+        rough = np.sqrt(np.maximum((x**2).sum(1)[:, None] + length - 2.0 * (x @ b.T), 0.0))
+        rough[own | np.isnan(rough)] = np.inf
+        # what rounding to 4 digits and the product's own rounding can hide
+        slack = 2e-4 + 1e-5 * (1.0 + np.sqrt(np.nanmax(length, initial=0.0)))
+        may = rough <= np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1 :][:, :1] + slack
+        q, i = np.nonzero(may & ~own)
+        d = np.round(np.sqrt(((b[i] - x[q]) ** 2).sum(1)), 4)
+        order = np.lexsort((iid[i], d, q))
+        q, i, d = q[order], i[order], d[order]
+        keep = (np.arange(len(q)) - np.searchsorted(q, q) < k) & np.isfinite(d)
+        out.append((q[keep] + s, i[keep], d[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def inside_polygon(px: Column, py: Column, polygon: Column, eps: float = 1e-10) -> Column:

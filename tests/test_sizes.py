@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import elements, elementwise, interpolation, octree, spectral
+from graticula.operators import clouds, elements, elementwise, interpolation, octree, search, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -68,6 +68,32 @@ def test_columns_go_to_pandas_by_batches(spark):
     assert [tuple(r) for r in out.filter("value is null").collect()] == [(2, 1, None)]
 
 
+def test_vectors_meet_a_pair_of_blocks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 30)
+    v = np.random.default_rng(3).integers(0, 3, (100, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    out = search.nearest_vectors(df.filter("vec_id % 5 = 0"), df, 6)
+    assert "FlatMapCoGroupsInArrow" in _plan(out) and "MapInPandas" not in _plan(out)
+    got = sorted((r["query"], r["rank"], r["item"], r["d"]) for r in out.collect())
+    want = []
+    for q in range(0, 100, 5):
+        near = sorted((round(float(np.sqrt(((v[q].astype(float) - v[i]) ** 2).sum())), 4), i) for i in range(100) if i != q)[:6]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert got == want
+
+
+def test_clouds_search_places_not_points(spark, monkeypatch):
+    seen, join = [], clouds.radius_join
+    monkeypatch.setattr(clouds, "radius_join", lambda t, s, chord: (seen.append((t.count(), s.count())), join(t, s, chord))[1])
+    points = [(g, g % 7 * 6.0, g % 3 * 5.0, g % 4) for g in range(84)]
+    got = clouds.cloud_halo(spark.createDataFrame(points, "gidx long, lon double, lat double, part int"), 0.15)
+    at = {g: np.array([np.cos(np.radians(y)) * np.cos(np.radians(x)), np.cos(np.radians(y)) * np.sin(np.radians(x)), np.sin(np.radians(y))]) for g, x, y, _ in points}
+    want = {(p, g, p, False) for g, _, _, p in points} | {(p, g, o, True) for t, _, _, p in points for g, _, _, o in points if p != o and np.linalg.norm(at[t] - at[g]) <= 0.15}
+    rows = [(r["part"], r["gidx"], r["owner"], r["ghost"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert seen == [(21, 21)]
+
+
 def test_legendre_rows_and_the_size_of_their_table(spark):
     lats = [80.0, 10.0, -35.5]
     p = spectral.legendre(9, lats)
