@@ -433,13 +433,25 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """node and label: for each distinct text (by hash) that is similar to others the smallest hash of its group.
 
-    Equal texts are one from the start. A null text is the empty one; texts without words are alike.
+    Texts are linked where their fingerprints are within the budget, by the trie self-join, and where their shingle sets have that similarity, which finds the near copies
+    whose fingerprints are further apart. Equal texts are one from the start. A null text is the empty one; texts without words are alike.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    links = written(similar_links(docs.select(F.xxhash64(t).alias("id"), t.alias("text")), shingle, similarity), "similar-links")
+    texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text"))
+    links = fingerprint_links(texts).union(written(similar_links(texts, shingle, similarity), "similar-links"))
     return components(links)
 
 
+def fingerprint_links(texts: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
+    """a, b: links between ids of texts (id, text; equal ids have equal texts) that connect all whose fingerprints are within the budget, and no others."""
+    fps = written(fingerprints(texts, shingle, "id").distinct(), "text-fingerprints")
+    heads = written(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
+    equal = fps.join(heads, "fp").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    near = near_links(heads.select("fp"), budget)
+    side = lambda x: heads.select(F.col("fp").alias(f"fp_{x}"), F.col("head").alias(x))
+    return written(equal.union(near.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")), "fingerprint-links")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts: the one with the smallest id (null ids last), then the smallest text hash.
 

@@ -691,6 +691,22 @@ def test_similar_texts_leave_one_each(spark, docs, empty):
     assert simhash.stage(spark, empty, "").count() == 0
 
 
+def test_near_dedup_links_near_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    base = "red sky morning " * 50
+    texts = [base + " ".join(prose(rng, 10)) for _ in range(3)] + [" ".join(prose(rng, 40)) for _ in range(4)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = {(i, j) for i in range(7) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert near == {(1, 0), (2, 0), (2, 1)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r.node: r.label for r in simhash.components(simhash.fingerprint_links(df)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0}
+    # their sets of five-word shingles are less similar than 0.8, so only the fingerprints link them
+    assert brute_similar(texts) == {frozenset([i]) for i in range(7)}
+    docs = df.withColumnRenamed("id", "doc_id")
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [0, 3, 4, 5, 6]
+
+
 def brute_similar(texts):
     """Groups of texts over links of a five-word-shingle similarity of at least 0.8, as a set of sets of positions."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
