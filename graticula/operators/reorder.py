@@ -48,6 +48,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def levels_from(starts: DataFrame, links: DataFrame) -> DataFrame:
     """node, component, lev of all nodes that the starts (node, component) reach: one semi-join a level, from the last level only."""
+    # made once, not once a level
+    links = _cut(links.select("a", "b"), "links")
     front = _cut(starts.select("node", "component", F.lit(0).alias("lev")), "levels")
     last, out, lev = None, front, 0
     while True:
