@@ -79,7 +79,8 @@ def rings(edges: DataFrame, splice: bool = True) -> DataFrame:
 
     A ring begins with its least edge, rings are numbered by it. With splice, rings that share a node are one, in which the node comes as often as it is passed.
     """
-    s, turn = ranked(successors(edges)), 0
+    # edges are made once, though each is followed and follows
+    s, turn = ranked(successors(_cut(edges.select("part", "a", "b"), "outline-edges"))), 0
     while splice and (follow := _spliced(s, turn)) is not None:
         s, turn = ranked(_cut(follow, "ring-follow")), turn + 1
     size = s.groupBy("part", "la", "lb").agg(F.count("*").alias("size"))
@@ -131,7 +132,7 @@ def _dump(s: SparkSession, d: str) -> DataFrame:
 
 def _steps(s: SparkSession, d: str) -> DataFrame:
     """The steps of all walks, wherever they begin: each edge once."""
-    w = _rings(s, d)
+    w = _cut(_rings(s, d), "walks")
     size = w.groupBy("part", "ring").agg(F.count("*").alias("size"))
     step = w.join(size, ["part", "ring"]).select("part", "ring", F.pmod(F.col("position") + 1, F.col("size")).alias("position"), F.col("node").alias("a"))
     return step.join(w, ["part", "ring", "position"]).select("part", "a", F.col("node").alias("b"))
