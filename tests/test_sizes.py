@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import clouds, elements, elementwise, interpolation, octree, search, spectral
+from graticula.operators import clouds, elements, elementwise, exchange, interpolation, octree, reorder, search, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -94,6 +94,21 @@ def test_clouds_search_places_not_points(spark, monkeypatch):
     assert seen == [(21, 21)]
 
 
+def test_numbers_are_not_broadcast(spark):
+    out = exchange.renumber(spark.range(50).select((F.col("id") % 20).alias("uid")), "uid")
+    assert "strategy=merge" in out._jdf.queryExecution().logical().toString() + out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["uid"], r["number"]) for r in out.collect()} == {(i, i + 1) for i in range(20)}
+
+
+def test_links_are_made_once(spark, monkeypatch):
+    cut, seen = reorder._cut, []
+    monkeypatch.setattr(reorder, "_cut", lambda df, name: (seen.append(name), cut(df, name))[1])
+    links = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "a long, b long")
+    out = reorder.levels_from(spark.createDataFrame([(0, 0)], "node long, component long"), links)
+    assert sorted((r["node"], r["lev"]) for r in out.collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert seen.count("links") == 1
+
+
 def test_legendre_rows_and_the_size_of_their_table(spark):
     lats = [80.0, 10.0, -35.5]
     p = spectral.legendre(9, lats)
