@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graticula.functions.geometry import microdegrees, xyz
 from graticula.operators.exchange import local_index, renumber
 from graticula.sources.meshes import CELLS_SQL, GRID_SQL, SIZE_SQL, orders_grid
-from graticula.sources.records import scratch
+from graticula.sources.records import cut
 
 
 def structured_cells(points: DataFrame, nx: int, triangulate: bool = False) -> DataFrame:
@@ -67,25 +67,21 @@ def halos(cells: DataFrame, parts: DataFrame, rings: int) -> DataFrame:
     """part, cell, halo: the cells of every part (halo 0) and those within `rings` of it, for all parts at once.
 
     Each ring is one equi-join on the nodes of the cells that the ring before brought in. The first ring starts from nodes that cells of different
-    parts share, so the inside of a part is never looked at; each ring is written, so that the plan stays short.
+    parts share, so the inside of a part is never looked at. Cells with their parts, the border and each ring are written, so that all are made once.
     """
-    spark = cells.sparkSession
-    kind = {f.name: f.dataType.simpleString() for f in [*cells.schema, *parts.schema]}
-    own = cells.select("cell", "nodes").join(parts.select("cell", "part"), "cell")
+    own = cut(cells.select("cell", "nodes").join(parts.select("cell", "part"), "cell"), "own")
     links = own.select("cell", "part", F.explode(F.array_distinct("nodes")).alias("node"))
     border = links.groupBy("node").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("node")
-    at_border = links.join(border, "node", "left_semi")
+    at_border = cut(links.join(border.hint("merge"), "node", "left_semi"), "border")
     have = own.select("part", "cell", F.lit(0).alias("halo"))
     front = at_border.select("part", "node").distinct()
     for ring in range(1, rings + 1):
         # the first ring reaches cells at border nodes, later ones any cell
-        near = front.join((at_border if ring == 1 else links).select("node", "cell"), "node").select("part", "cell").distinct()
-        new = near.join(have.select("part", "cell"), ["part", "cell"], "left_anti").withColumn("halo", F.lit(ring))
-        path = scratch(spark, "halo")
-        new.write.parquet(path)
-        new = spark.read.schema(f"part {kind['part']}, cell {kind['cell']}, halo int").parquet(path)
+        near = front.join((at_border if ring == 1 else links).select("node", "cell").hint("merge"), "node").select("part", "cell").distinct()
+        new = near.join(have.select("part", "cell").hint("merge"), ["part", "cell"], "left_anti").withColumn("halo", F.lit(ring))
+        new = cut(new, "halo")
         have = have.unionByName(new)
-        front = new.join(links.select("cell", "node"), "cell").select("part", "node").distinct()
+        front = new.join(links.select("cell", "node").hint("merge"), "cell").select("part", "node").distinct()
     return have
 
 
@@ -99,7 +95,7 @@ def parallel_nodes(cells: DataFrame, parts: DataFrame, node_parts: DataFrame, ri
 
     A part's own nodes come first in its numbering, in the order of their numbers; ghosts follow, ring by ring. ridx is the place in the owner's.
     """
-    held = halos(cells, parts, rings).join(cells.select("cell", F.explode("nodes").alias("node")), "cell")
+    held = halos(cells, parts, rings).hint("merge").join(cells.select("cell", F.explode("nodes").alias("node")), "cell")
     held = held.groupBy("part", "node").agg(F.min("halo").alias("halo"))
     owner = node_parts.select("node", F.col("part").alias("owner"))
     # nodes that no cell of their own part touches still live there
@@ -129,7 +125,7 @@ def edge_parts(edges: DataFrame, nodes: DataFrame, node_parts: DataFrame, parts:
 def parallel_edges(edges: DataFrame, owners: DataFrame, held: DataFrame) -> DataFrame:
     """part, edge, n0, n1, owner, ghost, ridx: the edges (edge, n0, n1, left, right) of the cells that every part holds (part, cell of `halos`), their owners and their places there."""
     ends = edges.select("edge", "n0", "n1", F.explode(F.array_compact(F.array("left", "right"))).alias("cell"))
-    kept = ends.join(held.select("part", "cell"), "cell").select("part", "edge", "n0", "n1").distinct()
+    kept = ends.join(held.select("part", "cell").hint("merge"), "cell").select("part", "edge", "n0", "n1").distinct()
     own = owners.select("n0", "n1", F.col("part").alias("owner"))
     places = local_index(edges.select("edge", "n0", "n1").join(owners, ["n0", "n1"]).select("edge", "part"), key="edge").select("edge", "ridx")
     kept = kept.join(own, ["n0", "n1"]).join(places, "edge")

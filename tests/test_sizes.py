@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import clouds, elements, elementwise, exchange, interpolation, octree, reorder, search, spectral
+from graticula.operators import clouds, elements, elementwise, exchange, interpolation, mesh, octree, reorder, search, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 
 
@@ -121,3 +121,17 @@ def test_legendre_tables_are_not_broadcast(spark):
     table = spectral.legendre_table(spark, 9, [0.0] * 10)
     spectra = spark.range(10).select(F.col("id").cast("int").alias("m"), F.lit(9).alias("n"), F.lit(0).alias("part"), F.lit(1.0).alias("value"))
     assert "BroadcastHashJoin" not in _plan(spectral.inverse_transform(spectra, table, [20] * 10))
+
+
+def _halves(spark):
+    """Cells of a grid of 8 by 5 points, those of the western half in part 0."""
+    cells = mesh.structured_cells(regular_lonlat(spark, 8, 5), 8)
+    return cells, cells.select("cell", F.when(F.col("cell") % 8 < 4, 0).otherwise(1).alias("part"))
+
+
+def test_halos_make_their_cells_once(spark):
+    out = mesh.halos(*_halves(spark), 1)
+    assert "Join" not in _plan(out) and "Broadcast" not in _plan(out)
+    rows = sorted((r["part"], r["cell"], r["halo"]) for r in out.collect())
+    near = {0: (4, 7), 1: (0, 3)}
+    assert rows == sorted((p, c, int(c % 8 // 4 != p)) for p in (0, 1) for c in range(32) if c % 8 // 4 == p or c % 8 in near[p])
