@@ -95,13 +95,12 @@ def parallel_nodes(cells: DataFrame, parts: DataFrame, node_parts: DataFrame, ri
 
     A part's own nodes come first in its numbering, in the order of their numbers; ghosts follow, ring by ring. ridx is the place in the owner's.
     """
-    held = halos(cells, parts, rings).hint("merge").join(cells.select("cell", F.explode("nodes").alias("node")), "cell")
-    held = held.groupBy("part", "node").agg(F.min("halo").alias("halo"))
-    owner = node_parts.select("node", F.col("part").alias("owner"))
+    node_parts = cut(node_parts.select("node", "part"), "node-parts")
+    held = halos(cells, parts, rings).hint("merge").join(cells.select("cell", F.explode("nodes").alias("node")), "cell").select("part", "node", "halo")
     # nodes that no cell of their own part touches still live there
-    alone = owner.select(F.col("owner").alias("part"), "node", F.lit(0).alias("halo"))
-    held = held.unionByName(alone).groupBy("part", "node").agg(F.min("halo").alias("halo")).join(owner, "node")
-    places = local_index(node_parts.select("node", "part"), key="node").select("node", "ridx")
+    alone = node_parts.select("part", "node", F.lit(0).alias("halo"))
+    held = held.unionByName(alone).groupBy("part", "node").agg(F.min("halo").alias("halo"))
+    places = local_index(node_parts, key="node").select("node", F.col("part").alias("owner"), "ridx")
     return held.join(places, "node").select("part", "node", "halo", "owner", (F.col("part") != F.col("owner")).alias("ghost"), "ridx")
 
 

@@ -135,3 +135,13 @@ def test_halos_make_their_cells_once(spark):
     rows = sorted((r["part"], r["cell"], r["halo"]) for r in out.collect())
     near = {0: (4, 7), 1: (0, 3)}
     assert rows == sorted((p, c, int(c % 8 // 4 != p)) for p in (0, 1) for c in range(32) if c % 8 // 4 == p or c % 8 in near[p])
+
+
+def test_parallel_nodes_make_their_parts_once(spark):
+    cells, parts = _halves(spark)
+    node_parts = regular_lonlat(spark, 8, 5).select(F.col("gidx").alias("node"), F.when(F.col("gidx") % 8 < 4, 0).otherwise(1).alias("part")).filter("node <> 7919")
+    out = mesh.parallel_nodes(cells, parts, node_parts, 0)
+    assert "7919" not in _plan(out)
+    rows = [(r["part"], r["node"], r["owner"], r["ghost"], r["ridx"]) for r in out.collect()]
+    held = {0: (0, 1, 2, 3, 4), 1: (4, 5, 6, 7, 0)}
+    assert sorted(rows) == sorted((p, n, n % 8 // 4, n % 8 // 4 != p, n // 8 * 4 + n % 4) for p in (0, 1) for n in range(40) if n % 8 in held[p])
