@@ -122,7 +122,7 @@ def _vector(op):
     def query(s: SparkSession, d: str) -> DataFrame:
         e, n, size = _mesh(s, d)
         u = orders_field(s, d, size).withColumnRenamed("value", "u")
-        wind = u.join(customers_field(s, d, size).withColumnRenamed("value", "v"), "node")
+        wind = u.join(customers_field(s, d, size).withColumnRenamed("value", "v").hint("merge"), "node")
         return _rounded(op(e, n, wind, radius=1.0))
 
     return query

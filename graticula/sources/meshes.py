@@ -28,7 +28,8 @@ def orders_grid(spark: SparkSession, sf_dir: str, name: str = "orders") -> tuple
 
 def _field(spark: SparkSession, sf_dir: str, n: int, name: str, key: str, value: str) -> DataFrame:
     per = table(spark, sf_dir, name, key, value).groupBy(F.pmod(key, F.lit(n)).cast("long").alias("node")).agg((F.avg(value) / 1000.0).alias("value"))
-    return spark.range(n).withColumnRenamed("id", "node").join(per, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("value"))
+    # Spark takes the means for a part of their compressed file, so it is told not to broadcast them
+    return spark.range(n).withColumnRenamed("id", "node").join(per.hint("merge"), "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def orders_field(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

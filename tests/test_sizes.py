@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graticula.operators import clouds, elements, elementwise, exchange, interpolation, mesh, octree, reorder, search, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
+from graticula.sources.meshes import customers_field
 
 
 def _size(df) -> int:
@@ -145,3 +146,10 @@ def test_parallel_nodes_make_their_parts_once(spark):
     rows = [(r["part"], r["node"], r["owner"], r["ghost"], r["ridx"]) for r in out.collect()]
     held = {0: (0, 1, 2, 3, 4), 1: (4, 5, 6, 7, 0)}
     assert sorted(rows) == sorted((p, n, n % 8 // 4, n % 8 // 4 != p, n // 8 * 4 + n % 4) for p in (0, 1) for n in range(40) if n % 8 in held[p])
+
+
+def test_means_of_fields_are_not_broadcast(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("c_custkey"), F.col("id").cast("double").alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    field = customers_field(spark, str(tmp_path), 60)
+    assert "BroadcastHashJoin" not in _plan(field)
+    assert {r["node"]: r["value"] for r in field.collect()} == {n: (n if n >= 40 else n + 30.0) / 1000.0 for n in range(60)}
