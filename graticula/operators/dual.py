@@ -15,6 +15,7 @@ from graticula.functions.geometry import microdegrees
 from graticula.operators.mesh import structured_cells
 from graticula.sources.grids import regular_lonlat
 from graticula.sources.meshes import SIZE_SQL, grid_size
+from graticula.sources.records import cut
 
 TOL = 1e-6
 
@@ -55,9 +56,8 @@ def median_dual(cells: DataFrame, nodes: DataFrame, poles: bool = True) -> tuple
     def area(x: str, y: str) -> Column:
         return F.abs(F.col("cx") * (my - F.col(y)) + mx * (F.col(y) - F.col("cy")) + F.col(x) * (F.col("cy") - my)) / 2
 
-    halves = F.array(F.struct(F.col("n0").alias("node"), area("x0", "y0").alias("v")), F.struct(F.col("n1").alias("node"), area("x1", "y1").alias("v")))
-    volumes = s.select(F.inline(halves))
-    e = s.groupBy("n0", "n1").agg(F.min(F.struct("cell", "cx", "cy")).alias("l"), F.max(F.struct("cell", "cx", "cy")).alias("r"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    # an edge's triangles in its cells count towards its ends
+    e = s.withColumns({"v0": area("x0", "y0"), "v1": area("x1", "y1")}).groupBy("n0", "n1").agg(F.min(F.struct("cell", "cx", "cy")).alias("l"), F.max(F.struct("cell", "cx", "cy")).alias("r"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1")), F.sum("v0").alias("v0"), F.sum("v1").alias("v1"))
     e = e.crossJoin(F.broadcast(ends)).withColumns({"mx": mx, "my": my})
     outer = F.col("m") == 1
     at_pole = F.when(outer & F.lit(poles), F.when(F.abs(F.col("my") - F.col("top")) < TOL, 90.0).when(F.abs(F.col("my") - F.col("low")) < TOL, -90.0))
@@ -67,11 +67,14 @@ def median_dual(cells: DataFrame, nodes: DataFrame, poles: bool = True) -> tuple
     ry = F.when(outer, F.coalesce("pole_lat", "my")).otherwise(F.col("r.cy"))
     e = e.withColumns({"sx": ly - ry, "sy": rx - lx})
     out = F.when((F.col("x1") - F.col("x0")) * F.col("sx") + (F.col("y1") - F.col("y0")) * F.col("sy") < 0, -1.0).otherwise(1.0)
-    e = e.withColumns({"sx": F.col("sx") * out, "sy": F.col("sy") * out})
+    # a boundary edge's half on each side of its middle, up to the pole
+    half = F.array(*(F.struct(F.col(f"n{k}").alias("node"), F.col("pole_lat"), F.abs(F.col("mx") - F.col(f"x{k}")).alias("width"), F.col(f"y{k}").alias("y")) for k in (0, 1)))
+    e = e.select("n0", "n1", (F.col("sx") * out).alias("sx"), (F.col("sy") * out).alias("sy"), "v0", "v1", F.when(F.col("pole_lat").isNotNull(), half).alias("rim"))
+    e = cut(e, "dual-edges")  # used for edges, volumes and, three times, the rim
+    volumes = e.select(F.inline(F.array(*(F.struct(F.col(f"n{k}").alias("node"), F.col(f"v{k}").alias("v")) for k in (0, 1)))))
     inner = e.select("n0", "n1", "sx", "sy", F.lit(False).alias("pole"))
     if poles:
-        # a boundary edge's half on each side of its middle, up to the pole
-        rim = e.filter("pole_lat is not null").select(F.inline(F.array(*(F.struct(F.col(f"n{k}").alias("node"), F.col("pole_lat"), F.abs(F.col("mx") - F.col(f"x{k}")).alias("width"), F.col(f"y{k}").alias("y")) for k in (0, 1)))))
+        rim = e.filter("rim is not null").select(F.inline("rim"))
         volumes = volumes.unionByName(rim.select("node", (F.col("width") * F.abs(F.col("pole_lat") - F.col("y"))).alias("v")))
         faces = rim.groupBy("node", "pole_lat").agg(F.sum("width").alias("width"))
         at = faces.join(nodes.select(F.col("gidx").alias("node"), F.pmod(microdegrees(F.col("lon")), F.lit(360_000_000)).alias("u")), "node")
@@ -79,7 +82,7 @@ def median_dual(cells: DataFrame, nodes: DataFrame, poles: bool = True) -> tuple
         pairs = at.withColumnRenamed("node", "n0").join(over, ["pole_lat", "u"]).filter("n0 < n1")
         inner = inner.unionByName(pairs.select("n0", "n1", F.lit(0.0).alias("sx"), (F.signum("pole_lat") * F.col("width")).alias("sy"), F.lit(True).alias("pole")))
     volumes = volumes.groupBy("node").agg(F.sum("v").alias("volume"))
-    return inner, nodes.select(F.col("gidx").alias("node"), "lon", "lat").join(volumes, "node")
+    return inner, nodes.select(F.col("gidx").alias("node"), "lon", "lat").join(volumes.hint("merge"), "node")
 
 
 def brick_dual(points: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from graticula.functions.geometry import EARTH_RADIUS
 from graticula.operators.dual import median_dual, shifted_mesh
 from graticula.sources.grids import regular_lonlat
 from graticula.sources.meshes import SIZE_SQL, customers_field, field_sql, grid_size, orders_field
+from graticula.sources.records import cut
 
 RAD = math.pi / 180
 
@@ -39,10 +40,11 @@ def dual_edges(spark: SparkSession, nx: int, ny: int) -> tuple[DataFrame, DataFr
 
 def _ends(edges: DataFrame, nodes: DataFrame, field: DataFrame, names: list[str]) -> DataFrame:
     """edges with the values of both ends, and cos(lat) there: a_*, b_*."""
-    v = nodes.select("node", F.cos(F.radians("lat")).alias("c")).join(field, "node")
+    v = nodes.select("node", F.cos(F.radians("lat")).alias("c")).hint("merge").join(field, "node")
     end = lambda side: v.select(F.col("node").alias(f"n{0 if side == 'a' else 1}"), *(F.col(n).alias(f"{side}_{n}") for n in ["c", *names]))
     e = edges if "pole" in edges.columns else edges.withColumn("pole", F.lit(False))
-    return e.join(end("a"), "n0").join(end("b"), "n1")
+    # nodes and edges can be files, which Spark takes for as large as they are compressed, so it is told not to broadcast them
+    return e.join(end("a").hint("merge"), "n0").join(end("b").hint("merge"), "n1")
 
 
 def _by_node(edges: DataFrame, both: bool = False, **parts: Column) -> DataFrame:
@@ -53,7 +55,7 @@ def _by_node(edges: DataFrame, both: bool = False, **parts: Column) -> DataFrame
 
 
 def _close(sums: DataFrame, nodes: DataFrame) -> DataFrame:
-    return sums.join(nodes.select("node", "volume", F.cos(F.radians("lat")).alias("c")), "node")
+    return sums.join(nodes.select("node", "volume", F.cos(F.radians("lat")).alias("c")).hint("merge"), "node")
 
 
 def gradient(edges: DataFrame, nodes: DataFrame, field: DataFrame, name: str = "value", radius: float = EARTH_RADIUS, poles: DataFrame | None = None) -> DataFrame:
@@ -107,7 +109,8 @@ def pole_faces(nodes: DataFrame, dx: float) -> DataFrame:
 
 def _mesh(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     cells, points, nx, ny = shifted_mesh(s, d)
-    return *median_dual(cells, points), nx * ny
+    edges, nodes = median_dual(cells, points)
+    return edges, cut(nodes, "dual-nodes"), nx * ny  # nodes are joined three times
 
 
 def _scalar(op):

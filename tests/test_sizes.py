@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from graticula.operators import clouds, elements, elementwise, exchange, interpolation, mesh, octree, reorder, search, spectral
+from graticula.operators import clouds, elements, elementwise, exchange, fvm, interpolation, mesh, octree, reorder, search, spectral
 from graticula.sources.grids import from_rows, regular_lonlat
 from graticula.sources.meshes import customers_field
 
@@ -153,3 +153,11 @@ def test_means_of_fields_are_not_broadcast(spark, tmp_path):
     field = customers_field(spark, str(tmp_path), 60)
     assert "BroadcastHashJoin" not in _plan(field)
     assert {r["node"]: r["value"] for r in field.collect()} == {n: (n if n >= 40 else n + 30.0) / 1000.0 for n in range(60)}
+
+
+def test_dual_meshes_are_made_once(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("o_orderkey"), F.lit(1.0).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    edges, nodes, size = fvm._mesh(spark, str(tmp_path))
+    assert "Join" not in _plan(nodes) and "Aggregate" not in _plan(edges.filter("not pole"))
+    assert size == nodes.count() == 200 and edges.count() == 200 + 180 + 20
+    assert {round(r["volume"], 9) for r in nodes.collect()} == {324.0}
