@@ -23,6 +23,15 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that Spark may broadcast: it takes files for as large as they are compressed, so it would broadcast many more.
+SMALL = 100_000
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, told not to be broadcast if it has many rows."""
+    return df.hint("merge") if rows > SMALL else df
+
+
 def neighbours(cells: DataFrame) -> DataFrame:
     """a, b: both ways, the nodes that an edge of a cell joins."""
     f = facets(cells).filter("n0 <> n1").select("n0", "n1")
@@ -32,15 +41,16 @@ def neighbours(cells: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, component: the least node that each is joined to, by hooking to the least neighbour and jumping to its component's component."""
     label = _cut(nodes.select("node", F.col("node").alias("component")), "components")
+    n = label.count()
     while True:
-        near = links.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
+        near = links.join(_side(label.select(F.col("node").alias("b"), "component"), n), "b").groupBy("a").agg(F.min("component").alias("near"))
+        hooked = label.join(_side(near.withColumnRenamed("a", "node"), n), "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
         hooked = _cut(hooked, "components")
         # the root of each component follows the least that any of its nodes saw, and nodes follow their root
         root = hooked.groupBy("component").agg(F.min("least").alias("to"))
-        jumped = hooked.join(root, "component").select("node", "component", F.col("to").alias("new"))
+        jumped = hooked.join(_side(root, n), "component").select("node", "component", F.col("to").alias("new"))
         after = jumped.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        jumped = _cut(jumped.join(after, "new").select("node", "component", F.least("new", "further").alias("new")), "components")
+        jumped = _cut(jumped.join(_side(after, n), "new").select("node", "component", F.least("new", "further").alias("new")), "components")
         if jumped.filter("new <> component").isEmpty():
             return jumped.select("node", "component")
         label = jumped.select("node", F.col("new").alias("component"))
@@ -51,16 +61,17 @@ def levels_from(starts: DataFrame, links: DataFrame) -> DataFrame:
     # made once, not once a level
     links = _cut(links.select("a", "b"), "links")
     front = _cut(starts.select("node", "component", F.lit(0).alias("lev")), "levels")
-    last, out, lev = None, front, 0
+    last, out, lev, n, before = None, front, 0, front.count(), 0
     while True:
         lev += 1
-        reached = links.join(front.select(F.col("node").alias("a"), "component"), "a").select(F.col("b").alias("node"), "component").distinct()
+        reached = links.join(_side(front.select(F.col("node").alias("a"), "component"), n), "a").select(F.col("b").alias("node"), "component").distinct()
         # neighbours of a level lie in it, in the one before or in the next one
-        new = reached.join(front.select("node"), "node", "left_anti")
+        new = reached.join(_side(front.select("node"), n), "node", "left_anti")
         if last is not None:
-            new = new.join(last.select("node"), "node", "left_anti")
+            new = new.join(_side(last.select("node"), before), "node", "left_anti")
         new = _cut(new.withColumn("lev", F.lit(lev)).select("node", "component", "lev"), "levels")
-        if new.isEmpty():
+        before, n = n, new.count()
+        if n == 0:
             return out
         last, front, out = front, new, out.unionByName(new)
 
@@ -85,29 +96,30 @@ def cuthill_mckee(nodes: DataFrame, links: DataFrame, starts: DataFrame | None =
     starts = far_starts(nodes, links) if starts is None else _cut(starts, "starts")
     degree = nodes.join(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
     degree = _cut(degree, "degrees")
-    first = starts.select("node", "component").join(degree, "node")
+    total, many = degree.count(), starts.count()
+    first = starts.select("node", "component").join(_side(degree, total), "node")
     front = _cut(first.select("node", "component", F.lit(0).alias("lev"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("parent"), "degree"), "ranked")
-    last, out, lev = None, front, 0
+    last, out, lev, n, before = None, front, 0, many, 0
     while True:
         lev += 1
-        reached = links.join(front.select(F.col("node").alias("a"), "component", "rank"), "a").groupBy(F.col("b").alias("node"), "component").agg(F.min("rank").alias("parent"))
-        new = reached.join(front.select("node"), "node", "left_anti")
+        reached = links.join(_side(front.select(F.col("node").alias("a"), "component", "rank"), n), "a").groupBy(F.col("b").alias("node"), "component").agg(F.min("rank").alias("parent"))
+        new = reached.join(_side(front.select("node"), n), "node", "left_anti")
         if last is not None:
-            new = new.join(last.select("node"), "node", "left_anti")
-        new = new.join(degree, "node")
+            new = new.join(_side(last.select("node"), before), "node", "left_anti")
+        new = new.join(_side(degree, total), "node")
         # ranks within the level, over all components at once, by ranges: a parent's number is enough to order its children
         ranked = renumber(new.withColumn("__key", F.struct("component", "parent", "degree", "node")), "__key", "rank").drop("__key")
         ranked = _cut(ranked.select("node", "component", F.lit(lev).alias("lev"), "rank", "parent", "degree"), "ranked")
-        if ranked.isEmpty():
+        before, n = n, ranked.count()
+        if n == 0:
             break
         last, front, out = front, ranked, out.unionByName(ranked)
     lead = first.select("component", F.struct("degree", F.col("node").alias("start")).alias("lead"))
     key = F.struct("lead", "lev", "rank", "node")
-    whole = renumber(out.join(lead, "component").withColumn("__key", key), "__key").select("node", (F.col("number") - 1).alias("number"))
+    whole = renumber(out.join(_side(lead, many), "component").withColumn("__key", key), "__key").select("node", (F.col("number") - 1).alias("number"))
     if not reverse:
         return whole
-    n = nodes.count()
-    return whole.select("node", (F.lit(n - 1) - F.col("number")).alias("number"))
+    return whole.select("node", (F.lit(total - 1) - F.col("number")).alias("number"))
 
 
 def bandwidth(links: DataFrame, order: DataFrame) -> DataFrame:
@@ -120,7 +132,8 @@ def bandwidth(links: DataFrame, order: DataFrame) -> DataFrame:
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers (2 c) and suppliers (2 s + 1), linked where an order joins them; and the least node as the start."""
     orders, items = table(s, d, "orders", "o_orderkey", "o_custkey"), table(s, d, "lineitem", "l_orderkey", "l_suppkey")
-    e = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    e = orders.hint("merge").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    e = _cut(e, "pairs")  # used six times
     links = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     start = links.agg(F.min("a").alias("node")).select("node", F.col("node").alias("component"))
     return links.select(F.col("a").alias("node")).distinct(), links, start

@@ -161,3 +161,18 @@ def test_dual_meshes_are_made_once(spark, tmp_path):
     assert "Join" not in _plan(nodes) and "Aggregate" not in _plan(edges.filter("not pole"))
     assert size == nodes.count() == 200 and edges.count() == 200 + 180 + 20
     assert {round(r["volume"], 9) for r in nodes.collect()} == {324.0}
+
+
+def test_levels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    cut, plans = reorder._cut, []
+    monkeypatch.setattr(reorder, "SMALL", 3, raising=False)
+    monkeypatch.setattr(reorder, "_cut", lambda df, name: (plans.append((name, _plan(df))), cut(df, name))[1])
+    links = [(0, k) for k in range(1, 9)] + [(k, 10 + k) for k in range(1, 9)]
+    both = spark.createDataFrame([*links, *((b, a) for a, b in links)], "a long, b long")
+    start = spark.createDataFrame([(0, 0)], "node long, component long")
+    levels = {r["node"]: r["lev"] for r in reorder.levels_from(start, both).collect()}
+    assert levels == {0: 0, **{k: 1 for k in range(1, 9)}, **{10 + k: 2 for k in range(1, 9)}}
+    order = reorder.cuthill_mckee(spark.createDataFrame([(k,) for k in levels], "node long"), both, start, reverse=False).collect()
+    assert [r["node"] for r in sorted(order, key=lambda r: r["number"])] == [0, *range(1, 9), *range(11, 19)]
+    late = [p for name in ("levels", "ranked") for p in [p for n, p in plans if n == name][2:]]
+    assert late and not any("BroadcastHashJoin [a" in p or "BroadcastHashJoin [node" in p for p in late)
