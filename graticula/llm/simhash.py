@@ -168,9 +168,10 @@ def _split(fp: np.ndarray, bit: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 
 def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
     """fp_a, fp_b: links between distinct fingerprints of fps (fp long) that connect all within the budget, and no others."""
-    heads = plans(budget)
-    take = lambda bits: sum((F.shiftleft(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)), k) for k, i in enumerate(bits)), F.lit(0).cast("long"))
-    keys = fps.select("fp", F.inline(F.array(*(F.struct(F.lit(t).alias("trie"), take(bits).alias("node")) for t, bits in enumerate(heads)))))
+    # a node is its leading bits as they lie in the fingerprint: one mask for each trie. Bit by bit, the plan took much of the driver's memory
+    masks = [sum(1 << i for i in bits) for bits in plans(budget)]
+    node = lambda mask: F.col("fp").bitwiseAND(F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long"))
+    keys = fps.select("fp", F.inline(F.array(*(F.struct(F.lit(t).alias("trie"), node(mask).alias("node")) for t, mask in enumerate(masks)))))
     sizes = keys.groupBy("trie", "node").count().filter("count > 1").select("trie", "node")
     keys = keys.join(sizes, ["trie", "node"], "left_semi")
     parts = shuffle_partitions(fps.sparkSession)
@@ -447,7 +448,7 @@ def fingerprint_links(texts: DataFrame, shingle: int = 3, budget: int = 2) -> Da
     fps = written(fingerprints(texts, shingle, "id").distinct(), "text-fingerprints")
     heads = written(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
     equal = fps.join(heads, "fp").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    near = near_links(heads.select("fp"), budget)
+    near = written(near_links(heads.select("fp"), budget), "near-fingerprints")
     side = lambda x: heads.select(F.col("fp").alias(f"fp_{x}"), F.col("head").alias(x))
     return written(equal.union(near.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")), "fingerprint-links")
 
