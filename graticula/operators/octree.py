@@ -138,6 +138,14 @@ def at_levels(points: DataFrame, levels: list[int], base: float, **axes: str) ->
     return out.withColumns({cell: F.floor(F.col(c) / width(F.col("lev"), base)) for cell, c in axes.items()})
 
 
+def at_common_levels(things: DataFrame, others: list[int]) -> DataFrame:
+    """things (with lev) once for each level at which they can meet others of those levels: their own, if others are as fine, and the others' coarser ones; own tells them apart."""
+    own, none = F.col("lev"), F.array().cast("array<int>")
+    coarser = F.filter(F.array(*map(F.lit, others)) if others else none, lambda v: v < own)
+    levels = F.concat(coarser, F.when(own <= max(others, default=-1), F.array(own)).otherwise(none))
+    return things.withColumn("own", own).withColumn("lev", F.explode(levels))
+
+
 def in_cells(things: DataFrame, base: float, coarser: list[int] | None = None, **axes: tuple[Column, Column]) -> DataFrame:
     """things (with lev) once for each cell that they meet on each axis (cell=(low, high)); with coarser, at their own level and at those of the list above it: own tells them apart."""
     if coarser is not None:
